@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,9 +52,22 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@cache
+def _ship(app: str) -> None:
+    """Send this package to the executors, which need not have it installed."""
+    spark = SparkSession.getActiveSession()
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="tidewatch-")) / "tidewatch.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in [package / "__init__.py", *sorted((package / "llm").glob("*.py"))]:
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+
+
 def map_batches(df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
     """``mapInArrow`` over column lists: ``work`` gets and yields dicts of equal-length columns."""
-    arrow = _arrow_schema(df.sparkSession, schema)
+    arrow = _arrow_schema(schema)
+    _ship(df.sparkSession.sparkContext.applicationId)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (dict(zip(b.schema.names, b.columns, strict=True)) for b in batches if b.num_rows)
@@ -62,7 +77,7 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Ite
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, media, packing, url_filter
+from tidewatch.llm import bpe, language, media, merkle, packing, sharding, simhash, suffix, url_filter
 from tidewatch.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_rows(documents(spark, sf_dir))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir))
 
@@ -20,6 +24,18 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
 
+def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_fingerprints(documents(spark, sf_dir))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_rows(documents(spark, sf_dir))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir))
 
@@ -28,8 +44,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_rows(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_bpe, op4_media, op8_packing, op9_url_filter)}
+    return {f.__name__: f for f in (op2_language, op3_bpe, op4_media, op5_merkle, op6_suffix_dedup, op7_sharding, op8_packing, op9_url_filter, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
