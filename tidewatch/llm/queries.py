@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, language, media, merkle, packing, sharding, simhash, suffix, url_filter
+from tidewatch.llm import bpe, language, lm, media, merkle, packing, sharding, simhash, suffix, url_filter
 from tidewatch.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(documents(spark, sf_dir))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_rows(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_language, op3_bpe, op4_media, op5_merkle, op6_suffix_dedup, op7_sharding, op8_packing, op9_url_filter, op10_simhash)}
+    return {f.__name__: f for f in (op1_lm, op2_language, op3_bpe, op4_media, op5_merkle, op6_suffix_dedup, op7_sharding, op8_packing, op9_url_filter, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
