@@ -2,8 +2,8 @@
 
 Fingerprints are 64-bit majorities over the shingles' hashes. Two that differ in at most ``bits`` places, cut into m
 segments on a ring, must have a start from which every chain of k consecutive segments holds at most floor(bits * k / m)
-differences. With m = 5 and 2 bits, the first two segments of such a chain are equal, so (start, both segments) is a
-join key of about 26 bits; chains of 3 and 4 segments then prune candidates before the full Hamming check.
+differences. With m = 2 * bits + 1, the first two segments of such a chain are equal, so (start, both segments) is a join
+key (26 bits for 2 differing bits); longer chains then prune candidates before the full Hamming check.
 
 Only distinct fingerprints are linked, and inside a key's group a task emits a spanning forest of the links it finds,
 never all pairs. Groups over ``limit`` are never gathered: their members get finer keys, by the same ring argument on
@@ -29,7 +29,6 @@ from tidewatch.llm.common import map_batches, plain, stored
 from tidewatch.llm.components import components
 
 SEED = 42
-SEGMENTS = 5
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -68,9 +67,10 @@ def fingerprints(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: s
     return map_batches(rows, f"doc_id {dict(docs.dtypes)[id_col]}, fp long", work)
 
 
-def ring(places: list[int], segments: int = SEGMENTS) -> list[list[int]]:
-    """The bit places cut into consecutive segments."""
-    cut = [round(k * len(places) / segments) for k in range(segments + 1)]
+def ring(places: list[int], bits: int) -> list[list[int]]:
+    """The bit places cut into 2 * bits + 1 consecutive segments."""
+    m = 2 * bits + 1
+    cut = [round(k * len(places) / m) for k in range(m + 1)]
     return [places[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
@@ -79,26 +79,27 @@ def mask(places: list[int]) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def ring_keys(places: list[int], bits: int, segments: int = SEGMENTS) -> list[tuple[int, list[int]]]:
-    """(mask of the equal segments, places left open) for each start on the ring."""
-    equal = max(k for k in range(1, segments + 1) if bits * k < segments)
-    parts, out = ring(places, segments), []
-    for start in range(segments):
-        held = [p for k in range(equal) for p in parts[(start + k) % segments]]
+def ring_keys(places: list[int], bits: int) -> list[tuple[int, list[int]]]:
+    """(mask of the two equal segments, places left open) for each start on the ring."""
+    parts, out = ring(places, bits), []
+    for start in range(len(parts)):
+        held = parts[start] + parts[(start + 1) % len(parts)]
         out.append((mask(held), [p for p in places if p not in set(held)]))
     return out
 
 
-def chain_masks(start: int, bits: int, segments: int = SEGMENTS) -> list[tuple[int, int]]:
-    """(mask, most differences) of the chains of the first ring that prune, shortest first."""
-    parts = ring(list(range(64)), segments)
-    chains = [([p for k in range(n) for p in parts[(start + k) % segments]], bits * n // segments) for n in range(1, segments + 1)]
+def chain_masks(start: int, bits: int) -> list[tuple[int, int]]:
+    """(mask, most differences) of the chains from a start of the first ring that prune, shortest first."""
+    parts = ring(list(range(64)), bits)
+    chains = [([p for k in range(n) for p in parts[(start + k) % len(parts)]], bits * n // len(parts)) for n in range(1, len(parts) + 1)]
     return [(sum(1 << p for p in held), most) for held, most in chains if most]
 
 
 def forest(values: np.ndarray, chains: list[tuple[int, int]], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among fingerprints (indices): rows are compared one against all others."""
     n = len(values)
+    if n <= 128 and not np.triu(np.bitwise_count(values[:, None] ^ values) <= bits, 1).any():
+        return np.zeros(0, int), np.zeros(0, int)
     todo = np.ones(n, bool)
     left, right = [], []
     tests = [*chains, ((1 << 64) - 1, bits)]
@@ -145,20 +146,16 @@ def _group_links(groups: DataFrame, bits: int) -> DataFrame:
 
 def links(distinct: DataFrame, bits: int = 2, limit: int = 4096) -> DataFrame:
     """(u, v) long pairs of a table of distinct fingerprints (fp) that connect all that link, and nothing else."""
-    if bits * 2 >= SEGMENTS:
-        raise ValueError(f"{SEGMENTS} segments serve at most {(SEGMENTS - 1) // 2} bits")
-
     def level(rows: DataFrame, keys: list[tuple[int, list[int]]], above: list[str], depth: int) -> DataFrame:
         """Links of ``rows`` (fp, keys above) under each of ``keys``; groups over the limit go a level down.
 
-        The key leaves 38 bits open on the first level, 23 on the second and 14 on the last, so a last group holds at
-        most 2 ** 14 fingerprints.
+        Each level leaves fewer bits open; a group with at most 14 open bits holds at most 2 ** 14 fingerprints.
         """
         held = [F.struct(F.lit(k).alias("s"), F.col("fp").bitwiseAND(F.lit(m)).alias("h")) for k, (m, _) in enumerate(keys)]
         names = [*above, f"s{depth}", f"h{depth}"]
         spread = rows.select("fp", *above, F.explode(F.array(*held)).alias("key")).select("fp", *above, F.col("key.s").alias(names[-2]), F.col("key.h").alias(names[-1]))
         sizes = stored(spread.groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1"), "ring-sizes")
-        last = depth == 2
+        last = max(len(free) for _, free in keys) <= 14
         fits = sizes if last else sizes.filter(F.col("n") <= limit)
         groups = spread.join(fits.drop("n"), names).groupBy(*names).agg(F.collect_list("fp").alias("fps"))
         got = _group_links(groups.select(F.col("s0").alias("start"), "fps"), bits)
