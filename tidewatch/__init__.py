@@ -1,0 +1 @@
+"""Threat-hunting analytics over endpoint telemetry, as Spark DataFrame operators."""
