@@ -23,11 +23,6 @@ def _likes(column: str, words) -> str:
 
 SPLIT_T = 1705320000000000  # 2024-01-15 12:00 UTC, between history and the present
 PATTERNS = {"secret": r"(api|secret)[_ ]?key|token", "address": r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "license": r"licen[cs]e", "mail": r"[a-z0-9._]+@[a-z0-9.]+", "shout": r"!!"}
-HUNTS = {
-    "encoded": H.all_of(H.term("image", "powershell"), H.term("cmd", "-enc")),
-    "public drop": H.any_of(H.term("file", "public"), H.term("registry", "currentversion\\run")),
-    "not local": H.all_of(H.term("event_id", "3"), ~H.term("ip", "10.0.0.")),
-}
 HUNT_SQL = {
     "encoded": "contains(lower(image), 'powershell') AND contains(lower(command_line), '-enc')",
     "public drop": "coalesce(contains(lower(file_path), 'public'), false) OR coalesce(contains(lower(reg_key), 'currentversion\\run'), false)",
@@ -186,7 +181,12 @@ def hunt_filter(spark, d):
 
 
 def saved_hunts(spark, d):
-    return H.saved_hunts(telemetry(spark, d), HUNTS)
+    hunts = {
+        "encoded": H.all_of(H.term("image", "powershell"), H.term("cmd", "-enc")),
+        "public drop": H.any_of(H.term("file", "public"), H.term("registry", "currentversion\\run")),
+        "not local": H.all_of(H.term("event_id", "3"), ~H.term("ip", "10.0.0.")),
+    }
+    return H.saved_hunts(telemetry(spark, d), hunts)
 
 
 def beacons(spark, d):
