@@ -101,9 +101,9 @@ def hourly(b: DataFrame) -> DataFrame:
     )
 
 
-def auto_correlated(b: DataFrame, as_of: Column, least_age_seconds: int = 300) -> DataFrame:
-    """(computer, image) with two bursts of two stages, old enough at ``as_of`` (microseconds): strength 20, or 30 from three stages."""
-    g = b.groupBy("computer", "image").agg(F.count("*").alias("bursts"), F.count_distinct("stage").alias("stages"), F.min("start_t").alias("first_t"))
+def auto_correlated(b: DataFrame, as_of: Column, by: list[str], least_age_seconds: int = 300) -> DataFrame:
+    """Groups with two bursts of two stages, old enough at ``as_of`` (microseconds): strength 20, or 30 from three stages."""
+    g = b.groupBy(*by).agg(F.count("*").alias("bursts"), F.count_distinct("stage").alias("stages"), F.min("start_t").alias("first_t"))
     return g.filter((F.col("bursts") >= 2) & (F.col("stages") >= 2) & (as_of - F.col("first_t") >= least_age_seconds * SECOND)).withColumn("strength", F.when(F.col("stages") >= 3, 30).otherwise(20))
 
 

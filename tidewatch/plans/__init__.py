@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import detection
+from tidewatch.plans import behaviour, detection
 
-MODULES = [detection]
+MODULES = [detection, behaviour]
 
 
 def queries() -> dict:
