@@ -7,7 +7,8 @@ deep-shallow sorting (multikey quicksort, eight bytes a symbol, to a shallow dep
 tie). Adjacent common prefixes then tell, for each number o of bytes taken to the left, which occurrences agree in
 [-o, length - o): those whose left class at depth o and right class at depth length - o are both shared.
 
-Texts are compared once for each distinct text: copies of a text of ``length`` bytes or more are covered whole. Anchors
+Texts are compared once for each distinct text: copies of a text of ``length`` bytes or more are covered whole. What
+repeats within a text with the same bytes all around is covered there, and one occurrence goes on. Anchors
 with more than ``cap`` occurrences are never gathered: every window over them becomes a row keyed by its own digest, and
 a count over keys, which partial aggregation spreads, takes the place of the sort.
 
@@ -122,6 +123,34 @@ def anchors(raws: list[bytes], length: int, gram: int) -> list[tuple[np.ndarray,
     return out
 
 
+def within_text(raw: bytes, places: np.ndarray, hashes: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Occurrences to look for elsewhere, and the pieces that repeat within the text itself.
+
+    Occurrences of one anchor with the same bytes all around repeat each other in every window over them; so they are
+    covered, and the first speaks for all. Periodic texts, which have an anchor in each period, come down to a few.
+    """
+    reach = length - gram
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    if not same.any():
+        return places, hashes, []
+    repeated = np.zeros(len(places), bool)
+    repeated[order[1:][same]] = True
+    repeated[order[:-1][same]] = True
+    keep, spans, first = np.ones(len(places), bool), [], {}
+    for i in np.flatnonzero(repeated):
+        p = int(places[i])
+        if p < reach or p + length > len(raw):
+            continue
+        whole = raw[p - reach : p + length]
+        if whole in first:
+            keep[i] = False
+            spans += [(p - reach, p + length), (first[whole] - reach, first[whole] + length)]
+        else:
+            first[whole] = p
+    return places[keep], hashes[keep], merge(spans)
+
+
 def common_prefix(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -268,16 +297,21 @@ def _spans_of(rows: list[tuple[int, bytes, int, int, bytes]], length: int, gram:
     return {"key": pa.array([rows[i][1] for i in got], pa.binary()), "start": place - greatest[got], "end": place - least[got] + length}
 
 
-def repeat_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cap: int = CAP, chunk: int = 40_000) -> DataFrame:
+def repeat_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cap: int = CAP, chunk: int = 25_000) -> DataFrame:
     """(key, start, end): overlapping pieces whose union is all that repeats. ``texts``: stored (key, text), keys distinct."""
     reach = length - gram
 
     def find(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            got = anchors([t.encode() for t in b["text"].to_pylist()], length, gram)
-            yield {"key": b["key"], "place": pa.array([p.tolist() for p, _ in got], pa.list_(pa.int64())), "hash": pa.array([h.view(np.int64).tolist() for _, h in got], pa.list_(pa.int64()))}
-
-    found = stored(map_batches(texts.select("key", "text"), "key binary, place array<long>, hash array<long>", find), "anchors")
+            raws = [t.encode() for t in b["text"].to_pylist()]
+            got = [within_text(raw, p, h, length, gram) for raw, (p, h) in zip(raws, anchors(raws, length, gram), strict=True)]
+            yield {
+                "key": b["key"], "place": pa.array([p.tolist() for p, _, _ in got], pa.list_(pa.int64())), "hash": pa.array([h.view(np.int64).tolist() for _, h, _ in got], pa.list_(pa.int64())),
+                "own": pa.array([[{"start": a, "end": z} for a, z in own] for _, _, own in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+            }
+
+    found = stored(map_batches(texts.select("key", "text"), "key binary, place array<long>, hash array<long>, own array<struct<start: bigint, end: bigint>>", find), "anchors")
+    own = found.filter(F.size("own") > 0).select("key", F.inline("own"))
     each = found.select("key", F.explode(F.arrays_zip("place", "hash")).alias("a")).select("key", F.col("a.place").alias("place"), F.col("a.hash").alias("hash"))
     repeated = stored(each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
     kept = each.join(repeated, "hash")
@@ -314,7 +348,7 @@ def repeat_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cap:
 
     small = texts.join(at(kept.filter(F.col("n") <= cap)).hint("shuffle_hash"), "key").select("key", "text", "at")
     rows = map_batches(small, "hash long, key binary, place long, before long, context binary", contexts)
-    spans = map_batches(rows.repartition("hash").sortWithinPartitions("hash"), "key binary, start long, end long", sort_groups)
+    spans = own.unionByName(map_batches(rows.repartition("hash").sortWithinPartitions("hash"), "key binary, start long, end long", sort_groups))
     if not repeated.filter(F.col("n") > cap).take(1):
         return spans
 
