@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import behaviour, detection
+from tidewatch.plans import behaviour, detection, response
 
-MODULES = [detection, behaviour]
+MODULES = [detection, behaviour, response]
 
 
 def queries() -> dict:
