@@ -52,10 +52,13 @@ def with_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
     )
 
 
-def likeness(a: str, b: str) -> Column:
-    """Of two columns made by ``with_fingerprint``."""
-    x, y = f"{a}_leaves", f"{b}_leaves"
-    dice = 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
+def leaf_set(text: str) -> Column:
+    return F.array_distinct(F.flatten(F.flatten(leaf_tree(F.col(text)))))
+
+
+def likeness(a: str, b: str, a_leaves: str, b_leaves: str) -> Column:
+    """Of the fingerprints of texts ``a`` and ``b``: 1 for equal texts, whose roots are equal, else the share of leaves."""
+    dice = 2.0 * F.size(F.array_intersect(a_leaves, b_leaves)) / (F.size(a_leaves) + F.size(b_leaves))
     return F.when(F.col(a) == F.col(b), 1.0).otherwise(dice)
 
 
@@ -108,13 +111,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint and that of its edited text: the second half replaced by the next document's start."""
     rows, order = with_next(docs)
-    own = with_fingerprint(rows.withColumn("next_text", F.lead("text").over(order)), "text", "fingerprint")
-    near = own.withColumn("next_fp", F.lead("fingerprint").over(order)).withColumn("next_fp_leaves", F.lead("fingerprint_leaves").over(order)).filter("last = 0")
+    near = rows.withColumn("next_text", F.lead("text").over(order)).filter("last = 0").select("doc_id", "text", "next_text")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = near.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    out = with_fingerprint(edited, "edited", "edited_fingerprint")
+    out = with_fingerprint(with_fingerprint(edited, "text", "fingerprint"), "edited", "edited_fingerprint").withColumn("next_leaves", leaf_set("next_text"))
     return out.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fp").alias("near_next"),
+        likeness("text", "edited", "fingerprint_leaves", "edited_fingerprint_leaves").alias("near_edited"),
+        likeness("text", "next_text", "fingerprint_leaves", "next_leaves").alias("near_next"),
     )
