@@ -141,7 +141,7 @@ SQL = {
     "verdict_memory": TELE + _MEMORY + "SELECT * FROM mm",
     "feedback_adjust": P.HOST + _MEMORY + """, fa AS (SELECT burst_id, adjustment, row_number() OVER (PARTITION BY burst_id ORDER BY CASE WHEN st.parent_image = mm.parent_image THEN 5 ELSE 3 END DESC, abs(adjustment) DESC, fingerprint DESC) AS o FROM st JOIN mm ON st.image = mm.image)
       SELECT burst_id, greatest(-20, least(15, coalesce(adjustment, 0))) AS adjustment FROM st LEFT JOIN (SELECT * FROM fa WHERE o = 1) USING (burst_id)""",
-    "sla_status": _INCIDENTS + f", sl AS (SELECT *, CASE priority WHEN 'P1' THEN 1 WHEN 'P2' THEN 4 WHEN 'P3' THEN 24 ELSE 72 END AS h FROM ip) SELECT computer, rule_id, created_t, confidence, hits, priority, created_t + h * 3600000000 AS deadline_t, CASE WHEN {AS_OF} > created_t + h * 3600000000 THEN 'breached' WHEN created_t + h * 3600000000 - {AS_OF} <= h * 900000000 THEN 'at risk' ELSE 'on track' END AS sla FROM sl",
+    "sla_status": _INCIDENTS + f", sl AS (SELECT *, CASE priority WHEN 'P1' THEN 1 WHEN 'P2' THEN 4 WHEN 'P3' THEN 24 ELSE 72 END::BIGINT AS h FROM ip) SELECT computer, rule_id, created_t, confidence, hits, priority, created_t + h * 3600000000 AS deadline_t, CASE WHEN {AS_OF} > created_t + h * 3600000000 THEN 'breached' WHEN created_t + h * 3600000000 - {AS_OF} <= h * 900000000 THEN 'at risk' ELSE 'on track' END AS sla FROM sl",
     "triage_queue": _INCIDENTS + "SELECT computer, rule_id, confidence, priority, hits FROM ip ORDER BY confidence DESC, created_t, computer, rule_id LIMIT 100",
     "transitions": TELE + f", {_ALLOWED}, q AS (SELECT event_uid, {_NAMES}[k % 7 + 1] AS current, {_NAMES}[(k // 7) % 7 + 1] AS requested FROM tele) SELECT current, requested, event_uid, c IS NOT NULL AS accepted, CASE WHEN c IS NOT NULL THEN '' WHEN starts_with(current, 'Closed') THEN 'terminal' ELSE 'not allowed' END AS reason FROM q LEFT JOIN al ON c = current AND r = requested",
     "incident_upsert": TELE + ", u AS (SELECT computer, image, event_id, t, value, row_number() OVER (PARTITION BY computer, image ORDER BY event_id DESC) AS o FROM tele) SELECT computer, image, event_id, t, value FROM u WHERE o = 1",
