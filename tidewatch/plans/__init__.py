@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import behaviour, detection, response
+from tidewatch.plans import behaviour, context, detection, response
 
-MODULES = [detection, behaviour, response]
+MODULES = [detection, behaviour, response, context]
 
 
 def queries() -> dict:
