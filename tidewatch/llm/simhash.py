@@ -126,7 +126,7 @@ def forest(values: np.ndarray, chains: list[tuple[int, int]], bits: int) -> tupl
     return np.array(left, int), np.array(right, int)
 
 
-def _group_links(groups: DataFrame, bits: int) -> DataFrame:
+def _group_links(groups: DataFrame, bits: int, reach: int) -> DataFrame:
     """(u, v) links inside groups (start, fps), as forests."""
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
@@ -135,7 +135,7 @@ def _group_links(groups: DataFrame, bits: int) -> DataFrame:
             flat, offsets = b["fps"].flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *b["fps"].value_lengths().to_pylist()])
             for k, start in enumerate(b["start"].to_pylist()):
                 values = np.sort(flat[offsets[k] : offsets[k + 1]])
-                left, right = forest(values.view(np.uint64), chain_masks(start, bits), bits)
+                left, right = forest(values.view(np.uint64), chain_masks(start, bits) if reach == bits else [], reach)
                 us.append(values[left])
                 vs.append(values[right])
             if us:
@@ -144,8 +144,14 @@ def _group_links(groups: DataFrame, bits: int) -> DataFrame:
     return map_batches(groups.select("start", "fps"), "u long, v long", work)
 
 
-def links(distinct: DataFrame, bits: int = 2, limit: int = 4096) -> DataFrame:
-    """(u, v) long pairs of a table of distinct fingerprints (fp) that connect all that link, and nothing else."""
+def links(distinct: DataFrame, bits: int = 2, limit: int = 4096, reach: int | None = None) -> DataFrame:
+    """(u, v) long pairs of a table of distinct fingerprints (fp) that connect all that link, and nothing else.
+
+    All pairs of at most ``bits`` differing bits are found. With a greater ``reach``, pairs of up to so many bits link as
+    well where they share a key; some of those are missed.
+    """
+    reach = max(bits, reach or bits)
+
     def level(rows: DataFrame, keys: list[tuple[int, list[int]]], above: list[str], depth: int) -> DataFrame:
         """Links of ``rows`` (fp, keys above) under each of ``keys``; groups over the limit go a level down.
 
@@ -158,7 +164,7 @@ def links(distinct: DataFrame, bits: int = 2, limit: int = 4096) -> DataFrame:
         last = max(len(free) for _, free in keys) <= 14
         fits = sizes if last else sizes.filter(F.col("n") <= limit)
         groups = spread.join(fits.drop("n"), names).groupBy(*names).agg(F.collect_list("fp").alias("fps"))
-        got = _group_links(groups.select(F.col("s0").alias("start"), "fps"), bits)
+        got = _group_links(groups.select(F.col("s0").alias("start"), "fps"), bits, reach)
         if not last and (over := sizes.filter(F.col("n") > limit)).take(1):
             rest = stored(spread.join(over.drop("n"), names), "ring-rest")
             for k, (_, free) in enumerate(keys):
@@ -168,10 +174,10 @@ def links(distinct: DataFrame, bits: int = 2, limit: int = 4096) -> DataFrame:
     return level(distinct.select("fp"), ring_keys(list(range(64)), bits), [], 0)
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, limit: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, bits: int = 2, limit: int = 4096, reach: int | None = None) -> DataFrame:
     """(doc_id, fp, component): the least doc_id that can be reached over links, for every row of ``docs``."""
     marked = stored(fingerprints(docs, size), "fingerprints")
-    group = components(links(stored(marked.select("fp").distinct(), "distinct"), bits, limit)).select(F.col("node").alias("fp"), "component")
+    group = components(links(stored(marked.select("fp").distinct(), "distinct"), bits, limit, reach)).select(F.col("node").alias("fp"), "component")
     named = marked.join(stored(group, "groups"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "class").select("doc_id", "fp", "component_id")
