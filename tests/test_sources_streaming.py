@@ -58,3 +58,21 @@ def test_live_equals_batch(spark, tmp_path):
     got = key(closed.select("computer", "image", F.unix_micros("start_time").alias("s"), "n"))
     want = key(B.bursts(batch, ["computer", "image"]).select("computer", "image", F.col("start_t").alias("s"), "n"))
     assert got <= want and len(want) - len(got) < 10
+
+
+def test_stateful_pairs_equal_a_window(spark, tmp_path):
+    from pyspark.sql.window import Window
+
+    batch, stream = streamed(spark, tmp_path)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        got = run(live.pair_sequences(stream, "powershell.exe", "cmd.exe"), tmp_path, "live_pairs").collect()
+    finally:
+        spark.conf.unset(key)
+    order = Window.partitionBy("computer").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    ms = F.floor(F.col("t") / 1000)
+    rows = batch.withColumn("last", F.last(F.when(F.col("image") == "powershell.exe", ms), ignorenulls=True).over(order))
+    want = rows.filter((F.col("image") == "cmd.exe") & (ms - F.col("last") <= 900_000)).select("computer", "event_uid", (ms - F.col("last")).alias("gap_ms")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
+    assert run(live.throughput(stream), tmp_path, "live_rate", "append").count() > 0
