@@ -76,3 +76,17 @@ def test_stateful_pairs_equal_a_window(spark, tmp_path):
     want = rows.filter((F.col("image") == "cmd.exe") & (ms - F.col("last") <= 900_000)).select("computer", "event_uid", (ms - F.col("last")).alias("gap_ms")).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
     assert run(live.throughput(stream), tmp_path, "live_rate", "append").count() > 0
+
+
+def test_rule_files(spark, tmp_path):
+    import json
+
+    from tidewatch.operators import rules as R
+    from tidewatch.sources.rule_files import load_rules
+
+    spec = {"rules": [{"rule_id": "X", "event_id": [1], "image_contains": "Power", "cmd_any": ["-ENC "], "confidence": 60, "extra": 1, "conditions": [{"field": "value", "operator": ">", "value": 5}]}]}
+    (tmp_path / "r.json").write_text(json.dumps(spec))
+    (rule,) = load_rules(str(tmp_path / "none.yaml"), str(tmp_path / "r.json"))
+    hits = R.match_rules(R.with_signals(telemetry(spark, DATA)), [rule])
+    want = telemetry(spark, DATA).filter("event_code = 1 and command_line like '%-enc %' and value > 5").count()
+    assert hits.count() == want > 0
