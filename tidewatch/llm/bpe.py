@@ -155,7 +155,8 @@ class UnitCache:
 
     A unit is a run between single blanks with its leading blank, or a line break with the run behind it. Pre-splitting
     never joins across the border of two such units, so their ids can be put together. Texts with other white space
-    between runs go to the encoder whole. The cache is emptied when full, so memory is bounded.
+    between runs go to the encoder whole. The cache takes no more
+    units when full, so memory is bounded.
     """
 
     def __init__(self, spans: Callable[[list[str]], list[bytes]], special: dict[str, int], cuts: regex.Pattern | None, limit: int = 500_000) -> None:
@@ -178,29 +179,29 @@ class UnitCache:
             return self.spans([text])[0]
         units = self.units
         try:
-            return self.spans([first])[0] + b"".join(map(units.__getitem__, rest))
-        except KeyError:
-            self.learn(rest)
-        except TypeError:
-            return self.spans([text])[0]
-        try:
-            return self.spans([first])[0] + b"".join(map(units.__getitem__, rest))
+            try:
+                return self.spans([first])[0] + b"".join(map(units.__getitem__, rest))
+            except KeyError:
+                new = self.learn(first, rest)
+            return new[None] + b"".join([new[u] if u in new else units[u] for u in rest])
         except TypeError:
             return self.spans([text])[0]
 
-    def learn(self, rest: list[str]) -> None:
-        if len(self.units) > self.limit:
-            self.units.clear()
-        new, full = [], []
-        for u in set(rest):
-            if u not in self.units:
-                body = u[1:] if u[:1] == "\n" else u
-                if not body or body[0].isspace() or body[-1].isspace():
-                    self.units[u] = None
-                else:
-                    new.append(u)
-                    full.append(u if u[0] == "\n" else " " + u)
-        self.units.update(zip(new, self.spans(full), strict=True))
+    def learn(self, first: str, rest: list[str]) -> dict[str | None, bytes | None]:
+        """The ids of the units not in the cache, kept while there is room; those of the first run are at None."""
+        out: dict[str | None, bytes | None] = {}
+        new, full = [None], [first]
+        for u in set(rest).difference(self.units):
+            body = u[1:] if u[:1] == "\n" else u
+            if not body or body[0].isspace() or body[-1].isspace():
+                out[u] = None
+            else:
+                new.append(u)
+                full.append(u if u[0] == "\n" else " " + u)
+        out.update(zip(new, self.spans(full), strict=True))
+        if len(self.units) < self.limit:
+            self.units.update((u, ids) for u, ids in out.items() if u is not None)
+        return out
 
 
 @lru_cache(1)

@@ -27,7 +27,7 @@ from tidewatch.llm.bpe import UnitCache, read_vocabulary
 from tidewatch.llm.common import map_batches, plain, stored
 
 CAPACITY = 2048
-SALTS = 64
+SALTS = 16
 #: (length, first rank, pieces a sequence, sequences, first sequence, offset)
 Placement = tuple[int, int, int, int, int, int]
 
