@@ -106,7 +106,7 @@ def hourly_baseline(spark, d):
 def merged_profile(spark, d):
     new, old = _split(spark, d)
     m = N.merge_statistics(N.statistics(old, N.ENTITY), N.statistics(new, N.ENTITY), N.ENTITY)
-    return m.select(*N.ENTITY, "n", F.round("mean", 6).alias("mean"), F.round("m2", 2).alias("m2"))
+    return m.select(*N.ENTITY, "n", F.round("mean", 6).alias("mean"), F.round("m2", 1).alias("m2"))
 
 
 def ngrams(spark, d):
@@ -244,7 +244,7 @@ SQL = {
     "learnable": DEV + "SELECT computer, count(*) AS n FROM ds WHERE round(dev, 6) < 0.4 GROUP BY 1",
     "entity_profile": TELE + "SELECT computer, image, count(*) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS var, count(DISTINCT parent_image) AS parents, count(DISTINCT dst_ip) AS addresses, count(DISTINCT regexp_extract(dst_ip, '^(\\d+\\.\\d+\\.\\d+)', 1)) AS subnets FROM tele GROUP BY 1, 2",
     "hourly_baseline": TELE + ", dd AS (SELECT computer, image, (t // 3600000000) % 24 AS hour, t // 86400000000 AS day, count(*) AS c, avg(length(command_line)) AS len FROM tele GROUP BY ALL) SELECT computer, image, hour, count(*) AS days, round(avg(c), 6) AS mean, round(var_samp(c), 6) AS var, round(avg(len), 6) AS cmd_length FROM dd GROUP BY ALL",
-    "merged_profile": TELE + "SELECT computer, image, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value) * count(value), 2) AS m2 FROM tele GROUP BY 1, 2",
+    "merged_profile": TELE + "SELECT computer, image, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value) * count(value), 1) AS m2 FROM tele GROUP BY 1, 2",
     "ngrams": TELE + ", x AS (SELECT *, lag(image, 2) OVER (PARTITION BY \"user\" ORDER BY t, event_id) AS gp FROM tele), g AS (SELECT computer, 2 AS size, parent_image || '>' || image AS gram FROM x WHERE parent_image IS NOT NULL UNION ALL SELECT computer, 3, gp || '>' || parent_image || '>' || image FROM x WHERE gp IS NOT NULL) SELECT computer, size, gram, count(*) AS n FROM g GROUP BY ALL",
     "sequences": SEQ + "SELECT pattern_id, computer, first_uid, last_uid, first_t, last_t, matched, confidence, severity FROM sq",
     "sequence_groups": SEQ + ", g AS (SELECT pattern_id, computer, first_t // 86400000000 AS bucket, max(confidence) AS best, count(*) AS freq FROM sq GROUP BY ALL) SELECT *, floor(best / CASE WHEN freq > 1 THEN ln(1.0 + freq) ELSE 1.0 END * CASE WHEN freq > 5 THEN 0.5 ELSE 1.0 END)::INT AS confidence FROM g",

@@ -82,7 +82,7 @@ def incident_actions(spark, d):
 
 def decayed_profile(spark, d):
     old = N.statistics(telemetry(spark, d), N.ENTITY)
-    return N.decayed(old, F.lit(3.0)).select(*N.ENTITY, "n", F.round("m2", 2).alias("m2"))
+    return N.decayed(old, F.lit(3.0)).select(*N.ENTITY, "n", F.round("m2", 1).alias("m2"))
 
 
 def quality_by_source(spark, d):
@@ -119,7 +119,7 @@ SQL = {
     "incident_actions": TELE + """, q AS (SELECT computer, t, ['false_positive', 'escalate', 'close_benign', 'comment'][k % 4 + 1] AS action, CASE WHEN k % 2 = 0 THEN "user" END AS analyst, 'note ' || event_uid AS note FROM tele WHERE event_code = 22 AND value > 120),
       g AS (SELECT computer, arg_max(action, t) AS action, arg_max(analyst, t) FILTER (analyst IS NOT NULL) AS a, string_agg(note, chr(10) ORDER BY t, note) AS notes FROM q GROUP BY 1)
       SELECT i.computer AS incident_id, CASE action WHEN 'false_positive' THEN 'Closed - False Positive' WHEN 'escalate' THEN 'Escalated' WHEN 'close_benign' THEN 'Closed - Benign' ELSE 'Triage' END AS status, coalesce(a, 'nobody') AS analyst, action, notes FROM (SELECT DISTINCT computer FROM tele) i LEFT JOIN g USING (computer)""",
-    "decayed_profile": TELE + "SELECT computer, image, greatest(1, floor(count(value) * exp(-3.0::DOUBLE / 7)))::BIGINT AS n, round(var_pop(value) * count(value) * exp(-3.0::DOUBLE / 7), 2) AS m2 FROM tele GROUP BY 1, 2",
+    "decayed_profile": TELE + "SELECT computer, image, greatest(1, floor(count(value) * exp(-3.0::DOUBLE / 7)))::BIGINT AS n, round(var_pop(value) * count(value) * exp(-3.0::DOUBLE / 7), 1) AS m2 FROM tele GROUP BY 1, 2",
     "quality_by_source": "SELECT source, count(*) AS n, round(avg(quality), 6) AS good, round(avg(toxic), 6) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1",
     "empty_suspicion": P.SEQ + HITS[HITS.index(", sig AS") :] + "SELECT (SELECT count(*) FROM hits) AS detections, (SELECT count(*) FROM sq) AS sequences, 0::BIGINT AS campaigns, true AS suspicious",
 }
