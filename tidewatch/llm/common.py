@@ -64,13 +64,17 @@ def _ship(app: str) -> None:
     spark.sparkContext.addPyFile(str(target))
 
 
-def map_batches(df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
-    """``mapInArrow`` over column lists: ``work`` gets and yields dicts of equal-length columns."""
+def map_batches(df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Iterator[dict]], rows: int = 1000) -> DataFrame:
+    """``mapInArrow`` over columns: ``work`` gets dicts of columns, of ``rows`` rows at most, and yields such dicts.
+
+    Python holds the objects of one such part at a time.
+    """
     arrow = _arrow_schema(schema)
     _ship(df.sparkSession.sparkContext.applicationId)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = (dict(zip(b.schema.names, b.columns, strict=True)) for b in batches if b.num_rows)
+        cut = (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+        parts = (dict(zip(b.schema.names, b.columns, strict=True)) for b in cut)
         for out in work(parts):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name] for f in arrow], schema=arrow)
 
