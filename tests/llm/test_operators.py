@@ -422,6 +422,20 @@ def test_links_equal_brute_force(spark, bits, limit):
     assert {x: got.get(x, x) for x in fps.tolist()} == brute_classes(fps, bits)
 
 
+def test_simhash_reach_in_over_full_groups(spark):
+    rng = np.random.default_rng(5)
+    open_places = simhash.ring_keys(list(range(64)), 4)[0][1]
+    fps, wanted = [], set()
+    for _ in range(150):
+        one = sum(1 << p for p in open_places if rng.integers(2))
+        two = one ^ sum(1 << int(p) for p in rng.choice(open_places, 8, replace=False))
+        fps += [one, two]
+        wanted.add(tuple(sorted(np.array([one, two], np.uint64).view(np.int64).tolist())))
+    df = spark.createDataFrame([(x,) for x in np.array(fps, np.uint64).view(np.int64).tolist()], "fp long")
+    small, large = ({tuple(sorted((r["u"], r["v"]))) for r in simhash.links(df, 4, limit, 8).distinct().collect()} for limit in (16, 4096))
+    assert wanted <= large and small == large
+
+
 def test_simhash_rows(spark, odd, empty):
     import xxhash
 

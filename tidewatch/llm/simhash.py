@@ -8,7 +8,8 @@ key (26 bits for 2 differing bits); longer chains then prune candidates before t
 Only distinct fingerprints are linked, and inside a key's group a task emits a spanning forest of the links it finds,
 never all pairs. Groups over ``limit`` are never gathered: their members get finer keys, by the same ring argument on
 the bits the key leaves open, until those bits are so few that a group is small by arithmetic. A pair that links there
-agrees with itself on every level, so no link is lost.
+agrees with itself on every level, so no link is lost. With a reach beyond ``bits`` finer keys would lose
+links, so there the group is cut into blocks, and every two blocks are compared in a task of their own.
 
 Defined results: a null text is the empty text and has fingerprint zero; texts without words likewise, and zero links
 like any other; fewer words than a shingle are one shingle; null ids get a fingerprint and a component too, but never
@@ -144,11 +145,23 @@ def _group_links(groups: DataFrame, bits: int, reach: int) -> DataFrame:
     return map_batches(groups.select("start", "fps"), "u long, v long", work)
 
 
+def _block_pairs(rows: DataFrame, names: list[str], limit: int) -> DataFrame:
+    """(start, fps) for every two blocks of each group in ``rows`` (fp, names, group size n over the limit).
+
+    Blocks are dealt by a hash and hold about ``limit`` fingerprints; any two fingerprints of a group meet.
+    """
+    blocks = F.ceil(F.col("n") / limit)
+    mine = rows.select("fp", *names, blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("mine"))
+    other = mine.select("fp", *names, "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")).filter("mine <> other")
+    pairs = other.groupBy(*names, F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+    return pairs.agg(F.collect_list("fp").alias("fps")).select(F.col("s0").alias("start"), "fps")
+
+
 def links(distinct: DataFrame, bits: int = 2, limit: int = 4096, reach: int | None = None) -> DataFrame:
     """(u, v) long pairs of a table of distinct fingerprints (fp) that connect all that link, and nothing else.
 
     All pairs of at most ``bits`` differing bits are found. With a greater ``reach``, pairs of up to so many bits link as
-    well where they share a key; some of those are missed.
+    well where they share a key of the first ring, whatever the size of its group; those that share none are missed.
     """
     reach = max(bits, reach or bits)
 
@@ -166,6 +179,8 @@ def links(distinct: DataFrame, bits: int = 2, limit: int = 4096, reach: int | No
         groups = spread.join(fits.drop("n"), names).groupBy(*names).agg(F.collect_list("fp").alias("fps"))
         got = _group_links(groups.select(F.col("s0").alias("start"), "fps"), bits, reach)
         if not last and (over := sizes.filter(F.col("n") > limit)).take(1):
+            if reach > bits:
+                return got.union(_group_links(_block_pairs(spread.join(over, names), names, limit), bits, reach))
             rest = stored(spread.join(over.drop("n"), names), "ring-rest")
             for k, (_, free) in enumerate(keys):
                 got = got.union(level(rest.filter(F.col(names[-2]) == k), ring_keys(free, bits), names, depth + 1))
