@@ -17,6 +17,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.3
 #: Words of a shingle; differing bits up to which links are all found, and up to which those found count.
 SHINGLE, BITS, REACH = 5, 4, 8
+#: A passage that repeats is cut if it has more words than this; so many words and one more have at least PASSAGE bytes.
+WORDS = 50
+PASSAGE, GRAM = 2 * WORDS + 1, 32
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every passage that repeats; documents of which nothing is left go."""
-    cut = suffix.remove_repeats(docs, keep=["doc_id", "lang", "source"], with_text=True)
+    """Cut every passage of over WORDS words that repeats; documents of which nothing is left go."""
+    cut = suffix.remove_repeats(docs, PASSAGE, GRAM, keep=["doc_id", "lang", "source"], with_text=True, words=WORDS)
     left = cut.filter((F.size("spans") == 0) | (F.length("kept_text") > 0))
     return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 

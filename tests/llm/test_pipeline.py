@@ -36,3 +36,14 @@ def test_stages(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"]) for r in cut.values())
     assert set(ids("packing")) == clean
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_passages_of_short_words(spark):
+    rng = random.Random(3)
+    passage, short = " ".join(rng.choice("abcdefghij") for _ in range(51)), prose(8, 30)
+    rows = [(k, f"{prose(60 + k, 40)} {p} {prose(80 + k, 40)}", "en", "s", None) for k, p in enumerate([passage, passage, short, short])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_dedup(spark, docs, "").collect()}
+    assert len(passage) == 101 and len(short) > 101
+    assert all(passage not in got[k] and len(got[k]) <= len(rows[k][1]) - 101 for k in (0, 1))
+    assert all(got[k] == rows[k][1] for k in (2, 3))

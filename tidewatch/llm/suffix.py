@@ -388,10 +388,11 @@ def _distinct_texts(rows: DataFrame, length: int) -> DataFrame:
     return spark.table(name)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cap: int = CAP, keep: list[str] | None = None, text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cap: int = CAP, keep: list[str] | None = None, text_col: str = "text", with_text: bool = False, words: int = 0) -> DataFrame:
     """``keep`` columns, n_bytes, spans (array of start, end), kept_sha256 of every row; with_text: kept_text as well.
 
     ``kept_text`` leaves out the broken characters that a cut inside a character may leave.
+    With ``words``, a stretch that repeats goes only if it holds more than so many words or ``LENGTH`` bytes.
     """
     keep = keep or ["doc_id"]
     text = plain(text_col)
@@ -410,6 +411,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cap:
                     continue
                 raw = value.encode()
                 gone = [(0, len(raw))] if copies > 1 else merge([(p["start"], p["end"]) for p in pieces])
+                if words:
+                    gone = [(a, z) for a, z in gone if z - a >= LENGTH or len(raw[a:z].decode("utf-8", "ignore").split()) > words]
+                if not gone:
+                    continue
                 edges = [0, *(x for g in gone for x in g), len(raw)]
                 left = b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
                 out["key"].append(key)
