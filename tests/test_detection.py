@@ -113,6 +113,15 @@ def test_expressions(spark):
     assert str(times[0]["t"]) == "2024-01-02 03:04:05.123456" and times[1]["t"] is None and times[2]["t"] is None
 
 
+def test_signals_read_whole_texts(spark):
+    from tidewatch.operators import rules as R
+
+    texts = ["a" * 4096 + "b" * 4096, "- " * 3000 + "QUJD" * 50_000]
+    df = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "k int, event_code int, command_line string")
+    got = {r["k"]: r for r in R.with_signals(df).collect()}
+    assert got[0]["entropy"] == 1.0 and got[1]["b64_detected"]
+
+
 def test_merged_statistics_equal_the_whole(spark):
     from tidewatch.operators import baseline as N
 

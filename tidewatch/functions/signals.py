@@ -46,9 +46,9 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def entropy(text: Column, most: int = 4096) -> Column:
-    """Shannon entropy in bits of the first ``most`` characters (an input limit of the measure itself), to 3 digits."""
-    chars = F.array_sort(F.filter(F.split(F.substring(text, 1, most), ""), lambda c: c != ""))
+def entropy(text: Column) -> Column:
+    """Shannon entropy in bits of all characters, to 3 digits."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
 
     def bits(c: Column) -> Column:
         # Sorted characters come in runs, which begin where a character differs from the one before.
@@ -59,8 +59,8 @@ def entropy(text: Column, most: int = 4096) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).otherwise(F.bround(let(chars, bits), 3))
 
 
-def high_entropy(text: Column, bits: Column, most: int = 4096) -> Column:
-    n = F.least(F.length(text), F.lit(most))
+def high_entropy(text: Column, bits: Column) -> Column:
+    n = F.length(text)
     return F.coalesce((n >= 20) & (bits > 4.5 + F.least(F.lit(1.5), n / 500)), F.lit(False))
 
 

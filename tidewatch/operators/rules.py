@@ -90,7 +90,7 @@ def boosted(confidence: Column) -> Column:
 def with_signals(events: DataFrame) -> DataFrame:
     cmd = F.col("command_line")
     return events.withColumn("severity", S.severity(F.col("event_code"))).withColumn("entropy", S.entropy(cmd)).withColumns({
-        "is_high_entropy": S.high_entropy(cmd, F.col("entropy")), "b64_detected": F.coalesce(F.substring(cmd, 1, 4096).rlike(K.BASE64_RUN), F.lit(False)), "has_encoded_flag": S.encoded_flag(cmd),
+        "is_high_entropy": S.high_entropy(cmd, F.col("entropy")), "b64_detected": F.coalesce(cmd.rlike(K.BASE64_RUN), F.lit(False)), "has_encoded_flag": S.encoded_flag(cmd),
     })
 
 
