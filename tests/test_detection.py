@@ -122,6 +122,16 @@ def test_signals_read_whole_texts(spark):
     assert got[0]["entropy"] == 1.0 and got[1]["b64_detected"]
 
 
+def test_queries_take_real_campaigns_and_all_hits(spark):
+    from tidewatch import plans
+
+    data, q = "/root/testdata/sf0.001", plans.queries()
+    got = q["empty_suspicion"](spark, data).collect()[0]
+    assert got["campaigns"] == q["campaigns"](spark, data).count() > 0 and not got["suspicious"]
+    caught = {r["event_uid"] for r in q["rule_hits"](spark, data).collect()}
+    assert not caught & {r["event_uid"] for r in q["rule_fallback"](spark, data).collect()}
+
+
 def test_merged_statistics_equal_the_whole(spark):
     from tidewatch.operators import baseline as N
 

@@ -92,7 +92,7 @@ def quality_by_source(spark, d):
 
 
 def empty_suspicion(spark, d):
-    return X.empty_suspicion(hits(spark, d), P.sequences(spark, d), P.sequences(spark, d).filter("confidence > 1000"))
+    return X.empty_suspicion(hits(spark, d), P.sequences(spark, d), P.campaigns(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (

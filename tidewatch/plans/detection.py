@@ -68,8 +68,7 @@ def rule_summary(spark, d):
 
 def rule_fallback(spark, d):
     events = R.with_signals(telemetry(spark, d))
-    only_dropped = R.match_rules(events, [r for r in R.RULES if r.rule_id == "DET-031"])
-    return R.registry_fallback(events, only_dropped).select("event_uid", "rule_id", "mitre_id", "confidence_score", "rule_severity")
+    return R.registry_fallback(events, R.match_rules(events)).select("event_uid", "rule_id", "mitre_id", "confidence_score", "rule_severity")
 
 
 def primary_detection(spark, d):
