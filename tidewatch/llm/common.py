@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +14,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +32,31 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where the setting is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets one of its own (tests); a cluster gets an error, since no executor could read
+    back what another one wrote to a folder of its machine.
+    """
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told:
+        return told
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
+
+
+#: Paths of the tables made by ``stored``, in order, and what deletes each.
+_made: dict[str, Callable[[], None]] = {}
+
+
+def delete_path(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def remember(name: str, drop: Callable[[], None]) -> None:
+    """Drop a stored table at the end of the program, also after a failure, if nobody has dropped it before."""
+    _made[name] = drop
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -40,16 +66,52 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    remember(path, lambda: delete_path(spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_tables() -> set[str]:
+    return set(_made)
+
+
+def drop_stored(keep: set[str] = frozenset()) -> None:
+    """Delete the tables stored so far, but for those to keep. Results that still read them are lost."""
+    for name in [n for n in _made if n not in keep]:
+        _made.pop(name)()
+
+
+@atexit.register
+def _drop_all() -> None:
+    for drop in list(_made.values()):
+        try:
+            drop()
+        except Exception:  # noqa: BLE001  the session may be gone
+            continue
+    _made.clear()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``stored`` once nothing reads it any more."""
-    spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        found = next((n for n in _made if n.rsplit("/", 1)[-1] == name.rsplit("/", 1)[-1]), None)
+        if found:
+            _made.pop(found)()
+
+
+def with_group(rows: DataFrame, names: list[str], values: dict[str, tuple[Column, Callable[[str], Column]]], spread: list[str]) -> DataFrame:
+    """Add to each row aggregates over its group, without bringing a hot group into one task.
+
+    ``values``: name to (aggregate of a part, how to combine the parts). A group is dealt by a hash of ``spread`` into as many
+    parts as there are shuffle partitions; the parts' aggregates are combined over their group (one row a part), and each
+    part's rows meet the outcome by (group, part). ``rows`` is read twice.
+    """
+    salts = max(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    parts = dealt.groupBy(*names, "__part").agg(*[part.alias(k) for k, (part, _) in values.items()])
+    group = Window.partitionBy(*names)
+    whole = parts.select(*names, "__part", *[combine(k).over(group).alias(k) for k, (_, combine) in values.items()])
+    return dealt.join(whole, [*names, "__part"]).drop("__part")
 
 
 @cache
@@ -75,12 +137,24 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
         parts = (dict(zip(b.schema.names, b.columns, strict=True)) for b in cut)
+        out = None
         for out in work(parts):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if not isinstance(out[f.name], pa.Array) else out[f.name] for f in arrow], schema=arrow)
+        del out, cut, parts
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker outlives its task and would hold it while others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
