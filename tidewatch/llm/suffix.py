@@ -9,17 +9,24 @@ tie). Adjacent common prefixes then tell, for each number o of bytes taken to th
 
 Texts are compared once for each distinct text: copies of a text of ``length`` bytes or more are covered whole. What
 repeats within a text with the same bytes all around is covered there, and one occurrence goes on. Anchors
-with more than ``cap`` occurrences are never gathered: every window over them becomes a row keyed by its own digest, and
-a count over keys, which partial aggregation spreads, takes the place of the sort.
+with more than ``many`` occurrences are first collapsed: occurrences with the same bytes all around repeat each other, so they
+are covered, and one of them goes on. Where more than ``cap`` different ones remain, they are never gathered: every window over
+them becomes a row keyed by its own digest, and a count over keys takes the place of the sort. Both counts deal hot keys
+into parts.
+
+The unit is a byte or, with ``words``, a word: then a text is the row of its words' 32-bit checksums, strings are runs of
+words, and white space doesn't matter.
 
 Defined results: a null text is the empty text; shorter texts lose nothing; repeated rows are copies of each other; an
-empty table gives no rows.
+empty table gives no rows; a text may have any length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import map_batches, plain, shared_folder, stored
+from tidewatch.llm.common import delete_path, map_batches, plain, remember, shared_folder, stored, with_group
 
-LENGTH, GRAM, CAP = 400, 64, 30_000
+LENGTH, GRAM, MANY, CAP = 400, 64, 4000, 30_000
+#: Words of a gram, and bytes of a word's checksum.
+GRAM_WORDS, SYMBOL = 16, 4
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 CHUNK = 1 << 19
 SHALLOW = 12  # symbols of eight bytes
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -78,7 +88,17 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(down[:n], up[width - 1 : width - 1 + n])
 
 
-def anchors(raws: list[bytes], length: int, gram: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def word_symbols(text: str) -> bytes:
+    """Four bytes for each word."""
+    return np.fromiter(map(zlib.crc32, text.encode().split()), ">u4").tobytes()
+
+
+def word_places(raw: bytes) -> list[int]:
+    """Where each word starts, and the end of the text."""
+    return [*(m.start() for m in WORD.finditer(raw)), len(raw)]
+
+
+def anchors(raws: list[bytes], length: int, gram: int, step: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text the places and hashes of its anchors. Texts are read in chunks, so memory is bounded."""
     found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in raws]
     parts: list[tuple[int, int, bytes]] = []
@@ -86,10 +106,10 @@ def anchors(raws: list[bytes], length: int, gram: int) -> list[tuple[np.ndarray,
     def flush() -> None:
         b = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
         if len(b) >= length:
-            h = gram_hashes(b, gram)
+            h = gram_hashes(b, gram)[::step]
             low = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
             flag = np.zeros(len(b), bool)
-            flag[(window_minima(low, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+            flag[(window_minima(low, (length - gram) // step + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64) * step] = True
             places = np.flatnonzero(flag)
             ends = np.cumsum([len(p) for _, _, p in parts])
             part = np.searchsorted(ends, places, "right")
@@ -99,7 +119,7 @@ def anchors(raws: list[bytes], length: int, gram: int) -> list[tuple[np.ndarray,
             for k, (i, offset, p) in enumerate(parts):
                 mine = places[cut[k] : cut[k + 1]]
                 if len(mine) and len(p) >= length:
-                    found[i].append((mine - (ends[k] - len(p)) + offset, h[mine]))
+                    found[i].append((mine - (ends[k] - len(p)) + offset, h[mine // step]))
         parts.clear()
 
     held = 0
@@ -107,7 +127,7 @@ def anchors(raws: list[bytes], length: int, gram: int) -> list[tuple[np.ndarray,
         if len(raw) < length:
             continue
         for at in range(0, max(1, len(raw) - length + 1), CHUNK):
-            piece = raw[at : at + CHUNK + length - 1]
+            piece = raw[at : at + CHUNK + length - step]
             if held + len(piece) > CHUNK + length:
                 flush()
                 held = 0
@@ -247,7 +267,7 @@ def deep_shallow(rows: np.ndarray, sizes: np.ndarray, group: np.ndarray, shallow
     return order, common
 
 
-def covered(group: np.ndarray, left: np.ndarray, left_size: np.ndarray, right: np.ndarray, right_size: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def covered(group: np.ndarray, left: np.ndarray, left_size: np.ndarray, right: np.ndarray, right_size: np.ndarray, length: int, gram: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """For each occurrence the least and the greatest o for which [-o, length - o) is repeated in its group; -1: none."""
     n = len(group)
     least, greatest = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
@@ -264,7 +284,7 @@ def covered(group: np.ndarray, left: np.ndarray, left_size: np.ndarray, right: n
         return least, greatest
     r_class, l_class = np.empty(n, np.int64), np.empty(n, np.int64)
     hopeful = np.flatnonzero(hope)
-    for o in range(length - gram + 1):
+    for o in range(0, length - gram + 1, step):
         r_class[r_order] = np.cumsum(r_common < length - o)
         l_class[l_order] = np.cumsum(l_common < o)
         key = l_class[hopeful] * (n + 1) + r_class[hopeful]
@@ -285,53 +305,59 @@ def _matrix(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.array([len(p) for p in parts])
 
 
-def _spans_of(rows: list[tuple[int, bytes, int, int, bytes]], length: int, gram: int) -> dict:
+def _spans_of(rows: list[tuple[int, bytes, int, int, bytes]], length: int, gram: int, step: int) -> dict:
     """Rows (hash, text key, place, bytes to the left, context) of whole groups to (key, start, end) columns."""
     reach = length - gram
     _, group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
     left, left_size = _matrix([r[4][: r[3]][::-1] for r in rows], reach)
     right, right_size = _matrix([r[4][r[3] :] for r in rows], length)
-    least, greatest = covered(group, left, left_size, right, right_size, length, gram)
+    least, greatest = covered(group, left, left_size, right, right_size, length, gram, step)
     got = np.flatnonzero(greatest >= 0)
     place = np.array([r[2] for r in rows], np.int64)[got]
     return {"key": pa.array([rows[i][1] for i in got], pa.binary()), "start": place - greatest[got], "end": place - least[got] + length}
 
 
-def repeat_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cap: int = CAP, chunk: int = 25_000) -> DataFrame:
-    """(key, start, end): overlapping pieces whose union is all that repeats. ``texts``: stored (key, text), keys distinct."""
-    reach = length - gram
+def repeat_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cap: int = CAP, many: int = MANY, chunk: int = 25_000, words: bool = False) -> DataFrame:
+    """(key, start, end): overlapping pieces whose union is all that repeats. ``texts``: stored (key, text), keys distinct.
+
+    With ``words``, length, gram, start and end count bytes of ``word_symbols``.
+    """
+    reach, step = length - gram, SYMBOL if words else 1
+    read = word_symbols if words else str.encode
+    span = "array<struct<start: bigint, end: bigint>>"
 
     def find(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            raws = [t.encode() for t in b["text"].to_pylist()]
-            got = [within_text(raw, p, h, length, gram) for raw, (p, h) in zip(raws, anchors(raws, length, gram), strict=True)]
+            raws = [read(t) for t in b["text"].to_pylist()]
+            got = [within_text(raw, p, h, length, gram) for raw, (p, h) in zip(raws, anchors(raws, length, gram, step), strict=True)]
             yield {
                 "key": b["key"], "place": pa.array([p.tolist() for p, _, _ in got], pa.list_(pa.int64())), "hash": pa.array([h.view(np.int64).tolist() for _, h, _ in got], pa.list_(pa.int64())),
                 "own": pa.array([[{"start": a, "end": z} for a, z in own] for _, _, own in got], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             }
 
-    found = stored(map_batches(texts.select("key", "text"), "key binary, place array<long>, hash array<long>, own array<struct<start: bigint, end: bigint>>", find), "anchors")
+    found = stored(map_batches(texts.select("key", "text"), f"key binary, place array<long>, hash array<long>, own {span}", find), "anchors")
     own = found.filter(F.size("own") > 0).select("key", F.inline("own"))
     each = found.select("key", F.explode(F.arrays_zip("place", "hash")).alias("a")).select("key", F.col("a.place").alias("place"), F.col("a.hash").alias("hash"))
     repeated = stored(each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
     kept = each.join(repeated, "hash")
 
     def at(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key").agg(F.collect_list(F.struct("place", "hash")).alias("at"))
+        """``texts`` with the places asked for."""
+        return texts.join(rows.groupBy("key").agg(F.collect_list(F.struct("place", "hash")).alias("at")).hint("shuffle_hash"), "key").select("key", "text", "at")
 
     def contexts(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             out: dict[str, list] = {"hash": [], "key": [], "place": [], "before": [], "context": []}
             for key, text, places in zip(b["key"].to_pylist(), b["text"].to_pylist(), b["at"].to_pylist(), strict=True):
-                raw = text.encode()
+                raw = read(text)
                 for x in places:
                     p = x["place"]
                     low = max(0, p - reach)
                     for k, v in zip(out, (x["hash"], key, p, p - low, raw[low : p + length]), strict=True):
                         out[k].append(v)
-                if len(out["hash"]) > 5000:
-                    yield out
-                    out = {k: [] for k in out}
+                    if len(out["hash"]) > 5000:
+                        yield out
+                        out = {k: [] for k in out}
             yield out
 
     def sort_groups(batches: Iterator[dict]) -> Iterator[dict]:
@@ -341,28 +367,45 @@ def repeat_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, cap:
             if len(held) >= chunk:
                 last = next((i for i in range(len(held) - 1, 0, -1) if held[i][0] != held[i - 1][0]), 0)
                 if last:
-                    yield _spans_of(held[:last], length, gram)
+                    yield _spans_of(held[:last], length, gram, step)
                     held = held[last:]
         if held:
-            yield _spans_of(held, length, gram)
+            yield _spans_of(held, length, gram, step)
+
+    def sorted_spans(places: DataFrame) -> DataFrame:
+        rows = map_batches(at(places), "hash long, key binary, place long, before long, context binary", contexts)
+        return map_batches(rows.repartition("hash").sortWithinPartitions("hash"), "key binary, start long, end long", sort_groups)
+
+    spans = own.unionByName(sorted_spans(kept.filter(F.col("n") <= many)))
+    if not repeated.filter(F.col("n") > many).take(1):
+        return spans
 
-    small = texts.join(at(kept.filter(F.col("n") <= cap)).hint("shuffle_hash"), "key").select("key", "text", "at")
-    rows = map_batches(small, "hash long, key binary, place long, before long, context binary", contexts)
-    spans = own.unionByName(map_batches(rows.repartition("hash").sortWithinPartitions("hash"), "key binary, start long, end long", sort_groups))
-    if not repeated.filter(F.col("n") > cap).take(1):
+    def digests(batches: Iterator[dict]) -> Iterator[dict]:
+        for c in contexts(batches):
+            parts = zip(c["hash"], c["before"], c["context"], strict=True)
+            yield {"hash": c["hash"], "key": c["key"], "place": c["place"], "low": [p - b for p, b in zip(c["place"], c["before"], strict=True)], "size": [len(x) for x in c["context"]], "around": [hashlib.blake2b(x, digest_size=16, salt=h.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little")).digest() for h, b, x in parts]}
+
+    occurrences = stored(map_batches(at(kept.filter(F.col("n") > many)), "hash long, key binary, place long, low long, size long, around binary", digests), "occurrences")
+    who = F.struct("key", "place")
+    seen = stored(with_group(occurrences, ["around"], {"copies": (F.count("*"), F.sum), "first": (F.min(who), F.min)}, ["key", "place"]), "collapsed")
+    spans = spans.union(seen.filter((F.col("copies") > 1) & (F.col("size") >= length)).select("key", F.col("low").alias("start"), (F.col("low") + F.col("size")).alias("end")))
+    left = stored(with_group(seen.filter(F.col("first") == who).select("key", "place", "hash"), ["hash"], {"n": (F.count("*"), F.sum)}, ["key", "place"]), "distinct-contexts")
+    spans = spans.union(sorted_spans(left.filter(F.col("n").between(2, cap))))
+    if not left.filter(F.col("n") > cap).take(1):
         return spans
 
     def all_windows(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             for key, text, places in zip(b["key"].to_pylist(), b["text"].to_pylist(), b["at"].to_pylist(), strict=True):
-                raw = text.encode()
-                starts = sorted({s for x in places for s in range(max(0, x["place"] - reach), min(x["place"], len(raw) - length) + 1)})
-                yield {"window": pa.array([hashlib.blake2b(raw[s : s + length], digest_size=16).digest() for s in starts], pa.binary()), "key": pa.array([key] * len(starts), pa.binary()), "start": starts}
+                raw = read(text)
+                starts = sorted({s for x in places for s in range(max(0, x["place"] - reach), min(x["place"], len(raw) - length) + 1, step)})
+                for k in range(0, len(starts), 20_000):
+                    part = starts[k : k + 20_000]
+                    yield {"window": pa.array([hashlib.blake2b(raw[s : s + length], digest_size=16).digest() for s in part], pa.binary()), "key": pa.array([key] * len(part), pa.binary()), "start": part}
 
-    large = texts.join(at(kept.filter(F.col("n") > cap)).hint("shuffle_hash"), "key").select("key", "text", "at")
-    every = stored(map_batches(large, "window binary, key binary, start long", all_windows), "windows")
-    twice = every.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    return spans.union(every.join(twice, "window").select("key", "start", (F.col("start") + length).alias("end")))
+    every = stored(map_batches(at(left.filter(F.col("n") > cap)), "window binary, key binary, start long", all_windows), "windows")
+    twice = with_group(every, ["window"], {"n": (F.count("*"), F.sum)}, ["key", "start"]).filter("n > 1")
+    return spans.union(twice.select("key", "start", (F.col("start") + length).alias("end")))
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -375,31 +418,42 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _distinct_texts(rows: DataFrame, length: int) -> DataFrame:
-    """(key, text, copies) of the distinct texts that are long enough, as a table bucketed by key.
+def _distinct_texts(rows: DataFrame, least: int) -> DataFrame:
+    """(key, text, copies) of the distinct texts of at least so many bytes, as a table bucketed by key.
 
     Joins on the key then move only their other side.
     """
     spark = rows.sparkSession
     name = f"texts_{uuid.uuid4().hex}"
-    found = rows.filter(F.octet_length("text") >= length).groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    path = f"{shared_folder(spark)}/{name}"
+    found = rows.filter(F.octet_length("text") >= least).groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found.write.bucketBy(parts, "key").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+
+    def drop() -> None:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        finally:
+            delete_path(spark, path)
+
+    remember(path, drop)
+    found.write.bucketBy(parts, "key").option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cap: int = CAP, keep: list[str] | None = None, text_col: str = "text", with_text: bool = False, words: int = 0) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cap: int = CAP, keep: list[str] | None = None, text_col: str = "text", with_text: bool = False, words: bool = False, many: int = MANY
+) -> DataFrame:
     """``keep`` columns, n_bytes, spans (array of start, end), kept_sha256 of every row; with_text: kept_text as well.
 
-    ``kept_text`` leaves out the broken characters that a cut inside a character may leave.
-    With ``words``, a stretch that repeats goes only if it holds more than so many words or ``LENGTH`` bytes.
+    ``kept_text`` leaves out the broken characters that a cut inside a character may leave. With ``words``, length and gram
+    are numbers of words, and a span reaches from a word to the start of the first word that stays.
     """
     keep = keep or ["doc_id"]
     text = plain(text_col)
-    digest = F.sha2(text, 256)
-    rows = docs.select(F.unhex(digest).alias("key"), text.alias("text"))
-    texts = _distinct_texts(rows, length)
-    spans = repeat_spans(texts.select("key", "text"), length, gram, cap)
+    digest = F.unhex(F.sha2(text, 256))
+    rows = docs.select(F.substring(digest, 1, 16).alias("key"), text.alias("text"))
+    texts = _distinct_texts(rows, 2 * length - 1 if words else length)
+    spans = repeat_spans(texts.select("key", "text"), length * SYMBOL if words else length, gram * SYMBOL if words else gram, cap, many, words=words)
     gathered = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("pieces"))
     kind = "key binary, spans array<struct<start: bigint, end: bigint>>, kept_sha256 string" + ", kept_text string" * with_text
 
@@ -410,9 +464,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cap:
                 if copies == 1 and not pieces:
                     continue
                 raw = value.encode()
-                gone = [(0, len(raw))] if copies > 1 else merge([(p["start"], p["end"]) for p in pieces])
+                gone = merge([(p["start"], p["end"]) for p in pieces or []])
                 if words:
-                    gone = [(a, z) for a, z in gone if z - a >= LENGTH or len(raw[a:z].decode("utf-8", "ignore").split()) > words]
+                    places = word_places(raw)
+                    gone = [(places[a // SYMBOL], places[z // SYMBOL]) for a, z in gone]
+                if copies > 1 and (not words or len(places) > length):
+                    gone = [(0, len(raw))]
                 if not gone:
                     continue
                 edges = [0, *(x for g in gone for x in g), len(raw)]
@@ -426,11 +483,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cap:
                 yield out
 
     found = map_batches(texts.join(gathered.hint("shuffle_hash"), "key", "left").select("key", "text", "copies", "pieces"), kind, cut)
-    mine = docs.select(*keep, F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(digest).alias("key"), *([text.alias("__text")] if with_text else []))
-    out = mine.join(stored(found, "cuts"), "key", "left")
+    mine = docs.select(*keep, F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("__digest"), F.substring(digest, 1, 16).alias("__key"), *([text.alias("__text")] if with_text else []))
+    out = mine.join(stored(found, "cuts").withColumnRenamed("key", "__key"), "__key", "left")
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
     extra = [F.coalesce("kept_text", "__text").alias("kept_text")] if with_text else []
-    return out.select(*keep, "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("kept_sha256", F.lower(F.hex("key"))).alias("kept_sha256"), *extra)
+    return out.select(*keep, "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("kept_sha256", F.lower(F.hex("__digest"))).alias("kept_sha256"), *extra)
 
 
 def repeat_rows(docs: DataFrame) -> DataFrame:
