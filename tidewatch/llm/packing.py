@@ -17,7 +17,9 @@ import bisect
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from tidewatch.llm.bpe import UnitCache, read_vocabulary
 from tidewatch.llm.common import map_batches, plain, stored
 
 CAPACITY = 2048
-SALTS = 16
+PART = 20_000
 #: (length, first rank, pieces a sequence, sequences, first sequence, offset)
 Placement = tuple[int, int, int, int, int, int]
 
@@ -46,9 +48,9 @@ def _tokenizer(content: str) -> UnitCache:
     cuts = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
     def spans(texts: list[str]) -> list[bytes]:
-        from array import array
-
-        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        flat, ends = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), [0, *accumulate(4 * len(x) for x in ids)]
+        return [flat[a:b] for a, b in pairwise(ends)]
 
     return UnitCache(spans, special, cuts)
 
@@ -61,8 +63,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
         cache = _tokenizer(content.value)
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []))}
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
-                raw = cache.encode(text) + b"\0\0\0\0"
+            for doc_id, raw in zip(b["doc_id"].to_pylist(), cache.encode_batch(b["text"].to_pylist()), strict=True):
+                raw += b"\0\0\0\0"
                 n = len(raw) // 4
                 first = n if n <= capacity else n % capacity or capacity
                 for piece, start in enumerate([0, *range(first, n, capacity)]):
@@ -117,6 +119,7 @@ class Packing:
         others = sorted(n for n in left if n <= room and count(n))
         if not others:
             return [large], left[large] if large > room else 1
+        # what follows stays true while copies of the two are left, since taking pieces away only narrows the choice
         best = others[-1]
         times = left[large] // 2 if best == large else min(left[large], left[best])
         if best == room:  # a perfect pair: whatever else shares a sequence with the large one fits in its partner's place
@@ -127,7 +130,7 @@ class Packing:
             if len(least) >= 3:
                 break
         if len(least) < 2 or least[0] + least[1] > room:  # one partner at most: the largest dominates
-            return [large, best], 1
+            return [large, best], times
         if len(least) < 3 or sum(least[:3]) > room:  # two partners at most: if none weighs more than the best one
             low, high, most = 0, len(others) - 1, 0
             while low <= high:
@@ -139,7 +142,7 @@ class Packing:
                         most = max(most, pair)
                     low += 1
             if most <= best:
-                return [large, best], 1
+                return [large, best], times
         return None
 
     def best_fit(self) -> None:
@@ -185,30 +188,32 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Packing:
     return packing
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, part: int = PART) -> DataFrame:
     """Add (sequence_id, offset) to rows with (doc_id, piece, start, length). ``pieces`` is read twice: pass a stored table.
 
-    The histogram has ``capacity * salts`` rows at most; it is all that reaches the driver.
+    The histogram, ``capacity`` rows at most, is all that reaches the driver; what it sends back are its placements, runs of
+    equal lengths, whose number depends on the lengths that occur and not on the pieces. Columns named ``__*`` are our own.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)))
-    counts = [(r["length"], r["salt"], r["n"]) for r in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()]
-    histogram: dict[int, int] = {}
-    base = []
-    for length, salt, n in sorted(counts):
-        base.append((length, salt, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
+    histogram = {r["__length"]: r["n"] for r in pieces.groupBy(F.col("length").alias("__length")).agg(F.count("*").alias("n")).collect()}
     runs = plan(histogram, capacity).placements
-    starts = spark.createDataFrame(base, "length long, salt long, before long")
-    placed = spark.createDataFrame(runs, "length long, first_rank long, each long, sequences long, first_sequence long, at long")
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")
-    ranked = salted.join(F.broadcast(starts), ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
-    inside = F.col("rank") - F.col("first_rank")
-    found = ranked.join(F.broadcast(placed), (ranked["length"] == placed["length"]) & inside.between(0, F.col("each") * F.col("sequences") - 1)).drop(placed["length"])
-    return (
-        found.withColumn("sequence_id", F.col("first_sequence") + F.floor(inside / F.col("each")))
-        .withColumn("offset", F.col("at") + F.pmod(inside, F.col("each")) * F.col("length"))
-        .drop("salt", "before", "rank", "first_rank", "each", "sequences", "first_sequence", "at")
+    parts = spark.createDataFrame([(n, -(-k // part)) for n, k in histogram.items()], "__length long, __parts long")  # capacity rows at most
+    mine = pieces.withColumn("__length", F.col("length").cast("long")).join(F.broadcast(parts), "__length")
+    mine = mine.withColumn("__part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("__parts"))).drop("__parts")
+    group = ["__length", "__part"]
+    sizes = mine.groupBy(*group).agg(F.count("*").alias("__n"))
+    end = F.sum("__n").over(Window.partitionBy("__length").orderBy("__part"))
+    ranges = sizes.select(*group, (end - F.col("__n")).alias("__before"), end.alias("__end"))
+    placed = spark.createDataFrame(runs, "__length long, __first long, __each long, __sequences long, __sequence long, __at long")
+    last = F.col("__first") + F.col("__each") * F.col("__sequences") - 1
+    meeting = ranges.join(placed, "__length").filter((F.col("__first") < F.col("__end")) & (last >= F.col("__before")))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("doc_id", "piece", "start")) - 1
+    found = mine.withColumn("__rank", rank).join(meeting, group).withColumn("__in", F.col("__before") + F.col("__rank") - F.col("__first"))
+    found = found.filter(F.col("__in").between(0, F.col("__each") * F.col("__sequences") - 1))
+    return found.select(
+        *[pieces[c] for c in pieces.columns],
+        (F.col("__sequence") + F.floor(F.col("__in") / F.col("__each"))).alias("sequence_id"),
+        (F.col("__at") + F.pmod("__in", "__each") * F.col("__length")).alias("offset"),
     )
 
 
