@@ -1,9 +1,14 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and short runs of words. DataFrame functions only.
 
 Sections are parted by blank lines, paragraphs by line breaks; a paragraph's leaves are runs of ``RUN`` words. A node is
-the xxhash64 of its children in order. The fingerprint writes the tree level by level: root, sections, paragraphs,
-leaves. Equal roots mean equal texts; where roots differ, the differing sections, paragraphs and leaves locate the edit.
-The likeness of two fingerprints is the Dice share of common leaves, 1 where the roots are equal.
+the 64-bit xxhash64 of its children in order; nothing below the root is shortened. Equal texts have equal roots, and texts
+with equal roots are the same but for a collision of 64 bits. The printed fingerprint writes the tree level by level: root,
+sections, paragraphs, leaves; paragraphs and leaves with fewer digits.
+
+Two trees are compared from the root down. Equal roots end the comparison. Else the sections that agree from the start and
+from the end are left out, then the paragraphs of the rest that do, then the leaves: what remains is where the edit is, and
+only there are leaves compared as multisets. The likeness is the Dice share of common nodes, counting the root and the
+leaves with their repeats: 1 for equal roots, and below 1 for any other pair.
 
 "The next document" needs an order over the whole table without a single task: ids are cut into ranges at approximate
 quantiles, each range is one window partition, and the first document of each range is handed to the range before it.
@@ -20,88 +25,144 @@ from pyspark.sql.window import Window
 
 from tidewatch.llm.common import plain
 
-#: Words of a leaf, and bits kept of its hash.
-RUN, LEAF = 4, 0xFFFFFF
-ROWS_A_RANGE = 2000
+#: Words of a leaf.
+RUN = 4
+ROWS_A_RANGE = 10_000
 
 
-def leaf_tree(text: Column) -> Column:
-    """array<array<array<int>>>: sections, their paragraphs, their leaves."""
+def with_tree(df: DataFrame, text: str, to: str) -> DataFrame:
+    """Add the tree of a non-null text column: root, and the nodes of each level in order with their numbers of children."""
+    deep, pars, secs = f"{to}_deep", f"{to}_pars", f"{to}_secs"
 
     def leaves(words: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(words), F.lit(RUN)), lambda i: F.xxhash64(F.slice(words, i, RUN)).bitwiseAND(F.lit(LEAF)).cast("int"))
+        return F.transform(F.sequence(F.lit(1), F.size(words), F.lit(RUN)), lambda i: F.xxhash64(F.slice(words, i, RUN)))
 
-    return F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.transform(F.split(s, "\n"), lambda p: F.split(p, " ")), leaves))
+    split = F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.transform(F.split(s, "\n"), lambda p: F.split(p, " ")), leaves))
+    return (
+        df.withColumn(deep, split)
+        .withColumn(pars, F.transform(deep, lambda s: F.transform(s, lambda p: F.xxhash64(p))))
+        .withColumn(secs, F.transform(pars, lambda s: F.xxhash64(s)))
+        .withColumn(to, F.struct(
+            F.xxhash64(secs).alias("root"), F.col(secs).alias("sections"), F.transform(pars, lambda s: F.size(s)).alias("section_sizes"),
+            F.flatten(pars).alias("paragraphs"), F.flatten(F.transform(deep, lambda s: F.transform(s, lambda p: F.size(p)))).alias("paragraph_sizes"),
+            F.flatten(F.flatten(deep)).alias("leaves"),
+        ))
+        .drop(deep, pars, secs)
+    )
 
 
-def _hex(values: Column, digits: int) -> Column:
-    return F.array_join(F.transform(values, lambda x: F.right(F.lpad(F.hex(x.cast("long")), 16, "0"), F.lit(digits))), "")
+def printed(tree: str) -> Column:
+    """Root and sections with 16 hexadecimal digits, paragraphs with 8, leaves with 6."""
 
+    def digits(values: Column, n: int) -> Column:
+        return F.array_join(F.transform(values, lambda x: F.right(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit(n))), "")
 
-def with_fingerprint(df: DataFrame, text: str, to: str) -> DataFrame:
-    """Add ``<to>`` (the string) and ``<to>_leaves`` (distinct leaves) for a non-null text column."""
-    tree, paragraphs, sections = f"{to}_tree", f"{to}_paragraphs", f"{to}_sections"
-    return (
-        df.withColumn(tree, leaf_tree(F.col(text)))
-        .withColumn(paragraphs, F.transform(tree, lambda s: F.transform(s, lambda p: F.xxhash64(p))))
-        .withColumn(sections, F.transform(paragraphs, lambda s: F.xxhash64(s)))
-        .withColumn(f"{to}_all", F.flatten(F.flatten(tree)))
-        .withColumn(to, F.concat_ws(":", F.lpad(F.lower(F.hex(F.xxhash64(sections))), 16, "0"), F.lower(_hex(F.col(sections), 16)), F.lower(_hex(F.flatten(paragraphs), 8)), F.lower(_hex(F.col(f"{to}_all"), 6))))
-        .withColumn(f"{to}_leaves", F.array_distinct(f"{to}_all"))
-        .drop(tree, paragraphs, sections, f"{to}_all")
-    )
+    t = F.col(tree)
+    return F.concat_ws(":", F.lpad(F.lower(F.hex(t["root"])), 16, "0"), digits(t["sections"], 16), digits(t["paragraphs"], 8), digits(t["leaves"], 6))
 
 
-def leaf_set(text: str) -> Column:
-    return F.array_distinct(F.flatten(F.flatten(leaf_tree(F.col(text)))))
+def _common_start(x: Column, y: Column) -> Column:
+    """How many elements agree from the start; arrays of no nulls."""
+    differs = F.array_position(F.zip_with(x, y, lambda p, q: F.coalesce(p != q, F.lit(True))), True)
+    return F.when(differs == 0, F.size(x)).otherwise(differs - 1).cast("int")
 
 
-def likeness(a: str, b: str, a_leaves: str, b_leaves: str) -> Column:
-    """Of the fingerprints of texts ``a`` and ``b``: 1 for equal texts, whose roots are equal, else the share of leaves."""
-    dice = 2.0 * F.size(F.array_intersect(a_leaves, b_leaves)) / (F.size(a_leaves) + F.size(b_leaves))
-    return F.when(F.col(a) == F.col(b), 1.0).otherwise(dice)
+def _middle(df: DataFrame, x: str, y: str, to: str) -> DataFrame:
+    """Add ``<to>_start`` and ``<to>_end``, how many elements of two array columns agree at either end, without overlap."""
+    rest = lambda c: F.reverse(F.slice(c, F.col(f"{to}_start") + 1, F.size(c)))
+    return df.withColumn(f"{to}_start", _common_start(F.col(x), F.col(y))).withColumn(f"{to}_end", _common_start(rest(x), rest(y)))
 
 
-def _quantiles(df: DataFrame, key: str, by: list[str], parts: int) -> list:
-    at = [k / parts for k in range(1, parts)]
-    return df.groupBy(*by).agg(F.percentile_approx(key, at, 1000).alias("q")).collect()
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda a, b: a + b)
 
 
-def id_range(docs: DataFrame, id_col: str = "doc_id", rows: int = ROWS_A_RANGE, width: int = 256) -> Column:
-    """The number of an id's range, in descending order of ids; null ids have the last. At most width ** 2 ranges."""
+def _numbered(df: DataFrame, values: str, to: str) -> DataFrame:
+    """Add an array of distinct numbers, one for each value and each of its repeats, so sets of them act as multisets."""
+    line, begins = f"{to}_line", f"{to}_begins"
+    n = F.size(line)
+    at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(line, i) != F.get(line, i - 1)))
+    ends = F.concat(F.slice(begins, F.lit(2), F.size(begins)), F.array(n))
+    each = F.zip_with(begins, ends, lambda a, b: F.transform(F.sequence(F.lit(1), b - a), lambda k: F.xxhash64(F.get(line, a), k)))
+    return (
+        df.withColumn(line, F.array_sort(values))
+        .withColumn(begins, F.when(n > 0, at).otherwise(F.array().cast("array<int>")))
+        .withColumn(to, F.when(n > 0, F.flatten(each)).otherwise(F.array().cast("array<bigint>")))
+        .drop(line, begins)
+    )
+
+
+def with_difference(df: DataFrame, a: str, b: str, to: str) -> DataFrame:
+    """Compare two trees: adds ``<to>`` (likeness) and ``<to>_edit``, where the first tree differs from the second.
+
+    The edit: first differing section, paragraph and leaf, numbered through the document from 0, and how many of each of the
+    first tree differ; null where the roots are equal. Nothing but the trees is read.
+    """
+    level, k = {"sections": ("section_sizes", f"{to}_s"), "paragraphs": ("paragraph_sizes", f"{to}_p"), "leaves": (None, f"{to}_l")}, {}
+    df = df.withColumn(f"{to}_a_sections", F.col(a)["sections"]).withColumn(f"{to}_b_sections", F.col(b)["sections"])
+    offset = F.lit(0)
+    for name, (sizes, short) in level.items():
+        x, y = f"{to}_a_{name}", f"{to}_b_{name}"
+        df = _middle(df, x, y, short)
+        start, end = F.col(f"{short}_start"), F.col(f"{short}_end")
+        df = df.withColumn(f"{short}_from", offset + start).withColumn(f"{short}_a", F.size(x) - start - end).withColumn(f"{short}_b", F.size(y) - start - end)
+        k[name] = short
+        if sizes:  # all that comes before is equal in both trees, so the children start at one place
+            below, first = ("paragraphs" if name == "sections" else "leaves"), F.col(f"{short}_from")
+            df = df.withColumn(f"{short}_off", _total(F.slice(F.col(a)[sizes], F.lit(1), first)))
+            for tree, side in ((a, "a"), (b, "b")):
+                n = _total(F.slice(F.col(tree)[sizes], first + 1, F.col(f"{short}_{side}")))
+                df = df.withColumn(f"{to}_{side}_{below}", F.slice(F.col(tree)[below], F.col(f"{short}_off") + 1, n))
+            offset = F.col(f"{short}_off")
+    short = k["leaves"]
+    for side in "ab":
+        inner = F.slice(f"{to}_{side}_leaves", F.col(f"{short}_start") + 1, F.col(f"{short}_{side}"))
+        df = _numbered(df.withColumn(f"{to}_{side}_inner", inner), f"{to}_{side}_inner", f"{to}_{side}_numbers")
+    n_a, n_b = F.size(F.col(a)["leaves"]), F.size(F.col(b)["leaves"])
+    common = n_a - F.col(f"{short}_a") + F.size(F.array_intersect(f"{to}_a_numbers", f"{to}_b_numbers"))
+    same = F.col(a)["root"] == F.col(b)["root"]
+    names = ("section", "paragraph", "leaf")
+    edit = F.struct(*[F.col(f"{s}_from").alias(n) for s, n in zip(k.values(), names, strict=True)], *[F.col(f"{s}_a").alias(f"{n}_count") for s, n in zip(k.values(), names, strict=True)])
+    kept = [c for c in df.columns if not c.startswith(f"{to}_")]
+    return df.select(*kept, F.when(same, 1.0).otherwise(2.0 * common / (n_a + n_b + 2)).alias(to), F.when(~same, edit).alias(f"{to}_edit"))
+
+
+def _quantiles(df: DataFrame, key: str, parts: int) -> Column:
+    return F.percentile_approx(key, [k / parts for k in range(1, parts)], max(1000, 20 * parts))
+
+
+def with_range(docs: DataFrame, rows: int = ROWS_A_RANGE, width: int = 256) -> DataFrame:
+    """Add ``range``, the number of the id's range in descending order of ids; null ids have the last.
+
+    Ids are cut into ``width`` parts at most by literals, and those, where they hold more than ``rows`` documents, further by
+    a broadcast table of ``width`` rows with one bound (8 bytes) for each ``rows`` documents.
+    """
     n = docs.count()
     coarse = max(1, min(width, -(-n // rows)))
-    fine = max(1, min(width, -(-n // (rows * coarse))))
-    ids = docs.select(F.col(id_col).alias("k")).dropna()
-    kind = dict(docs.dtypes)[id_col]
-
-    def above(bounds: Column) -> Column:
-        return F.size(F.filter(bounds, lambda b: b >= F.col(id_col)))
-
-    out = F.lit(0)
-    if coarse > 1:
-        first = sorted({b for r in _quantiles(ids, "k", [], coarse) for b in r["q"] or []}, reverse=True)
-        bounds = F.array(*[F.lit(b).cast(kind) for b in first]) if first else F.array().cast(f"array<{kind}>")
-        out = above(bounds)
-        if fine > 1:
-            place = F.size(F.filter(bounds, lambda b: b >= F.col("k")))
-            found = {r["c"]: sorted(set(r["q"]), reverse=True) for r in _quantiles(ids.withColumn("c", place), "k", ["c"], fine)}
-            inner = F.array(*[F.array(*[F.lit(b).cast(kind) for b in found.get(c, [])]).cast(f"array<{kind}>") for c in range(len(first) + 1)])
-            out = out * (fine + 1) + above(F.element_at(inner, out + 1))
-    return F.when(F.col(id_col).isNull(), F.lit((width + 1) ** 2)).otherwise(out)
-
-
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS_A_RANGE) -> tuple[DataFrame, Window]:
+    fine = max(1, -(-n // (rows * coarse)))
+    ids, kind = docs.select("doc_id").dropna(), dict(docs.dtypes)["doc_id"]
+    first = sorted(set(ids.agg(_quantiles(ids, "doc_id", coarse).alias("q")).first()["q"] or []), reverse=True) if coarse > 1 else []
+    above = lambda bounds: F.size(F.filter(bounds, lambda b: b >= F.col("doc_id")))
+    out = docs.withColumn("range", above(F.array(*[F.lit(b).cast(kind) for b in first])) if first else F.lit(0))
+    if fine > 1:
+        bounds = out.dropna(subset=["doc_id"]).groupBy("range").agg(F.sort_array(F.array_distinct(_quantiles(ids, "doc_id", fine)), False).alias("inner"))
+        out = out.join(F.broadcast(bounds), "range", "left").withColumn("range", F.col("range") * (fine + 1) + F.coalesce(above(F.col("inner")), F.lit(0))).drop("inner")
+    return out.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit((len(first) + 1) * (fine + 1))).otherwise(F.col("range")).cast("long"))
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS_A_RANGE, width: int = 256) -> tuple[DataFrame, Window]:
     """(doc_id, text, range, last) with one extra row (last = 1) at each range's end: the next range's first document."""
     base = docs.select(F.col(id_col).alias("doc_id"), plain(text_col).alias("text"))
-    ranged = base.withColumn("range", id_range(docs.select(F.col(id_col).alias("doc_id")), rows=rows))
-    tops = sorted((r["range"], r["top"]) for r in ranged.select("range", "doc_id").groupBy("range").agg(F.max("doc_id").alias("top")).collect())
+    ranged = with_range(base, rows, width)
     order = Window.partitionBy("range").orderBy("last", F.desc_nulls_last("doc_id"), F.desc("text"))
-    if not tops:
-        return ranged.withColumn("last", F.lit(0)), order
-    givers = docs.sparkSession.createDataFrame([(r, top, tops[k - 1][0]) for k, (r, top) in enumerate(tops)], f"from_range int, top {dict(base.dtypes)['doc_id']}, receiver int")
+    tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top"))  # a row for each range
+    line = Window.orderBy("range")
+    givers = tops.select(
+        F.col("range").alias("giver"), "top",
+        F.coalesce(F.lag("range").over(line), F.max("range").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("receiver"),
+    )
     heads = (
-        ranged.join(F.broadcast(givers), (ranged["range"] == givers["from_range"]) & ranged["doc_id"].eqNullSafe(givers["top"]))
+        ranged.join(F.broadcast(givers), (ranged["range"] == givers["giver"]) & ranged["doc_id"].eqNullSafe(givers["top"]))
         .groupBy("doc_id", "receiver").agg(F.max("text").alias("text"))
         .select("doc_id", "text", F.col("receiver").alias("range"), F.lit(1).alias("last"))
     )
@@ -114,10 +175,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     near = rows.withColumn("next_text", F.lead("text").over(order)).filter("last = 0").select("doc_id", "text", "next_text")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = near.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    out = with_fingerprint(with_fingerprint(edited, "text", "fingerprint"), "edited", "edited_fingerprint").withColumn("next_leaves", leaf_set("next_text"))
+    out = near.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
+    for text, tree in (("text", "tree"), ("edited", "other"), ("next_text", "next")):
+        out = with_tree(out, text, tree)
+    out = with_difference(with_difference(out, "tree", "other", "near_edited"), "tree", "next", "near_next")
     return out.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        likeness("text", "edited", "fingerprint_leaves", "edited_fingerprint_leaves").alias("near_edited"),
-        likeness("text", "next_text", "fingerprint_leaves", "next_leaves").alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), printed("tree").alias("fingerprint"), printed("other").alias("edited_fingerprint"), "near_edited", "near_next",
+        F.col("near_edited_edit.leaf").alias("edited_from_leaf"), F.col("near_edited_edit.leaf_count").alias("edited_leaves"),
     )
