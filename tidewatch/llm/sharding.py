@@ -1,18 +1,26 @@
 """Sharding by minimax contiguous partition of atomic groups. DataFrame functions only.
 
-Groups are documents of equal text; none is split. They are ordered by size, largest first, so runs of equal sizes tell
-the whole order: the driver gets one (size, groups) pair for each distinct group size. Sizes are sums of bytes, so a
-corpus of B bytes has fewer than sqrt(2 B) of them. A binary search finds the smallest capacity that a greedy pass over
-these runs can fill ``shards`` shards with, and the cuts of that pass decide every group's shard by its size alone;
-only groups of a size that a cut falls into are ranked, in salted parts. Slots are ranks in salted parts as well.
+Groups are documents of equal text; none is split. They stand in the order of a 63-bit hash of their text, so sizes are mixed
+all along the order, and a shard is a range of hashes: a row's shard follows from its own text, without a join. (Texts whose
+hashes agree count as one group.)
+
+A binary search finds the smallest capacity with which a greedy pass fills ``shards`` shards. It runs on the driver over
+*units*, ranges of hashes with their bytes: 16,384 at first. Units as indivisible pieces give a capacity that suffices, units
+of several groups as divisible ones a capacity that is needed; units that a cut may fall into are parted on the cluster, and
+the search is repeated until both agree. So the driver sees some ten thousand sums, whatever the corpus, and the capacity
+is the exact one for single groups. Within it the cuts are placed so that the shards are near equal.
+
+Slots are ranks within parts of a shard, whose number grows with the table.
 
 Defined results: a null text has no bytes and is grouped with the empty text; repeated rows are rows of one group; with
-fewer groups than shards the last shards are empty; an empty table gives no rows.
+fewer groups than shards some shards are empty; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,84 +29,122 @@ from pyspark.sql.window import Window
 from tidewatch.llm.common import plain, stored
 
 SHARDS, OVERHEAD = 40, 16
-
-
-def greedy_cuts(runs: list[tuple[int, int]], capacity: int, most: int) -> list[tuple[int, int]] | None:
-    """Places (size, rank) where shards 1, 2, .. begin, filling each to the capacity; None if over ``most`` are needed."""
-    cuts, used = [], 0
-    for size, count in runs:
-        if size > capacity:
-            return None
-        rank = 0
-        while rank < count:
-            fit = (capacity - used) // size
-            if not fit:
-                cuts.append((size, rank))
-                if len(cuts) >= most:
-                    return None
-                used = 0
-                continue
-            take = min(fit, count - rank)
-            rank += take
-            used += take * size
-    return cuts
-
-
-def minimax_cuts(runs: list[tuple[int, int]], shards: int) -> tuple[int, list[tuple[int, int]]]:
-    """(smallest capacity, its cuts) over runs of (size, count), largest first."""
-    total = sum(s * n for s, n in runs)
-    low, high = max(runs[0][0], -(-total // shards)), max(total, runs[0][0])
+#: Bits of a group's hash; of the first units; of each parting; rows of a part in which slots are counted.
+BITS, FIRST, FINER, PART = 63, 14, 6, 100_000
+#: (first hash, bits left open, bytes, whether it is a single group)
+Unit = tuple[int, int, int, bool]
+
+
+def greedy(units: list[Unit], sums: list[int], capacity: int, shards: int, divisible: bool) -> tuple[bool, list[int]]:
+    """Whether ``shards`` shards of the capacity hold all units, and the places (in bytes) where shards 1, 2, .. begin.
+
+    ``sums``: the bytes before each unit, and all bytes. With ``divisible``, units of several groups may be cut anywhere.
+    """
+    at, cuts = 0, []
+    for _ in range(shards):
+        if sums[-1] - at <= capacity:
+            return True, cuts
+        k = bisect_right(sums, at + capacity) - 1  # the unit that overflows
+        to = at + capacity if divisible and not units[k][3] else sums[k]
+        if to <= at:
+            return False, cuts + [at] * (shards - 1 - len(cuts))
+        at = to
+        cuts.append(at)
+    return False, cuts[: shards - 1]
+
+
+def least_capacity(units: list[Unit], sums: list[int], shards: int, divisible: bool) -> int:
+    low, high = -(-sums[-1] // shards), sums[-1]
     while low < high:
         middle = (low + high) // 2
-        if greedy_cuts(runs, middle, shards) is None:
+        if greedy(units, sums, middle, shards, divisible)[0]:
+            high = middle
+        else:
             low = middle + 1
+    return low
+
+
+def units_to_part(units: list[Unit], shards: int) -> tuple[int, list[Unit]]:
+    """The least capacity for indivisible units, and the units of several groups that one of its cuts may fall into."""
+    sums = [0, *accumulate(u[2] for u in units)]
+    enough, needed = (least_capacity(units, sums, shards, d) for d in (False, True))
+    if enough == needed:
+        return enough, []
+    from_, to = greedy(units, sums, needed, shards, False)[1], greedy(units, sums, enough, shards, True)[1]
+    inside: set[int] = set()
+    for k in range(max(len(from_), len(to))):
+        a = from_[k] if k < len(from_) else sums[-1]
+        b = to[k] if k < len(to) else sums[-1]
+        a, b = min(a, b), max(a, b)
+        inside |= set(range(bisect_right(sums, a) - 1, min(bisect_left(sums, b) + 1, len(units))))
+    return enough, [units[k] for k in sorted(inside) if not units[k][3]]
+
+
+def even_cuts(units: list[Unit], capacity: int, shards: int) -> list[int]:
+    """Hashes where shards 1, 2, .. begin, within the capacity, each as near to an equal share of the rest as it can be."""
+    sums = [0, *accumulate(u[2] for u in units)]
+    at, cuts = 0, []
+    for left in range(shards, 1, -1):
+        goal = at + (sums[-1] - at) / left
+        k = bisect_left(sums, goal)
+        for to in sorted({min(max(j, 0), len(units)) for j in (k - 1, k)}, key=lambda j: abs(sums[j] - goal)):
+            rest = [0, *(s - sums[to] for s in sums[to + 1 :])]
+            if at < sums[to] <= at + capacity and greedy(units[to:], rest, capacity, left - 1, False)[0]:
+                break
         else:
-            high = middle
-    return low, even_cuts(runs, low, shards) or greedy_cuts(runs, low, shards) or []
-
-
-def even_cuts(runs: list[tuple[int, int]], capacity: int, shards: int) -> list[tuple[int, int]] | None:
-    """Cuts within the capacity that fill each shard to about its share of what is left; None if that overflows."""
-    cuts, used, left, open_shards = [], 0, sum(s * n for s, n in runs), shards
-    for size, count in runs:
-        rank = 0
-        while rank < count:
-            share = left / open_shards
-            fit = max(0, min(int((share - used) / size + 0.5), (capacity - used) // size))
-            if not fit and used and open_shards > 1:
-                cuts.append((size, rank))
-                left, used, open_shards = left - used, 0, open_shards - 1
-                continue
-            take = min(max(fit, 1), count - rank) if open_shards > 1 else count - rank
-            rank += take
-            used += take * size
-            if used > capacity:
-                return None
+            to = bisect_right(sums, at + capacity) - 1
+        if to == len(units):
+            break
+        at = sums[to]
+        cuts.append(units[to][0])
     return cuts
 
 
-def salted_rank(df: DataFrame, by: list[str], salt: Column, salts: int, order: list[str]) -> DataFrame:
-    """Add ``rank`` from 0 within ``by``. ``df`` is read twice. The offsets are one row for each (by, salt)."""
-    parts = df.withColumn("salt", F.pmod(salt, F.lit(salts)))
-    sizes = parts.groupBy(*by, "salt").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = parts.withColumn("within", F.row_number().over(Window.partitionBy(*by, "salt").orderBy(*order)) - 1)
-    return ranked.join(before, [*by, "salt"]).withColumn("rank", F.col("before") + F.col("within")).drop("salt", "before", "within")
+def group_hash(text: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(text), 64 - BITS)
+
+
+def units_of(rows: DataFrame, open_bits: int, within: list[Unit] | None = None) -> list[Unit]:
+    """The units of the table's groups (group, size), ``open_bits`` wide; within given units of some other width only."""
+    if within:
+        above = within[0][1]
+        wanted = rows.sparkSession.createDataFrame([(u[0] >> above,) for u in within], "above long")  # as many as there are units
+        rows = rows.withColumn("above", F.shiftright("group", above)).join(F.broadcast(wanted), "above")
+    sums = rows.groupBy(F.shiftright("group", open_bits).alias("unit")).agg(F.sum("size").alias("bytes"), F.min("group").alias("low"), F.max("group").alias("high"))
+    return sorted((r["unit"] << open_bits, open_bits, r["bytes"], r["low"] == r["high"]) for r in sums.collect())
+
+
+def minimax_cuts(rows: DataFrame, shards: int, first: int = FIRST, finer: int = FINER) -> tuple[int, list[int]]:
+    """(smallest capacity, hashes where shards 1, 2, .. begin) over rows (group, size)."""
+    units = units_of(rows, BITS - first)
+    if not units:
+        return 0, []
+    while True:
+        capacity, rough = units_to_part(units, shards)
+        if not rough:
+            return capacity, even_cuts(units, capacity, shards)
+        for bits in {u[1] for u in rough}:
+            mine = [u for u in rough if u[1] == bits]
+            gone = set(mine)
+            units = [u for u in units if u not in gone] + units_of(rows, max(0, bits - finer), mine)
+        units.sort()
+
+
+def with_slots(placed: DataFrame, part: int = PART) -> DataFrame:
+    """Add ``slot``, the rank from 0 within a shard. ``placed`` is read twice. Parts of a shard hold about ``part`` rows."""
+    most = placed.groupBy("shard").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(-(-most // part) or 1)))
+    sizes = parts.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = sizes.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")) - 1)
+    return ranked.join(before, ["shard", "part"]).withColumn("slot", F.col("before") + F.col("rank")).drop("part", "before", "rank")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, salts: int = 64) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, first: int = FIRST, part: int = PART) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row, by the law ``bytes``."""
     text = plain("text")
-    rows = stored(docs.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group")), "rows")
-    groups = stored(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "groups")
-    runs = sorted(((r["bytes"], r["n"]) for r in groups.groupBy("bytes").agg(F.count("*").alias("n")).collect()), reverse=True)
-    _, cuts = minimax_cuts(runs, shards) if runs else (0, [])
-    split = sorted({size for size, rank in cuts if rank})
-    shard = reduce(lambda a, b: a + b, [((F.col("bytes") < size) | ((F.col("bytes") == size) & (F.col("rank") >= rank))).cast("int") for size, rank in cuts], F.lit(0))
-    ranked = groups.withColumn("rank", F.lit(0).cast("long"))
-    if split:
-        inside = F.col("bytes").isin(split)
-        ranked = ranked.filter(~inside).unionByName(salted_rank(groups.filter(inside), ["bytes"], F.xxhash64("group"), salts, ["group"]))
-    placed = stored(rows.join(ranked.select("group", shard.alias("shard")), "group").drop("group"), "placed")
-    out = salted_rank(placed, ["shard"], F.xxhash64("doc_id", "text_crc32"), salts, ["doc_id", "text_crc32", "size"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    rows = stored(docs.select("doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_hash(text).alias("group")), "rows")
+    _, cuts = minimax_cuts(rows.select("group", "size"), shards, first)
+    shard = reduce(lambda a, b: a + b, [(F.col("group") >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
+    out = with_slots(rows.select("doc_id", "size", "text_crc32", shard.alias("shard")), part)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
