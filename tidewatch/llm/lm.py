@@ -5,19 +5,22 @@ factored into frequency classes; every other word belongs to one of 16 tail clas
 of that class is its smoothed corpus count. The network predicts the class (and the word within a shortlist class) from a
 recurrent state; so any word has a probability, and what the model knows of the corpus grows with the corpus.
 
-The network is trained by truncated backpropagation on a bounded sample of training documents (``sample``), with the
-state carried across windows. Scoring carries it across windows as well: a document is scored whole, from a zero state
-to its end token, with documents of like length side by side.
+The network is trained by truncated backpropagation, with the state carried across windows, in two steps. The driver starts
+it on a bounded number of training documents (``sample``). Then every task of a scan goes over *all* training texts of its
+partition from there, and the tasks' weights are averaged by their numbers of tokens, some at a time in a tree of jobs; so
+what is learned of word order grows with the corpus as the counts do. Scoring carries the state across windows as well: a
+document is scored whole, from a zero state to its end token, with documents of like length side by side.
 
 Counts of the most frequent words, ``known`` at most, are broadcast. A document's other words become
 rows that meet their counts in a join; they are rare by construction, so no key is hot.
 
 Defined results: a null text is the empty text, whose one token is the end; without training documents every count is
-zero and the model is the untrained one; repeated rows are scored each for itself; null ids are training rows.
+zero and the model is the untrained one; an empty table gives no rows; repeated rows are scored each for itself; null ids are training rows.
 """
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import map_batches, plain, stored
 
 SHORTLIST, CLASSES, TAILS, HIDDEN, KNOWN, WINDOW = 1024, 32, 16, 16, 200_000, 32
+#: The pass over all training texts: texts side by side, step size, tokens laid out at once, vectors averaged by one task.
+STREAMS, RATE, LAID, FAN = 512, 0.004, 400_000, 32
 END = b""  # no word is empty
 FLUSH = 300_000
 
@@ -124,6 +129,19 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _softmax_loss(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Summed loss of the targets, and the gradient at the scores x, which are overwritten."""
+    rows = np.arange(len(y))
+    x -= x.max(1, keepdims=True)
+    target = x[rows, y]
+    np.exp(x, out=x)
+    total = x.sum(1, keepdims=True)
+    loss = float((np.log(total[:, 0]) - target).sum())
+    x /= total
+    x[rows, y] -= 1
+    return loss, x
+
+
 class Model:
     """Gated recurrent layer, class outputs, and word outputs within each shortlist class."""
 
@@ -217,10 +235,7 @@ class Model:
         s, target = states.reshape(-1, H), y.reshape(-1)
         n = len(target)
         kind = v.unit_class[target]
-        logs = _log_softmax(s @ self.p["C"].T + self.p["c"])
-        loss = -logs[np.arange(n), kind].sum()
-        d = np.exp(logs)
-        d[np.arange(n), kind] -= 1
+        loss, d = _softmax_loss(s @ self.p["C"].T + self.p["c"], kind)
         grads = {"C": d.T @ s, "c": d.sum(0), "W": np.zeros_like(self.p["W"]), "w": np.zeros_like(self.p["w"])}
         down = d @ self.p["C"]
         order = np.argsort(kind, kind="stable")
@@ -228,12 +243,10 @@ class Model:
         for k in range(v.classes):
             rows, a, b = order[edge[k] : edge[k + 1]], v.first[k], v.first[k + 1]
             if len(rows) and b - a > 1:
-                inner = _log_softmax(s[rows] @ self.p["W"][a:b].T + self.p["w"][a:b])
-                mine = target[rows] - a
-                loss -= inner[np.arange(len(rows)), mine].sum()
-                e = np.exp(inner)
-                e[np.arange(len(rows)), mine] -= 1
-                grads["W"][a:b], grads["w"][a:b] = e.T @ s[rows], e.sum(0)
+                mine = s[rows]
+                more, e = _softmax_loss(mine @ self.p["W"][a:b].T + self.p["w"][a:b], target[rows] - a)
+                loss += more
+                grads["W"][a:b], grads["w"][a:b] = e.T @ mine, e.sum(0)
                 down[rows] += e @ self.p["W"][a:b]
         down = down.reshape(T, B, H)
         gI, gU, carry = np.zeros_like(self.p["I"]), np.zeros_like(self.p["U"]), np.zeros((H, B), "f4")
@@ -253,16 +266,27 @@ class Model:
         grads["I"], grads["U"] = gI, gU
         return h, float(loss / n), {k: g / n for k, g in grads.items()}
 
+    def update(self, grads: dict[str, np.ndarray], pace: float) -> None:
+        """One Adam step; gradients are clipped to norm 1."""
+        if not hasattr(self, "moments"):
+            self.moments, self.steps = {k: (np.zeros_like(a), np.zeros_like(a)) for k, a in self.p.items()}, 0
+        self.steps += 1
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        for k, g in grads.items():
+            m, q = self.moments[k]
+            g = g * min(1.0, 1 / (norm + 1e-9))
+            m += 0.1 * (g - m)
+            q += 0.01 * (g * g - q)
+            self.p[k] -= (pace * m / (1 - 0.9**self.steps) / (np.sqrt(q / (1 - 0.99**self.steps)) + 1e-8)).astype("f4")
+
     def fit(self, documents: list[np.ndarray], updates: int = 500, streams: int = 96, rate: float = 0.02) -> list[float]:
-        """Truncated backpropagation with Adam over the documents, laid end to end in parallel streams; the losses."""
+        """Truncated backpropagation over the documents, laid end to end in parallel streams; the losses."""
         line = np.concatenate([np.zeros(0, np.int64), *documents])
         length = len(line) // streams
         if length < 2:
             return []
         y = line[: length * streams].reshape(streams, length).T
         x = np.vstack([np.zeros((1, streams), np.int64), y[:-1]])
-        m = {k: np.zeros_like(a) for k, a in self.p.items()}
-        q = {k: np.zeros_like(a) for k, a in self.p.items()}
         h, at, losses = np.zeros((self.hidden, streams), "f4"), 0, []
         for step in range(1, updates + 1):
             if at >= length:
@@ -270,15 +294,31 @@ class Model:
             h, loss, grads = self.gradients(h, x[at : at + WINDOW], y[at : at + WINDOW])
             at += WINDOW
             losses.append(loss)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            pace = rate * min(1.0, 2 * (1 - step / (updates + 1)))
-            for k, g in grads.items():
-                g = g * min(1.0, 1 / (norm + 1e-9))
-                m[k] += 0.1 * (g - m[k])
-                q[k] += 0.01 * (g * g - q[k])
-                self.p[k] -= (pace * m[k] / (1 - 0.9**step) / (np.sqrt(q[k] / (1 - 0.99**step)) + 1e-8)).astype("f4")
+            self.update(grads, rate * min(1.0, 2 * (1 - step / (updates + 1))))
+        del self.moments
         return losses
 
+    def read(self, documents: list[np.ndarray], streams: int = STREAMS, rate: float = RATE) -> None:
+        """One pass of truncated backpropagation over all of the documents."""
+        line = np.concatenate(documents)
+        streams = max(1, min(streams, len(line) // WINDOW))
+        length = -(-len(line) // streams)
+        y = np.append(line, np.zeros(length * streams - len(line), np.int64)).reshape(streams, length).T  # filled up with end tokens
+        x = np.vstack([np.zeros((1, streams), np.int64), y[:-1]])
+        h = np.zeros((self.hidden, streams), "f4")
+        for at in range(0, length, WINDOW):
+            h, _, grads = self.gradients(h, x[at : at + WINDOW], y[at : at + WINDOW])
+            self.update(grads, rate)
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.p.values()])
+
+    def take(self, weights: np.ndarray) -> None:
+        at = 0
+        for k, a in self.p.items():
+            self.p[k] = weights[at : at + a.size].reshape(a.shape).astype("f4")
+            at += a.size
+
 
 def units_of(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Known indices (-1: not known) and units of the words and the end token, and the words not known."""
@@ -293,7 +333,7 @@ def units_of(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray,
 
 
 def learn(train: DataFrame, counts: DataFrame, sample: int, known: int) -> Model:
-    """A model from the counts (word, tail, n) and a sample of about ``sample`` training texts, twice that at most."""
+    """A first model from the counts (word, tail, n) and about ``sample`` training texts, twice that at most."""
     size = F.floor(F.log2("n") * 16)  # some hundred sizes at most, whatever the corpus
     sizes = sorted(((r["size"], r["k"]) for r in counts.groupBy(size.alias("size")).agg(F.count("*").alias("k")).collect()), reverse=True)
     total, least = 0, float("inf")
@@ -316,13 +356,50 @@ def learn(train: DataFrame, counts: DataFrame, sample: int, known: int) -> Model
     return model
 
 
+def read_all(train: DataFrame, model: Model) -> Model:
+    """The model after a pass over all training texts: each task starts from ``model``, and their weights are averaged."""
+    shared = train.sparkSession.sparkContext.broadcast(model)
+
+    def read(batches: Iterator[dict]) -> Iterator[dict]:
+        mine, held, tokens, laid = copy.deepcopy(shared.value), [], 0, 0
+        for b in batches:
+            for text in b["text"].to_pylist():
+                held.append(units_of(words_of(text), mine.v)[1])
+                laid += len(held[-1])
+                if laid >= LAID:
+                    mine.read(held)
+                    tokens, held, laid = tokens + laid, [], 0
+        if held:
+            mine.read(held)
+        if tokens + laid:
+            yield {"tokens": [tokens + laid], "weights": [mine.weights().tobytes()]}
+
+    def average(batches: Iterator[dict]) -> Iterator[dict]:
+        total, tokens = 0.0, 0
+        for b in batches:
+            for n, raw in zip(b["tokens"].to_pylist(), b["weights"].to_pylist(), strict=True):
+                total, tokens = total + n * np.frombuffer(raw, "f4").astype("f8"), tokens + n
+        if tokens:
+            yield {"tokens": [tokens], "weights": [(total / tokens).astype("f4").tobytes()]}
+
+    kind = "tokens long, weights binary"
+    vectors = stored(map_batches(train, kind, read), "lm-weights")
+    while (n := vectors.count()) > FAN:
+        vectors = stored(map_batches(vectors.repartition(-(-n // FAN)), kind, average, rows=8), "lm-weights")
+    found = vectors.collect()
+    if found:
+        total = sum(r["tokens"] for r in found)
+        model.take(sum(r["tokens"] / total * np.frombuffer(r["weights"], "f4").astype("f8") for r in found))
+    return model
+
+
 def score_documents(docs: DataFrame, sample: int = 1500, known: int = KNOWN, keep: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Whole-document log10 likelihoods under the model and under smoothed unigram counts, for every row."""
     rows = docs.select(F.col(keep).alias("doc_id"), plain(text_col).alias("text"), held_out(keep).alias("held_out"))
     train = rows.filter(~F.col("held_out")).select("text")
     counts = stored(word_counts(train), "word-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    shared = docs.sparkSession.sparkContext.broadcast(learn(train, counts, sample, known))
+    shared = docs.sparkSession.sparkContext.broadcast(read_all(train, learn(train, counts, sample, known)))
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         model = shared.value
