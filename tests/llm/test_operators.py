@@ -41,6 +41,43 @@ def prose(seed, n, words="the of and a river stone light moves over under slowly
     return " ".join(rng.choice(words.split()) for _ in range(n))
 
 
+# --- shared
+
+
+def test_stored_tables_are_dropped(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from tidewatch.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda s: str(tmp_path))
+    before = common.stored_tables()
+    one, two = common.stored(spark.range(5), "one"), common.stored(spark.range(6), "two")
+    assert two.count() == 6 and len(list(tmp_path.iterdir())) == 2
+    common.discard(one)
+    assert len(list(tmp_path.iterdir())) == 1
+    common.drop_stored(keep=before)
+    assert not list(tmp_path.iterdir()) and common.stored_tables() == before and isinstance(tmp_path, Path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from tidewatch.llm import common
+
+    with pytest.raises(ValueError):
+        common.shared_folder(N(conf=N(get=lambda k, d: d), sparkContext=N(master="spark://host:7077")))
+    assert common.shared_folder(N(conf=N(get=lambda k, d: "/shared"), sparkContext=N(master="spark://host:7077"))) == "/shared"
+
+
+def test_group_values_of_a_hot_group(spark):
+    from tidewatch.llm.common import with_group
+
+    rows = spark.range(500).selectExpr("id", "if(id % 3 = 0, id, -1) as k")
+    got = with_group(rows, ["k"], {"n": (suffix.F.count("*"), suffix.F.sum), "least": (suffix.F.min("id"), suffix.F.min)}, ["id"]).collect()
+    c = Counter(r["k"] for r in got)
+    assert len(got) == 500 and all(r["n"] == c[r["k"]] and r["least"] == (1 if r["k"] < 0 else r["k"]) for r in got)
+
+
 # --- op1
 
 
@@ -57,6 +94,25 @@ def test_lm_base_scores_and_model(spark):
     assert sum(g[6] for g in got) > sum(g[5] for g in got)
 
 
+def test_lm_without_training_rows_or_rows(spark, empty):
+    held = [(i, prose(i, 9)) for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = lm.score_documents(table(spark, held)).collect()
+    assert len(got) == len(held) and all((r["train_tokens"], r["n_known"], r["held_out"]) == (0, 0, True) for r in got)
+    assert lm.score_documents(empty).count() == 0
+
+
+def test_lm_learns_from_all_training_texts(spark):
+    """After the pass over all texts, held-out texts are likelier than after the driver's start on a few of them."""
+    rows = [(i, " ".join(["a b c d e f g h".split()[(i + k * (i % 3 + 1)) % 8] for k in range(60)])) for i in range(700)]
+    docs = table(spark, rows, 4)
+    train = docs.filter(~lm.held_out("doc_id")).select("text")
+    counts = lm.word_counts(train)
+    model = lm.learn(train, counts, 10, 50)
+    held = [lm.units_of(lm.words_of(t), model.v)[1] for i, t in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    before = model.score(held).sum()
+    assert lm.read_all(train, model).score(held).sum() > before + 1
+
+
 def test_lm_is_a_distribution_and_carries_state():
     v = lm.Vocabulary([(b"", 10), (b"a", 9), (b"b", 5), (b"zz", 1)], {k: (0, 0) for k in range(16)} | {lm.tail_class(b""): (10, 1), lm.tail_class(b"a"): (14, 2), lm.tail_class(b"zz"): (1, 1)}, shortlist=3, classes=2)
     m = lm.Model(v, hidden=4)
@@ -131,25 +187,60 @@ PIECES = ["a", "b", "the", "  ", " ", "\n", "\n\n", "\t", "!", "!!", "é", "ü",
 
 
 def test_bpe_equals_the_library():
+    """Through the automaton alone, and with the cache of units on top."""
     tokenizers = pytest.importorskip("tokenizers")
     content = bpe.read_vocabulary(None)
     tok = tokenizers.Tokenizer.from_str(content)
-    a, cache = bpe.automaton(content)
+    a, cache = bpe.automaton(bpe.compiled(content))
+    small = bpe.UnitCache(a.encode_spans, a.special, a.cuts, room=2000)
     rng = random.Random(4)
-    texts = ["", "a" * 3000, "!" * 500, " " * 300] + ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
-    for t in texts:
-        ids = tok.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(cache.encode(t), "<u4").tolist() == ids
-        assert a.decode(ids) == tok.decode(ids, skip_special_tokens=False)
+    texts = ["", "a" * 3000, "!" * 500, " " * 300, "ab" * 6000 + "x", "".join(rng.choice("abcdeth") for _ in range(9000))] + ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for got in (cache.encode_batch(texts), small.encode_batch(texts, chars=500)):
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    bare = [k for k, t in enumerate(texts) if "<|endoftext|>" not in t]
+    assert [np.frombuffer(x, "<u4").tolist() for x in a.encode_spans([texts[k] for k in bare])] == [want[k] for k in bare]
+    assert all(a.decode(ids) == tok.decode(ids, skip_special_tokens=False) for ids in want)
+    assert sum(small.OVERHEAD + len(u) + len(x) for u, x in small.units.items()) <= 2000
 
 
 def test_bpe_states_have_the_right_arcs():
     """A pair of labels follows each other in the automaton just if encoding their joint bytes keeps both."""
-    a, _ = bpe.automaton(bpe.read_vocabulary(None))
-    rng, ids = random.Random(2), sorted(a.ids.values())
-    for _ in range(3000):
-        x, y = rng.choice(ids[:2000]), rng.choice(ids[:2000])
-        assert a.has_arc(x, y) == (a.encode_word(a.label[x] + a.label[y]) == [x, y])
+    a, _ = bpe.automaton(bpe.compiled(bpe.read_vocabulary(None)))
+    rng = random.Random(2)
+    pairs = [(rng.randrange(256, 3000), rng.randrange(256, 3000)) for _ in range(4000)]
+    got = a.encode_words([a.labels[x] + a.labels[y] for x, y in pairs])
+    kept = [np.frombuffer(g, "<u4").tolist() == list(p) for g, p in zip(got, pairs, strict=True)]
+    assert a.open_arcs(*np.array(pairs).T).tolist() == kept and 100 < sum(kept) < 3900
+
+
+def test_bpe_gadgets_one_by_one():
+    """The compiled table against an automaton whose arcs are written out and changed merge by merge."""
+    letters = "abc"
+    rng = random.Random(9)
+    for _ in range(40):
+        vocab = {c: i for i, c in enumerate(letters)}
+        merges, names = [], list(letters)
+        arcs = {(x, y) for x in names for y in names}
+        while len(merges) < 9:
+            a, b = rng.choice(names), rng.choice(names)
+            if a + b in vocab or (a, b) not in arcs:
+                continue
+            vocab[a + b] = len(vocab)
+            merges.append(f"{a} {b}")
+            arcs.discard((a, b))
+            after_b, before_a = [y for x, y in arcs if x == b], [x for x, y in arcs if y == a]
+            if a == b:
+                before_a = [x for x in before_a if x != a]
+            arcs |= {(a + b, y) for y in after_b} | {(x, a + b) for x in before_a}
+            if (a + b, a) in arcs:
+                arcs.add((a + b, a + b))
+            names.append(a + b)
+        made = bpe.Automaton(bpe.compile_automaton(__import__("json").dumps({"model": {"vocab": vocab, "merges": merges}})))
+        for x in names:
+            for y in names:
+                if (x, y) in arcs:
+                    assert made.encode_words([(x + y).encode()])[0] == np.array([vocab[x], vocab[y]], "<u4").tobytes()
 
 
 def test_bpe_rows(odd, empty):
@@ -203,13 +294,27 @@ def test_media_rows(odd, empty):
 # --- op5
 
 
+def brute_tree(text):
+    """Nested lists of leaves (tuples of words)."""
+    return [[[tuple(w[i : i + 4]) for w in [p.split(" ")] for i in range(0, len(w), 4)] for p in s.split("\n")] for s in text.split("\n\n")]
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = (Counter(leaf for s in brute_tree(t) for p in s for leaf in p) for t in (a, b))
+    return 2.0 * sum((x & y).values()) / (sum(x.values()) + sum(y.values()) + 2)
+
+
 def test_merkle_edits(spark, odd, empty):
-    rows = [(i, prose(i, 300) + "\n" + prose(i + 999, 100)) for i in range(40)] + [(100, ""), (101, None)]
+    rows = [(i, prose(i, 100 + i) + "\n" + prose(i + 999, 50) + "\n\n" * (i % 3) + prose(i % 4, 60)) for i in range(40)] + [(100, ""), (101, None), (102, "a b"), (103, "b a\n\n\n"), (104, "ü" * 9 + " é" * 700)]
     df = table(spark, rows)
-    for size in (7, 1000):
-        merkle.ROWS_A_RANGE = size
-        with_next, order = merkle.with_next(df, rows=size)
+    for size, width in ((7, 256), (1000, 256), (3, 4)):
+        with_next, order = merkle.with_next(df, rows=size, width=width)
         assert with_next.filter("last = 0").count() == len(rows)
+        follows = {r["doc_id"]: r["next"] for r in with_next.withColumn("next", merkle.F.lead("doc_id").over(order)).filter("last = 0").collect()}
+        down = sorted((i for i, _ in rows), reverse=True)
+        assert follows == dict(zip(down, down[1:] + down[:1], strict=True))
     got = {r["doc_id"]: r for r in merkle.edited_fingerprints(df).collect()}
     texts = {i: t or "" for i, t in rows}
     ids = sorted(texts, reverse=True)
@@ -218,19 +323,46 @@ def test_merkle_edits(spark, odd, empty):
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i]["near_next"] <= got[i]["near_edited"] <= 1
+        assert abs(got[i]["near_edited"] - brute_likeness(t, edited)) < 1e-12 and abs(got[i]["near_next"] - brute_likeness(t, nxt)) < 1e-12
+        tree = brute_tree(t)
+        parts = got[i]["fingerprint"].split(":")
+        assert [len(p) for p in parts] == [16, 16 * len(tree), 8 * sum(map(len, tree)), 6 * sum(len(p) for s in tree for p in s)]
+        leaves, other = ([leaf for s in brute_tree(x) for p in s for leaf in p] for x in (t, edited))
+        if t != edited:
+            same = next((j for j, (x, y) in enumerate(zip(leaves, other)) if x != y), min(len(leaves), len(other)))
+            assert got[i]["edited_from_leaf"] <= same and got[i]["edited_from_leaf"] + got[i]["edited_leaves"] <= len(leaves)
+        else:
+            assert got[i]["edited_from_leaf"] is None
     assert got[100]["fingerprint"] == got[101]["fingerprint"]
+    assert len({r["fingerprint"] for r in got.values()}) == len(set(texts.values()))
     assert merkle.edited_fingerprints(odd).count() == len(ODD)
     assert merkle.edited_fingerprints(empty).count() == 0
     one = merkle.edited_fingerprints(table(spark, [(7, "only one here")])).first()
     assert one["near_next"] == 1.0
 
 
+def test_merkle_finds_the_edit(spark):
+    text = "\n\n".join("\n".join(prose(9 * s + p, 20) for p in range(3)) for s in range(5))
+    words = text.split(" ")
+    words[150] = "edited"
+    df = spark.createDataFrame([(text, " ".join(words)), (text, text), (text, text + " more")], "a string, b string")
+    out = merkle.with_difference(merkle.with_tree(merkle.with_tree(df, "a", "x"), "b", "y"), "x", "y", "like").select("like", "like_edit").collect()
+    place = next((s, p, q) for s, p, q, leaf in ((s, p, q, leaf) for s, sec in enumerate(brute_tree(" ".join(words))) for p, par in enumerate(sec) for q, leaf in enumerate(par)) if "edited" in leaf)
+    assert out[0]["like_edit"] == (place[0], place[0] * 3 + place[1], (place[0] * 3 + place[1]) * 5 + place[2], 1, 1, 1)
+    assert out[1]["like"] == 1.0 and out[1]["like_edit"] is None
+    assert out[2]["like_edit"] == (4, 14, 75, 1, 1, 0)
+
+
+def test_merkle_short_texts_have_fingerprints_of_their_own(spark):
+    df = spark.range(30_000).select(merkle.F.concat(merkle.F.lit("w"), "id").alias("text"))
+    assert merkle.with_tree(df, "text", "t").select(merkle.printed("t").alias("f")).distinct().count() == 30_000
+
+
 def test_merkle_range_of_ids(spark):
-    df = table(spark, [(i, str(i)) for i in range(200)])
-    bounds = df.select("doc_id", merkle.id_range(df, rows=5, width=4).alias("r")).collect()
-    ordered = [r["r"] for r in sorted(bounds, key=lambda r: -r["doc_id"])]
-    assert ordered == sorted(ordered) and len(set(ordered)) > 8
+    df = table(spark, [(i, str(i)) for i in range(200)]).select("doc_id")
+    bounds = merkle.with_range(df, rows=5, width=4).collect()
+    ordered = [r["range"] for r in sorted(bounds, key=lambda r: -r["doc_id"])]
+    assert ordered == sorted(ordered) and len(set(ordered)) > 20
 
 
 # --- op6
@@ -249,18 +381,50 @@ def brute_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize("cap", [30_000, 4])
-def test_repeats_equal_brute_force(spark, cap):
+@pytest.mark.parametrize(("cap", "many"), [(30_000, 30_000), (30_000, 3), (3, 2)])
+def test_repeats_equal_brute_force(spark, cap, many):
     rng = random.Random(3)
     some = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     shared = [some(rng.randint(10, 60)) for _ in range(10)]
     texts = [None, "", "ab" * 200, "x" * 90, "x" * 41] + ["".join(rng.choice([rng.choice(shared), some(rng.randint(1, 60)), "ab " * rng.randint(1, 20)]) for _ in range(rng.randint(1, 7))) for _ in range(80)]
     texts += [texts[7]] * 3 + [shared[0] + some(30) + shared[1] for _ in range(10)]
-    got = {r["doc_id"]: r for r in suffix.remove_repeats(table(spark, list(enumerate(texts))), 40, 8, cap, with_text=True).collect()}
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(table(spark, list(enumerate(texts))), 40, 8, cap, with_text=True, many=many).collect()}
     for i, want in enumerate(brute_repeats(texts, 40)):
         assert (got[i]["n_bytes"], got[i]["kept_sha256"], len(got[i]["spans"])) == want
 
 
+@pytest.mark.parametrize(("cap", "many"), [(suffix.CAP, suffix.MANY), (4, 3)])
+def test_whole_query_of_repeats_equals_brute_force(spark, cap, many, monkeypatch):
+    """With the query's own length, and texts that cross the border of a chunk."""
+    monkeypatch.setattr(suffix, "CHUNK", 3000)
+    rng = random.Random(12)
+    some = lambda n: " ".join(rng.choice(["river", "stone", "light", "über", "night", "a", "of"]) + str(rng.randint(0, 99)) for _ in range(n))
+    shared = [some(rng.randint(40, 160)) for _ in range(8)]
+    rows = [(i, " ".join(rng.choice([rng.choice(shared), some(rng.randint(5, 150))]) for _ in range(rng.randint(1, 8)))) for i in range(120)]
+    rows += [(200, " ".join([some(300), shared[0], some(900), shared[0], some(20)])), (201, "ab" * 5000), (202, None), (203, rows[5][1]), (204, rows[5][1][:399]), (None, shared[1])]
+    got = sorted(map(tuple, suffix.remove_repeats(table(spark, rows), cap=cap, many=many).select("doc_id", "n_bytes", "kept_sha256", suffix.F.size("spans")).collect()), key=str)
+    want = sorted(((i, *w) for (i, _), w in zip(rows, brute_repeats([t for _, t in rows], 400), strict=True)), key=str)
+    assert got == want and sum(w[3] > 0 for w in want) > 60
+
+
+@pytest.mark.parametrize(("cap", "many"), [(suffix.CAP, suffix.MANY), (4, 3)])
+def test_repeated_runs_of_words_equal_brute_force(spark, cap, many):
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice(["a", "be", "sea", "é"]) + rng.choice([" ", " ", "\n", "  "]) for _ in range(n))
+    shared = [some(rng.randint(6, 30)) for _ in range(8)]
+    texts = [None, "", "  ", "a " * 60] + ["".join(rng.choice([rng.choice(shared), some(rng.randint(1, 30))]) for _ in range(rng.randint(1, 6))) for _ in range(80)]
+    texts += [texts[9], texts[9], " ".join(texts[10].split())]
+    n, c = 12, Counter()
+    for t in texts:
+        w = (t or "").split()
+        c.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    got = {r["doc_id"]: r["kept_text"].split() for r in suffix.remove_repeats(table(spark, list(enumerate(texts))), n, 4, cap, with_text=True, words=True, many=many).collect()}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        gone = {j for k in range(len(w) - n + 1) if c[tuple(w[k : k + n])] > 1 for j in range(k, k + n)}
+        assert got[i] == [x for j, x in enumerate(w) if j not in gone], i
+
+
 def test_blind_trie_and_deep_shallow_sort():
     rng = random.Random(5)
     for shallow in (0, 1, 12):
@@ -283,24 +447,35 @@ def test_repeat_rows(odd, empty):
 # --- op7
 
 
-def test_minimax_cuts_are_the_least_capacity():
+def brute_capacity(sizes, shards):
+    def fits(c):
+        used, n = 0, 1
+        for x in sizes:
+            if used + x > c:
+                used, n = 0, n + 1
+            used += x
+        return n <= shards
+
+    return next(c for c in range(max(sizes), sum(sizes) + 1) if fits(c))
+
+
+def test_minimax_cuts_are_the_least_capacity(spark):
     rng = random.Random(1)
-    for _ in range(60):
-        sizes = sorted((rng.randint(1, 30) for _ in range(rng.randint(1, 25))), reverse=True)
-        k = rng.randint(1, 6)
-        runs = sorted(Counter(sizes).items(), reverse=True)
-        least = next(c for c in range(max(sizes), sum(sizes) + 1) if sharding.greedy_cuts(runs, c, k) is not None)
-        capacity, cuts = sharding.minimax_cuts(runs, k)
-        assert capacity == least and len(cuts) < k
-        flat = [(s, r) for s, n in runs for r in range(n)]
-        edges = [0, *[flat.index(c) for c in cuts], len(flat)]
-        assert all(sum(s for s, _ in flat[a:b]) <= capacity for a, b in zip(edges, edges[1:]))
+    for k in range(12):
+        groups = {rng.getrandbits(63) >> rng.choice([0, 0, 50]): rng.choice([1, 5, 30, 400 if k % 3 == 0 else 9]) for _ in range(rng.randint(1, 60))}
+        shards = rng.randint(1, 9)
+        rows = spark.createDataFrame([(g, 1) for g, n in groups.items() for _ in range(n)], "group long, size long")
+        capacity, cuts = sharding.minimax_cuts(rows, shards, first=2, finer=3)
+        order = sorted(groups)
+        assert capacity == brute_capacity([groups[g] for g in order], shards) and len(cuts) < shards and cuts == sorted(cuts)
+        loads = Counter(sum(g >= c for c in cuts) for g in order for _ in range(groups[g]))
+        assert max(loads.values()) <= capacity
 
 
 def test_shards(spark, odd, empty):
     rows = ODD + [(100 + i, prose(i % 60, 5 + i % 9)) for i in range(300)]
-    got = sharding.shard_documents(table(spark, rows), shards=8, salts=3).toPandas()
-    assert len(got) == len(rows) and set(got["shard"]) <= set(range(8))
+    got = sharding.shard_documents(table(spark, rows), shards=8, part=9).toPandas()
+    assert len(got) == len(rows) and set(got["shard"]) == set(range(8))
     for _, g in got.groupby("shard"):
         assert sorted(g["slot"]) == list(range(len(g)))
     by_text = {}
@@ -310,6 +485,19 @@ def test_shards(spark, odd, empty):
         assert (r.size, r.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
     assert all(len(s) == 1 for s in by_text.values())
     assert sharding.shard_documents(empty).count() == 0
+    assert set(sharding.shard_documents(table(spark, [(i, "one text") for i in range(50)])).toPandas()["shard"]) == {0}
+
+
+def test_shards_are_near_equal_and_within_the_least_capacity(spark):
+    rows = [(i, prose(i if i % 4 else 0, 20 + i * 37 % 90)) for i in range(4000)]
+    got = sharding.shard_documents(table(spark, rows), shards=10)
+    loads = got.groupBy("shard").agg(sharding.F.sum("size").alias("bytes")).toPandas()["bytes"]
+    with_group = table(spark, rows).select("doc_id", sharding.group_hash(sharding.F.col("text")).alias("g")).toPandas().set_index("doc_id")["g"]
+    sizes = Counter()
+    for i, t in rows:
+        sizes[with_group[i]] += len(t.encode()) + 16
+    assert max(loads) <= brute_capacity([sizes[g] for g in sorted(sizes)], 10)
+    assert max(loads) < 1.02 * loads.mean() and min(loads) > 0.98 * loads.mean()
 
 
 # --- op8
@@ -318,7 +506,7 @@ def test_shards(spark, odd, empty):
 def test_packing_fills_sequences_without_overlap(spark, empty):
     rows = ODD + [(200 + i, prose(i, 3 + i * 7 % 90)) for i in range(150)]
     pieces = packing.token_pieces(table(spark, rows), capacity=64).cache()
-    got = packing.pack(pieces, capacity=64, salts=3).toPandas()
+    got = packing.pack(pieces, capacity=64, part=7).toPandas()
     assert len(got) == pieces.count() and got["length"].between(1, 64).all()
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
@@ -328,6 +516,14 @@ def test_packing_fills_sequences_without_overlap(spark, empty):
     assert packing.packed_documents(empty).count() == 0
 
 
+def test_packing_of_clashing_columns_and_one_length(spark):
+    rows = [(i % 50, 0, 0, 4, i, i, i, "x") for i in range(1000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, rank long, part long, salt long, offsets string")
+    got = packing.pack(pieces, capacity=8, part=10).toPandas()
+    assert len(got) == 1000 and sorted(got["rank"]) == list(range(1000)) and got["sequence_id"].nunique() == 500
+    assert all(sorted(g["offset"]) == [0, 4] for _, g in got.groupby("sequence_id"))
+
+
 def test_pieces_are_the_documents_ids(spark):
     tokenizers = pytest.importorskip("tokenizers")
     tok = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
@@ -387,6 +583,12 @@ def test_colliding_digests_do_not_decide(tmp_path):
     assert url_filter.judge(urls, url_filter.open_index(url_filter.build_index([], str(tmp_path))), "allow")["rule"] == [None] * 4
 
 
+def test_urls_repeated_rows_and_no_ids(spark):
+    df = spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/"), (None, "http://b.net/es/"), (None, None)], "page_id long, url string")
+    got = sorted(map(tuple, url_filter.filter_urls(df).select("page_id", "rule", "verdict").collect()), key=str)
+    assert got == sorted([(1, "com/", "allow")] * 2 + [(None, "net/es/", "block"), (None, None, "allow")], key=str)
+
+
 # --- op10
 
 
@@ -422,18 +624,75 @@ def test_links_equal_brute_force(spark, bits, limit):
     assert {x: got.get(x, x) for x in fps.tolist()} == brute_classes(fps, bits)
 
 
-def test_simhash_reach_in_over_full_groups(spark):
+@pytest.mark.parametrize("limit", [12, 4096])
+def test_wide_links_equal_brute_force(spark, limit):
+    """All pairs with a band in common and at most ``most`` differing bits are connected, however full the bands are."""
     rng = np.random.default_rng(5)
-    open_places = simhash.ring_keys(list(range(64)), 4)[0][1]
-    fps, wanted = [], set()
-    for _ in range(150):
-        one = sum(1 << p for p in open_places if rng.integers(2))
-        two = one ^ sum(1 << int(p) for p in rng.choice(open_places, 8, replace=False))
-        fps += [one, two]
-        wanted.add(tuple(sorted(np.array([one, two], np.uint64).view(np.int64).tolist())))
-    df = spark.createDataFrame([(x,) for x in np.array(fps, np.uint64).view(np.int64).tolist()], "fp long")
-    small, large = ({tuple(sorted((r["u"], r["v"]))) for r in simhash.links(df, 4, limit, 8).distinct().collect()} for limit in (16, 4096))
-    assert wanted <= large and small == large
+    rows, wide = [], []
+    for c in range(3):
+        base = rng.integers(0, 2, 512)
+        for k in range(70):
+            flip = rng.random(512) < rng.choice([0.01, 0.04, 0.09, 0.2])
+            words = np.packbits(base ^ flip).view(">u8").astype(np.uint64).view(np.int64)
+            wide.append(words.view(np.uint64))
+            rows.append((100 * c + k, words.tolist(), [c, 7 if k % 5 else 100 * c + k]))
+    wide = np.array(wide)
+    named = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if any(x == y for x, y in zip(rows[i][2], rows[j][2], strict=True)) and np.bitwise_count(wide[i] ^ wide[j]).sum() <= 60:
+                a, b = sorted((named[i], named[j]))
+                named = [a if n == b else n for n in named]
+    df = spark.createDataFrame(rows, "fp long, wide array<long>, bands array<long>")
+    got = {r["node"]: r["component"] for r in components.components(simhash.wide_links(df, limit, 60)).collect()}
+    assert [got.get(r[0], r[0]) for r in rows] == [rows[n][0] for n in named]
+    assert 3 < len(set(named)) < 150
+
+
+def test_similar_documents_recall(spark):
+    """Pairs by the similarity of their sets of five-word shingles: nearly all from 0.8 on, none far below."""
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows, pairs = [], []
+    for k in range(300):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(80, 300))]
+        rate = rng.choice([0.004, 0.008, 0.012, 0.016, 0.02, 0.06, 0.1])
+        other = [rng.choice(vocabulary) if rng.random() < rate else w for w in words]
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, other))
+        pairs.append(len(x & y) / len(x | y))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {r["doc_id"]: r["first_id"] for r in simhash.similar_documents(table(spark, rows)).collect()}
+    linked = np.array([got[2 * k] == got[2 * k + 1] for k in range(300)])
+    pairs = np.array(pairs)
+    assert linked[pairs >= 0.8].mean() >= 0.9 and linked[pairs >= 0.85].mean() >= 0.98 and not linked[pairs < 0.6].any()
+    assert all(got[2 * k] in (2 * k, 2 * k + 1) or pairs[k] >= 0 and got[2 * k] is not None for k in range(300))
+
+
+def test_similar_documents_odd_rows(spark, odd, empty):
+    got = simhash.similar_documents(odd).collect()
+    assert len(got) == len(ODD) and simhash.similar_documents(empty).count() == 0
+    assert {r["first_id"] for r in got if r["doc_id"] in (1, 2, 10)} == {1} and {r["first_id"] for r in got if r["doc_id"] in (4, 5)} == {4}
+
+
+def test_whole_query_equals_brute_force(spark):
+    import xxhash
+
+    rng = random.Random(6)
+    texts = [prose(k, rng.randint(0, 40)) for k in range(60)]
+    texts += [t + rng.choice(["", " x", "\n", " THE"]) for t in texts for _ in range(3)]
+    rows = list(enumerate(texts))
+    fps = []
+    for t in texts:
+        words = t.encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), seed=42) for i in range(max(1, len(words) - 2))] if words else []
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    classes = brute_classes(np.array(fps, np.uint64).view(np.int64), 2)
+    of = [classes[x] for x in np.array(fps, np.uint64).view(np.int64).tolist()]
+    least = {}
+    for i, c in enumerate(of):
+        least.setdefault(c, i)
+    got = sorted(map(tuple, simhash.near_duplicate_rows(table(spark, rows)).collect()))
+    assert got == [(i, f"{fps[i]:016x}", least[of[i]]) for i in range(len(texts))]
 
 
 def test_simhash_rows(spark, odd, empty):

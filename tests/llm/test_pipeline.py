@@ -47,3 +47,34 @@ def test_passages_of_short_words(spark):
     assert len(passage) == 101 and len(short) > 101
     assert all(passage not in got[k] and len(got[k]) <= len(rows[k][1]) - 101 for k in (0, 1))
     assert all(got[k] == rows[k][1] for k in (2, 3))
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_that_share_an_id(spark):
+    """Equal ids with different texts are two documents; equal rows are one; rows without an id stay."""
+    a, b = prose(1, 60), prose(2, 60)
+    near = a.replace(a.split()[30], "changed")
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, b, "de", "s", 1), (2, a, "en", "s", 1), (1, near, "en", "s", 1), (None, a, "en", "s", 1), (7, None, "en", "s", 1), (7, None, None, None, None)]
+    got = sorted(map(tuple, corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, KIND), "").collect()), key=str)
+    assert len(got) == 4 and (None, a, "en", "s", 1) in got and (1, b, "de", "s", 1) in got and sum(r[0] == 1 and r[1] in (a, near) for r in got) == 1
+    assert sum(r[0] == 7 for r in got) == 1
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], KIND)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").count() == 0
+
+
+def test_run_leaves_no_tables_but_those_of_its_result(spark, tmp_path):
+    from tidewatch.llm import common
+
+    rows = [(i, prose(i, 60), "en", "s", 1) for i in range(20)]
+    spark.createDataFrame(rows, KIND).write.parquet(str(tmp_path / "documents.parquet"))
+    before = common.stored_tables()
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 20
+    left = {n.rsplit("/", 1)[-1].split("-")[0] for n in common.stored_tables() - before}
+    assert left == {"suffix_dedup", "pieces"}
+    common.drop_stored(keep=before)
