@@ -28,7 +28,10 @@ def _own_folder() -> str:
 def _stored(df: DataFrame) -> DataFrame:
     """One round's table in the shared folder: lineage stays short, and a lost executor re-reads it."""
     spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or _own_folder()}/round-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{shared or _own_folder()}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -88,6 +91,12 @@ def campaigns(events: DataFrame, links: DataFrame) -> DataFrame:
     return n.join(e, "component").withColumn("score", F.round(score, 6)).drop("persists", "nets", "critical")
 
 
+def tagged(events: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
+    """Events with their campaign (``component``) and its score; null for events in none."""
+    mine = members.join(found.select("component", "score"), "component").select(F.col("node").alias("event_id"), F.col("component").alias("campaign_id"), F.col("score").alias("campaign_score"))
+    return events.join(mine, "event_id", "left")
+
+
 def stale(found: DataFrame, as_of_t: int, hours: int = 24) -> DataFrame:
     """Campaigns silent for ``hours`` go dormant and lose a tenth of their score, down to 20."""
     old = F.col("last_t") < as_of_t - hours * 3600 * SECOND
@@ -116,11 +125,15 @@ def tree_depths(links: DataFrame) -> DataFrame:
 
 
 def parent_chain(events: DataFrame) -> DataFrame:
-    """Grandparent > parent > image of each event of a user, and how many of the ancestors are not benign."""
-    by_user = Window.partitionBy("user").orderBy("t", "event_id")
-    x = events.withColumn("grandparent", F.lag("image", 2).over(by_user))
+    """Grandparent > parent > image of each event, by (computer, ppid) to (computer, pid), and its depth by ancestors that are not
+    benign. Of the events of one pid the latest names the process."""
+    last = F.max_by(F.struct("image", "ppid"), F.struct("t", "event_id"))
+    named = events.groupBy("computer", "pid").agg(last.alias("w"))
+    parent = named.select("computer", F.col("pid").alias("ppid"), F.col("w.image").alias("parent"), F.col("w.ppid").alias("above"))
+    grand = named.select("computer", F.col("pid").alias("above"), F.col("w.image").alias("grandparent"))
+    x = events.select("event_uid", "computer", "ppid", "image").join(parent, ["computer", "ppid"], "left").join(grand, ["computer", "above"], "left")
     odd = lambda c: F.when(S.suspicious_chain(F.col(c)), 1).otherwise(0)
-    return x.select("event_uid", F.concat_ws(" > ", "grandparent", "parent_image", "image").alias("chain"), (1 + odd("parent_image") + odd("grandparent")).alias("process_depth"))
+    return x.select("event_uid", F.concat_ws(" > ", "grandparent", "parent", "image").alias("chain"), (1 + odd("parent") + odd("grandparent")).alias("process_depth"))
 
 
 def story(events: DataFrame) -> DataFrame:

@@ -172,12 +172,42 @@ def rule_summary(hits: DataFrame) -> DataFrame:
 
 
 def detections_for_bursts(bursts: DataFrame, hits: DataFrame, seconds: int = 5) -> DataFrame:
-    """Hits that belong to a burst: same computer, and same pid within the slack, or at least 5 points of likeness."""
-    h = hits.select("computer", F.col("pid").alias("d_pid"), F.col("image").alias("d_image"), F.col("parent_image").alias("d_parent"), F.col("t").alias("d_t"), F.col("event_uid").alias("d_uid"), F.col("rule_id").alias("d_rule"))
-    near = F.col("d_t").between(F.col("start_t") - seconds * 1_000_000, F.col("end_t") + seconds * 1_000_000)
-    by_pid = bursts.join(h, "computer").filter((F.col("pid") == F.col("d_pid")) & near)
-    by_image = bursts.join(h, (bursts["computer"] == h["computer"]) & (bursts["image"] == h["d_image"]) & near).drop(h["computer"]).filter(F.col("parent_image") == F.col("d_parent"))
-    return by_pid.unionByName(by_image).dropDuplicates(["burst_id", "d_uid", "d_rule"])
+    """Hits that belong to a burst of the same computer: same pid within the slack, or at least 5 points of likeness.
+
+    Likeness: rule 3 (the burst's ``rule_id``, where it has one), parent 2, image 2, first 50 letters of the command 1. Five
+    points need the rule and one of the others but for all of parent, image and command; so both ways are equi-joins.
+    """
+    h = hits.select("computer", F.col("pid").alias("d_pid"), F.col("image").alias("d_image"), F.col("parent_image").alias("d_parent"), F.substring("command_line", 1, 50).alias("d_cmd"), F.col("t").alias("d_t"), F.col("event_uid").alias("d_uid"), F.col("rule_id").alias("d_rule"))
+    both = bursts if "rule_id" in bursts.columns else bursts.withColumn("rule_id", F.lit(None).cast("string"))
+    both = both if "command_line" in both.columns else both.withColumn("command_line", F.lit(None).cast("string"))
+    slack, width = seconds * 1_000_000, 900_000_000
+    slots = F.explode(F.sequence(F.floor((F.col("start_t") - slack) / width), F.floor((F.col("end_t") + slack) / width)))
+    by_pid = both.withColumn("slot", slots).join(h.withColumn("slot", F.floor(F.col("d_t") / width)), ["computer", "slot"]).filter((F.col("pid") == F.col("d_pid")) & F.col("d_t").between(F.col("start_t") - slack, F.col("end_t") + slack)).drop("slot")
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    points = F.when(same("rule_id", "d_rule"), 3).otherwise(0) + F.when(same("parent_image", "d_parent"), 2).otherwise(0) + F.when(same("image", "d_image"), 2).otherwise(0) + F.when(F.substring("command_line", 1, 50) == F.col("d_cmd"), 1).otherwise(0)
+    keyed = both.withColumn("cmd", F.substring("command_line", 1, 50))
+    copy = lambda **names: h.withColumns({k: F.col(v) for k, v in names.items()})
+    by_rule = both.join(copy(rule_id="d_rule"), ["computer", "rule_id"]).filter(points >= 5)
+    by_all = keyed.join(copy(image="d_image", parent_image="d_parent", cmd="d_cmd"), ["computer", "image", "parent_image", "cmd"]).drop("cmd")
+    return by_pid.unionByName(by_rule).unionByName(by_all).dropDuplicates(["burst_id", "d_uid", "d_rule"])
+
+
+def heuristic_detections(events: DataFrame) -> DataFrame:
+    """What the event code alone says, for runs without rules: ``HEUR-n`` with confidence 40."""
+    told = F.create_map(*[x for code, (m, tactic, stage, text) in K.HEURISTICS.items() for x in (F.lit(code), F.struct(F.lit(m).alias("mitre_id"), F.lit(tactic).alias("mitre_tactic"), F.lit(stage).alias("kill_chain_stage"), F.lit(text).alias("description")))])
+    found = events.filter(F.col("event_code").isin(list(K.HEURISTICS))).withColumn("__h", told[F.col("event_code")])
+    return found.select("*", "__h.*", F.concat(F.lit("HEUR-"), F.col("event_code").cast("string")).alias("rule_id"), F.lit(40).alias("confidence_score"), F.lit("heuristic").alias("detection_source")).drop("__h")
+
+
+def all_detections(hits: DataFrame, chains: DataFrame, others: list[DataFrame] = ()) -> DataFrame:
+    """Rule hits, sequences and further detections in one schema; a sequence stands at its last event."""
+    columns = ["detection_source", "rule_id", "computer", "event_uid", "t", "kill_chain_stage", "confidence_score", "severity"]
+    rules = hits.select("detection_source", "rule_id", "computer", "event_uid", "t", "kill_chain_stage", "confidence_score", F.col("rule_severity").alias("severity"))
+    found = chains.select(F.lit("sequence").alias("detection_source"), F.col("pattern_id").alias("rule_id"), "computer", F.col("last_uid").alias("event_uid"), F.col("last_t").alias("t"), F.col("stage").alias("kill_chain_stage"), F.col("confidence").alias("confidence_score"), "severity")
+    out = rules.unionByName(found)
+    for more in others:
+        out = out.unionByName(more.select(*columns))
+    return out
 
 
 def host_floor(hits: DataFrame, small: int = 10_000, large: int = 50_000) -> DataFrame:

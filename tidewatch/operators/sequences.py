@@ -41,6 +41,24 @@ PATTERNS = [
 ]
 
 
+_OFFICE, _SHELLS = ("winword.exe", "excel.exe", "outlook.exe"), ("powershell.exe", "cmd.exe")
+#: The built-in patterns.
+BUILT_IN = [
+    Pattern("SEQ-001", "Execution", 90, (Step(("winword.exe", "excel.exe", "outlook.exe", "powerpnt.exe"), 1), Step(("powershell",), 1, max_gap_seconds=300))),
+    Pattern("SEQ-002", "Command and Control", 95, (Step(_OFFICE, 1), Step(("powershell",), 1, max_gap_seconds=600), Step(("powershell",), 3, max_gap_seconds=120))),
+    Pattern("SEQ-003", "Execution", 85, (Step(("powershell",), 1, "-enc"), Step(("powershell",), 11, max_gap_seconds=300))),
+    Pattern("SEQ-004", "Lateral Movement", 80, (Step(("powershell",), 1), Step(("cmd.exe",), 1, max_gap_seconds=120), Step(("cmd.exe",), 3, max_gap_seconds=60))),
+    Pattern("SEQ-005", "Credential Access", 95, (Step((), 10), Step((), 1, "sekurlsa", max_gap_seconds=300))),
+    Pattern("SEQ-006", "Persistence", 85, (Step(("powershell.exe", "cmd.exe", "wscript.exe", "cscript.exe"), 1), Step((), 13, max_gap_seconds=600))),
+    Pattern("SEQ-007", "Persistence", 82, (Step(_SHELLS, 1), Step(("schtasks",), 1, "/create", max_gap_seconds=120))),
+    Pattern("SEQ-008", "Actions on Objectives", 95, (Step(_SHELLS, 1), Step((), 1, "shadowcopy", max_gap_seconds=300))),
+    Pattern("SEQ-009", "Command and Control", 90, (Step(("netsh",), 1, "firewall"), Step((), 3, max_gap_seconds=300))),
+    Pattern("SEQ-010", "Execution", 92, (Step(("mshta",), 1), Step(("mshta",), 3, max_gap_seconds=120), Step((), 11, max_gap_seconds=120))),
+    Pattern("SEQ-011", "Lateral Movement", 80, (Step(("net.exe", "net1.exe", "nltest.exe"), 1), Step(("psexec.exe", "psexec64.exe", "wmic.exe"), 1, max_gap_seconds=1800))),
+    Pattern("SEQ-012", "Execution", 88, (Step(("certutil",), 1, "-urlcache"), Step((), 1, max_gap_seconds=300))),
+]
+
+
 def matches(step: Step) -> Column:
     tests = []
     if step.event_code is not None:
@@ -56,39 +74,47 @@ def matches(step: Step) -> Column:
 
 
 def detect(events: DataFrame, patterns: list[Pattern] = PATTERNS) -> DataFrame:
-    """One row for each chain and each of its prefixes of two steps or more: partial matches count with less confidence."""
+    """One row for each chain and each of its prefixes of two steps or more: partial matches count with less confidence.
+
+    A row's matches of all steps are the bits of one array, so all patterns read the next rows through the same few leads. From
+    the last hop to the first, each row then gets the ends of the chains that go on from it.
+    """
     order = Window.partitionBy("computer").orderBy("t", "event_id")
-    rows = events.withColumn("__pos", F.row_number().over(order))
-    flags = {}
-    for p in patterns:
-        for k, step in enumerate(p.steps):
-            flags[f"__{p.pattern_id}_{k}"] = matches(step)
-    rows = rows.withColumns(flags)
-    found = []
+    bits = {(p.pattern_id, k): i for i, (p, k) in enumerate((p, k) for p in patterns for k in range(len(p.steps)))}
+    ahead = max(s.max_skip_steps for p in patterns for s in p.steps[1:]) + 1
+    here = F.array(*[matches(s) for p in patterns for s in p.steps])
+    rows = events.withColumn("__m", here).withColumn("__row", F.struct("t", F.col("event_uid").alias("uid"), F.col("__m").alias("m"))).withColumns({f"__next{j}": F.lead("__row", j).over(order) for j in range(1, ahead + 1)})
+    end = "array<struct<matched:int,last_t:bigint,last_uid:string>>"
+    hops = {}
     for p in patterns:
-        # hop k: for a row that matches step k, the first of the next rows that matches step k + 1 in time
         for k, step in enumerate(p.steps[1:]):
-            options = F.coalesce(*[
-                F.when(F.lead(f"__{p.pattern_id}_{k + 1}", j).over(order) & (F.lead("t", j).over(order) - F.col("t") <= (step.max_gap_seconds + TOLERANCE) * 1_000_000), F.struct(F.lit(j).alias("j"), F.lead("t", j).over(order).alias("t"), F.lead("event_uid", j).over(order).alias("uid")))
-                for j in range(1, step.max_skip_steps + 2)
-            ])
-            rows = rows.withColumn(f"__{p.pattern_id}_hop{k}", options)
-    for p in patterns:
-        total, name = len(p.steps), p.pattern_id
-        second = F.col(f"__{name}_hop0")
-        ends = [F.when(second.isNotNull(), F.struct(F.lit(2).alias("matched"), second["t"].alias("last_t"), second["uid"].alias("last_uid")))]
-        if total == 3:
-            third = F.coalesce(*[F.when(second["j"] == j, F.lead(f"__{name}_hop1", j).over(order)) for j in range(1, p.steps[1].max_skip_steps + 2)])
-            rows = rows.withColumn(f"__{name}_third", third)
-            ends.append(F.when(second.isNotNull() & F.col(f"__{name}_third").isNotNull(), F.struct(F.lit(3).alias("matched"), F.col(f"__{name}_third")["t"].alias("last_t"), F.col(f"__{name}_third")["uid"].alias("last_uid"))))
-        confidence = F.floor(F.lit(p.confidence) * F.col("m.matched") / total).cast("int")
-        level = "critical" if p.confidence >= 90 else "high" if p.confidence >= 75 else "medium" if p.confidence >= 55 else "low"
-        found.append((p, ends, confidence, level))
-    all_rows = F.array_compact(F.array(*[
-        F.when(F.col(f"__{p.pattern_id}_0") & e.isNotNull(), F.struct(F.lit(p.pattern_id).alias("pattern_id"), F.lit(p.stage).alias("stage"), F.lit(level).alias("severity"), F.lit(p.confidence).alias("base"), F.lit(len(p.steps)).alias("total"), e["matched"].alias("matched"), e["last_t"].alias("last_t"), e["last_uid"].alias("last_uid")))
-        for p, ends, _, level in found for e in ends
-    ]))
-    out = rows.select("computer", "event_uid", F.col("t").alias("first_t"), F.explode(all_rows).alias("m")).select("computer", F.col("event_uid").alias("first_uid"), "first_t", "m.*")
+            late = (step.max_gap_seconds + TOLERANCE) * 1_000_000
+            hops[p.pattern_id, k] = F.coalesce(*[F.when(F.col(f"__next{j}.m")[bits[p.pattern_id, k + 1]] & (F.col(f"__next{j}.t") - F.col("t") <= late), F.lit(j)) for j in range(1, step.max_skip_steps + 2)])
+    rows = rows.withColumn("__hops", F.array(*[hops.get((p.pattern_id, k), F.lit(None)).cast("int") for p in patterns for k in range(len(p.steps))])).withColumn("__ends", F.array(*[F.array().cast(end) for _ in patterns]))
+    for depth in range(max(len(p.steps) for p in patterns) - 2, -1, -1):
+        if depth < max(len(p.steps) for p in patterns) - 2:
+            rows = rows.withColumns({f"__go{j}": F.lead("__ends", j).over(order) for j in range(1, ahead + 1)})
+        else:
+            rows = rows.withColumns({f"__go{j}": F.lit(None).cast(f"array<{end}>") for j in range(1, ahead + 1)})
+        ends = []
+        for i, p in enumerate(patterns):
+            if depth > len(p.steps) - 2:
+                ends.append(F.array().cast(end))
+                continue
+            hop = F.col("__hops")[bits[p.pattern_id, depth]]
+            pick = lambda name, hop=hop: F.coalesce(*[F.when(hop == j, F.col(f"{name[0]}{j}{name[1]}")) for j in range(1, ahead + 1)])
+            first = F.array(F.struct(F.lit(depth + 2).alias("matched"), pick(("__next", ".t")).alias("last_t"), pick(("__next", ".uid")).alias("last_uid")))
+            more = F.coalesce(*[F.when(hop == j, F.col(f"__go{j}")[i]) for j in range(1, ahead + 1)], F.array().cast(end))
+            ends.append(F.when(hop.isNotNull(), F.concat(first, more)).otherwise(F.array().cast(end)))
+        rows = rows.withColumn("__ends", F.array(*ends))
+    level = lambda c: "critical" if c >= 90 else "high" if c >= 75 else "medium" if c >= 55 else "low"
+    found = F.array(*[
+        F.struct(F.lit(p.pattern_id).alias("pattern_id"), F.lit(p.stage).alias("stage"), F.lit(level(p.confidence)).alias("severity"), F.lit(p.confidence).alias("base"), F.lit(len(p.steps)).alias("total"),
+                 F.when(F.col("__m")[bits[p.pattern_id, 0]], F.col("__ends")[i]).otherwise(F.array().cast(end)).alias("ends"))
+        for i, p in enumerate(patterns)
+    ])
+    starts = rows.filter(F.exists("__ends", lambda e: F.size(e) > 0))
+    out = starts.select("computer", F.col("event_uid").alias("first_uid"), F.col("t").alias("first_t"), F.inline(found)).select("*", F.inline("ends")).drop("ends")
     return out.withColumn("confidence", F.floor(F.col("base") * F.col("matched") / F.col("total")).cast("int")).drop("base").dropDuplicates(["pattern_id", "computer", "first_t", "last_t", "matched"])
 
 

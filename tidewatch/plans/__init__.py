@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import behaviour, context, detection, response
+from tidewatch.plans import behaviour, casework, context, detection, response
 
-MODULES = [detection, behaviour, response, context]
+MODULES = [detection, behaviour, response, context, casework]
 
 
 def queries() -> dict:

@@ -69,8 +69,11 @@ def behavior_counts(spark, d):
 
 
 def detections_for_bursts(spark, d):
-    b = B.bursts(telemetry(spark, d))
-    return R.detections_for_bursts(b.select("burst_id", "computer", "pid", "image", "parent_image", "start_t", "end_t"), hits(spark, d)).groupBy("burst_id").agg(F.count("*").alias("detections"), F.count_distinct("d_rule").alias("rules"))
+    """Bursts carry the rule of their first hit, so likeness has something to compare."""
+    found = hits(spark, d)
+    first = found.groupBy("computer", "pid").agg(F.min_by("rule_id", F.struct("t", "event_id", "rule_id")).alias("rule_id"))
+    b = B.bursts(telemetry(spark, d)).select("burst_id", "computer", "pid", "image", "parent_image", "start_t", "end_t").join(first, ["computer", "pid"], "left")
+    return R.detections_for_bursts(b, found).groupBy("burst_id").agg(F.count("*").alias("detections"), F.count_distinct("d_rule").alias("rules"))
 
 
 def run_confidence(spark, d):
@@ -148,7 +151,7 @@ def campaign_members(spark, d):
 
 
 def process_tree(spark, d):
-    links = G.parent_links(telemetry(spark, d).withColumn("computer", F.lit("all")))
+    links = G.parent_links(telemetry(spark, d))
     return G.tree_depths(links)
 
 
@@ -192,23 +195,33 @@ DEV = TELE + f""", hh AS (SELECT *, (t // 3600000000) % 24 AS hour FROM tele), o
   dz AS (SELECT *, 0.40 * f + 0.25 * p + 0.15 * h + 0.20 * i AS raw FROM dy), ds AS (SELECT event_uid, computer, image, round(f, 6) AS f, round(p, 6) AS p, round(h, 6) AS h, round(i, 6) AS i, least(1.0, CASE WHEN n < 15 THEN greatest(0.2, 0.75 * raw) ELSE raw END) AS dev FROM dz)"""
 
 
-def _sequence_sql() -> str:
-    parts = ["pos AS (SELECT computer, event_uid, t, image, event_code, row_number() OVER (PARTITION BY computer ORDER BY t, event_id) AS rn FROM tele)"]
+def _sequence_sql(patterns=Q.PATTERNS, rows="pos", out="sq") -> str:
+    quoted = lambda x: x.replace("'", "''")
+
+    def test(s, a: str) -> str:
+        parts = [f"{a}.event_code = {s.event_code}"]
+        if s.image_any:
+            parts.append("(" + " OR ".join(f"contains({a}.image, '{quoted(i)}')" for i in s.image_any) + ")")
+        if s.cmd_contains:
+            parts.append(f"contains(lower({a}.command_line), '{quoted(s.cmd_contains)}')")
+        return " AND ".join(parts)
+
+    parts = [f"{rows} AS (SELECT computer, event_uid, t, image, event_code, command_line, row_number() OVER (PARTITION BY computer ORDER BY t, event_id) AS rn FROM tele)"]
     names = []
-    for p in Q.PATTERNS:
+    for p in patterns:
         name = p.pattern_id.replace("-", "").lower()
-        test = lambda s, a: f"contains({a}.image, '{s.image_any[0]}') AND {a}.event_code = {s.event_code}"
-        before = f"SELECT computer, event_uid AS first_uid, t AS first_t, event_uid AS uid, t, rn FROM pos WHERE {test(p.steps[0], 'pos')}"
+        before = f"SELECT computer, event_uid AS first_uid, t AS first_t, event_uid AS uid, t, rn FROM {rows} WHERE {test(p.steps[0], rows)}"
         for k, s in enumerate(p.steps[1:], 2):
             parts.append(f"""{name}{k} AS (SELECT * FROM (SELECT a.computer, a.first_uid, a.first_t, b.event_uid AS uid, b.t, b.rn, row_number() OVER (PARTITION BY a.computer, a.first_uid ORDER BY b.rn) AS o
-              FROM ({before}) a JOIN pos b ON a.computer = b.computer AND b.rn BETWEEN a.rn + 1 AND a.rn + {s.max_skip_steps + 1} AND b.t - a.t <= {(s.max_gap_seconds + 5) * 1000000} AND {test(s, 'b')}) WHERE o = 1)""")
+              FROM ({before}) a JOIN {rows} b ON a.computer = b.computer AND b.rn BETWEEN a.rn + 1 AND a.rn + {s.max_skip_steps + 1} AND b.t - a.t <= {(s.max_gap_seconds + 5) * 1000000} AND {test(s, 'b')}) WHERE o = 1)""")
             before = f"SELECT computer, first_uid, first_t, uid, t, rn FROM {name}{k}"
             level = "critical" if p.confidence >= 90 else "high"
-            names.append(f"SELECT '{p.pattern_id}' AS pattern_id, computer, first_uid, uid AS last_uid, first_t, t AS last_t, {k} AS matched, {p.confidence * k // len(p.steps)} AS confidence, '{level}' AS severity FROM {name}{k}")
-    return ", ".join(parts) + ", sq AS (" + " UNION ALL ".join(names) + ")"
+            names.append(f"SELECT '{p.pattern_id}' AS pattern_id, '{p.stage}' AS stage, computer, first_uid, uid AS last_uid, first_t, t AS last_t, {k} AS matched, {p.confidence * k // len(p.steps)} AS confidence, '{level}' AS severity FROM {name}{k}")
+    return ", ".join(parts) + f", {out} AS (" + " UNION ALL ".join(names) + ")"
 
 
-SEQ = HOST + ", " + _sequence_sql()
+SEQUENCES = _sequence_sql()
+SEQ = HOST + ", " + SEQUENCES
 _STAGES = "stg(event_code, kill_chain_stage) AS (VALUES " + ", ".join(f"({c}, '{s}')" for c, _, _, s, _ in K.EVENT_CODES) + ")"
 STAGED = TELE + f""", {_STAGES}, sx AS (SELECT tele.*, kill_chain_stage, {RANKS.format('kill_chain_stage')} AS rk FROM tele JOIN stg USING (event_code))"""
 EDGES = STAGED + """, er AS (SELECT a.event_id AS a_event_id, b.event_id AS b_event_id, a.computer, a.rk AS ra, b.rk AS rb,
@@ -234,7 +247,10 @@ SQL = {
     "auto_correlated": HOST + f"SELECT computer, count(*) AS bursts, count(DISTINCT stage) AS stages, min(start_t) AS first_t, CASE WHEN count(DISTINCT stage) >= 3 THEN 30 ELSE 20 END AS strength FROM st GROUP BY 1 HAVING bursts >= 2 AND stages >= 2 AND {AS_OF_T} - first_t >= 300000000",
     "burst_reasons": HOST + "SELECT burst_id, concat_ws(';', CASE WHEN n > 10 THEN 'high frequency' END, CASE WHEN net_count > 2 THEN 'sequence linked' END, CASE WHEN parent_image <> '' AND parent_image NOT IN (" + ", ".join(f"'{b}'" for b in K.BENIGN_PARENTS) + ") THEN 'abnormal parent' END) AS reasons FROM st",
     "behavior_counts": TELE + "SELECT computer, CASE event_code WHEN 1 THEN 'execution' WHEN 3 THEN 'network' WHEN 11 THEN 'file' ELSE 'registry' END AS behavior_type, count(*) AS n FROM tele WHERE event_code IN (1, 3, 11, 12, 13, 14, 15) GROUP BY 1, 2",
-    "detections_for_bursts": HITS + ", " + _bursts_sql(["image", "pid", "computer", "user"], "fb") + """, dm AS (SELECT DISTINCT burst_id, event_uid, rule_id FROM fb b JOIN hits h ON b.computer = h.computer AND h.t BETWEEN start_t - 5000000 AND end_t + 5000000 AND (b.pid = h.pid OR (b.image = h.image AND b.parent_image = h.parent_image)))
+    "detections_for_bursts": HITS + ", " + _bursts_sql(["image", "pid", "computer", "user"], "fb") + """, fr AS (SELECT computer, pid, rule_id AS own FROM hits QUALIFY row_number() OVER (PARTITION BY computer, pid ORDER BY t, event_id, rule_id) = 1),
+      bb AS (SELECT fb.*, own FROM fb LEFT JOIN fr USING (computer, pid)),
+      dm AS (SELECT DISTINCT burst_id, event_uid, rule_id FROM bb b JOIN hits h ON b.computer = h.computer WHERE (b.pid = h.pid AND h.t BETWEEN start_t - 5000000 AND end_t + 5000000)
+        OR CASE WHEN own = rule_id THEN 3 ELSE 0 END + CASE WHEN b.parent_image = h.parent_image THEN 2 ELSE 0 END + CASE WHEN b.image = h.image THEN 2 ELSE 0 END >= 5)
       SELECT burst_id, count(*) AS detections, count(DISTINCT rule_id) AS rules FROM dm GROUP BY 1""",
     "run_confidence": HITS + ", " + _bursts_sql(["computer", "image"], "hb") + f""", q AS (SELECT count(*) AS detections, count(DISTINCT mitre_tactic) AS tactics, max({RANKS.format('kill_chain_stage')})::INT AS top_rank, (SELECT max(n) FROM hb) AS peak FROM hits),
       p AS (SELECT *, least(100, CASE WHEN detections >= 10 THEN 45 WHEN detections >= 3 THEN 25 WHEN detections >= 1 THEN 10 ELSE 0 END + CASE WHEN tactics >= 3 THEN 25 WHEN tactics >= 1 THEN 10 ELSE 0 END + CASE WHEN top_rank >= 5 THEN 25 WHEN top_rank >= 2 THEN 10 ELSE 0 END + least(20, peak // 5))::INT AS score FROM q)
@@ -256,9 +272,11 @@ SQL = {
         * CASE least(5, stages + 1) WHEN 3 THEN 1.5 WHEN 4 THEN 2.5 WHEN 5 THEN 4.0 ELSE 1.0 END), 6) AS score FROM nn JOIN ee USING (component))
       SELECT component, computer, nodes, edges, first_t, last_t, stages, round(weight, 6) AS weight, score, CASE WHEN last_t < {AS_OF_T - 86400000000} THEN 'dormant' ELSE 'active' END AS status, CASE WHEN last_t < {AS_OF_T - 86400000000} THEN greatest(20.0, floor(0.9 * score)) ELSE floor(score) END AS confidence FROM cs""",
     "campaign_members": COMP + "SELECT node, component FROM cp",
-    "process_tree": TELE.replace("WITH ev", "WITH RECURSIVE ev", 1) + """, x AS (SELECT event_id, t, pid, ppid FROM tele WHERE event_code = 1), pl AS (SELECT c.event_id, (SELECT p.event_id FROM x p WHERE p.pid = c.ppid AND (p.t < c.t) ORDER BY p.t DESC, p.event_id DESC LIMIT 1) AS parent_id FROM x c),
+    "process_tree": TELE.replace("WITH ev", "WITH RECURSIVE ev", 1) + """, x AS (SELECT event_id, t, pid, ppid, computer FROM tele WHERE event_code = 1), pl AS (SELECT c.event_id, (SELECT p.event_id FROM x p WHERE p.computer = c.computer AND p.pid = c.ppid AND (p.t < c.t) ORDER BY p.t DESC, p.event_id DESC LIMIT 1) AS parent_id FROM x c),
       tr AS (SELECT event_id, event_id AS root_id, 0::BIGINT AS depth FROM pl WHERE parent_id IS NULL UNION ALL SELECT pl.event_id, tr.root_id, tr.depth + 1 FROM tr JOIN pl ON pl.parent_id = tr.event_id) SELECT event_id, root_id, depth FROM tr""",
-    "parent_chain": TELE + ", x AS (SELECT *, lag(image, 2) OVER (PARTITION BY \"user\" ORDER BY t, event_id) AS gp FROM tele) SELECT event_uid, concat_ws(' > ', gp, parent_image, image) AS chain, 1 + CASE WHEN parent_image IS NOT NULL AND parent_image <> 'svchost.exe' THEN 1 ELSE 0 END + CASE WHEN gp IS NOT NULL AND gp <> 'svchost.exe' THEN 1 ELSE 0 END AS process_depth FROM x",
+    "parent_chain": TELE + """, w AS (SELECT computer, pid, image, ppid FROM tele QUALIFY row_number() OVER (PARTITION BY computer, pid ORDER BY t DESC, event_id DESC) = 1)
+      SELECT e.event_uid, concat_ws(' > ', g.image, p.image, e.image) AS chain, 1 + CASE WHEN p.image IS NOT NULL AND p.image <> 'svchost.exe' THEN 1 ELSE 0 END + CASE WHEN g.image IS NOT NULL AND g.image <> 'svchost.exe' THEN 1 ELSE 0 END AS process_depth
+      FROM tele e LEFT JOIN w p ON p.computer = e.computer AND p.pid = e.ppid LEFT JOIN w g ON g.computer = p.computer AND g.pid = p.ppid""",
     "story_steps": STAGED + """, c1 AS (SELECT *, CASE WHEN coalesce(image = lag(image) OVER w AND kill_chain_stage = lag(kill_chain_stage) OVER w, false) THEN 0 ELSE 1 END AS cut FROM sx WINDOW w AS (PARTITION BY computer ORDER BY t, event_id)),
       c2 AS (SELECT *, sum(cut) OVER (PARTITION BY computer ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS step FROM c1),
       c3 AS (SELECT computer, step, min(t) AS start_t, max(t) AS end_t, count(*) AS n, any_value(image) AS image, any_value(kill_chain_stage) AS stage, (array_agg(parent_image ORDER BY t, event_id))[1] AS pi FROM c2 GROUP BY 1, 2)

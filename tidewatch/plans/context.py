@@ -121,5 +121,6 @@ SQL = {
       SELECT i.computer AS incident_id, CASE action WHEN 'false_positive' THEN 'Closed - False Positive' WHEN 'escalate' THEN 'Escalated' WHEN 'close_benign' THEN 'Closed - Benign' ELSE 'Triage' END AS status, coalesce(a, 'nobody') AS analyst, action, notes FROM (SELECT DISTINCT computer FROM tele) i LEFT JOIN g USING (computer)""",
     "decayed_profile": TELE + "SELECT computer, image, greatest(1, floor(count(value) * exp(-3.0::DOUBLE / 7)))::BIGINT AS n, round(var_pop(value) * count(value) * exp(-3.0::DOUBLE / 7), 1) AS m2 FROM tele GROUP BY 1, 2",
     "quality_by_source": "SELECT source, count(*) AS n, round(avg(quality), 6) AS good, round(avg(toxic), 6) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1",
-    "empty_suspicion": P.SEQ + HITS[HITS.index(", sig AS") :] + "SELECT (SELECT count(*) FROM hits) AS detections, (SELECT count(*) FROM sq) AS sequences, 0::BIGINT AS campaigns, true AS suspicious",
+    "empty_suspicion": P.COMP + HITS[HITS.index(", sig AS") :] + ", " + P.SEQUENCES + """, q AS (SELECT (SELECT count(*) FROM hits) AS detections, (SELECT count(*) FROM sq) AS sequences, (SELECT count(DISTINCT component) FROM cp) AS campaigns)
+      SELECT *, detections > 5 AND sequences >= 1 AND campaigns = 0 AS suspicious FROM q""",
 }

@@ -218,7 +218,7 @@ SQL = {
         WHEN 'DET-004' THEN 'image ' || image || ';parent ' || parent_image WHEN 'DET-040' THEN 'event code' ELSE 'path ' || path END AS reason FROM hits""",
     "rule_summary": HITS + "SELECT rule_id, image, mitre_id, min(t) AS first_seen, max(t) AS last_seen, count(*) AS n, count(DISTINCT parent_image) AS parents FROM hits GROUP BY ALL",
     "rule_fallback": HITS + f""", f AS (SELECT event_uid, CASE {_FALLBACK} END AS rule_id FROM sig WHERE event_code IN (12, 13, 14) AND NOT {_likes('path', K.REGISTRY_NOISE)}),
-      fr(rule_id, mitre_id, confidence_score, rule_severity) AS (VALUES {_FALLBACK_ROWS}) SELECT event_uid, rule_id, mitre_id, confidence_score, rule_severity FROM f JOIN fr USING (rule_id)""",
+      fr(rule_id, mitre_id, confidence_score, rule_severity) AS (VALUES {_FALLBACK_ROWS}) SELECT event_uid, rule_id, mitre_id, confidence_score, rule_severity FROM f JOIN fr USING (rule_id) WHERE event_uid NOT IN (SELECT event_uid FROM hits)""",
     "primary_detection": HITS + f""", s AS (SELECT *, {STRENGTH} AS st, row_number() OVER (PARTITION BY computer, image ORDER BY round({STRENGTH}, 9) DESC, CASE rule_severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, confidence_score DESC, rule_id DESC, event_uid DESC) AS rk,
       count(*) OVER (PARTITION BY computer, image) AS supporting, max(confidence_score) OVER (PARTITION BY computer, image) AS supporting_max_conf FROM hits)
       SELECT computer, image, rule_id, event_uid, confidence_score, rule_severity, round(st, 6) AS strength, supporting, supporting_max_conf FROM s WHERE rk = 1""",
@@ -227,9 +227,9 @@ SQL = {
     "host_floor": TELE + ", h AS (SELECT computer, image, count(*) AS n FROM tele GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY computer)::BIGINT AS host_total FROM h) SELECT *, CASE WHEN host_total > 520 THEN 50 WHEN host_total > 400 THEN 45 ELSE 40 END AS floor FROM w",
     "pattern_scan": "WITH p AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{n}' END" for n, p in PATTERNS.items()) + """], lambda x: x IS NOT NULL) AS a FROM documents)
       SELECT doc_id, array_to_string(a, ',') AS names, len(a)::INT AS yara_hits, least(100, len(a) * 20 + CASE WHEN len(a) >= 3 THEN 20 ELSE 0 END)::INT AS yara_score FROM p WHERE len(a) > 0""",
-    "cmd_entropy": """WITH c AS (SELECT doc_id, unnest(string_split(substr(text, 1, 4096), '')) AS ch FROM documents), g AS (SELECT doc_id, ch, count(*)::DOUBLE AS c FROM c GROUP BY ALL),
+    "cmd_entropy": """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), g AS (SELECT doc_id, ch, count(*)::DOUBLE AS c FROM c GROUP BY ALL),
       n AS (SELECT doc_id, c, sum(c) OVER (PARTITION BY doc_id) AS n FROM g), e AS (SELECT doc_id, round_even(sum(-(c / n) * log2(c / n)), 3) AS entropy FROM n GROUP BY 1)
-      SELECT d.doc_id, coalesce(entropy, 0.0::DOUBLE) AS entropy, coalesce(least(length(text), 4096) >= 20 AND entropy > 4.5 + least(1.5, least(length(text), 4096) / 500.0), false) AS is_high FROM documents d LEFT JOIN e USING (doc_id)""",
+      SELECT d.doc_id, coalesce(entropy, 0.0::DOUBLE) AS entropy, coalesce(length(text) >= 20 AND entropy > 4.5 + least(1.5, length(text) / 500.0), false) AS is_high FROM documents d LEFT JOIN e USING (doc_id)""",
     "cmd_signals": TELE + f"""SELECT event_uid, {SEVERITY} AS severity, CASE WHEN event_code IN (1, 13) THEN 'critical' WHEN event_code IN (3, 11, 22) THEN 'high' ELSE 'low' END AS priority,
       {_likes('lower(command_line)', ['-enc ', '-encodedcommand', ' -e ', '-ec '])} AS encoded, contains(lower(command_line), 'http://') AS download, {EXTERNAL.format('dst_ip')} AS external, {ODD_PARENT} AS odd_chain,
       image IN ({_quoted(K.SYSTEM_PROCESSES)}) AS system, CASE image WHEN 'powershell.exe' THEN 0.7::DOUBLE WHEN 'cmd.exe' THEN 0.5 WHEN 'certutil.exe' THEN 0.9 ELSE 0.0 END AS lolbin_weight,

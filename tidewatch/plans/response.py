@@ -97,7 +97,7 @@ def invariants(spark, d):
     e = A.with_mitre(telemetry(spark, d))
     edges = G.edges(e)
     members = G.components(edges.select(F.col("a_event_id").alias("u"), F.col("b_event_id").alias("v")))
-    return V.invariants(P.host_bursts(spark, d), edges, members, G.parent_links(telemetry(spark, d).withColumn("computer", F.lit("all"))))
+    return V.invariants(P.host_bursts(spark, d), edges, members, G.parent_links(telemetry(spark, d)))
 
 
 def table_fingerprint(spark, d):
@@ -148,6 +148,9 @@ SQL = {
     "insert_new": TELE + f"SELECT \"user\", image, event_id, t, k FROM tele a WHERE t >= {SPLIT_T} AND NOT EXISTS (SELECT 1 FROM tele b WHERE b.t < {SPLIT_T} AND b.\"user\" = a.\"user\" AND b.image = a.image AND b.k = a.k)",
     "accounting": TELE + "SELECT count(*) AS raw, count(*) FILTER (image IS NOT NULL AND parent_image IS NOT NULL) AS complete, count(DISTINCT event_uid) FILTER (image IS NOT NULL AND parent_image IS NOT NULL) AS final, count(*) - count(DISTINCT event_uid) FILTER (image IS NOT NULL AND parent_image IS NOT NULL) AS dropped FROM tele",
     "context_problems": TELE + "SELECT event_uid, 'parent_image' AS missing FROM tele WHERE parent_image IS NULL",
-    "invariants": "SELECT unnest(['score without evidence', 'burst runs backwards', 'edge without ends', 'node in two campaigns', 'child before parent']) AS invariant, 0::BIGINT AS violations",
+    "invariants": P.COMP + ", " + P.HOST[P.HOST.index("hb_c AS") :] + """, px AS (SELECT event_id, t, pid, ppid, computer FROM tele WHERE event_code = 1), pc AS (SELECT c.event_id, c.t, (SELECT p.event_id FROM px p WHERE p.computer = c.computer AND p.pid = c.ppid AND p.t < c.t ORDER BY p.t DESC, p.event_id DESC LIMIT 1) AS parent_id FROM px c)
+      SELECT 'score without evidence' AS invariant, count(*) AS violations FROM st WHERE risk > 0 AND n = 0 UNION ALL SELECT 'burst runs backwards', count(*) FROM st WHERE end_t < start_t
+      UNION ALL SELECT 'edge without ends', count(*) FROM (SELECT a_event_id AS node FROM ed UNION SELECT b_event_id FROM ed) e WHERE node NOT IN (SELECT node FROM cp)
+      UNION ALL SELECT 'node in two campaigns', count(*) FROM (SELECT node FROM cp GROUP BY 1 HAVING count(DISTINCT component) > 1) UNION ALL SELECT 'child before parent', count(*) FROM pc c JOIN pc p ON c.parent_id = p.event_id WHERE c.t < p.t""",
     "slow_entities": TELE + ", g AS (SELECT computer, image, count(*) AS n FROM tele GROUP BY 1, 2), p AS (SELECT image, avg(n) AS m, stddev_samp(n) AS s FROM g GROUP BY 1) SELECT computer, image, n, round((n - m) / greatest(0.1::DOUBLE, s), 6) AS z FROM g JOIN p USING (image)",
 }

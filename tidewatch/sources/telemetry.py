@@ -1,7 +1,7 @@
 """The telemetry view: the driver's ``events`` table as canonical endpoint events.
 
 ``t`` is microseconds since 1970 in UTC, so results do not depend on the session's time zone. Ties in time are broken by
-``event_id`` everywhere.
+``event_id`` everywhere. A process is a user; its parent is the user of the same computer twenty numbers before.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def from_events(events: DataFrame) -> DataFrame:
         F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("t"),
         F.concat(F.lit("host-"), (F.col("user_id") % 20).cast("string")).alias("computer"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"),
-        F.col("user_id").cast("string").alias("pid"), F.floor(F.col("user_id") / 10).cast("string").alias("ppid"),
+        F.col("user_id").cast("string").alias("pid"), (F.col("user_id") - 20).cast("string").alias("ppid"),
         _kind(0).alias("event_code"), _kind(1).alias("image"), "value",
         F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"),
     )
@@ -56,7 +56,7 @@ SQL = r"""WITH ev AS (
   SELECT event_id, epoch_us(ts) AS t, user_id, event_type, value, CAST(regexp_extract(props, '(\d+)', 1) AS INT) AS k FROM events),
 tel AS (
   SELECT event_id, CAST(event_id AS VARCHAR) AS event_uid, t, 'host-' || CAST(user_id % 20 AS VARCHAR) AS computer, 'u' || CAST(user_id AS VARCHAR) AS "user",
-    CAST(user_id AS VARCHAR) AS pid, CAST(user_id // 10 AS VARCHAR) AS ppid,
+    CAST(user_id AS VARCHAR) AS pid, CAST(user_id - 20 AS VARCHAR) AS ppid,
     CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 3 WHEN 'purchase' THEN 11 WHEN 'signup' THEN 13 WHEN 'error' THEN 22 END AS event_code,
     CASE event_type WHEN 'view' THEN 'powershell.exe' WHEN 'click' THEN 'cmd.exe' WHEN 'purchase' THEN 'certutil.exe' WHEN 'signup' THEN 'reg.exe' WHEN 'error' THEN 'svchost.exe' END AS image,
     value, k FROM ev),
