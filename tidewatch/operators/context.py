@@ -35,7 +35,7 @@ def prior_correlation(bursts: DataFrame, links: DataFrame, seconds: int = 900) -
 def detected_stage(bursts: DataFrame, hits: DataFrame) -> DataFrame:
     """Burst stages promoted by the highest stage detected for their image."""
     top = hits.groupBy("image").agg(F.max_by("kill_chain_stage", S.stage_rank(F.col("kill_chain_stage"))).alias("detected"))
-    return bursts.join(F.broadcast(top), "image", "left").withColumn("final_stage", F.when(F.col("detected").isNull(), F.col("stage")).otherwise(S.promote(F.col("stage"), F.col("detected"))))
+    return bursts.join(top, "image", "left").withColumn("final_stage", F.when(F.col("detected").isNull(), F.col("stage")).otherwise(S.promote(F.col("stage"), F.col("detected"))))
 
 
 def alternate_primary(hits: DataFrame, by: list[str]) -> DataFrame:
@@ -46,7 +46,11 @@ def alternate_primary(hits: DataFrame, by: list[str]) -> DataFrame:
 
 def burst_detail(bursts: DataFrame, events: DataFrame) -> DataFrame:
     """Events inside each burst, its children, and an indicator risk (60 critical code, 20 medium, 15 or 5 by number, 10 external)."""
-    inside = bursts.join(events.select("computer", "image", "t", "event_code", "dst_ip"), ["computer", "image"]).filter(F.col("t").between(F.col("start_t"), F.col("end_t")))
+    # bursts of an entity don't overlap, so an event can only be inside the last one that began before it
+    when = Window.partitionBy("computer", "image").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    starts = bursts.select("computer", "image", F.col("start_t").alias("t"), F.lit(0).alias("kind"), F.struct("burst_id", "end_t").alias("b"))
+    rows = events.select("computer", "image", "t", F.lit(1).alias("kind"), "event_code", "dst_ip")
+    inside = starts.unionByName(rows, allowMissingColumns=True).withColumn("b", F.last("b", ignorenulls=True).over(when)).filter("kind = 1 and t <= b.end_t").select("b.burst_id", "event_code", "dst_ip")
     g = inside.groupBy("burst_id").agg(F.count("*").alias("events"), F.max(F.col("event_code").isin(8, 9, 25)).alias("critical"), F.max(F.col("event_code").isin(3, 7, 10, 11, 22, 23)).alias("medium"), F.max(S.external_address(F.col("dst_ip"))).alias("external"))
     points = F.when(F.col("critical"), 60).otherwise(0) + F.when(F.col("medium"), 20).otherwise(0) + F.when(F.col("events") > 50, 15).when(F.col("events") > 10, 5).otherwise(0) + F.when(F.col("external"), 10).otherwise(0)
     return g.withColumn("indicator_risk", F.least(F.lit(100), points))

@@ -86,8 +86,12 @@ def iocs(rows: DataFrame, text: str, key: str, kinds: dict[str, str] = IOC_PATTE
 
 
 def ioc_lists(events: DataFrame, by: str, limit: int = 20) -> DataFrame:
-    """Sorted addresses, files and keys of each ``by``, ``limit`` of each at most (a report)."""
-    def top(c: Column) -> Column:
-        return F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, limit), ",")
-
-    return events.groupBy(by).agg(top(F.when(S.external_address(F.col("dst_ip")), F.col("dst_ip"))).alias("ips"), top(F.col("file_path")).alias("files"), top(F.col("reg_key")).alias("keys"))
+    """Sorted addresses, files and keys of each ``by``, the first ``limit`` of each (a report).
+
+    Distinct values are ranked by a window and cut before they are gathered, so no list grows with a host.
+    """
+    kinds = {"ips": F.when(S.external_address(F.col("dst_ip")), F.col("dst_ip")), "files": F.col("file_path"), "keys": F.col("reg_key")}
+    each = events.select(by, F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in kinds.items()]))).filter("value is not null").distinct()
+    first = each.withColumn("o", F.row_number().over(Window.partitionBy(by, "kind").orderBy("value"))).filter(F.col("o") <= limit)
+    lists = [F.coalesce(F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("value")))), ","), F.lit("")).alias(k) for k in kinds]
+    return events.select(by).distinct().join(first.groupBy(by).agg(*lists), by, "left").select(by, *[F.coalesce(k, F.lit("")).alias(k) for k in kinds])

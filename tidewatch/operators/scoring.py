@@ -68,10 +68,12 @@ def record_verdicts(verdicts: DataFrame) -> DataFrame:
 def feedback_adjustment(b: DataFrame, memory: DataFrame, least: int = 3) -> DataFrame:
     """Each burst's adjustment of largest size among patterns with its image (3 points) and parent (2), kept in -20..15."""
     m = memory.select(F.col("image").alias("m_image"), F.col("parent_image").alias("m_parent"), "adjustment", "fingerprint")
-    points = F.lit(3) + F.when(F.col("parent_image") == F.col("m_parent"), 2).otherwise(0)
-    found = b.join(F.broadcast(m), F.col("image") == F.col("m_image")).withColumn("points", points).filter(F.col("points") >= least)
-    best = found.groupBy("burst_id").agg(F.max_by("adjustment", F.struct("points", F.abs("adjustment"), "fingerprint")).alias("adjustment"))
-    return b.join(best, "burst_id", "left").withColumn("adjustment", F.greatest(F.lit(-20), F.least(F.lit(15), F.coalesce("adjustment", F.lit(0)))))
+    order = F.struct(F.abs("adjustment"), "fingerprint")
+    exact = m.groupBy("m_image", "m_parent").agg(F.max_by("adjustment", order).alias("own"))
+    wide = m.groupBy("m_image").agg(F.max_by("adjustment", order).alias("any"))  # what an image's patterns come down to: one row each
+    both = b.join(exact, (F.col("image") == F.col("m_image")) & (F.col("parent_image") == F.col("m_parent")), "left").drop("m_image", "m_parent")
+    both = both.join(wide, F.col("image") == F.col("m_image"), "left").drop("m_image") if least <= 3 else both.withColumn("any", F.lit(None).cast("int"))
+    return both.withColumn("adjustment", F.coalesce("own", "any")).drop("own", "any").withColumn("adjustment", F.greatest(F.lit(-20), F.least(F.lit(15), F.coalesce("adjustment", F.lit(0)))))
 
 
 def priority(confidence: Column) -> Column:
