@@ -248,14 +248,14 @@ class UnitCache:
     #: Bytes of the objects that hold a unit and its ids.
     OVERHEAD, LARGEST = 170, 256
 
-    def __init__(self, spans: Callable[[list[str]], list[bytes]], special: dict[str, int], cuts: regex.Pattern | None, room: int = 96 << 20) -> None:
+    def __init__(self, spans: Callable[[list[str]], list[bytes]], special: dict[str, int], cuts: regex.Pattern | None, room: int = 64 << 20) -> None:
         self.spans, self.special, self.cuts, self.room = spans, special, cuts, room
         self.units: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
-    def encode_batch(self, texts: list[str], chars: int = 1 << 21) -> list[bytes]:
+    def encode_batch(self, texts: list[str], chars: int = 1 << 20) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers; ``chars`` of text at once."""
         out, part, held = [], [], 0
         for t in texts:

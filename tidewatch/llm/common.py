@@ -114,6 +114,10 @@ def with_group(rows: DataFrame, names: list[str], values: dict[str, tuple[Column
     return dealt.join(whole, [*names, "__part"]).drop("__part")
 
 
+#: Rows of an Arrow batch: batches are off the JVM's heap, and its buffers stay with the executor.
+BATCH, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @cache
 def _ship(app: str) -> None:
     """Send this package to the executors, which need not have it installed."""
@@ -129,8 +133,12 @@ def _ship(app: str) -> None:
 def map_batches(df: DataFrame, schema: str, work: Callable[[Iterator[dict]], Iterator[dict]], rows: int = 1000) -> DataFrame:
     """``mapInArrow`` over columns: ``work`` gets dicts of columns, of ``rows`` rows at most, and yields such dicts.
 
-    Python holds the objects of one such part at a time.
+    Python holds the objects of one such part at a time, and Spark sends no larger Arrow batches: the session's
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` is lowered to ``BATCH`` where it is above.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH)) > BATCH:
+        conf.set(_BATCH, str(BATCH))
     arrow = _arrow_schema(schema)
     _ship(df.sparkSession.sparkContext.applicationId)
 

@@ -38,6 +38,7 @@ SEED = 42
 #: Bands and least hashes of each; 64-bit words of a wide fingerprint, and differing bits up to which it links. Similarity
 #: 0.8 of the shingle sets is a cosine of 8/9, an angle of 0.152 half turns, 77.6 bits of 512 in the mean, 8.1 the deviation.
 BANDS, ROWS, WORDS, WIDE = 14, 6, 8, 90
+FULL = 16_384  # members of a band that one task compares, 1.5 MB
 _MIX = np.random.default_rng(17).integers(1, 1 << 63, (3, BANDS * ROWS + WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -222,7 +223,7 @@ def links(distinct: DataFrame, bits: int = 2, limit: int = 4096) -> DataFrame:
     return level(distinct.select("fp"), ring_keys(list(range(64)), bits), [], 0)
 
 
-def wide_links(distinct: DataFrame, limit: int = 4096, most: int = WIDE) -> DataFrame:
+def wide_links(distinct: DataFrame, limit: int = FULL, most: int = WIDE) -> DataFrame:
     """(u, v) pairs of fp that connect all rows (fp, wide array<long>, bands array<long>) with a common band and at most
     ``most`` differing wide bits. ``distinct`` is read several times: pass a stored table."""
 
@@ -301,7 +302,7 @@ def similar_documents(docs: DataFrame, size: int = 5, bits: int = 4, limit: int
     rows = docs.select("doc_id", F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("digest"), text.alias("text"))
     marked = stored(map_batches(rows, f"doc_id {id_kind}, digest binary, fp long, wide array<long>, bands array<long>", work), "fingerprints")
     distinct = stored(marked.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("fp", "wide", "bands")]).drop("digest"), "distinct")
-    pairs = links(distinct.select("fp").distinct(), bits, limit).union(wide_links(distinct, limit))
+    pairs = links(distinct.select("fp").distinct(), bits, limit).union(wide_links(distinct))
     named = _with_components(marked.select("doc_id", "digest", "fp"), pairs)
     who = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "digest")))
     return with_group(named, ["class"], {"who": (who, F.min)}, ["doc_id", "digest"]).select("doc_id", "digest", F.col("who.doc_id").alias("first_id"), F.col("who.digest").alias("first_digest"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import delete_path, map_batches, plain, remember, shared_folder, stored, with_group
 
-LENGTH, GRAM, MANY, CAP = 400, 64, 4000, 30_000
+LENGTH, GRAM, MANY, CAP = 400, 64, 30_000, 30_000  # 30,000 contexts are 22 MB
 #: Words of a gram, and bytes of a word's checksum.
 GRAM_WORDS, SYMBOL = 16, 4
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
