@@ -710,3 +710,18 @@ def test_simhash_rows(spark, odd, empty):
     assert zero[1] == zero[2] == zero[10] == 1
     assert {r["component_id"] for r in got if r["doc_id"] in (4, 5)} == {4}
     assert simhash.near_duplicate_rows(empty).count() == 0
+
+
+def test_joined_units_get_the_ids_of_the_library():
+    from tokenizers import Tokenizer
+
+    content = bpe.read_vocabulary(None)
+    library, cache = Tokenizer.from_str(content), packing._tokenizer(content)
+    library.no_truncation()
+    library.no_padding()
+    signs, draw = [" ", " ", " ", "\n", "  ", " \n", "\t", "a", "é", "漢字", "'s", "12", "-", "<|endoftext|>", "\x1c", "\x85", "𝒳"], random.Random(3)
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
+    for _ in range(2):  # the second time from the cache
+        for i in range(0, len(texts), 500):
+            part = texts[i : i + 500]
+            assert [np.frombuffer(x, "<u4").tolist() for x in cache.encode_batch(part)] == [library.encode(t, add_special_tokens=False).ids for t in part]

@@ -301,7 +301,7 @@ class UnitCache:
         if not first or first[0].isspace() or first[-1].isspace():
             return None
         units = self.units
-        new = {u for u in rest if u not in units and u not in fresh}
+        new = set(rest).difference(units).difference(fresh)
         for u in new:
             body = u[1:] if u[:1] == "\n" else u
             if not body or body[0].isspace() or body[-1].isspace():

@@ -17,7 +17,7 @@ import bisect
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, chain, compress, pairwise
 
 import numpy as np
 import regex
@@ -30,6 +30,8 @@ from tidewatch.llm.common import map_batches, plain, stored
 
 CAPACITY = 2048
 PART = 20_000
+#: Units in one call of the encoder.
+TOGETHER = 512
 #: (length, first rank, pieces a sequence, sequences, first sequence, offset)
 Placement = tuple[int, int, int, int, int, int]
 
@@ -47,10 +49,35 @@ def _tokenizer(content: str) -> UnitCache:
     special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
     cuts = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
-    def spans(texts: list[str]) -> list[bytes]:
+    width = np.zeros(tok.get_vocab_size(), np.int64)  # bytes of each token: its byte-level spelling has one sign a byte
+    for name, i in tok.get_vocab().items():
+        width[i] = len(name)
+    apart = any(c.isspace() for s in special for c in s)  # such a token might arise where two units meet
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, list[int]]:
         ids = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-        flat, ends = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), [0, *accumulate(4 * len(x) for x in ids)]
-        return [flat[a:b] for a, b in pairwise(ends)]
+        return np.fromiter(chain.from_iterable(ids), "<u4"), [0, *accumulate(map(len, ids))]
+
+    def cut(ids: np.ndarray, ends: list[int]) -> list[bytes]:
+        flat = ids.tobytes()
+        return [flat[4 * a : 4 * b] for a, b in pairwise(ends)]
+
+    def joined(units: list[str]) -> list[bytes]:
+        """Units are encoded many at a time; where each one's ids end follows from the bytes of the tokens."""
+        ids, _ = encode(["".join(units[i : i + TOGETHER]) for i in range(0, len(units), TOGETHER)])
+        have, want = np.cumsum(width[ids]), np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in units])
+        at = np.searchsorted(have, want) + 1
+        if len(ids) and at[-1] == len(ids) and (have[at - 1] == want).all():
+            return cut(ids, [0, *at.tolist()])
+        return cut(*encode(units))  # another vocabulary, whose tokens don't end where units do
+
+    def spans(texts: list[str]) -> list[bytes]:
+        if apart:
+            return cut(*encode(texts))
+        is_unit = [len(t) <= UnitCache.LARGEST and t[0] in " \n" and not t[1:2].isspace() and not t[-1].isspace() for t in texts]
+        units, others = list(compress(texts, is_unit)), [t for t, u in zip(texts, is_unit, strict=True) if not u]
+        of_units, of_others = iter(joined(units) if units else ()), iter(cut(*encode(others)))
+        return [next(of_units if u else of_others) for u in is_unit]
 
     return UnitCache(spans, special, cuts)
 
