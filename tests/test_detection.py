@@ -1,5 +1,8 @@
 """Table-driven cases of the detection, scoring and hunting operators."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import signals as S
@@ -87,6 +90,19 @@ def test_components(spark):
     assert G.components(pairs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_few_links_connect_what_all_edges_connect(spark, seed):
+    draw = random.Random(seed)
+    images, stages = ["a.exe", "b.exe", "c.exe", None], ["Background", "Delivery", "Execution", "Defense Evasion", "Discovery"]
+    rows = [(i, str(i), draw.randrange(40_000) * G.SECOND, draw.choice(["h1", "h2"]), draw.choice(["u", "v", "w", "x", None]), draw.choice(images), draw.choice(images), draw.choice(stages)) for i in range(250)]
+    rows += [(300, "300", 14_399 * G.SECOND, "h3", "u", "a.exe", None, "Execution"), (301, "301", 14_400 * G.SECOND, "h3", "v", "b.exe", None, "Defense Evasion"), (302, "302", 15_000 * G.SECOND, "h3", "w", "b.exe", None, "Defense Evasion")]
+    e = spark.createDataFrame(rows, "event_id long, event_uid string, t long, computer string, user string, image string, parent_image string, kill_chain_stage string")
+    all_pairs = G.edges(e).select(F.col("a_event_id").alias("u"), F.col("b_event_id").alias("v"))
+    got, want = ({(r["node"], r["component"]) for r in df.collect()} for df in (G.members(e), G.components(all_pairs)))
+    assert got == want
+    assert len({c for _, c in want}) > 3
+
+
 def test_same_pid_gives_two_roots(spark):
     df = events(spark, [{"pid": "7", "ppid": "1", "t": 0}, {"pid": "7", "ppid": "1", "t": 1000}])
     got = G.tree_depths(G.parent_links(df)).collect()

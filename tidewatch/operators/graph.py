@@ -10,7 +10,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,6 +58,41 @@ def edges(events: DataFrame, seconds: int = 900) -> DataFrame:
     return p.withColumn("kind", kind).filter("kind is not null").select("a_event_id", "b_event_id", F.col("a_computer").alias("computer"), "kind", weight.alias("weight"), direction.alias("direction"))
 
 
+def links(events: DataFrame, seconds: int = 900) -> DataFrame:
+    """(u, v): as few edges as connect what all of ``edges`` connect; their number grows with the events, not with their pairs.
+
+    Events of one user and stage, or of one user outside of Background, form chains: each is linked to the one before. Where
+    parents meet children, or a stage the next, each later event is linked to the latest earlier one, and two earlier ones
+    that follow each other are linked if the same later event is near to both. All of it is found by windows within time slabs
+    of sixteen times ``seconds``; events near the end of a slab are also in the next, so a busy host is cut into many parts.
+    """
+    width, slab = seconds * SECOND, 16 * seconds * SECOND
+    rank, busy, user = S.stage_rank(F.col("kill_chain_stage")), F.col("kill_chain_stage") != "Background", F.coalesce("user", F.lit(""))
+    both, earlier, later = 2, 1, 0
+
+    def place(kind: str, role: int, name: Column, number: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(role).alias("role"), name.cast("string").alias("name"), number.cast("int").alias("number"))
+
+    none = F.lit("")
+    places = F.array_compact(F.array(
+        place("stage", both, user, rank), F.when(busy, place("user", both, user, F.lit(0))),
+        F.when(busy, place("tactic", earlier, none, rank)), F.when(busy, place("tactic", later, none, rank - 1)),
+        F.when(F.col("image").isNotNull(), place("parent", earlier, F.concat_ws("\0", user, "image"), F.lit(0))), F.when(F.col("parent_image").isNotNull(), place("parent", later, F.concat_ws("\0", user, "parent_image"), F.lit(0))),
+    ))
+    slabs = F.array_distinct(F.array(F.floor(F.col("t") / slab), F.floor((F.col("t") + width) / slab)))
+    rows = events.filter("computer is not null").select("event_id", "t", "computer", F.explode(slabs).alias("slab"), places.alias("places")).select("event_id", "t", "computer", "slab", F.inline("places"))
+    group = Window.partitionBy("computer", "slab", "kind", "name", "number")
+    before = F.last(F.when(F.col("role") != later, F.struct("event_id", "t")), ignorenulls=True).over(group.orderBy("t", "event_id", "role").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last(F.when(F.col("role") == later, F.col("t")), ignorenulls=True).over(group.orderBy(F.desc("t"), F.desc("event_id"), F.desc("role")).rowsBetween(Window.unboundedPreceding, -1))
+    near = F.when(F.col("role") == earlier, F.col("after")).otherwise(F.col("t")) - F.col("before.t") <= width
+    return rows.withColumn("before", before).withColumn("after", after).filter(near).select(F.col("before.event_id").alias("u"), F.col("event_id").alias("v"))
+
+
+def members(events: DataFrame, seconds: int = 900) -> DataFrame:
+    """(node, component) of all events that have an edge."""
+    return components(links(events, seconds))
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, component): the least node of each component of an edge table (u, v), by repeated star contraction."""
     now = _stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
@@ -75,15 +110,16 @@ def components(pairs: DataFrame) -> DataFrame:
         now = _stored(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 
-def campaigns(events: DataFrame, links: DataFrame) -> DataFrame:
-    """Components with their score: structure and signals, times a factor for the number of stages."""
-    comp = components(links.select(F.col("a_event_id").alias("u"), F.col("b_event_id").alias("v")))
+def campaigns(events: DataFrame, found: DataFrame, comp: DataFrame) -> DataFrame:
+    """Components with their score: structure and signals, times a factor for the number of stages. ``found``: the ``edges`` of
+    the events, ``comp``: their ``members``. Edges are summed by their first event before they meet the components."""
     nodes = events.join(comp, events["event_id"] == comp["node"])
     n = nodes.groupBy("component").agg(
         F.count("*").alias("nodes"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.first("computer").alias("computer"), F.count_distinct("kill_chain_stage").alias("stages"),
         F.max(S.stage_rank(F.col("kill_chain_stage"))).alias("top_rank"), F.max(F.col("event_code").isin(12, 13, 14)).alias("persists"), F.max(F.col("event_code") == 3).alias("nets"), F.max(F.col("event_code").isin(8, 9, 25)).alias("critical"),
     )
-    e = links.join(comp, links["a_event_id"] == comp["node"]).groupBy("component").agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"), F.count_if(F.col("direction") == "forward").alias("forward"), F.count_if(F.col("direction") == "backward").alias("backward"))
+    sums = found.groupBy(F.col("a_event_id").alias("node")).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"), F.count_if(F.col("direction") == "forward").alias("forward"), F.count_if(F.col("direction") == "backward").alias("backward"))
+    e = sums.join(comp, "node").groupBy("component").agg(*[F.sum(c).alias(c) for c in ("edges", "weight", "forward", "backward")])
     signal = 30 + F.when(F.col("persists"), 15).otherwise(0) + F.when(F.col("nets"), 10).otherwise(0) + F.when(F.col("critical"), 20).otherwise(0)
     structure = F.least(F.lit(50.0), F.least(F.lit(20.0), 5 * F.col("weight")) + F.when(F.col("backward") == 0, F.least(F.lit(15), 5 * F.col("forward"))).otherwise(0))
     factor = F.element_at(F.array(*map(F.lit, K.DEPTH_MULTIPLIER)), F.least(F.lit(len(K.DEPTH_MULTIPLIER)), F.col("stages") + 1).cast("int"))

@@ -142,12 +142,11 @@ def corr_edges(spark, d):
 
 def campaigns(spark, d):
     e = _staged(spark, d)
-    return G.stale(G.campaigns(e, G.edges(e)), AS_OF_T).select("component", "computer", "nodes", "edges", "first_t", "last_t", "stages", F.round("weight", 6).alias("weight"), "score", "status", "confidence")
+    return G.stale(G.campaigns(e, G.edges(e), G.members(e)), AS_OF_T).select("component", "computer", "nodes", "edges", "first_t", "last_t", "stages", F.round("weight", 6).alias("weight"), "score", "status", "confidence")
 
 
 def campaign_members(spark, d):
-    e = G.edges(_staged(spark, d))
-    return G.components(e.select(F.col("a_event_id").alias("u"), F.col("b_event_id").alias("v")))
+    return G.members(_staged(spark, d))
 
 
 def process_tree(spark, d):

@@ -95,9 +95,8 @@ def classified_bursts(spark, d):
 
 def tagged_events(spark, d):
     e = A.with_mitre(telemetry(spark, d))
-    links = G.edges(e)
-    members = G.components(links.select(F.col("a_event_id").alias("u"), F.col("b_event_id").alias("v")))
-    return G.tagged(e.select("event_id", "computer"), G.campaigns(e, links), members)
+    members = G.members(e)
+    return G.tagged(e.select("event_id", "computer"), G.campaigns(e, G.edges(e), members), members)
 
 
 def cross_run_campaigns(spark, d):

@@ -95,9 +95,7 @@ def context_problems(spark, d):
 
 def invariants(spark, d):
     e = A.with_mitre(telemetry(spark, d))
-    edges = G.edges(e)
-    members = G.components(edges.select(F.col("a_event_id").alias("u"), F.col("b_event_id").alias("v")))
-    return V.invariants(P.host_bursts(spark, d), edges, members, G.parent_links(telemetry(spark, d)))
+    return V.invariants(P.host_bursts(spark, d), G.edges(e), G.members(e), G.parent_links(telemetry(spark, d)))
 
 
 def table_fingerprint(spark, d):
