@@ -156,3 +156,18 @@ def test_merged_statistics_equal_the_whole(spark):
     want = {r["g"]: r for r in N.statistics(df, ["g"]).collect()}
     for r in merged.collect():
         assert r["n"] == want[r["g"]]["n"] and abs(r["mean"] - want[r["g"]]["mean"]) < 1e-9 and abs(r["m2"] - want[r["g"]]["m2"]) < 1e-6
+
+
+def test_spaced_payloads_are_joined(spark):
+    df = spark.createDataFrame([("powershell -enc Z m 9 v Y m F y",), ("tool -e short",)], "x string")
+    assert [r[0] for r in df.select(S.normal_command(F.col("x"))).collect()] == ["powershell -enc zm9vymfy", "tool -e short"]
+
+
+@pytest.mark.parametrize(("risk", "stage", "confidence", "want"), [(100, "Command and Control", 85, ("High", 80)), (20, "Execution", 60, ("Medium", 50)), (0, None, None, ("None", 0))])
+def test_run_confidence_is_capped_by_the_stage(spark, risk, stage, confidence, want):
+    from tidewatch.operators import report as A
+
+    hits = spark.createDataFrame([(confidence, "Execution", "Execution")] if confidence else [], "confidence_score int, mitre_tactic string, kill_chain_stage string")
+    bursts = spark.createDataFrame([(risk, stage)] if stage else [], "risk int, stage string")
+    r = A.run_confidence(hits, bursts, bursts).first()
+    assert (r["level"], r["score"]) == want

@@ -102,8 +102,11 @@ def registry_path(path: Column) -> Column:
 
 
 def normal_command(text: Column, most: int = 100) -> Column:
-    """Lower case without backticks, long hex runs as [HEX], single blanks, the first ``most`` characters."""
+    """Lower case without backticks, a payload spaced out after an encoding flag joined again, long hex runs as [HEX], single
+    blanks, the first ``most`` characters."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "`", "")
+    payload = F.regexp_extract(out, r"(-enc|-e|-encoded\w+)\s+([a-z0-9+/= ]{10,})", 2)
+    out = F.when(payload != "", F.replace(out, payload, F.regexp_replace(payload, " ", ""))).otherwise(out)
     out = F.regexp_replace(out, r"[0-9a-f]{20,}", "[HEX]")
     return F.substring(F.trim(F.regexp_replace(out, r"\s+", " ")), 1, most)
 

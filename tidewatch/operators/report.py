@@ -66,14 +66,25 @@ def class_mix(events: DataFrame) -> DataFrame:
     return events.agg(F.round(F.avg(F.when(F.col("event_code").isin(12, 13, 14), 1.0).otherwise(0.0)), 6).alias("persistence_share"), F.count("*").alias("n"))
 
 
-def run_confidence(hits: DataFrame, bursts: DataFrame) -> DataFrame:
-    """Points for detections (45 from ten, 25 from three, 10 from one), tactics, the highest stage and the peak."""
-    d = hits.agg(F.count("*").alias("detections"), F.count_distinct("mitre_tactic").alias("tactics"), F.coalesce(F.max(S.stage_rank(F.col("kill_chain_stage"))), F.lit(0)).alias("top_rank"))
-    b = bursts.agg(F.coalesce(F.max("n"), F.lit(0)).alias("peak"))
-    n, t, r = F.col("detections"), F.col("tactics"), F.col("top_rank")
-    points = F.when(n >= 10, 45).when(n >= 3, 25).when(n >= 1, 10).otherwise(0) + F.when(t >= 3, 25).when(t >= 1, 10).otherwise(0) + F.when(r >= 5, 25).when(r >= 2, 10).otherwise(0) + F.least(F.lit(20), F.floor(F.col("peak") / 5))
+def run_confidence(hits: DataFrame, bursts: DataFrame, correlations: DataFrame) -> DataFrame:
+    """Points for the best detection (45 from 80, 25 from 50, 10), tactics, the highest stage, correlations and the highest risk.
+
+    The highest stage is that of the bursts with a risk of 45, else of the hits, else of all bursts; it also caps the score, after
+    the level is read from it.
+    """
+    rank = S.stage_rank(F.col("stage"))
+    d = hits.agg(F.count("*").alias("detections"), F.coalesce(F.max("confidence_score"), F.lit(0)).alias("best"), F.count_distinct(F.when(F.trim("mitre_tactic") != "", F.trim("mitre_tactic"))).alias("tactics"), F.max(S.stage_rank(F.col("kill_chain_stage"))).alias("hit_rank"))
+    b = bursts.agg(F.coalesce(F.max("risk"), F.lit(0)).alias("peak"), F.max(F.when(F.col("risk") >= 45, rank)).alias("risky_rank"), F.max(rank).alias("any_rank"))
+    c = correlations.agg((F.count("*") > 0).alias("correlated"))
+    best, tactics, stage = F.col("best"), F.col("tactics"), F.col("stage")
+    x = d.join(b).join(c).withColumn("stage", F.get(F.array(*map(F.lit, K.STAGES)), F.coalesce("risky_rank", "hit_rank", "any_rank"))).drop("risky_rank", "hit_rank", "any_rank")
+    points = (
+        F.when(best >= 80, 45).when(best >= 50, 25).when(best > 0, 10).otherwise(0) + F.when(tactics >= 3, 25).when(tactics >= 1, 10).otherwise(0) + F.when(stage.isin("Command and Control", "Actions on Objectives"), 25).when(stage.isNotNull(), 10).otherwise(0)
+        + F.when(F.col("correlated"), 15).otherwise(0) + F.least(F.lit(20), F.floor(F.col("peak") / 5))
+    )
     score = F.least(F.lit(100), points).cast("int")
-    return d.join(b).withColumn("score", score).withColumn("level", F.when(score >= 80, "High").when(score >= 50, "Medium").otherwise("Low"))
+    x = x.withColumn("level", F.when(score >= 80, "High").when(score >= 50, "Medium").when(score > 0, "Low").otherwise("None"))
+    return x.withColumn("score", F.least(score, S.lookup(stage, {"Actions on Objectives": 100, "Command and Control": 80, "Persistence": 75}, 50)).cast("int"))
 
 
 def alert_level(scores: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def detections_for_bursts(spark, d):
 
 
 def run_confidence(spark, d):
-    return A.run_confidence(hits(spark, d), host_bursts(spark, d))
+    return A.run_confidence(hits(spark, d), host_bursts(spark, d), auto_correlated(spark, d))
 
 
 def alert_levels(spark, d):
@@ -221,6 +221,7 @@ def _sequence_sql(patterns=Q.PATTERNS, rows="pos", out="sq") -> str:
 
 SEQUENCES = _sequence_sql()
 SEQ = HOST + ", " + SEQUENCES
+_STAGE_LIST = ", ".join(f"'{x}'" for x in K.STAGES)
 _STAGES = "stg(event_code, kill_chain_stage) AS (VALUES " + ", ".join(f"({c}, '{s}')" for c, _, _, s, _ in K.EVENT_CODES) + ")"
 STAGED = TELE + f""", {_STAGES}, sx AS (SELECT tele.*, kill_chain_stage, {RANKS.format('kill_chain_stage')} AS rk FROM tele JOIN stg USING (event_code))"""
 EDGES = STAGED + """, er AS (SELECT a.event_id AS a_event_id, b.event_id AS b_event_id, a.computer, a.rk AS ra, b.rk AS rb,
@@ -251,9 +252,12 @@ SQL = {
       dm AS (SELECT DISTINCT burst_id, event_uid, rule_id FROM bb b JOIN hits h ON b.computer = h.computer WHERE (b.pid = h.pid AND h.t BETWEEN start_t - 5000000 AND end_t + 5000000)
         OR CASE WHEN own = rule_id THEN 3 ELSE 0 END + CASE WHEN b.parent_image = h.parent_image THEN 2 ELSE 0 END + CASE WHEN b.image = h.image THEN 2 ELSE 0 END >= 5)
       SELECT burst_id, count(*) AS detections, count(DISTINCT rule_id) AS rules FROM dm GROUP BY 1""",
-    "run_confidence": HITS + ", " + _bursts_sql(["computer", "image"], "hb") + f""", q AS (SELECT count(*) AS detections, count(DISTINCT mitre_tactic) AS tactics, max({RANKS.format('kill_chain_stage')})::INT AS top_rank, (SELECT max(n) FROM hb) AS peak FROM hits),
-      p AS (SELECT *, least(100, CASE WHEN detections >= 10 THEN 45 WHEN detections >= 3 THEN 25 WHEN detections >= 1 THEN 10 ELSE 0 END + CASE WHEN tactics >= 3 THEN 25 WHEN tactics >= 1 THEN 10 ELSE 0 END + CASE WHEN top_rank >= 5 THEN 25 WHEN top_rank >= 2 THEN 10 ELSE 0 END + least(20, peak // 5))::INT AS score FROM q)
-      SELECT *, CASE WHEN score >= 80 THEN 'High' WHEN score >= 50 THEN 'Medium' ELSE 'Low' END AS level FROM p""",
+    "run_confidence": HITS + ", " + HOST[HOST.index("hb_c AS") :] + f""", co AS (SELECT computer FROM st GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT stage) >= 2 AND {AS_OF_T} - min(start_t) >= 300000000),
+      q AS (SELECT count(*) AS detections, coalesce(max(confidence_score), 0) AS best, count(DISTINCT mitre_tactic) AS tactics, (SELECT coalesce(max(risk), 0) FROM st) AS peak, (SELECT count(*) > 0 FROM co) AS correlated,
+        [{_STAGE_LIST}][coalesce((SELECT max(rank) FROM st WHERE risk >= 45), max({RANKS.format('kill_chain_stage')}), (SELECT max(rank) FROM st)) + 1] AS stage FROM hits),
+      p AS (SELECT *, least(100, CASE WHEN best >= 80 THEN 45 WHEN best >= 50 THEN 25 WHEN best > 0 THEN 10 ELSE 0 END + CASE WHEN tactics >= 3 THEN 25 WHEN tactics >= 1 THEN 10 ELSE 0 END + CASE WHEN stage IN ('Command and Control', 'Actions on Objectives') THEN 25 WHEN stage IS NOT NULL THEN 10 ELSE 0 END
+        + CASE WHEN correlated THEN 15 ELSE 0 END + least(20, peak // 5)) AS raw FROM q)
+      SELECT detections, best, tactics, peak, correlated, stage, CASE WHEN raw >= 80 THEN 'High' WHEN raw >= 50 THEN 'Medium' WHEN raw > 0 THEN 'Low' ELSE 'None' END AS level, least(raw, CASE stage WHEN 'Actions on Objectives' THEN 100 WHEN 'Command and Control' THEN 80 WHEN 'Persistence' THEN 75 ELSE 50 END)::INT AS score FROM p""",
     "alert_levels": HOST + ", g AS (SELECT computer, max(risk) AS risk, count(DISTINCT stage) AS stages FROM st GROUP BY 1) SELECT *, CASE WHEN risk >= 75 AND stages >= 2 THEN 'critical' WHEN risk >= 75 THEN 'high' WHEN risk >= 45 AND stages >= 1 THEN 'medium' ELSE 'low' END AS alert FROM g",
     "deviation_scores": DEV + "SELECT event_uid, computer, image, f, p, h, i, round(dev, 6) AS deviation FROM ds",
     "learnable": DEV + "SELECT computer, count(*) AS n FROM ds WHERE round(dev, 6) < 0.4 GROUP BY 1",

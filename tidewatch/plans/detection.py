@@ -235,7 +235,8 @@ SQL = {
       image IN ({_quoted(K.SYSTEM_PROCESSES)}) AS system, CASE image WHEN 'powershell.exe' THEN 0.7::DOUBLE WHEN 'cmd.exe' THEN 0.5 WHEN 'certutil.exe' THEN 0.9 ELSE 0.0 END AS lolbin_weight,
       sha256(computer || '|' || t || '|' || event_code || '|' || image || '|' || pid) AS uid FROM tele""",
     "b64_scan": "WITH r AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9+/]{20,}={0,2}') AS a FROM documents) SELECT doc_id, len(a)::BIGINT AS runs, list_max(list_transform(a, lambda x: length(x)))::BIGINT AS longest FROM r WHERE len(a) > 0",
-    "normal_commands": r"SELECT doc_id, substr(trim(regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), '`', ''), '[0-9a-f]{20,}', '[HEX]', 'g'), '\s+', ' ', 'g')), 1, 100) AS normal FROM documents",
+    "normal_commands": r"""WITH c AS (SELECT doc_id, replace(lower(coalesce(text, '')), '`', '') AS x FROM documents), p AS (SELECT *, regexp_extract(x, '(-enc|-e|-encoded\w+)\s+([a-z0-9+/= ]{10,})', 2) AS y FROM c)
+      SELECT doc_id, substr(trim(regexp_replace(regexp_replace(CASE WHEN y <> '' THEN replace(x, y, replace(y, ' ', '')) ELSE x END, '[0-9a-f]{20,}', '[HEX]', 'g'), '\s+', ' ', 'g')), 1, 100) AS normal FROM p""",
     "event_story": TELE + """SELECT event_uid, CASE event_code WHEN 1 THEN coalesce(parent_image, 'unknown') || ' started ' || image WHEN 3 THEN image || ' connected to ' || coalesce(dst_ip, '?') || ':' || coalesce(dst_port, '?')
       WHEN 11 THEN image || ' wrote ' || file_path WHEN 13 THEN image || ' changed ' || reg_key ELSE image || ' resolved a name' END AS what FROM tele""",
     "severity_counts": TELE + f"SELECT {SEVERITY} AS severity, count(*) AS n FROM tele GROUP BY 1",
