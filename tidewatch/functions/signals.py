@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import constants as K
@@ -137,3 +139,24 @@ def description(code: str = "event_code") -> Column:
         .when(c == 22, F.format_string("%s resolved a name", name("image", "unknown")))
         .otherwise(F.format_string("%s caused event %s", name("image", "unknown"), c.cast("string")))
     )
+
+
+def _filled(text: str, names: dict[str, Column]) -> Column:
+    """A template with its ``{columns}`` filled in."""
+    parts = re.split(r"{(\w+)}", text)
+    return F.concat(*[names[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+
+def event_text(events: DataFrame) -> DataFrame:
+    """Adds ``text``, what each event did by its code; registry writes by the words in their key. Null for codes without a text."""
+    have = lambda name, other: F.coalesce(F.col(name), F.lit(other)) if name in events.columns else F.lit(other)
+    names = {"image": have("image", "Unknown process"), "key": F.lower(F.coalesce(have("reg_key", None).cast("string"), have("file_path", None).cast("string"), F.lit("?")))}
+    names |= {c: have(c, "?") for c in ("dst_ip", "dst_port", "file_path", "reg_key", "image_loaded", "dns_query")}
+    code = F.col("event_code")
+    parent = F.when(have("parent_image", "") != "", F.concat(F.lit(" (parent: "), have("parent_image", ""), F.lit(")"))).otherwise("")
+    out = F.when(code == 1, F.concat(names["image"], F.lit(" executed"), parent))
+    for words, text in K.REGISTRY_TEXTS:
+        out = out.when((code == 13) & any_of(names["key"], words), _filled(text, names))
+    for n, text in K.EVENT_TEXTS.items():
+        out = out.when(code == n, _filled(text, names))
+    return events.withColumn("text", out)

@@ -5,10 +5,13 @@ Every window is partitioned by an entity key, so work spreads by entity; all of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch.functions import constants as K
 from tidewatch.functions import signals as S
 
 SECOND = 1_000_000
@@ -28,8 +31,8 @@ def with_burst(events: DataFrame, keys: list[str], gap_seconds: int = 900) -> Da
     return events.withColumn("__cut", cut.cast("int")).withColumn("burst_no", F.sum("__cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__cut")
 
 
-def bursts(events: DataFrame, keys: list[str] | None = None, gap_seconds: int = 900) -> DataFrame:
-    """One row for each burst of a key, with its measures; its id is a hash of the key and the start."""
+def bursts(events: DataFrame, keys: list[str] | None = None, gap_seconds: int = 900, more: list[Column] = ()) -> DataFrame:
+    """One row for each burst of a key, with its measures and those of ``more``; its id is a hash of the key and the start."""
     keys = keys or ["image", "pid", "computer", "user"]
     filled = events.withColumns({k: F.coalesce(k, F.lit(f"unknown_{k}")) for k in keys})
     code = F.col("event_code")
@@ -40,7 +43,7 @@ def bursts(events: DataFrame, keys: list[str] | None = None, gap_seconds: int =
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "event_id", "event_code"))), lambda x: x["event_code"].cast("string")), ",").alias("codes"),
         F.max_by("dst_ip", F.when(F.col("dst_ip").isNotNull(), F.struct("t", "event_id"))).alias("dst_ip"),
         F.max_by("parent_image", F.when(F.col("parent_image").isNotNull(), F.struct("t", "event_id"))).alias("parent_image"),
-        F.round(F.max("value"), 6).alias("peak"),
+        F.round(F.max("value"), 6).alias("peak"), *more,
     )
     return out.withColumn("burst_id", F.substring(F.sha2(F.concat_ws("|", *keys, F.col("start_t").cast("string")), 256), 1, 16))
 
@@ -109,3 +112,91 @@ def auto_correlated(b: DataFrame, as_of: Column, by: list[str], least_age_second
 
 def reasons(linked: Column) -> Column:
     return F.array_join(F.array_compact(F.array(F.when(F.col("n") > 10, F.lit("high frequency")), F.when(linked, F.lit("sequence linked")), F.when(S.suspicious_chain(F.col("parent_image")), F.lit("abnormal parent")))), ";")
+
+
+def _has(text: str, words: list[str]) -> Column:
+    return F.coalesce(S.any_of(F.lower(text), words), F.lit(False))
+
+
+def _kept(name: str) -> Column:
+    """The last value with a word of weight in it, else the first value."""
+    order = F.struct("t", "event_id")
+    strong = F.max_by(name, F.when(_has(name, K.HIGH_SIGNAL), order))
+    return F.coalesce(strong, F.min_by(name, F.when(F.col(name).isNotNull(), order)))
+
+
+def evidence() -> list[Column]:
+    """Further measures for ``bursts``: port, targets, the set of codes, and one flag for each family of words in a command, so that
+    nothing gathered grows with a burst."""
+    code = F.col("event_code")
+    families = [F.max(_has("command_line", words) if words else F.lit(False)).alias(f"says_{i}") for i, (words, _, _) in enumerate(K.CONTENT_STAGES)]
+    return [
+        F.max_by("dst_port", F.when(F.col("dst_port").isNotNull(), F.struct("t", "event_id"))).alias("dst_port"), _kept("file_path").alias("target"), _kept("reg_key").alias("target_key"),
+        F.array_sort(F.collect_set(code)).alias("code_set"), F.max(code.isin(8, 25)).alias("has_injection"), *families, F.max(_has("command_line", K.ENCODED_WORDS)).alias("says_encoded"),
+    ]
+
+
+def with_persistence(b: DataFrame) -> DataFrame:
+    """Whether a burst (with ``evidence``) persists: a registry write to a key that starts programs or whose target is a program,
+    or a file that an execution put among the scheduled ones. Words are looked for in the key as well as in the file."""
+    both = F.concat_ws(" ", "target", "target_key")
+    runs = reduce(lambda x, y: x | y, [F.coalesce(F.endswith(F.lower("target"), F.lit(e)), F.lit(False)) for e in K.RUNNABLE])
+    keys = F.col("has_reg") & (F.coalesce(S.any_of(F.lower(both), K.PERSISTENT_KEYS), F.lit(False)) | runs)
+    files = (F.col("exec_count") > 0) & F.col("has_file") & _has("target", K.PERSISTENT_FILES)
+    return b.withColumn("has_persistence", keys | files)
+
+
+def layered_stage(b: DataFrame) -> DataFrame:
+    """The stage by four layers, each of which can only raise it: flags, words and codes, ``prior_stage`` and ``detected``.
+
+    ``b``: bursts with ``evidence`` and persistence; the last two columns may be null, and are left out where there are none.
+    """
+    outside, has = S.external_address(F.col("dst_ip")), lambda codes: F.arrays_overlap("code_set", F.array(*map(F.lit, codes)))
+    net, execs = F.col("net_count"), F.col("exec_count") > 0
+    outward = (net >= 3) & outside & ((F.col("n") >= 5) | ~execs)
+    flags = F.when(F.col("has_injection"), "Privilege Escalation").when(F.col("has_persistence"), "Persistence").when(outward | ((net >= 5) & ~outside), "Command and Control").when(execs, "Execution").otherwise("Background")
+    content = F.when(F.lit(False), None)
+    for i, (words, codes, stage) in enumerate(K.CONTENT_STAGES):
+        said = F.col(f"says_{i}")
+        content = content.when(said & has(codes) if words and codes else said if words else has(codes), stage)
+    content = content.when(((net > 0) & outside) | has([22]), "Command and Control").when(F.col("says_encoded"), "Execution")
+    out = b.withColumn("flag_stage", flags).withColumn("content_stage", content).withColumn("stage", F.col("flag_stage"))
+    for layer in ("content_stage", "prior_stage", "detected"):
+        if layer in out.columns:
+            out = out.withColumn("stage", S.promote(F.col("stage"), F.col(layer)))
+    return out
+
+
+def priority_score(b: DataFrame) -> DataFrame:
+    """Risk, twice the stage's rank, and what persists 10, injects 15, is correlated 5, connects 5, is part of a sequence 20."""
+    points = {"has_persistence": 10, "has_injection": 15, "correlated": 5, "connects": 5, "in_sequence": 20}
+    flagged = b.withColumn("connects", F.col("net_count") > 0)
+    score = F.col("risk") + 2 * S.stage_rank(F.col("stage"))
+    for name, n in points.items():
+        score = score + F.when(F.col(name), n).otherwise(0)
+    return flagged.withColumn("priority_score", score).drop("connects")
+
+
+def in_order(b: DataFrame, by: str = "computer") -> DataFrame:
+    """Bursts numbered within ``by`` by risk, stage and number of events; ties by start and id."""
+    order = Window.partitionBy(by).orderBy(F.desc("risk"), F.desc(S.stage_rank(F.col("stage"))), F.desc("n"), "start_t", "burst_id")
+    return b.withColumn("place", F.row_number().over(order))
+
+
+def rolled_up(b: DataFrame, run: Column) -> DataFrame:
+    """Aggregates of bursts (with ``evidence``) by image, computer, run and hour of the start: totals, peak, all codes, flags."""
+    top = F.max_by("stage", F.struct(S.stage_rank(F.col("stage")), "stage"))
+    g = b.withColumn("run", run).withColumn("hour", F.floor(F.col("start_t") / (3600 * SECOND))).groupBy("image", "computer", "run", "hour").agg(
+        F.count("*").alias("bursts"), F.sum("n").alias("events"), F.max("risk").alias("peak_risk"), F.sum("exec_count").alias("execs"), F.sum("net_count").alias("nets"), F.count_if("has_file").alias("files"), F.count_if("has_reg").alias("regs"),
+        F.array_join(F.transform(F.array_sort(F.array_distinct(F.flatten(F.collect_set("code_set")))), lambda c: c.cast("string")), ",").alias("codes"), top.alias("stage"),
+    )
+    return g
+
+
+def hints(b: DataFrame, images: DataFrame) -> DataFrame:
+    """Why each burst is shown, linked to sequences by image (``images``: the images of found ones), and the stage its computer reached
+    where that is later than its own."""
+    far = Window.partitionBy("computer")
+    top = F.max(F.struct(S.stage_rank(F.col("stage")), "stage")).over(far)["stage"]
+    x = b.join(images.select("image").distinct().withColumn("linked", F.lit(True)), "image", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    return x.withColumn("reasons", reasons(F.col("linked"))).withColumn("top", top).withColumn("stage_hint", F.when(S.stage_rank(F.col("top")) > S.stage_rank(F.col("stage")), F.col("top"))).drop("top")

@@ -137,3 +137,37 @@ def pre_order(tree: DataFrame, links: DataFrame) -> DataFrame:
         level = nodes.filter(F.col("depth") == depth).join(above, "parent_id").select("event_id", "root_id", "depth", F.concat("above", "key").alias("path"))
         out = out.unionByName(level)
     return out.withColumn("place", F.row_number().over(Window.partitionBy("root_id").orderBy("path"))).drop("path")
+
+
+def expected_transitions(decided: DataFrame) -> DataFrame:
+    """Decided requests (``scoring.transitions``) that also say which status they ``expected``: refused where it is another by now."""
+    moved = F.col("expected") != F.col("current")
+    return decided.withColumn("reason", F.when(moved, "changed meanwhile").otherwise(F.col("reason"))).withColumn("accepted", F.col("accepted") & ~moved)
+
+
+def valid_evidence(tags: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """Evidence tags whose event is one of its incident's."""
+    return tags.join(members.select(*keys), keys, "left_semi")
+
+
+def triage(incidents: DataFrame, hits: DataFrame, by: list[str], most: int = 100) -> DataFrame:
+    """Open incidents, best confidence first, the oldest of equal ones first, with the reason of their strongest hit."""
+    top = hits.groupBy(*by).agg(F.max_by("match_reason", F.struct("confidence_score", "event_uid")).alias("why"))
+    queue = incidents.filter(~F.startswith("status", F.lit("Closed"))).orderBy(F.desc("confidence"), "created_t", *by).limit(most)
+    return queue.join(top, by, "left").withColumn("why", F.array_join("why", "; "))
+
+
+def incident_detail(incidents: DataFrame, members: DataFrame, tags: DataFrame, by: str) -> DataFrame:
+    """One row for each event of an incident in order of time, with its evidence tag; an incident without events has one row, not valid.
+
+    Rows instead of a list for each incident, so that a large incident is no large row.
+    """
+    x = incidents.select(by, "status").join(members, by, "left").join(tags, [by, "event_uid"], "left")
+    order = Window.partitionBy(by).orderBy("t", "event_uid")
+    shown = {c: F.coalesce(c, F.lit("")).alias(c) for c in ("image", "parent_image", "command_line", "dst_ip", "user")}
+    return x.withColumn("place", F.row_number().over(order)).select(by, "status", "place", "event_uid", "t", "event_code", *shown.values(), "tag", F.col("event_uid").isNotNull().alias("valid"))
+
+
+def uid_rows(incidents: DataFrame, by: str, uid_list: str = "event_uids") -> DataFrame:
+    """(incident, place, event uid) from incidents whose uids are held as a JSON list."""
+    return incidents.select(by, F.posexplode(F.from_json(uid_list, "array<string>")).alias("place", "event_uid"))

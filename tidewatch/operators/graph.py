@@ -112,19 +112,21 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def campaigns(events: DataFrame, found: DataFrame, comp: DataFrame) -> DataFrame:
     """Components with their score: structure and signals, times a factor for the number of stages. ``found``: the ``edges`` of
-    the events, ``comp``: their ``members``. Edges are summed by their first event before they meet the components."""
+    the events, ``comp``: their ``members``. Edges are summed by their first event before they meet the components. Where events have
+    a ``confidence``, the greatest is the base of the score, else and where it is 0 the base is 30."""
     nodes = events.join(comp, events["event_id"] == comp["node"])
     n = nodes.groupBy("component").agg(
         F.count("*").alias("nodes"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.first("computer").alias("computer"), F.count_distinct("kill_chain_stage").alias("stages"),
         F.max(S.stage_rank(F.col("kill_chain_stage"))).alias("top_rank"), F.max(F.col("event_code").isin(12, 13, 14)).alias("persists"), F.max(F.col("event_code") == 3).alias("nets"), F.max(F.col("event_code").isin(8, 9, 25)).alias("critical"),
+        F.max(F.col("confidence") if "confidence" in events.columns else F.lit(0)).alias("base"), F.max(F.col("event_code") == 8).alias("injects"),
     )
     sums = found.groupBy(F.col("a_event_id").alias("node")).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"), F.count_if(F.col("direction") == "forward").alias("forward"), F.count_if(F.col("direction") == "backward").alias("backward"))
     e = sums.join(comp, "node").groupBy("component").agg(*[F.sum(c).alias(c) for c in ("edges", "weight", "forward", "backward")])
-    signal = 30 + F.when(F.col("persists"), 15).otherwise(0) + F.when(F.col("nets"), 10).otherwise(0) + F.when(F.col("critical"), 20).otherwise(0)
+    signal = F.when(F.col("base") > 0, F.col("base")).otherwise(30) + F.when(F.col("persists"), 15).otherwise(0) + F.when(F.col("injects"), 25).otherwise(0) + F.when(F.col("nets"), 10).otherwise(0) + F.when(F.col("critical"), 20).otherwise(0)
     structure = F.least(F.lit(50.0), F.least(F.lit(20.0), 5 * F.col("weight")) + F.when(F.col("backward") == 0, F.least(F.lit(15), 5 * F.col("forward"))).otherwise(0))
     factor = F.element_at(F.array(*map(F.lit, K.DEPTH_MULTIPLIER)), F.least(F.lit(len(K.DEPTH_MULTIPLIER)), F.col("stages") + 1).cast("int"))
     score = F.least(F.lit(100.0), F.greatest(F.lit(10.0), 0.5 * structure + signal) * factor)
-    return n.join(e, "component").withColumn("score", F.round(score, 6)).drop("persists", "nets", "critical")
+    return n.join(e, "component").withColumn("score", F.round(score, 6)).drop("persists", "nets", "critical", "base", "injects")
 
 
 def tagged(events: DataFrame, found: DataFrame, members: DataFrame) -> DataFrame:
@@ -182,3 +184,21 @@ def story(events: DataFrame) -> DataFrame:
     gap = F.col("start_t") - F.lag("end_t").over(steps)
     link = F.when(F.lag("image").over(steps).isNull(), "start").when(F.col("parent_image") == F.lag("image").over(steps), "spawned").when(gap <= 5 * SECOND, "likely related").otherwise("related")
     return g.withColumn("link", link).drop("parent_image")
+
+
+def campaign_facts(events: DataFrame, comp: DataFrame, most: int = 10) -> DataFrame:
+    """What a campaign is made of: its id (image and host of its first event, day of the data), numbers of users and images, the
+    first ``most`` of both by name (a display list, cut before it is gathered), stages in order, and a sentence."""
+    nodes = events.join(comp, events["event_id"] == comp["node"])
+    first = F.min_by(F.struct("image", "computer"), F.struct("t", "event_id"))
+    stages = F.array_sort(F.collect_set(F.struct(S.stage_rank(F.col("kill_chain_stage")).alias("r"), F.col("kill_chain_stage").alias("s"))))
+    g = nodes.groupBy("component").agg(F.count("*").alias("events"), first.alias("f"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.transform(stages, lambda x: x["s"]).alias("st"))
+    each = nodes.select("component", F.inline(F.array(F.struct(F.lit("users").alias("kind"), F.col("user").alias("value")), F.struct(F.lit("images").alias("kind"), F.col("image").alias("value"))))).filter("value is not null").distinct()
+    place = each.withColumn("o", F.row_number().over(Window.partitionBy("component", "kind").orderBy("value")))
+    lists = [f for k in ("users", "images") for f in (F.count_if(F.col("kind") == k).alias(f"n_{k}"), F.array_join(F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("o") <= most), F.col("value")))), ",").alias(k))]
+    safe = lambda c, n: F.regexp_replace(F.lower(F.substring(c, 1, n)), "[^a-z0-9]", "_")
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("first_t") / 86_400_000_000).cast("int")), "yyyyMMdd")
+    text = F.concat(F.col("f.image"), F.lit(" on "), F.col("f.computer"), F.lit(": "), F.col("events").cast("string"), F.lit(" events over "), F.size("st").cast("string"), F.lit(" stages, up to "), F.element_at("st", -1))
+    return g.join(place.groupBy("component").agg(*lists), "component").select(
+        "component", F.concat_ws("-", F.lit("CAMP"), safe("f.image", 12), safe("f.computer", 8), day).alias("campaign_id"), "events", "first_t", "last_t", F.array_join("st", " > ").alias("stages"), "n_users", "users", "n_images", "images", text.alias("narrative"),
+    )

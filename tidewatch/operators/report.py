@@ -121,3 +121,36 @@ def recent_interesting(events: DataFrame, words: list[str], limit: int = 100) ->
 
 def raw_page(events: DataFrame, page: int, size: int = 50) -> DataFrame:
     return events.orderBy(F.desc("t"), "event_uid").offset(page * size).limit(size)
+
+
+def duration_label(microseconds: Column) -> Column:
+    """Hours and minutes, hours only where there are any."""
+    minutes = F.floor(microseconds / 60_000_000)
+    text = F.concat((minutes % 60).cast("string"), F.lit("m"))
+    return F.when(minutes >= 60, F.concat(F.floor(minutes / 60).cast("string"), F.lit("h "), text)).otherwise(text)
+
+
+def activity(events: DataFrame) -> DataFrame:
+    """Each image and computer: extent with its label, events a minute (over a minute at least) in words, and the most frequent parent
+    (of equal ones the least name)."""
+    counts = events.groupBy("image", "computer", "parent_image").agg(F.count("*").alias("c"), F.min("t").alias("a"), F.max("t").alias("b"))
+    parent = F.min_by("parent_image", F.when(F.col("parent_image").isNotNull(), F.struct(-F.col("c"), "parent_image")))
+    g = counts.groupBy("image", "computer").agg(F.min("a").alias("first_t"), F.max("b").alias("last_t"), F.sum("c").alias("n"), parent.alias("parent"))
+    span = F.col("last_t") - F.col("first_t")
+    rate = F.col("n") * 60_000_000 / F.greatest(span, F.lit(60_000_000))
+    words = F.when(rate < 1, "low").when(rate < 10, "bursting").otherwise("heavy")
+    return g.withColumn("duration", duration_label(span)).withColumn("rate", F.round(rate, 6)).withColumn("state", words)
+
+
+def stage_summary(b: DataFrame, hits: DataFrame) -> DataFrame:
+    """Numbers of bursts by stage; where there is no burst at all, of detections."""
+    some = b.agg((F.count("*") > 0).alias("some"))
+    told = hits.groupBy(F.col("kill_chain_stage").alias("stage")).agg(F.count("*").alias("n")).join(F.broadcast(some)).filter(~F.col("some")).select("stage", "n", F.lit("detections").alias("basis"))
+    return b.groupBy("stage").agg(F.count("*").alias("n")).withColumn("basis", F.lit("bursts")).unionByName(told)
+
+
+def correlated_alert(scores: DataFrame) -> DataFrame:
+    """Alert level of (score, stages, correlation): critical needs two stages or a correlation beside a score of 75."""
+    s = F.col("score")
+    level = F.when((s >= 75) & ((F.col("stages") >= 2) | (F.col("correlation") > 0)), "critical").when(s >= 75, "high").when((s >= 45) & (F.col("stages") >= 1), "medium").otherwise("low")
+    return scores.withColumn("alert", level).withColumn("alertable", level != "low")

@@ -37,6 +37,7 @@ class Rule:
     filter_benign_parent: bool = False
     conditions: tuple[tuple[str, str, object], ...] = field(default=())
     exact_image: bool = False
+    parent_child: tuple[tuple[str, str], ...] = ()
 
 
 RULES = [
@@ -72,6 +73,8 @@ def condition(rule: Rule) -> Column:
         tests.append(_low("image").isin(list(rule.image_any)) if rule.exact_image else S.any_of(_low("image"), list(rule.image_any)))
     if rule.parent_any:
         tests.append(S.any_of(_low("parent_image"), list(rule.parent_any)))
+    if rule.parent_child:
+        tests.append(reduce(lambda a, b: a | b, [F.contains(_low("parent_image"), F.lit(p)) & F.contains(_low("image"), F.lit(c)) for p, c in rule.parent_child]))
     if rule.filter_benign_parent:
         tests.append(~S.basename(_low("parent_image")).isin(K.BENIGN_PARENTS))
     if rule.cmd_any:
@@ -149,6 +152,25 @@ def pattern_scan(rows: DataFrame, text: Column, patterns: dict[str, str]) -> Dat
     return rows.withColumn("yara_names", names).withColumn("yara_hits", hits).withColumn("yara_score", F.least(F.lit(100), hits * 20 + F.when(hits >= 3, 20).otherwise(0)))
 
 
+def pattern_sets(events: DataFrame, sets: dict[str, list[list[str]]], fields: list[str]) -> DataFrame:
+    """Named sets of pattern groups over several fields at once: a set matches if each of its groups has a pattern that does.
+
+    Adds the names, their score (as in ``pattern_scan``), and the severity raised: medium on a hit, high from a score of 60.
+    """
+    text = F.lower(F.concat_ws(" ", *fields))
+    names = F.array_compact(F.array(*[F.when(reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [text.rlike(p) for p in group]) for group in groups]), F.lit(name)) for name, groups in sets.items()]))
+    hits = F.size("set_names")
+    out = events.withColumn("set_names", names).withColumn("set_score", F.least(F.lit(100), hits * 20 + F.when(hits >= 3, 20).otherwise(0)))
+    level = F.when(F.col("set_score") >= 60, "high").when((hits > 0) & (F.col("severity") == "low"), "medium").otherwise(F.col("severity"))
+    return out.withColumn("severity", level)
+
+
+def set_detections(scanned: DataFrame) -> DataFrame:
+    """One detection for each set that ``pattern_sets`` found in an event."""
+    found = scanned.withColumn("rule_id", F.explode("set_names"))
+    return found.withColumn("confidence_score", F.col("set_score")).withColumn("detection_source", F.lit("pattern")).drop("set_names")
+
+
 def signal_strength(confidence: Column, source: Column, level: Column) -> Column:
     return 0.6 * confidence / 100 + 0.2 * S.lookup(source, K.SOURCE_WEIGHT, 0.5) + 0.2 * S.lookup(level, K.SEVERITY_BASE, 0.3)
 

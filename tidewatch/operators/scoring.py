@@ -105,3 +105,51 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: str) -> Data
 def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose key ``old`` doesn't have."""
     return new.join(old.select(*keys).distinct(), keys, "left_anti")
+
+
+def decision_ladder(runs: DataFrame) -> DataFrame:
+    """The first step that fits (score, stage, sequence_hits, has_persistence, has_injection), its reason and priority."""
+    s, chains = F.col("score"), F.col("sequence_hits")
+    steps = [
+        ((chains >= 2) & (s >= 45), "ESCALATE", "several chains"), (F.col("stage").isin("Lateral Movement", "Command and Control"), "ESCALATE", "critical stage"), (s >= 70, "ESCALATE", "high score"),
+        ((s >= 45) | F.col("has_persistence") | F.col("has_injection") | (chains >= 1), "INVESTIGATE", "suspicious"), (s >= 20, "MONITOR", "low score"), (F.lit(True), "BASELINE", "normal"),
+    ]
+    first = F.coalesce(*[F.when(test, F.struct(F.lit(action).alias("decision"), F.lit(why).alias("why"))) for test, action, why in steps])
+    out = runs.withColumn("__d", first).select("*", "__d.*").drop("__d")
+    return out.withColumn("priority", S.lookup(F.col("decision"), {"ESCALATE": "P1", "INVESTIGATE": "P2", "MONITOR": "P3", "BASELINE": "P4"}))
+
+
+def response_tasks(decided: DataFrame, by: str) -> DataFrame:
+    """One row for each task that a decision or stage calls for, in order."""
+    tasks = F.array_compact(F.array(*[F.when(F.col("decision").isin(keys) | F.col("stage").isin(keys), F.struct(F.lit(task).alias("task"), F.lit(urgency).alias("urgency"))) for keys, task, urgency in K.TASKS]))
+    return decided.select(by, F.posexplode(tasks).alias("place", "x")).select(by, "place", "x.*")
+
+
+def full_run_score(scores: DataFrame, by: str, failed: tuple[str, ...] = ()) -> DataFrame:
+    """Run scores of (score, driver, behavior, correlation, modifier, feedback): the damped mean of the three best of at least 45, or half
+    of the best; 5 more where one driver stands behind over 0.7 of the scores of 30 and is strong itself; at least the best
+    score; times the modifier (0.8 of the mean, 0.2 of the least but one) and a factor for each stage of analysis that ``failed``.
+
+    The best three and the two least modifiers are gathered by rank, so nothing grows with a run; of drivers equally frequent
+    the least name is taken.
+    """
+    x = scores.withColumn("s", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score") + F.coalesce("feedback", F.lit(0)))))
+    best, least = Window.partitionBy(by).orderBy(F.desc("s"), "burst_id"), Window.partitionBy(by).orderBy("modifier", "burst_id")
+    x = x.withColumn("k", F.row_number().over(best)).withColumn("j", F.row_number().over(least))
+    known = F.col("s") >= 30
+    drivers = x.filter(known).groupBy(by, "driver").agg(F.count("*").alias("c")).groupBy(by).agg(F.min_by("driver", F.struct(-F.col("c"), "driver")).alias("dominant"), F.max("c").alias("c"), F.sum("c").alias("relevant"))
+    g = x.groupBy(by).agg(
+        F.avg(F.when((F.col("k") <= 3) & (F.col("s") >= 45), F.col("s"))).alias("top"), F.count_if(F.col("s") >= 45).alias("strong"), F.max("s").alias("best"), F.avg("modifier").alias("mean_modifier"), F.count("*").alias("n"),
+        F.min("modifier").alias("m1"), F.max(F.when(F.col("j") == 2, F.col("modifier"))).alias("m2"), F.avg(F.when(known, F.col("behavior"))).alias("b"), F.avg(F.when(known, F.col("correlation"))).alias("c0"),
+    )
+    g = g.join(drivers, by, "left")
+    raw = F.round(F.when(F.col("strong") > 0, F.col("top") * (1 - 1 / (1 + F.col("strong")))).otherwise(F.col("best") * 0.5), 4)
+    strength = F.when(F.col("dominant") == "behavior", F.col("b")).when(F.col("dominant").isin("correlation", "campaign"), F.col("c0") / 100).otherwise(0.5)
+    consistent = F.coalesce((F.col("c") / F.col("relevant") > 0.7) & (strength > 0.5), F.lit(False))
+    modifier = 0.8 * F.col("mean_modifier") + 0.2 * F.when(F.col("n") > 2, F.col("m2")).otherwise(F.col("m1"))
+    factor = 1.0
+    for stage in failed:
+        factor *= {"rule": 0.5, "sequence": 0.7, "correlation": 0.85}[stage]
+    total = F.round(F.round(F.greatest(raw + F.when(consistent, 5).otherwise(0), F.col("best")) * modifier * factor, 6), 0)
+    capped = F.least(total, F.lit(50.0)) if {"rule", "sequence"} <= set(failed) else total
+    return g.select(by, "strong", "best", "dominant", consistent.alias("consistent"), F.round(modifier, 6).alias("modifier"), capped.cast("int").alias("run_score"))

@@ -130,3 +130,28 @@ def boost(bursts: DataFrame, found: DataFrame) -> DataFrame:
     best = found.groupBy("computer").agg(F.max("confidence").alias("sequence_confidence"))
     add = F.least(F.lit(10.0), F.coalesce("sequence_confidence", F.lit(0)) / 10)
     return bursts.join(best, "computer", "left").withColumn("boosted", F.least(F.lit(100.0), F.col("risk") + add))
+
+
+def with_last_event(found: DataFrame, events: DataFrame) -> DataFrame:
+    """Sequences with image, parent and command of the event that ends them."""
+    last = events.select(F.col("event_uid").alias("last_uid"), "image", "parent_image", S.normal_command(F.col("command_line")).alias("command"))
+    return found.join(last, "last_uid", "left")
+
+
+def grouped_by_event(found: DataFrame, bucket_seconds: int = 30) -> DataFrame:
+    """The best of each (image, parent, pattern, computer, command, time bucket), divided by the logarithm of one more than how often it
+    fires; half of that over five times, and half for a task scheduler under a benign parent. ``found``: ``with_last_event``."""
+    keys = [F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("image", "parent_image")]
+    g = found.groupBy(*keys, "pattern_id", "computer", "command", F.floor(F.col("last_t") / (bucket_seconds * 1_000_000)).alias("bucket")).agg(F.max("confidence").alias("best"), F.count("*").alias("freq"))
+    planned = F.contains("image", F.lit("schtasks.exe")) & S.any_of(F.col("parent_image"), ["svchost.exe", "services.exe", "explorer.exe", "wininit.exe"])
+    score = F.col("best") / F.log(1.0 + F.col("freq")) * F.when(F.col("freq") > 5, 0.5).otherwise(1.0) * F.when(planned, 0.5).otherwise(1.0)
+    return g.withColumn("confidence", F.floor(score).cast("int"))
+
+
+def boost_by_image(bursts: DataFrame, found: DataFrame) -> DataFrame:
+    """Burst risk raised by the best sequence that ends in the burst's image: a tenth of its confidence times 0.5 and the behavior
+    score, at most 10 points, at most 100 in all. ``found``: ``with_last_event``; ``bursts`` need ``behavior``."""
+    best = found.groupBy(F.lower("image").alias("seq_image")).agg(F.max("confidence").alias("sequence_confidence"))
+    x = bursts.join(best, F.lower("image") == F.col("seq_image"), "left").drop("seq_image")
+    add = F.least(F.lit(10.0), F.coalesce("sequence_confidence", F.lit(0)) / 10 * (0.5 + F.col("behavior")))
+    return x.withColumn("in_sequence", F.col("sequence_confidence").isNotNull()).withColumn("boosted", F.least(F.lit(100.0), F.col("risk") + add))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import behaviour, casework, context, detection, response
+from tidewatch.plans import behaviour, casework, context, detection, evidence, response
 
-MODULES = [detection, behaviour, response, context, casework]
+MODULES = [detection, behaviour, response, context, casework, evidence]
 
 
 def queries() -> dict:
