@@ -90,3 +90,63 @@ def test_rule_files(spark, tmp_path):
     hits = R.match_rules(R.with_signals(telemetry(spark, DATA)), [rule])
     want = telemetry(spark, DATA).filter("event_code = 1 and command_line like '%-enc %' and value > 5").count()
     assert hits.count() == want > 0
+
+
+def parts(batch, stream_dir, n=3):
+    """The table as files in order of time, so that a stream reads it in several batches."""
+    import os
+
+    rows = batch.orderBy("t", "event_id").collect()
+    step = -(-len(rows) // n)
+    for i in range(n):
+        out = os.path.join(stream_dir, f"p{i}")
+        batch.sparkSession.createDataFrame(rows[i * step : (i + 1) * step], batch.schema).coalesce(1).write.parquet(out)
+        for f in sorted(os.listdir(out)):
+            if f.endswith(".parquet"):
+                os.rename(os.path.join(out, f), os.path.join(stream_dir, f"{i}.parquet"))
+                os.utime(os.path.join(stream_dir, f"{i}.parquet"), (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+def test_stateful_operators_over_several_batches(spark, tmp_path):
+    import math
+
+    from tidewatch.operators import sequences as Q
+
+    batch = telemetry(spark, DATA)
+    (tmp_path / "in").mkdir()
+    parts(batch, str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*.parquet"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        chains = run(live.chains(stream), tmp_path, "live_chains").collect()
+        learned = run(live.learning_baseline(stream), tmp_path, "live_learned").collect()
+    finally:
+        spark.conf.unset(key)
+    want = Q.detect(batch).select("pattern_id", "computer", "first_uid", "last_uid", "first_t", "last_t", "matched", "confidence").collect()
+    assert want and sorted(map(tuple, chains)) == sorted(map(tuple, want))
+
+    profiles, expected = {}, {}
+    for r in batch.orderBy("t", "event_id").collect():
+        if r["value"] is None or math.isnan(r["value"]):
+            continue
+        seen = profiles.setdefault((r["computer"], r["image"]), [])
+        n, mean = len(seen), sum(seen) / len(seen) if seen else 0.0
+        spread = max(0.1, math.sqrt(sum((x - mean) ** 2 for x in seen) / max(n - 1, 1)))
+        deviation = 0.25 if n == 0 else 0.3 if n < 10 else min(1.0, max(0.2, abs(r["value"] - mean) / spread / 3))
+        expected[r["event_uid"]] = (n, round(deviation, 6), n < 15 or deviation < 0.4)
+        if expected[r["event_uid"]][2]:
+            seen.append(r["value"])
+    assert {r["event_uid"]: (r["known"], round(r["deviation"], 6), r["learned"]) for r in learned} == expected
+
+
+def test_ingest_run_and_its_tables(spark, tmp_path):
+    (tmp_path / "xml").mkdir()
+    (tmp_path / "xml" / "a.xml").write_text(f"<Events>{event(NS)}{event(NS)}{event(image='D:/x/powershell.exe')}{event(code='')}</Events>")
+    made = sysmon.ingest_run(sysmon.read_xml(spark, str(tmp_path / "xml")), sets={"console": [["cmd"]], "none": [["cmd"], ["absent"]]})
+    sysmon.persist_run(made, str(tmp_path / "runs"), "r1")
+    sysmon.persist_run(made, str(tmp_path / "runs"), "r1")
+    rows = {name: sysmon.load_run(spark, str(tmp_path / "runs" / name), "r1").count() for name in made}
+    assert rows == {"events": 2, "behaviors": 2, "detections": 2}
+    assert {r["rule_id"] for r in sysmon.load_run(spark, str(tmp_path / "runs" / "detections"), "r1").collect()} == {"console"}
+    assert run(sysmon.stream_xml(spark, str(tmp_path / "xml")), tmp_path, "live_xml").filter("event_code = 1").count() == 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import signals as S
+from tidewatch.operators.graph import stored
 
 SECOND = 1_000_000
 
@@ -32,6 +33,15 @@ def prior_correlation(bursts: DataFrame, links: DataFrame, seconds: int = 900) -
     return found.groupBy("burst_id").agg(F.max("l_weight").alias("link_weight"), F.count("l_t").alias("links"))
 
 
+def first_correlation(bursts: DataFrame, links: DataFrame, seconds: int = 900) -> DataFrame:
+    """Each burst with the first link of its computer and image that ends within the slack of its start; null where there is none."""
+    width, keys = seconds * SECOND, ["computer", "image", "bucket"]
+    near = links.select("computer", "image", F.col("t").alias("l_t"), "weight", F.explode(F.array(*[F.floor(F.col("t") / width) + k for k in (-1, 0, 1)])).alias("bucket"))
+    found = bursts.withColumn("bucket", F.floor(F.col("start_t") / width)).join(near, keys).filter(F.abs(F.col("l_t") - F.col("start_t")) <= width)
+    first = found.groupBy("burst_id").agg(F.min(F.struct("l_t", F.col("weight").alias("link_weight"))).alias("f"))
+    return bursts.select("burst_id").join(first, "burst_id", "left").select("burst_id", F.col("f.l_t").alias("link_t"), "f.link_weight")
+
+
 def detected_stage(bursts: DataFrame, hits: DataFrame) -> DataFrame:
     """Burst stages promoted by the highest stage detected for their image."""
     top = hits.groupBy("image").agg(F.max_by("kill_chain_stage", S.stage_rank(F.col("kill_chain_stage"))).alias("detected"))
@@ -71,14 +81,19 @@ def campaign_upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return x.select(key, (F.coalesce("o_bursts", F.lit(0)) + F.coalesce("n_bursts", F.lit(0))).alias("bursts"), F.greatest("o_confidence", "n_confidence").alias("confidence"), stage.alias("stage"), F.least("o_first_t", "n_first_t").alias("first_t"), F.greatest("o_last_t", "n_last_t").alias("last_t"))
 
 
-def reachable(edges: DataFrame, depth: int, most: int = 20) -> DataFrame:
-    """Nodes within ``depth`` steps of each component's first edge, the nearest ``most`` of each (a display list)."""
+def reachable(edges: DataFrame, depth: int, most: int = 20, sure: DataFrame | None = None, far: int = 5) -> DataFrame:
+    """Nodes within ``depth`` steps of each computer's first edge, the nearest ``most`` of each (a display list); within ``far`` steps on the
+    computers of ``sure``. The edges and each round are stored tables, so no round computes those before it again."""
+    edges = stored(edges.select("computer", "a_event_id", "b_event_id"))
     start = edges.groupBy("computer").agg(F.min("a_event_id").alias("node"))
     seen = start.withColumn("depth", F.lit(0))
     front = seen
-    for d in range(1, depth + 1):
+    for d in range(1, (far if sure is not None else depth) + 1):
+        if d == depth + 1:
+            front = front.join(sure.select("computer"), "computer", "left_semi")
         step = front.drop("depth").join(edges.select("computer", F.col("a_event_id").alias("node"), F.col("b_event_id").alias("next")), ["computer", "node"]).select("computer", F.col("next").alias("node")).distinct()
         front = step.join(seen.select("computer", "node"), ["computer", "node"], "left_anti").withColumn("depth", F.lit(d))
+        front = stored(front)
         seen = seen.unionByName(front)
     place = F.row_number().over(Window.partitionBy("computer").orderBy("depth", "node"))
     return seen.withColumn("k", place).filter(F.col("k") <= most).drop("k")

@@ -25,7 +25,7 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-rounds-")
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """One round's table in the shared folder: lineage stays short, and a lost executor re-reads it."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -95,7 +95,7 @@ def members(events: DataFrame, seconds: int = 900) -> DataFrame:
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, component): the least node of each component of an edge table (u, v), by repeated star contraction."""
-    now = _stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    now = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -107,7 +107,7 @@ def components(pairs: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = _stored(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = stored(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 
 def campaigns(events: DataFrame, found: DataFrame, comp: DataFrame) -> DataFrame:
@@ -153,10 +153,10 @@ def parent_links(events: DataFrame) -> DataFrame:
 
 def tree_depths(links: DataFrame) -> DataFrame:
     """(event_id, root_id, depth), by pointer doubling: as many rounds as the logarithm of the depth."""
-    now = _stored(links.select("event_id", F.coalesce("parent_id", "event_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+    now = stored(links.select("event_id", F.coalesce("parent_id", "event_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth")))
     while True:
         step = now.select(F.col("event_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        after = _stored(now.join(step, "up").select("event_id", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth")))
+        after = stored(now.join(step, "up").select("event_id", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth")))
         if after.agg(F.sum("depth")).first() == now.agg(F.sum("depth")).first():
             return now.select("event_id", F.col("up").alias("root_id"), "depth")
         now = after

@@ -194,9 +194,22 @@ def expected_transitions(spark, d):
     return W.expected_transitions(X.transitions(spark, d).join(asked, "event_uid")).select("event_uid", "current", "requested", "expected", "accepted", "reason")
 
 
+def first_correlation(spark, d):
+    e = telemetry(spark, d)
+    links = G.edges(A.with_mitre(e)).groupBy(F.col("b_event_id").alias("event_id")).agg(F.max("weight").alias("weight")).join(e.select("event_id", "computer", "image", "t"), "event_id")
+    return Y.first_correlation(_bursts(spark, d), links)
+
+
+def trimmed_far(spark, d):
+    """Nodes near each computer's first edge: three steps, five where the best hit is surer than 80."""
+    sure = hits(spark, d).filter("confidence_score > 80").select("computer").distinct()
+    return Y.reachable(G.edges(A.with_mitre(telemetry(spark, d))), 3, 20, sure)
+
+
 QUERIES = {f.__name__: f for f in (
     burst_evidence, layered_stages, priorities, burst_order, burst_rollup, correlated_images, burst_hints, event_texts, pattern_sets, best_of_sources, activity, stage_summary, correlated_alerts, field_iocs, page_iocs, campaign_facts,
     campaign_scores, sequence_event_groups, sequence_image_boost, decision_ladder, response_tasks, full_run_scores, triage_reasons, valid_evidence, incident_detail, incident_uids, expected_transitions,
+    first_correlation, trimmed_far,
 )}
 
 
@@ -267,6 +280,12 @@ def _sets_case() -> list[str]:
 
 
 SQL = {
+    "first_correlation": P.EDGES + BURSTS[BURSTS.index(", hb_c AS") :] + """, lw AS (SELECT computer, image, t, w FROM (SELECT b_event_id AS event_id, max(weight) AS w FROM ed GROUP BY 1) JOIN tele USING (event_id)),
+      lf AS (SELECT burst_id, lw.t AS link_t, w AS link_weight FROM eb JOIN lw ON eb.computer = lw.computer AND eb.image = lw.image AND abs(lw.t - start_t) <= 900000000 QUALIFY row_number() OVER (PARTITION BY burst_id ORDER BY lw.t, w) = 1)
+      SELECT burst_id, link_t, link_weight FROM eb LEFT JOIN lf USING (burst_id)""",
+    "trimmed_far": P.EDGES.replace("WITH ev", "WITH RECURSIVE ev", 1) + FOUND + """, su AS (SELECT DISTINCT computer FROM hits WHERE confidence_score > 80), rr AS (SELECT computer, min(a_event_id) AS node, 0 AS depth FROM ed GROUP BY 1
+        UNION SELECT rr.computer, b_event_id, depth + 1 FROM rr JOIN ed ON ed.a_event_id = node AND ed.computer = rr.computer WHERE depth < CASE WHEN rr.computer IN (SELECT computer FROM su) THEN 5 ELSE 3 END),
+      rm AS (SELECT computer, node, min(depth) AS depth FROM rr GROUP BY 1, 2) SELECT computer, node, depth FROM rm QUALIFY row_number() OVER (PARTITION BY computer ORDER BY depth, node) <= 20""",
     "burst_evidence": BURSTS + "SELECT burst_id, dst_port, target, target_key, array_to_string(cset, ',') AS codes, has_injection, has_persistence FROM eb",
     "layered_stages": BURSTS + "SELECT burst_id, flag_stage, content_stage, stage FROM eb",
     "priorities": BURSTS + LINKED + _CORRELATED + _BEST + """SELECT burst_id, risk + 2 * rank + CASE WHEN has_persistence THEN 10 ELSE 0 END + CASE WHEN has_injection THEN 15 ELSE 0 END + CASE WHEN ci.stages IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN net_count > 0 THEN 5 ELSE 0 END + CASE WHEN sc IS NOT NULL THEN 20 ELSE 0 END AS priority_score

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import signals as S
+from tidewatch.operators import bursts as B
+from tidewatch.operators import graph as G
+from tidewatch.operators import rules as R
 
 XML_SCHEMA = "System struct<EventID: string, TimeCreated: struct<_SystemTime: string>, Computer: string>, EventData struct<Data: array<struct<_Name: string, _VALUE: string>>>, _corrupt_record string"
 # The field names that each canonical column may come under, in order of preference.
@@ -14,12 +17,20 @@ ALIASES = {
     "src_ip": ["sourceip"], "dst_ip": ["destinationip"], "dst_port": ["destinationport"], "file_path": ["targetfilename"], "reg_key": ["targetobject", "details"], "dns_query": ["queryname"], "hashes": ["hashes"],
 }
 
+#: Fields that pattern sets are looked for in.
+SCANNED = ["image", "parent_image", "command_line", "file_path", "reg_key", "dst_ip", "user"]
+
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
     """Canonical events of event-log XML files, namespaced or not; broken rows have ``corrupt`` set and no code."""
     return parse_xml(spark.read.format("xml").option("rowTag", "Event").option("mode", "PERMISSIVE").option("ignoreNamespace", "true").schema(XML_SCHEMA).load(path))
 
 
+def stream_xml(spark: SparkSession, path: str) -> DataFrame:
+    """The same as a stream of files that are put into a folder; what was read is kept by the query's checkpoint."""
+    return parse_xml(spark.readStream.format("xml").option("rowTag", "Event").option("mode", "PERMISSIVE").option("ignoreNamespace", "true").schema(XML_SCHEMA).load(path))
+
+
 def parse_xml(raw: DataFrame) -> DataFrame:
     data = F.coalesce("EventData.Data", F.array().cast("array<struct<_Name: string, _VALUE: string>>"))
     named = F.filter(data, lambda x: x["_Name"].isNotNull())
@@ -43,17 +54,36 @@ def ingest(events: DataFrame) -> DataFrame:
     return kept.withColumn("severity", S.severity(F.col("event_code"))).withColumn("entropy", S.entropy(F.col("command_line")))
 
 
-def append_run(events: DataFrame, path: str, run_id: str) -> None:
-    """Add a run's new events to a table partitioned by run; rows it has already are left out."""
+def ingest_run(raw: DataFrame, rules: list[R.Rule] = R.RULES, sets: dict[str, list[list[str]]] | None = None) -> dict[str, DataFrame]:
+    """A whole upload: its ``events`` with signals, parent chain and pattern sets, the ``behaviors`` among them, and the ``detections`` of
+    rules and sets in one schema. Columns that a rule may ask for and an event log doesn't have are null."""
+    e = raw if "value" in raw.columns else raw.withColumn("value", F.lit(None).cast("double"))
+    e = R.with_signals(ingest(e).withColumn("t", F.unix_micros("event_time")).withColumn("event_id", F.xxhash64("event_uid")))
+    e = R.pattern_sets(e.join(G.parent_chain(e), "event_uid", "left"), sets or {}, SCANNED) if sets else e.join(G.parent_chain(e), "event_uid", "left")
+    shown = ["event_uid", "t", "computer", "user", "image", "detection_source", "rule_id", "confidence_score"]
+    found = R.match_rules(e, rules).select(*shown, F.col("rule_severity").alias("severity"))
+    if sets:
+        found = found.unionByName(R.set_detections(e).select(*shown, "severity"))
+    return {"events": e, "behaviors": B.behaviors(e), "detections": found}
+
+
+def persist_run(parts: dict[str, DataFrame], path: str, run_id: str) -> None:
+    """Append what ``ingest_run`` gives, each part to its own table; a second call adds nothing."""
+    for name, rows in parts.items():
+        append_run(rows, f"{path}/{name}", run_id, ("event_uid", "rule_id") if name == "detections" else ("event_uid",))
+
+
+def append_run(events: DataFrame, path: str, run_id: str, keys: tuple[str, ...] = ("event_uid",)) -> None:
+    """Add a run's new rows to a table partitioned by run; those whose ``keys`` it has already are left out."""
     spark = events.sparkSession
     new = events.withColumn("run_id", F.lit(run_id))
     try:
-        old = spark.read.parquet(path).filter(F.col("run_id") == run_id).select("event_uid").distinct()
+        old = spark.read.parquet(path).filter(F.col("run_id") == run_id).select(*keys).distinct()
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
     else:
-        new = new.join(old, "event_uid", "left_anti")
+        new = new.join(old, list(keys), "left_anti")
     new.write.partitionBy("run_id").mode("append").parquet(path)
 
 

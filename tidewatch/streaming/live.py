@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import signals as S
 from tidewatch.operators import rules as R
+from tidewatch.operators import sequences as Q
 
 
 def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -69,3 +70,81 @@ def pair_sequences(events: DataFrame, first: str, second: str, gap_ms: int = 900
 
     rows = events.filter(F.col("image").isin(first, second)).select("computer", "image", "event_time", "event_uid")
     return rows.groupBy("computer").transformWithStateInPandas(Pairs(), "computer string, event_uid string, gap_ms bigint", "Append", "None")
+
+
+def chains(events: DataFrame, patterns: list[Q.Pattern] = Q.PATTERNS) -> DataFrame:
+    """Sequences of any number of steps over a stream, by the rules of ``sequences.detect``, one row for each prefix of two steps or more.
+
+    Step tests are Columns. A computer's state is its open chains; each lives for the few rows that its next step may skip.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    shape = [(p.pattern_id, p.confidence, [(s.max_skip_steps, (s.max_gap_seconds + Q.TOLERANCE) * 1_000_000) for s in p.steps]) for p in patterns]
+    names = ["pattern_id", "computer", "first_uid", "last_uid", "first_t", "last_t", "matched", "confidence"]
+
+    class Chains(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.open = handle.getListState("open", "pattern int, matched int, uid string, first bigint, last bigint, left int")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            table = pd.concat(rows).sort_values(["t", "event_id"])
+            held, out = [tuple(x) for x in self.open.get()] if self.open.exists() else [], []
+            for uid, t, fits in zip(table["event_uid"], table["t"], table["fits"], strict=True):
+                t, going = int(t), []
+                for i, matched, first_uid, first, last, left in held:
+                    name, base, steps = shape[i]
+                    if fits[i][matched] and t - last <= steps[matched][1]:
+                        out.append((name, key[0], first_uid, uid, first, t, matched + 1, base * (matched + 1) // len(steps)))
+                        if matched + 1 < len(steps):
+                            going.append((i, matched + 1, first_uid, first, t, steps[matched + 1][0] + 1))
+                    elif left > 1:
+                        going.append((i, matched, first_uid, first, last, left - 1))
+                going += [(i, 1, uid, t, t, steps[1][0] + 1) for i, (_, _, steps) in enumerate(shape) if fits[i][0]]
+                held = going
+            self.open.put(held) if held else self.open.clear()
+            yield pd.DataFrame(out, columns=names)
+
+        def close(self) -> None:
+            pass
+
+    fits = F.array(*[F.array(*[Q.matches(s) for s in p.steps]) for p in patterns])
+    rows = events.select("computer", "event_id", "event_uid", "t", fits.alias("fits"))
+    return rows.groupBy("computer").transformWithStateInPandas(Chains(), "pattern_id string, computer string, first_uid string, last_uid string, first_t bigint, last_t bigint, matched int, confidence int", "Append", "None")
+
+
+def learning_baseline(events: DataFrame, most_deviation: float = 0.4, young: int = 15) -> DataFrame:
+    """Each event's deviation from the profile of its computer and image so far; events that deviate little, and all of a young
+    profile, are then learned. The state of an entity is three numbers: count, mean and sum of squared differences."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+    class Learns(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.profile = handle.getValueState("profile", "n bigint, mean double, m2 double")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            table = pd.concat(rows).sort_values(["t", "event_id"])
+            n, mean, m2 = self.profile.get() if self.profile.exists() else (0, 0.0, 0.0)
+            out = []
+            for uid, value in zip(table["event_uid"], table["value"], strict=True):
+                spread = max(0.1, (m2 / max(n - 1, 1)) ** 0.5)
+                deviation = 0.25 if n == 0 else 0.3 if n < 10 else min(1.0, max(0.2, abs(value - mean) / spread / 3))
+                learned = n < young or deviation < most_deviation
+                out.append((*key, uid, n, deviation, learned))
+                if learned:
+                    n, step = n + 1, value - mean
+                    mean += step / n
+                    m2 += step * (value - mean)
+            self.profile.update((n, mean, m2))
+            yield pd.DataFrame(out, columns=["computer", "image", "event_uid", "known", "deviation", "learned"])
+
+        def close(self) -> None:
+            pass
+
+    rows = events.filter("value is not null and not isnan(value)").select("computer", "image", "event_id", "event_uid", "t", "value")
+    return rows.groupBy("computer", "image").transformWithStateInPandas(Learns(), "computer string, image string, event_uid string, known bigint, deviation double, learned boolean", "Append", "None")
