@@ -153,3 +153,26 @@ def full_run_score(scores: DataFrame, by: str, failed: tuple[str, ...] = ()) ->
     total = F.round(F.round(F.greatest(raw + F.when(consistent, 5).otherwise(0), F.col("best")) * modifier * factor, 6), 0)
     capped = F.least(total, F.lit(50.0)) if {"rule", "sequence"} <= set(failed) else total
     return g.select(by, "strong", "best", "dominant", consistent.alias("consistent"), F.round(modifier, 6).alias("modifier"), capped.cast("int").alias("run_score"))
+
+
+def pattern_feedback(b: DataFrame, memory: DataFrame) -> DataFrame:
+    """Each burst's adjustment by remembered patterns of (image, parent_image, stage, rule_id, adjustment), any of which may be null.
+
+    A match counts image 3, parent 2, stage 2, rule 3, host 1. Two points suffice, so any one of the first four does; stages of high risk need
+    five, with the rule or with image and stage, and the strict ones among them are lowered only by their rule. So what decides are
+    the memories of one or two keys, each brought down to its adjustment of largest size (of equal ones the higher): plain joins
+    with one row a key, whatever the number of patterns. Names are compared whole, without case.
+    """
+    names, m = {"i": "image", "p": "parent_image", "s": "stage", "r": "rule_id"}, memory.withColumn("adjustment", F.greatest(F.lit(-20), F.least(F.lit(15), F.col("adjustment"))))
+    low = lambda c: F.lower(c) if c in ("image", "parent_image") else F.col(c)
+    out = b
+    for keys in ("i", "p", "s", "r", "ri", "rp", "rs", "is", "is+"):
+        columns = [names[k] for k in keys.rstrip("+")]
+        kept = m.dropna(subset=columns).filter("adjustment >= 0") if keys.endswith("+") else m.dropna(subset=columns)
+        one = kept.groupBy(*[low(c).alias(f"__{c}") for c in columns]).agg(F.max(F.struct(F.abs("adjustment").alias("size"), "adjustment")).alias(f"__by_{keys}"))
+        on = [low(c) == F.col(f"__{c}") for c in columns]
+        out = out.join(one, on, "left").drop(*[f"__{c}" for c in columns])
+    strict, risky = F.coalesce(F.col("stage").isin(K.STRICT_STAGES), F.lit(False)), F.coalesce(F.col("stage").isin(K.RISKY_STAGES), F.lit(False))
+    by = lambda *keys: F.greatest(*[F.col(f"`__by_{k}`") for k in keys])
+    best = F.when(strict, by("ri", "rp", "rs", "is+")).when(risky, by("ri", "rp", "rs", "is")).otherwise(by("i", "p", "s", "r"))
+    return out.withColumn("feedback", F.coalesce(best["adjustment"], F.lit(0))).drop(*[c for c in out.columns if c.startswith("__by_")])
