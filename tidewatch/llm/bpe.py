@@ -251,6 +251,7 @@ class UnitCache:
     def __init__(self, spans: Callable[[list[str]], list[bytes]], special: dict[str, int], cuts: regex.Pattern | None, room: int = 64 << 20) -> None:
         self.spans, self.special, self.cuts, self.room = spans, special, cuts, room
         self.units: dict[str, bytes] = {}
+        self.top = 0  # largest id, where the encoder tells it
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]

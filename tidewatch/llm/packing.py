@@ -79,7 +79,9 @@ def _tokenizer(content: str) -> UnitCache:
         of_units, of_others = iter(joined(units) if units else ()), iter(cut(*encode(others)))
         return [next(of_units if u else of_others) for u in is_unit]
 
-    return UnitCache(spans, special, cuts)
+    cache = UnitCache(spans, special, cuts)
+    cache.top = max([*tok.get_vocab().values(), 0])
+    return cache
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, language, lm, media, merkle, packing, sharding, simhash, suffix, url_filter
+from tidewatch.llm import bpe, divergence, language, lm, media, merkle, packing, sharding, simhash, suffix, token_files, url_filter, whitening
 from tidewatch.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +52,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_rows(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_rows(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_lm, op2_language, op3_bpe, op4_media, op5_merkle, op6_suffix_dedup, op7_sharding, op8_packing, op9_url_filter, op10_simhash)}
+    return {f.__name__: f for f in (op1_lm, op2_language, op3_bpe, op4_media, op5_merkle, op6_suffix_dedup, op7_sharding, op8_packing, op9_url_filter, op10_simhash, op11_whitening, op12_divergence, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": url_filter.SQL}
+    return {"op9_url_filter": url_filter.SQL, "op12_divergence": divergence.SQL}
