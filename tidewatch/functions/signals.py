@@ -48,17 +48,20 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def entropy(text: Column) -> Column:
-    """Shannon entropy in bits of all characters, to 3 digits."""
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+def rounded(value: Column, digits: int = 6) -> Column:
+    """To so many digits; what is within a millionth of a half counts as a half, whichever way sums of doubles erred."""
+    return F.floor(value * 10.0**digits + 0.500001) / 10.0**digits
 
-    def bits(c: Column) -> Column:
-        # Sorted characters come in runs, which begin where a character differs from the one before.
-        starts = F.filter(F.sequence(F.lit(1), F.size(c)), lambda i: (i == 1) | (F.element_at(c, i) != F.element_at(c, F.greatest(i - 1, F.lit(1)))))
-        n = F.size(c).cast("double")
-        return let(starts, lambda s: let(F.zip_with(s, F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(c) + 1)), lambda a, b: (b - a) / n), lambda runs: F.aggregate(runs, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))))
 
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0.0).otherwise(F.bround(let(chars, bits), 3))
+def entropy(text: Column) -> Column:
+    """Shannon entropy in bits of all characters, to 3 digits.
+
+    Each different character is taken once, and counted by how much shorter the text is without it.
+    """
+    size = F.length(text)
+    different = F.array_sort(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
+    bits = F.aggregate(different, F.lit(0.0), lambda acc, c: acc + let((size - F.length(F.replace(text, c, F.lit("")))) / size, lambda p: -p * F.log2(p)))
+    return F.when(F.coalesce(size, F.lit(0)) == 0, 0.0).otherwise(F.bround(bits, 3))
 
 
 def high_entropy(text: Column, bits: Column) -> Column:

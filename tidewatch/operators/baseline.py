@@ -92,10 +92,9 @@ def entity_profile(events: DataFrame) -> DataFrame:
 
 def ngrams(events: DataFrame) -> DataFrame:
     """Parent > image pairs and grandparent > parent > image triples of each computer, with counts."""
-    from pyspark.sql.window import Window
+    from tidewatch.operators.context import with_grandparent
 
-    by_user = Window.partitionBy("user").orderBy("t", "event_id")
-    x = events.withColumn("grandparent", F.lag("image", 2).over(by_user))
+    x = with_grandparent(events)
     two = x.filter("parent_image is not null").select("computer", F.concat_ws(">", "parent_image", "image").alias("gram"), F.lit(2).alias("size"))
     three = x.filter("grandparent is not null").select("computer", F.concat_ws(">", "grandparent", "parent_image", "image").alias("gram"), F.lit(3).alias("size"))
     return two.unionByName(three).groupBy("computer", "size", "gram").agg(F.count("*").alias("n"))

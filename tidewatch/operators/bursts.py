@@ -1,6 +1,6 @@
 """Bursts and sessions: gaps-and-islands over time, with measures, stages, filters and ranks.
 
-Every window is partitioned by an entity key, so work spreads by entity; all of a query's window columns share one sort.
+Bursts are numbered by scans in two levels (``slabs``), so a busy key is spread over its time; nothing gathered grows with a burst.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions import constants as K
 from tidewatch.functions import signals as S
+from tidewatch.operators.slabs import numbered_runs
 
 SECOND = 1_000_000
 
@@ -26,26 +27,40 @@ def behaviors(events: DataFrame) -> DataFrame:
 
 def with_burst(events: DataFrame, keys: list[str], gap_seconds: int = 900) -> DataFrame:
     """Number each event's burst within its key: a new one begins after a gap of more than ``gap_seconds``."""
-    order = Window.partitionBy(*keys).orderBy("t", "event_id")
-    cut = F.coalesce((F.col("t") - F.lag("t").over(order)) > gap_seconds * SECOND, F.lit(True))
-    return events.withColumn("__cut", cut.cast("int")).withColumn("burst_no", F.sum("__cut").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__cut")
+    return numbered_runs(events, keys, ["t", "event_id"], ["t"], lambda before, here: here("t") - before("t") > gap_seconds * SECOND, "burst_no")
+
+
+def _filled(events: DataFrame, keys: list[str]) -> DataFrame:
+    return events.withColumns({k: F.coalesce(k, F.lit(f"unknown_{k}")) for k in keys})
+
+
+def burst_events(events: DataFrame, keys: list[str] | None = None, gap_seconds: int = 900) -> DataFrame:
+    """The events of each burst as rows, with its ``burst_id``: the whole list that a burst's row doesn't hold."""
+    keys = keys or ["image", "pid", "computer", "user"]
+    numbered = with_burst(_filled(events, keys), keys, gap_seconds)
+    starts = numbered.groupBy(*keys, "burst_no").agg(F.min("t").alias("start_t"))
+    return numbered.join(starts.select(*keys, "burst_no", _burst_id(keys).alias("burst_id")), [*keys, "burst_no"])
+
+
+def _burst_id(keys: list[str]) -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", *keys, F.col("start_t").cast("string")), 256), 1, 16)
 
 
 def bursts(events: DataFrame, keys: list[str] | None = None, gap_seconds: int = 900, more: list[Column] = ()) -> DataFrame:
-    """One row for each burst of a key, with its measures and those of ``more``; its id is a hash of the key and the start."""
+    """One row for each burst of a key, with its measures and those of ``more``; its id is a hash of the key and the start. ``codes``: the
+    different event codes in it."""
     keys = keys or ["image", "pid", "computer", "user"]
-    filled = events.withColumns({k: F.coalesce(k, F.lit(f"unknown_{k}")) for k in keys})
     code = F.col("event_code")
-    out = with_burst(filled, keys, gap_seconds).groupBy(*keys, "burst_no").agg(
+    out = with_burst(_filled(events, keys), keys, gap_seconds).groupBy(*keys, "burst_no").agg(
         F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n"),
         F.count_if(code == 1).alias("exec_count"), F.count_if(code == 3).alias("net_count"),
         F.max(code == 11).alias("has_file"), F.max(code.isin(12, 13, 14)).alias("has_reg"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "event_id", "event_code"))), lambda x: x["event_code"].cast("string")), ",").alias("codes"),
+        F.array_join(F.transform(F.array_sort(F.collect_set(code)), lambda c: c.cast("string")), ",").alias("codes"),
         F.max_by("dst_ip", F.when(F.col("dst_ip").isNotNull(), F.struct("t", "event_id"))).alias("dst_ip"),
         F.max_by("parent_image", F.when(F.col("parent_image").isNotNull(), F.struct("t", "event_id"))).alias("parent_image"),
         F.round(F.max("value"), 6).alias("peak"), *more,
     )
-    return out.withColumn("burst_id", F.substring(F.sha2(F.concat_ws("|", *keys, F.col("start_t").cast("string")), 256), 1, 16))
+    return out.withColumn("burst_id", _burst_id(keys))
 
 
 def kill_chain_stage(b: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions import signals as S
 from tidewatch.operators.graph import stored
+from tidewatch.operators.slabs import last_before
 
 SECOND = 1_000_000
 
@@ -15,15 +16,23 @@ SECOND = 1_000_000
 def as_of(left: DataFrame, right: DataFrame, by: list[str], value: str, name: str, strict: bool = True) -> DataFrame:
     """Each left row with ``value`` of the latest right row before it, of the same key.
 
-    One union and one window in place of a range join: every row is read once, whatever the number of earlier rows.
+    One union and a scan by time slabs in place of a range join: the work doesn't depend on the number of earlier rows, and a busy
+    key is spread over its time.
     """
     marked = left.withColumn("__side", F.lit(1 if strict else 2)).withColumn("__v", F.lit(None).cast(dict(right.dtypes)[value]))
     given = right.select(*by, "t", F.col(value).alias("__v")).withColumn("__side", F.lit(2 if strict else 1))
-    order = Window.partitionBy(*by).orderBy("t", "__side").rowsBetween(Window.unboundedPreceding, -1)
-    both = marked.unionByName(given, allowMissingColumns=True).withColumn(name, F.last("__v", ignorenulls=True).over(order))
+    both = last_before(marked.unionByName(given, allowMissingColumns=True), by, ["t", "__side"], F.col("__v"), name)
     return both.filter(F.col("__side") == (1 if strict else 2)).drop("__side", "__v")
 
 
+def with_grandparent(events: DataFrame) -> DataFrame:
+    """Adds ``grandparent``: the image of the parent's parent, by (computer, ppid) to (computer, pid); of both the latest event of
+    that process before the row's own."""
+    seen = events.filter("computer is not null and pid is not null").groupBy("computer", F.col("pid").alias("__pid"), "t").agg(F.max_by(F.struct("image", "ppid"), "event_id").alias("__p"))
+    x = as_of(events.withColumn("__pid", F.col("ppid")), seen, ["computer", "__pid"], "__p", "__parent").withColumn("__pid", F.col("__parent.ppid"))
+    return as_of(x, seen, ["computer", "__pid"], "__p", "__grand").withColumn("grandparent", F.col("__grand.image")).drop("__pid", "__parent", "__grand")
+
+
 def prior_correlation(bursts: DataFrame, links: DataFrame, seconds: int = 900) -> DataFrame:
     """Each burst with the strongest link of its computer that began within the slack of it: an interval left join by buckets."""
     width = seconds * SECOND

@@ -6,8 +6,11 @@ in its own and the one before, so no pair of rows is compared that is not within
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions import constants as K
 from tidewatch.functions import signals as S
+from tidewatch.operators.slabs import last_before, numbered_runs
 
 SECOND = 1_000_000
 
@@ -25,13 +29,28 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-rounds-")
 
 
+#: What deletes each table made by ``stored``.
+_made: dict[str, Callable[[], bool]] = {}
+
+
+@atexit.register
+def drop_stored() -> None:
+    """Delete the tables stored so far; also done at the end of the program. Results that still read them are lost."""
+    while _made:
+        with contextlib.suppress(Exception):  # the session may be gone
+            _made.popitem()[1]()
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """One round's table in the shared folder: lineage stays short, and a lost executor re-reads it."""
+    """A table in the shared folder, of a round or of what is read often: lineage stays short, and a lost executor re-reads it. It is
+    dropped at the end of the program."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{shared or _own_folder()}/round-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _made[path] = lambda: place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,6 +77,57 @@ def edges(events: DataFrame, seconds: int = 900) -> DataFrame:
     return p.withColumn("kind", kind).filter("kind is not null").select("a_event_id", "b_event_id", F.col("a_computer").alias("computer"), "kind", weight.alias("weight"), direction.alias("direction"))
 
 
+def edge_sums(events: DataFrame, seconds: int = 900) -> DataFrame:
+    """(node, edges, weight, forward, backward): what the ``edges`` that end in each event come to, without listing a pair.
+
+    Every event is added to running counts by class of stage when it happens and taken off ``seconds`` later, so an event finds in them how
+    many earlier ones are near: of its user, of its user with the parent's image, and of its host with the stage before. What an edge
+    weighs depends on the two classes only, and pairs that are parent and child are taken off the other kinds. Groups are
+    (host, slab of sixteen times ``seconds``, kind, name): the work is a sort of some eight rows an event.
+    """
+    width, slab = seconds * SECOND, 16 * seconds * SECOND
+    busy, rank = F.coalesce(F.col("kill_chain_stage") != "Background", F.lit(False)), S.stage_rank(F.col("kill_chain_stage"))
+    odd = len(K.STAGES)  # the class of stages that aren't in the list, of rank -1
+    user, end = F.coalesce("user", F.lit("")), F.col("t") + width
+    number = lambda at: F.floor(at / slab)
+
+    def entries(kind: str, name: Column, value: int, at: Column, when: Column, number_: Column | None = None) -> Column:
+        """``value``: 0 asks, 1 adds (in its own slab and where it ends), -1 takes off."""
+        places = F.array_distinct(F.array(number(F.col("t")), number(end))) if value == 1 else F.array(number(at))
+        row = lambda s: F.struct(F.lit(kind).alias("kind"), name.alias("name"), F.coalesce(number_, F.lit(0)).cast("int").alias("number") if number_ is not None else F.lit(0).alias("number"), s.alias("slab"), at.alias("at"), F.lit(value).alias("value"))
+        return F.when(when, F.transform(places, row)).otherwise(F.array())
+
+    t, yes, none = F.col("t"), F.lit(True), F.lit("")
+    mine, above = F.concat_ws("\0", user, "image"), F.concat_ws("\0", user, "parent_image")
+    rows = F.concat(
+        *[entries("user", user, v, a, yes) for v, a in ((0, t), (1, t), (-1, end))],
+        entries("parent", above, 0, t, F.col("parent_image").isNotNull()), *[entries("parent", mine, v, a, F.col("image").isNotNull()) for v, a in ((1, t), (-1, end))],
+        entries("tactic", none, 0, t, busy, rank - 1), *[entries("tactic", none, v, a, busy, rank) for v, a in ((1, t), (-1, end))],
+    )
+    x = events.filter("computer is not null").select("event_id", "computer", rank.alias("rank"), busy.alias("busy"), F.when(rank < 0, odd).otherwise(rank).alias("class"), rows.alias("rows"))
+    x = x.select("event_id", "computer", "rank", "busy", "class", F.inline("rows"))
+    # what ends at some time is still near at that time; of one time the smaller id is the earlier; an event doesn't meet itself
+    order = Window.partitionBy("computer", "slab", "kind", "name", "number").orderBy("at", F.when(F.col("value") < 0, 1).otherwise(0), "event_id", "value").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({f"__{c}": F.coalesce(F.sum(F.when(F.col("class") == c, F.col("value")).otherwise(0)).over(order), F.lit(0)) for c in range(odd + 1)}).filter("value = 0")
+
+    kind, b = F.col("kind"), F.col("rank")
+    sums: dict[str, Column] = {k: F.lit(0) for k in ("edges", "weight", "forward", "backward")}
+    for c in range(odd + 1):
+        a, both = (-1 if c == odd else c), (F.lit(c > 0) & F.col("busy"))
+        later, back = F.when(b > a, 1).otherwise(0), F.when(b < a, 1).otherwise(0)
+        half = F.when(b < a, 0.5).otherwise(1.0)
+        tactic, stage = both & (b == a + 1), b == a
+        other = F.when(stage, 2.0).when(both & ~tactic, half)  # what the pair weighs as stage or user, null if neither
+        as_user = {"edges": F.when(other.isNotNull(), 1).otherwise(0), "weight": F.coalesce(other, F.lit(0.0)), "forward": F.when(other.isNotNull(), later).otherwise(0), "backward": F.when(other.isNotNull(), back).otherwise(0)}
+        as_tactic = {"edges": F.when(tactic, 1).otherwise(0), "weight": F.when(tactic, 3.0).otherwise(0.0), "forward": F.when(tactic, 1).otherwise(0), "backward": F.lit(0)}
+        as_child = {"edges": F.lit(1), "weight": 5.0 * half, "forward": later, "backward": back}
+        for k in sums:
+            each = F.when(kind == "user", as_user[k]).when(kind == "tactic", as_tactic[k]).otherwise(as_child[k] - as_user[k] - as_tactic[k])
+            sums[k] = sums[k] + F.col(f"__{c}") * each
+    found = x.groupBy(F.col("event_id").alias("node")).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    return found.filter("edges > 0")
+
+
 def links(events: DataFrame, seconds: int = 900) -> DataFrame:
     """(u, v): as few edges as connect what all of ``edges`` connect; their number grows with the events, not with their pairs.
 
@@ -110,9 +180,9 @@ def components(pairs: DataFrame) -> DataFrame:
         now = stored(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 
-def campaigns(events: DataFrame, found: DataFrame, comp: DataFrame) -> DataFrame:
-    """Components with their score: structure and signals, times a factor for the number of stages. ``found``: the ``edges`` of
-    the events, ``comp``: their ``members``. Edges are summed by their first event before they meet the components. Where events have
+def campaigns(events: DataFrame, sums: DataFrame, comp: DataFrame) -> DataFrame:
+    """Components with their score: structure and signals, times a factor for the number of stages. ``sums``: the ``edge_sums`` of
+    the events, ``comp``: their ``members``. Where events have
     a ``confidence``, the greatest is the base of the score, else and where it is 0 the base is 30."""
     nodes = events.join(comp, events["event_id"] == comp["node"])
     n = nodes.groupBy("component").agg(
@@ -120,7 +190,6 @@ def campaigns(events: DataFrame, found: DataFrame, comp: DataFrame) -> DataFrame
         F.max(S.stage_rank(F.col("kill_chain_stage"))).alias("top_rank"), F.max(F.col("event_code").isin(12, 13, 14)).alias("persists"), F.max(F.col("event_code") == 3).alias("nets"), F.max(F.col("event_code").isin(8, 9, 25)).alias("critical"),
         F.max(F.col("confidence") if "confidence" in events.columns else F.lit(0)).alias("base"), F.max(F.col("event_code") == 8).alias("injects"),
     )
-    sums = found.groupBy(F.col("a_event_id").alias("node")).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"), F.count_if(F.col("direction") == "forward").alias("forward"), F.count_if(F.col("direction") == "backward").alias("backward"))
     e = sums.join(comp, "node").groupBy("component").agg(*[F.sum(c).alias(c) for c in ("edges", "weight", "forward", "backward")])
     signal = F.when(F.col("base") > 0, F.col("base")).otherwise(30) + F.when(F.col("persists"), 15).otherwise(0) + F.when(F.col("injects"), 25).otherwise(0) + F.when(F.col("nets"), 10).otherwise(0) + F.when(F.col("critical"), 20).otherwise(0)
     structure = F.least(F.lit(50.0), F.least(F.lit(20.0), 5 * F.col("weight")) + F.when(F.col("backward") == 0, F.least(F.lit(15), 5 * F.col("forward"))).otherwise(0))
@@ -146,9 +215,9 @@ def parent_links(events: DataFrame) -> DataFrame:
     nodes = events.filter("event_code = 1")
     key = F.when(F.col("kind") == 0, F.col("pid")).otherwise(F.col("ppid"))
     both = nodes.withColumn("kind", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("key", key)
-    earlier = Window.partitionBy("computer", "key").orderBy("t", F.desc("kind"), "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.last(F.when(F.col("kind") == 0, F.col("event_id")), ignorenulls=True).over(earlier)
-    return both.withColumn("parent_id", parent).filter("kind = 1").select("event_id", "computer", "pid", "ppid", "t", "parent_id")
+    asks = both.withColumn("order", -F.col("kind"))  # of one time those that ask come first
+    found = last_before(asks, ["computer", "key"], ["t", "order", "event_id"], F.when(F.col("kind") == 0, F.col("event_id")), "parent_id")
+    return found.filter("kind = 1").select("event_id", "computer", "pid", "ppid", "t", "parent_id")
 
 
 def tree_depths(links: DataFrame) -> DataFrame:
@@ -176,14 +245,14 @@ def parent_chain(events: DataFrame) -> DataFrame:
 
 def story(events: DataFrame) -> DataFrame:
     """Steps of each computer in order of time, runs of one image and stage folded, with how each step follows the last."""
-    order = Window.partitionBy("computer").orderBy("t", "event_id")
-    same = (F.col("image") == F.lag("image").over(order)) & (F.col("kill_chain_stage") == F.lag("kill_chain_stage").over(order))
-    x = events.withColumn("cut", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("step", F.sum("cut").over(order))
+    differs = lambda before, here: ~F.coalesce((here("image") == before("image")) & (here("kill_chain_stage") == before("kill_chain_stage")), F.lit(False))
+    x = numbered_runs(events, ["computer"], ["t", "event_id"], ["image", "kill_chain_stage"], differs, "step")
     g = x.groupBy("computer", "step").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.count("*").alias("n"), F.first("image").alias("image"), F.first("kill_chain_stage").alias("stage"), F.min_by("parent_image", F.struct("t", "event_id")).alias("parent_image"))
-    steps = Window.partitionBy("computer").orderBy("step")
-    gap = F.col("start_t") - F.lag("end_t").over(steps)
-    link = F.when(F.lag("image").over(steps).isNull(), "start").when(F.col("parent_image") == F.lag("image").over(steps), "spawned").when(gap <= 5 * SECOND, "likely related").otherwise("related")
-    return g.withColumn("link", link).drop("parent_image")
+    before = g.select(F.col("computer").alias("b_computer"), (F.col("step") + 1).alias("b_step"), F.col("image").alias("b_image"), F.col("end_t").alias("b_end_t"))
+    g = g.join(before, F.col("computer").eqNullSafe(F.col("b_computer")) & (F.col("step") == F.col("b_step")), "left")  # steps have no gaps
+    gap = F.col("start_t") - F.col("b_end_t")
+    link = F.when(F.col("b_image").isNull(), "start").when(F.col("parent_image") == F.col("b_image"), "spawned").when(gap <= 5 * SECOND, "likely related").otherwise("related")
+    return g.withColumn("link", link).drop("parent_image", "b_computer", "b_step", "b_image", "b_end_t")
 
 
 def campaign_facts(events: DataFrame, comp: DataFrame, most: int = 10) -> DataFrame:

@@ -1,6 +1,7 @@
 """Anomaly scores against the whole profile of an entity, the learning gate, and baselines by the hour.
 
-Profiles stay in long form (entity, key, count); every part is an equi-join on the entity and one key.
+Habits stay in long form (entity, kind, key, count): one table for all kinds, which the events' keys meet in one join; beside it
+there is one row of statistics and totals an entity.
 """
 
 from __future__ import annotations
@@ -11,16 +12,16 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions import constants as K
 from tidewatch.functions import signals as S
-from tidewatch.operators.baseline import ENTITY, shares, statistics
+from tidewatch.operators.baseline import ENTITY
+from tidewatch.operators.context import with_grandparent
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 
 
 def with_keys(events: DataFrame) -> DataFrame:
-    """Hour, subnet, transition keys and entropy of each event; the grandparent is the image two rows earlier of the user."""
-    grand = F.lag("image", 2).over(Window.partitionBy("user").orderBy("t", "event_id"))
+    """Hour, subnet, transition keys and entropy of each event; the grandparent comes from the process ids."""
     parent = F.coalesce("parent_image", F.lit("unknown"))
-    return events.withColumn("grandparent", grand).withColumns({
+    return with_grandparent(events).withColumns({
         "hour": F.pmod(F.floor(F.col("t") / HOUR), F.lit(24)), "subnet": F.substring_index("dst_ip", ".", 3), "two": F.concat_ws(">", parent, "image"),
         "three": F.when(F.col("grandparent").isNotNull(), F.concat_ws(">", "grandparent", parent, "image")), "entropy": S.entropy(F.col("command_line")),
     })
@@ -39,20 +40,37 @@ def entropy_part(z: Column) -> Column:
     return 0.40 * z + 0.30 * F.when(S.encoded_flag(cmd), 0.8).otherwise(0.0) + 0.15 * F.when(length > 500, 0.6).when(length > 200, 0.3).otherwise(0.0) + 0.15 * F.least(special, F.lit(1.0))
 
 
+#: Kind of habit: the column with its key.
+HABITS = {"p": "parent_image", "h": "hour", "i": "dst_ip", "u": "subnet", "b": "two", "r": "three"}
+
+
+def habits(events: DataFrame, by: list[str], more: list[str] = ()) -> DataFrame:
+    """(entity, kind, key): a row for each key of each event that has it."""
+    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("key")) for kind, c in HABITS.items()])
+    return events.select(*by, *more, F.inline(pairs)).filter("key is not null")
+
+
+def profile_rows(history: DataFrame, by: list[str] = ENTITY) -> tuple[DataFrame, DataFrame]:
+    """(entity: n, mean and m2 of value and entropy, a total for each kind) and (entity, kind, key, count)."""
+    counts = habits(history, by).groupBy(*by, "kind", "key").agg(F.count("*").alias("count"))
+    totals = counts.groupBy(*by).agg(*[F.sum(F.when(F.col("kind") == k, F.col("count")).otherwise(0)).alias(f"{k}_total") for k in HABITS])
+    triple = lambda c, p: [F.count(c).alias(f"{p}n"), F.avg(c).alias(f"{p}mean"), (F.var_pop(c) * F.count(c)).alias(f"{p}m2")]
+    return history.groupBy(*by).agg(*triple("value", ""), *triple("entropy", "e_")).join(totals, by, "left"), counts
+
+
 def anomaly_scores(events: DataFrame, history: DataFrame, by: list[str] = ENTITY) -> DataFrame:
-    """The six parts, deviation, behavior and the names of what stands out. Both inputs come from ``with_keys``.
+    """The six parts, deviation, behavior and the names of what stands out. Both inputs come from ``with_keys``; ``event_uid`` is unique.
 
     Weights: frequency 0.25, parent 0.15, sequence 0.15, entropy 0.20, time 0.10, network 0.15, and 0.20 for slow attacks:
-    at least two strong signals at a value of 5 at most. Young profiles are damped, unknown entities score 0.25.
+    at least two strong signals at a value of 5 at most. Young profiles are damped, unknown entities score 0.25. Sums are made
+    of whole values; limits apply to the values as printed, with six digits.
     """
-    x = events.join(statistics(history, by), by, "left")
-    e = statistics(history, by, "entropy")
-    x = x.join(e.select(*by, *[F.col(c).alias(f"e_{c}") for c in ("n", "mean", "m2")]), by, "left")
-    for key, name in (("parent_image", "p"), ("hour", "h"), ("dst_ip", "i"), ("subnet", "u"), ("two", "b"), ("three", "r")):
-        s = shares(history, by, key, name)
-        x = x.join(s.select(*by, key, f"{name}_share"), [*by, key], "left").join(s.select(*by, f"{name}_total").distinct(), by, "left")
-    rare = lambda name: 1 - F.coalesce(f"{name}_share", F.lit(0.0))
+    entities, counts = profile_rows(history, by)
+    seen = habits(events, by, ["event_uid"]).join(counts, [*by, "kind", "key"])
+    seen = seen.groupBy("event_uid").agg(*[F.max(F.when(F.col("kind") == k, F.col("count"))).alias(f"{k}_count") for k in HABITS])
+    x = events.join(entities, by, "left").join(seen, "event_uid", "left")
     total = lambda name: F.coalesce(f"{name}_total", F.lit(0))
+    rare = lambda name: 1 - F.coalesce(F.col(f"{name}_count") / F.col(f"{name}_total"), F.lit(0.0))
     n, one = F.coalesce("n", F.lit(0)), F.lit(1.0)
     parts = {
         "f": F.when(n == 0, 0.25).when(n < 10, 0.3).otherwise(F.least(one, F.greatest(F.lit(0.2), _z("value", "n", "mean", "m2") / 3))),
@@ -62,18 +80,19 @@ def anomaly_scores(events: DataFrame, history: DataFrame, by: list[str] = ENTITY
         "h": F.when(total("h") < 10, 0.05).otherwise(rare("h")),
         "i": F.when(F.col("dst_ip").isNull(), 0.05).otherwise(F.greatest(F.when(total("i") >= 5, rare("i")).otherwise(0.15), F.when(total("u") >= 5, 0.7 * rare("u")).otherwise(0.10))),
     }
-    x = x.withColumns({f"__{k}": F.round(v, 6) for k, v in parts.items()})
-    part = {k: F.col(f"__{k}") for k in parts}
-    strong = sum(((c).cast("int") for c in (part["e"] > 0.6, part["s"] > 0.7, part["i"] > 0.7, F.col("event_code").isin(12, 13, 14), F.col("event_code") == 8)), F.lit(0))
+    x = x.withColumns({f"__{k}": v for k, v in parts.items()})
+    shown = lambda k: S.rounded(F.col(f"__{k}"))
+    strong = sum(((c).cast("int") for c in (shown("e") > 0.6, shown("s") > 0.7, shown("i") > 0.7, F.col("event_code").isin(12, 13, 14), F.col("event_code") == 8)), F.lit(0))
     x = x.withColumn("slow", (strong >= 2) & (F.col("value") <= 5)).withColumn("__f", F.when(F.col("slow"), F.greatest("__f", F.lit(0.4))).otherwise(F.col("__f")))
+    part = {k: F.col(f"__{k}") for k in parts}
     raw = 0.25 * part["f"] + 0.15 * part["p"] + 0.15 * part["s"] + 0.20 * part["e"] + 0.10 * part["h"] + 0.15 * part["i"] + F.when(F.col("slow"), 0.20).otherwise(0.0)
     deviation = F.when(n == 0, 0.25).otherwise(F.least(one, F.when(n < 15, F.greatest(F.lit(0.2), 0.75 * raw)).otherwise(raw)))
     six = F.array(*part.values())
     top, mean = F.array_max(six), F.aggregate(six, F.lit(0.0), lambda a, b: a + b) / 6
-    x = x.withColumn("deviation", F.round(deviation, 6)).withColumn("behavior", F.round(F.greatest(0.7 * top + 0.3 * mean, 0.85 * top, 0.8 * F.col("deviation")), 6))
+    x = x.withColumn("__d", deviation).withColumn("behavior", S.rounded(F.greatest(0.7 * top + 0.3 * mean, 0.85 * top, 0.8 * F.col("__d"))))
     limits = {"f": (0.6, "frequency"), "p": (0.6, "parent"), "s": (0.7, "transition"), "e": (0.6, "entropy"), "h": (0.7, "hour"), "i": (0.7, "destination")}
-    told = F.array_compact(F.array(*[F.when(part[k] > most, F.lit(name)) for k, (most, name) in limits.items()], F.when(F.col("slow"), F.lit("slow"))))
-    return x.select("event_uid", *by, F.coalesce("n", F.lit(0)).alias("observed"), *[F.col(f"__{k}").alias(k) for k in parts], "slow", "deviation", "behavior", F.array_join(told, ",").alias("anomalies"))
+    told = F.array_compact(F.array(*[F.when(shown(k) > most, F.lit(name)) for k, (most, name) in limits.items()], F.when(F.col("slow"), F.lit("slow"))))
+    return x.select("event_uid", *by, F.coalesce("n", F.lit(0)).alias("observed"), *[shown(k).alias(k) for k in parts], "slow", S.rounded(F.col("__d")).alias("deviation"), "behavior", F.array_join(told, ",").alias("anomalies"))
 
 
 def learning_gate(scored: DataFrame, never: list[str] = K.NEVER_LEARN) -> DataFrame:

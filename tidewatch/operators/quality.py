@@ -22,15 +22,14 @@ def context_problems(events: DataFrame) -> DataFrame:
     return events.withColumn("missing", F.array_join(missing, ",")).filter("missing <> ''")
 
 
-def invariants(bursts: DataFrame, edges: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
-    """Violations by kind: a score without evidence, an edge without its ends, a child before its parent, a node in two
-    campaigns, a burst that ends before it starts."""
-    ends = edges.select(F.col("a_event_id").alias("node")).union(edges.select(F.col("b_event_id").alias("node"))).distinct()
+def invariants(bursts: DataFrame, edge_sums: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """Violations by kind: a score without evidence, edges (``edge_sums``) that end in an event of no campaign, a child before
+    its parent, a node in two campaigns, a burst that ends before it starts."""
     parents = links.select(F.col("event_id").alias("parent_id"), F.col("t").alias("parent_t"))
     checks = {
         "score without evidence": bursts.filter((F.col("risk") > 0) & (F.col("n") == 0)),
         "burst runs backwards": bursts.filter("end_t < start_t"),
-        "edge without ends": ends.join(members, "node", "left_anti"),
+        "edge without ends": edge_sums.join(members, "node", "left_anti"),
         "node in two campaigns": members.groupBy("node").agg(F.count_distinct("component").alias("c")).filter("c > 1"),
         "child before parent": links.join(parents, "parent_id").filter("t < parent_t"),
     }

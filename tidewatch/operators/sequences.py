@@ -1,7 +1,9 @@
 """Ordered attack sequences within a host: steps that follow each other within a few rows and a time gap.
 
 The next step of a pattern must be one of the next ``skip + 1`` rows of the host and not later than its gap (with a
-tolerance). Those rows are read with ``lead`` over one window shared by all patterns: one sort, no self-join, no UDF.
+tolerance). Those rows are read with ``lead`` over one window shared by all patterns: one sort, no self-join, no UDF. No chain
+is longer than the sum of its gaps, so a host's time is cut into slabs of four times that, and the rows at the beginning of a
+slab are also at the end of the one before.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import signals as S
+from tidewatch.operators.slabs import slab_of
 
 TOLERANCE = 5
 
@@ -79,7 +82,10 @@ def detect(events: DataFrame, patterns: list[Pattern] = PATTERNS) -> DataFrame:
     A row's matches of all steps are the bits of one array, so all patterns read the next rows through the same few leads. From
     the last hop to the first, each row then gets the ends of the chains that go on from it.
     """
-    order = Window.partitionBy("computer").orderBy("t", "event_id")
+    reach = max(sum(s.max_gap_seconds + TOLERANCE for s in p.steps[1:]) for p in patterns)
+    own = slab_of(F.col("t"), 4 * reach)
+    events = events.withColumn("__slab", F.explode(F.array_distinct(F.array(own, slab_of(F.col("t") - reach * 1_000_000, 4 * reach)))))
+    order = Window.partitionBy("computer", "__slab").orderBy("t", "event_id")
     bits = {(p.pattern_id, k): i for i, (p, k) in enumerate((p, k) for p in patterns for k in range(len(p.steps)))}
     ahead = max(s.max_skip_steps for p in patterns for s in p.steps[1:]) + 1
     here = F.array(*[matches(s) for p in patterns for s in p.steps])
@@ -113,7 +119,7 @@ def detect(events: DataFrame, patterns: list[Pattern] = PATTERNS) -> DataFrame:
                  F.when(F.col("__m")[bits[p.pattern_id, 0]], F.col("__ends")[i]).otherwise(F.array().cast(end)).alias("ends"))
         for i, p in enumerate(patterns)
     ])
-    starts = rows.filter(F.exists("__ends", lambda e: F.size(e) > 0))
+    starts = rows.filter((F.col("__slab") == own) & F.exists("__ends", lambda e: F.size(e) > 0))
     out = starts.select("computer", F.col("event_uid").alias("first_uid"), F.col("t").alias("first_t"), F.inline(found)).select("*", F.inline("ends")).drop("ends")
     return out.withColumn("confidence", F.floor(F.col("base") * F.col("matched") / F.col("total")).cast("int")).drop("base").dropDuplicates(["pattern_id", "computer", "first_t", "last_t", "matched"])
 

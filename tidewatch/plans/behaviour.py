@@ -28,6 +28,10 @@ def bursts(spark, d):
     return B.bursts(telemetry(spark, d)).select("burst_id", "image", "pid", "computer", "user", "start_t", "end_t", "n", "exec_count", "net_count", "has_file", "has_reg", "codes", "dst_ip", "peak")
 
 
+def burst_events(spark, d):
+    return B.burst_events(telemetry(spark, d)).select("burst_id", "event_uid", "t", "event_code")
+
+
 def bursts_by_image(spark, d):
     return host_bursts(spark, d).select("burst_id", "computer", "image", "n", "start_t", "end_t", "stage", "risk", "dst_ip", "parent_image")
 
@@ -142,7 +146,7 @@ def corr_edges(spark, d):
 
 def campaigns(spark, d):
     e = _staged(spark, d)
-    return G.stale(G.campaigns(e, G.edges(e), G.members(e)), AS_OF_T).select("component", "computer", "nodes", "edges", "first_t", "last_t", "stages", F.round("weight", 6).alias("weight"), "score", "status", "confidence")
+    return G.stale(G.campaigns(e, G.edge_sums(e), G.members(e)), AS_OF_T).select("component", "computer", "nodes", "edges", "first_t", "last_t", "stages", F.round("weight", 6).alias("weight"), "score", "status", "confidence")
 
 
 def campaign_members(spark, d):
@@ -163,18 +167,24 @@ def story_steps(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    bursts, bursts_by_image, shown_bursts, prioritised_bursts, dangerous_bursts, sessions, collapsed_bursts, burst_aggregates, auto_correlated, burst_reasons, behavior_counts, detections_for_bursts, run_confidence,
+    bursts, burst_events, bursts_by_image, shown_bursts, prioritised_bursts, dangerous_bursts, sessions, collapsed_bursts, burst_aggregates, auto_correlated, burst_reasons, behavior_counts, detections_for_bursts, run_confidence,
     alert_levels, deviation_scores, learnable, entity_profile, hourly_baseline, merged_profile, ngrams, sequences, sequence_groups, sequence_boost, corr_edges, campaigns, campaign_members, process_tree, parent_chain, story_steps,
 )}
 
 
+#: tele with gp, the grandparent by process ids.
+GRAND = """, sn AS (SELECT computer, pid, t, arg_max(image, event_id) AS image, arg_max(ppid, event_id) AS ppid FROM tele GROUP BY ALL),
+  pa AS (SELECT e.*, p.ppid AS above FROM tele e ASOF LEFT JOIN sn p ON e.computer = p.computer AND e.ppid = p.pid AND e.t > p.t),
+  kx AS (SELECT e.*, p.image AS gp FROM pa e ASOF LEFT JOIN sn p ON e.computer = p.computer AND e.above = p.pid AND e.t > p.t)"""
+
+
 def _bursts_sql(keys: list[str], name: str) -> str:
     k = ", ".join(f'"{x}"' for x in keys)
     text = " || '|' || ".join(f'"{x}"' for x in keys)
     return f"""{name}_c AS (SELECT *, CASE WHEN coalesce(t - lag(t) OVER w > 900000000, true) THEN 1 ELSE 0 END AS cut FROM tele WINDOW w AS (PARTITION BY {k} ORDER BY t, event_id)),
 {name}_n AS (SELECT *, sum(cut) OVER (PARTITION BY {k} ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS burst_no FROM {name}_c),
 {name} AS (SELECT {k}, min(t) AS start_t, max(t) AS end_t, count(*) AS n, count(*) FILTER (event_code = 1) AS exec_count, count(*) FILTER (event_code = 3) AS net_count,
-  bool_or(event_code = 11) AS has_file, bool_or(event_code IN (12, 13, 14)) AS has_reg, string_agg(CAST(event_code AS VARCHAR), ',' ORDER BY t, event_id) AS codes,
+  bool_or(event_code = 11) AS has_file, bool_or(event_code IN (12, 13, 14)) AS has_reg, array_to_string(list_sort(list_distinct(list(event_code))), ',') AS codes,
   last(dst_ip ORDER BY t, event_id) FILTER (dst_ip IS NOT NULL) AS dst_ip, last(parent_image ORDER BY t, event_id) FILTER (parent_image IS NOT NULL) AS parent_image, round(max(value), 6) AS peak,
   substr(sha256({text} || '|' || min(t)), 1, 16) AS burst_id FROM {name}_n GROUP BY {k}, burst_no)"""
 
@@ -234,6 +244,7 @@ COMP = EDGES.replace("WITH ev", "WITH RECURSIVE ev", 1) + """, nb AS (SELECT a_e
 
 SQL = {
     "bursts": FULL + "SELECT burst_id, image, pid, computer, \"user\", start_t, end_t, n, exec_count, net_count, has_file, has_reg, codes, dst_ip, peak FROM fb",
+    "burst_events": FULL + 'SELECT burst_id, event_uid, t, event_code FROM fb_n n JOIN fb b ON n.image = b.image AND n.pid = b.pid AND n.computer = b.computer AND n."user" = b."user" AND n.t BETWEEN b.start_t AND b.end_t',
     "bursts_by_image": HOST + "SELECT burst_id, computer, image, n, start_t, end_t, stage, risk, dst_ip, parent_image FROM st",
     "shown_bursts": HOST + "SELECT burst_id, risk, stage FROM st WHERE n >= 3 OR risk >= 40 OR stage IN ('Execution', 'Persistence', 'Privilege Escalation')",
     "prioritised_bursts": HOST + "SELECT burst_id, risk + 2 * rank + CASE WHEN has_reg THEN 10 ELSE 0 END + CASE WHEN net_count > 0 THEN 5 ELSE 0 END AS priority_score FROM st ORDER BY 2 DESC, start_t, burst_id LIMIT 50",
@@ -264,7 +275,7 @@ SQL = {
     "entity_profile": TELE + "SELECT computer, image, count(*) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS var, count(DISTINCT parent_image) AS parents, count(DISTINCT dst_ip) AS addresses, count(DISTINCT regexp_extract(dst_ip, '^(\\d+\\.\\d+\\.\\d+)', 1)) AS subnets FROM tele GROUP BY 1, 2",
     "hourly_baseline": TELE + ", dd AS (SELECT computer, image, (t // 3600000000) % 24 AS hour, t // 86400000000 AS day, count(*) AS c, avg(length(command_line)) AS len FROM tele GROUP BY ALL) SELECT computer, image, hour, count(*) AS days, round(avg(c), 6) AS mean, round(var_samp(c), 6) AS var, round(avg(len), 6) AS cmd_length FROM dd GROUP BY ALL",
     "merged_profile": TELE + "SELECT computer, image, count(*) AS n, round(avg(value), 6) AS mean, round(var_pop(value) * count(value), 1) AS m2 FROM tele GROUP BY 1, 2",
-    "ngrams": TELE + ", x AS (SELECT *, lag(image, 2) OVER (PARTITION BY \"user\" ORDER BY t, event_id) AS gp FROM tele), g AS (SELECT computer, 2 AS size, parent_image || '>' || image AS gram FROM x WHERE parent_image IS NOT NULL UNION ALL SELECT computer, 3, gp || '>' || parent_image || '>' || image FROM x WHERE gp IS NOT NULL) SELECT computer, size, gram, count(*) AS n FROM g GROUP BY ALL",
+    "ngrams": TELE + GRAND + ", g AS (SELECT computer, 2 AS size, parent_image || '>' || image AS gram FROM kx WHERE parent_image IS NOT NULL UNION ALL SELECT computer, 3, concat_ws('>', gp, parent_image, image) FROM kx WHERE gp IS NOT NULL) SELECT computer, size, gram, count(*) AS n FROM g GROUP BY ALL",
     "sequences": SEQ + "SELECT pattern_id, computer, first_uid, last_uid, first_t, last_t, matched, confidence, severity FROM sq",
     "sequence_groups": SEQ + ", g AS (SELECT pattern_id, computer, first_t // 86400000000 AS bucket, max(confidence) AS best, count(*) AS freq FROM sq GROUP BY ALL) SELECT *, floor(best / CASE WHEN freq > 1 THEN ln(1.0 + freq) ELSE 1.0 END * CASE WHEN freq > 5 THEN 0.5 ELSE 1.0 END)::INT AS confidence FROM g",
     "sequence_boost": SEQ + ", b AS (SELECT computer, max(confidence) AS c FROM sq GROUP BY 1) SELECT burst_id, round(least(100.0::DOUBLE, risk + least(10.0::DOUBLE, coalesce(c, 0) / 10)), 6) AS boosted FROM st LEFT JOIN b USING (computer)",

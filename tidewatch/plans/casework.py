@@ -52,7 +52,7 @@ def recent_shells(spark, d):
 
 
 def _anomalies(spark, d):
-    e = N.with_keys(telemetry(spark, d))
+    e = G.stored(N.with_keys(telemetry(spark, d)))  # read four times
     return N.anomaly_scores(e.filter(F.col("t") >= SPLIT_T), e.filter(F.col("t") < SPLIT_T)), e
 
 
@@ -96,7 +96,7 @@ def classified_bursts(spark, d):
 def tagged_events(spark, d):
     e = A.with_mitre(telemetry(spark, d))
     members = G.members(e)
-    return G.tagged(e.select("event_id", "computer"), G.campaigns(e, G.edges(e), members), members)
+    return G.tagged(e.select("event_id", "computer"), G.campaigns(e, G.edge_sums(e), members), members)
 
 
 def cross_run_campaigns(spark, d):
@@ -181,7 +181,7 @@ def _list(values) -> str:
 
 _SHARE = "(length(command_line) - length(replace(command_line, ch, '')))::DOUBLE / length(command_line)"
 _KEYS = {"p": "parent_image", "h": "hour", "i": "dst_ip", "u": "subnet", "b": "two", "r": "three"}
-ANOMALY = TELE + f""", kx AS (SELECT *, lag(image, 2) OVER (PARTITION BY "user" ORDER BY t, event_id) AS gp FROM tele),
+ANOMALY = TELE + P.GRAND + f""",
   ky AS (SELECT *, (t // 3600000000) % 24 AS hour, regexp_extract(dst_ip, '^(\\d+\\.\\d+\\.\\d+)', 1) AS subnet, coalesce(parent_image, 'unknown') || '>' || image AS two, CASE WHEN gp IS NOT NULL THEN gp || '>' || coalesce(parent_image, 'unknown') || '>' || image END AS three,
     round_even(list_sum(list_transform(list_distinct(string_split(command_line, '')), lambda ch: -({_SHARE}) * log2({_SHARE}))), 3) AS entropy FROM kx),
   old AS (SELECT * FROM ky WHERE t < {SPLIT_T}), cur AS (SELECT * FROM ky WHERE t >= {SPLIT_T}),
@@ -189,18 +189,18 @@ ANOMALY = TELE + f""", kx AS (SELECT *, lag(image, 2) OVER (PARTITION BY "user"
 """.replace("\\\\", "\\") + ",\n".join(f"{a}c AS (SELECT computer, image, {c}, count(*) AS c FROM old WHERE {c} IS NOT NULL GROUP BY ALL), {a}t AS (SELECT computer, image, sum(c) AS total FROM {a}c GROUP BY ALL)" for a, c in _KEYS.items()) + """,
   dx AS (SELECT cur.*, coalesce(n, 0) AS n, mean, m2, coalesce(en, 0) AS en, em, em2, """ + ", ".join(f"coalesce({a}t.total, 0) AS {a}_t, 1 - coalesce({a}c.c / {a}t.total, 0) AS {a}_r" for a in _KEYS) + """
     FROM cur LEFT JOIN vs USING (computer, image) """ + " ".join(f"LEFT JOIN {a}t USING (computer, image) LEFT JOIN {a}c USING (computer, image, {c})" for a, c in _KEYS.items()) + f"""),
-  dy AS (SELECT *, CASE WHEN n = 0 THEN 0.25::DOUBLE WHEN n < 10 THEN 0.3 ELSE round(least(1.0, greatest(0.2, abs((value - mean) / greatest(0.1, sqrt(m2 / greatest(n - 1, 1)))) / 3)), 6) END AS f0,
-    round(CASE WHEN p_t < 5 THEN 0.10::DOUBLE ELSE p_r * CASE WHEN parent_image IN ({", ".join(f"'{x}'" for x in K.BENIGN_PARENTS)}) THEN 0.5 ELSE 1.0 END END, 6) AS p,
-    round(least(1.0::DOUBLE, greatest(CASE WHEN b_t >= 10 THEN b_r ELSE 0.10::DOUBLE END, CASE WHEN three IS NOT NULL AND r_t >= 10 THEN 1.3::DOUBLE * r_r ELSE 0.0 END)), 6) AS s,
-    round(least(1.0::DOUBLE, 0.40::DOUBLE * CASE WHEN en >= 5 THEN least(1.0::DOUBLE, abs((entropy - em) / greatest(0.1::DOUBLE, sqrt(em2 / greatest(en - 1, 1)))) / 2) ELSE 0.10 END + 0.30::DOUBLE * CASE WHEN contains(lower(command_line), '-enc ') OR contains(lower(command_line), ' -e ') THEN 0.8::DOUBLE ELSE 0.0 END
+  dy AS (SELECT *, CASE WHEN n = 0 THEN 0.25::DOUBLE WHEN n < 10 THEN 0.3 ELSE least(1.0, greatest(0.2, abs((value - mean) / greatest(0.1, sqrt(m2 / greatest(n - 1, 1)))) / 3)) END AS f0,
+    (CASE WHEN p_t < 5 THEN 0.10::DOUBLE ELSE p_r * CASE WHEN parent_image IN ({", ".join(f"'{x}'" for x in K.BENIGN_PARENTS)}) THEN 0.5 ELSE 1.0 END END) AS p,
+    (least(1.0::DOUBLE, greatest(CASE WHEN b_t >= 10 THEN b_r ELSE 0.10::DOUBLE END, CASE WHEN three IS NOT NULL AND r_t >= 10 THEN 1.3::DOUBLE * r_r ELSE 0.0 END))) AS s,
+    (least(1.0::DOUBLE, 0.40::DOUBLE * CASE WHEN en >= 5 THEN least(1.0::DOUBLE, abs((entropy - em) / greatest(0.1::DOUBLE, sqrt(em2 / greatest(en - 1, 1)))) / 2) ELSE 0.10 END + 0.30::DOUBLE * CASE WHEN contains(lower(command_line), '-enc ') OR contains(lower(command_line), ' -e ') THEN 0.8::DOUBLE ELSE 0.0 END
       + 0.15::DOUBLE * CASE WHEN length(command_line) > 500 THEN 0.6::DOUBLE WHEN length(command_line) > 200 THEN 0.3 ELSE 0.0 END
-      + 0.15::DOUBLE * least(3.0::DOUBLE * (length(command_line) - length(regexp_replace(command_line, '{K.SPECIAL_CHARACTERS.replace("'", "''")}', '', 'g'))) / greatest(length(command_line), 1), 1.0::DOUBLE)), 6) AS e,
-    round(CASE WHEN h_t < 10 THEN 0.05::DOUBLE ELSE h_r END, 6) AS h, round(CASE WHEN dst_ip IS NULL THEN 0.05::DOUBLE ELSE greatest(CASE WHEN i_t >= 5 THEN i_r ELSE 0.15::DOUBLE END, CASE WHEN u_t >= 5 THEN 0.7::DOUBLE * u_r ELSE 0.10 END) END, 6) AS i FROM dx),
-  dz AS (SELECT *, ((e > 0.6)::INT + (s > 0.7)::INT + (i > 0.7)::INT + (event_code IN (12, 13, 14))::INT + (event_code = 8)::INT >= 2) AND value <= 5 AS slow FROM dy), dw AS (SELECT *, CASE WHEN slow THEN greatest(f0, 0.4::DOUBLE) ELSE f0 END AS f FROM dz),
+      + 0.15::DOUBLE * least(3.0::DOUBLE * (length(command_line) - length(regexp_replace(command_line, '{K.SPECIAL_CHARACTERS.replace("'", "''")}', '', 'g'))) / greatest(length(command_line), 1), 1.0::DOUBLE))) AS e,
+    (CASE WHEN h_t < 10 THEN 0.05::DOUBLE ELSE h_r END) AS h, (CASE WHEN dst_ip IS NULL THEN 0.05::DOUBLE ELSE greatest(CASE WHEN i_t >= 5 THEN i_r ELSE 0.15::DOUBLE END, CASE WHEN u_t >= 5 THEN 0.7::DOUBLE * u_r ELSE 0.10 END) END) AS i FROM dx),
+  dz AS (SELECT *, ((floor(e * 1e6 + 0.500001) / 1e6 > 0.6)::INT + (floor(s * 1e6 + 0.500001) / 1e6 > 0.7)::INT + (floor(i * 1e6 + 0.500001) / 1e6 > 0.7)::INT + (event_code IN (12, 13, 14))::INT + (event_code = 8)::INT >= 2) AND value <= 5 AS slow FROM dy), dw AS (SELECT *, CASE WHEN slow THEN greatest(f0, 0.4::DOUBLE) ELSE f0 END AS f FROM dz),
   dv AS (SELECT *, 0.25::DOUBLE * f + 0.15::DOUBLE * p + 0.15::DOUBLE * s + 0.20::DOUBLE * e + 0.10::DOUBLE * h + 0.15::DOUBLE * i + CASE WHEN slow THEN 0.20::DOUBLE ELSE 0.0 END AS raw FROM dw),
-  du AS (SELECT *, round(CASE WHEN n = 0 THEN 0.25::DOUBLE ELSE least(1.0::DOUBLE, CASE WHEN n < 15 THEN greatest(0.2::DOUBLE, 0.75::DOUBLE * raw) ELSE raw END) END, 6) AS deviation, greatest(f, p, s, e, h, i) AS top, (f + p + s + e + h + i) / 6 AS avg6 FROM dv),
-  an AS (SELECT *, round(greatest(0.7::DOUBLE * top + 0.3::DOUBLE * avg6, 0.85::DOUBLE * top, 0.8::DOUBLE * deviation), 6) AS behavior,
-    concat_ws(',', CASE WHEN f > 0.6 THEN 'frequency' END, CASE WHEN p > 0.6 THEN 'parent' END, CASE WHEN s > 0.7 THEN 'transition' END, CASE WHEN e > 0.6 THEN 'entropy' END, CASE WHEN h > 0.7 THEN 'hour' END, CASE WHEN i > 0.7 THEN 'destination' END, CASE WHEN slow THEN 'slow' END) AS anomalies FROM du)"""
+  du AS (SELECT *, (CASE WHEN n = 0 THEN 0.25::DOUBLE ELSE least(1.0::DOUBLE, CASE WHEN n < 15 THEN greatest(0.2::DOUBLE, 0.75::DOUBLE * raw) ELSE raw END) END) AS deviation_whole, greatest(f, p, s, e, h, i) AS top, (0.0 + f + p + s + e + h + i) / 6 AS avg6 FROM dv),
+  an AS (SELECT * EXCLUDE (f, p, s, e, h, i), floor(f * 1e6 + 0.500001) / 1e6 AS f, floor(p * 1e6 + 0.500001) / 1e6 AS p, floor(s * 1e6 + 0.500001) / 1e6 AS s, floor(e * 1e6 + 0.500001) / 1e6 AS e, floor(h * 1e6 + 0.500001) / 1e6 AS h, floor(i * 1e6 + 0.500001) / 1e6 AS i, floor(deviation_whole * 1e6 + 0.500001) / 1e6 AS deviation, floor(greatest(0.7::DOUBLE * top + 0.3::DOUBLE * avg6, 0.85::DOUBLE * top, 0.8::DOUBLE * deviation_whole) * 1e6 + 0.500001) / 1e6 AS behavior,
+    concat_ws(',', CASE WHEN floor(f * 1e6 + 0.500001) / 1e6 > 0.6 THEN 'frequency' END, CASE WHEN floor(p * 1e6 + 0.500001) / 1e6 > 0.6 THEN 'parent' END, CASE WHEN floor(s * 1e6 + 0.500001) / 1e6 > 0.7 THEN 'transition' END, CASE WHEN floor(e * 1e6 + 0.500001) / 1e6 > 0.6 THEN 'entropy' END, CASE WHEN floor(h * 1e6 + 0.500001) / 1e6 > 0.7 THEN 'hour' END, CASE WHEN floor(i * 1e6 + 0.500001) / 1e6 > 0.7 THEN 'destination' END, CASE WHEN slow THEN 'slow' END) AS anomalies FROM du)"""
 _GATE = ANOMALY + f""", {P._STAGES}, ag AS (SELECT an.*, kill_chain_stage AS stage, least(100.0::DOUBLE, value) AS risk FROM an JOIN stg USING (event_code)),
   gt AS (SELECT *, risk <= 40 AND lower(image) NOT IN ({", ".join(f"'{x}'" for x in K.NEVER_LEARN)}) AND ((n < 15 AND deviation < 0.15 AND behavior < 0.3) OR (deviation < 0.2 AND behavior < 0.4 AND event_code NOT IN (8, 12, 13, 14) AND entropy <= 4.0
     AND NOT (contains(lower(command_line), '-enc ') OR contains(lower(command_line), ' -e ')) AND s <= 0.7 AND NOT {EXTERNAL.format('dst_ip')} AND stage IN ('Execution', 'Background'))) AS learn FROM ag)"""

@@ -122,7 +122,7 @@ def campaign_scores(spark, d):
     """Campaign scores from the best confidence of their events' hits."""
     best = hits(spark, d).groupBy("event_uid").agg(F.max("confidence_score").alias("confidence"))
     e = A.with_mitre(telemetry(spark, d)).join(best, "event_uid", "left")
-    return G.campaigns(e, G.edges(e), G.members(e)).select("component", "nodes", "edges", "score")
+    return G.campaigns(e, G.edge_sums(e), G.members(e)).select("component", "nodes", "edges", "score")
 
 
 def sequence_event_groups(spark, d):

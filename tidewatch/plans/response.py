@@ -95,7 +95,7 @@ def context_problems(spark, d):
 
 def invariants(spark, d):
     e = A.with_mitre(telemetry(spark, d))
-    return V.invariants(P.host_bursts(spark, d), G.edges(e), G.members(e), G.parent_links(telemetry(spark, d)))
+    return V.invariants(P.host_bursts(spark, d), G.edge_sums(e), G.members(e), G.parent_links(telemetry(spark, d)))
 
 
 def table_fingerprint(spark, d):
