@@ -125,13 +125,21 @@ def audit_rows(seed, n, sources=7):
     return rows + [(None, "en", None), ("", "en", "none"), (None, None, None), ("only few words", "rare", "s1"), ("few", "rare", "s2"), ("few", "lone", "s")]
 
 
-@pytest.mark.parametrize(("block", "sources"), [(4096, 1000), (5, 1000), (5, 2)])
-def test_divergence_equals_brute_force(spark, block, sources):
+@pytest.mark.parametrize(("block", "sources", "words"), [(4096, 1000, 10**6), (5, 1000, 4), (5, 2, 10**6)])
+def test_divergence_equals_brute_force(spark, block, sources, words):
     rows = audit_rows(block, 160)
-    got = divergence.divergence(documents(spark, rows), 6, 4, block, sources)
+    got = divergence.divergence(documents(spark, rows), 6, 4, block, sources, words)
     assert sorted(map(tuple, got.select("lang", "source", "part", "item", "value", "rank").collect())) == divergence_brute(rows, 6, 4)
 
 
+def test_rows_of_words_add_up():
+    counts = Counter({b"a": 1, b"b": 2, b"c": 37, b"d": 1024})
+    total = Counter()
+    for times, words in divergence.word_rows(counts):
+        total.update({w: times for w in words})
+    assert total == counts and divergence.terms("Zoë-X1y \x7fÀ\n") == [b"zo\xc3\xab", b"x", b"y", b"", "À".encode(), b""]
+
+
 def test_divergence_of_odd_tables(spark):
     assert divergence.divergence(documents(spark, [("x", "en", "s")]).filter("doc_id < 0")).count() == 0
     assert divergence.divergence(documents(spark, [(None, None, None)] * 12)).count() == 0  # one source, no term

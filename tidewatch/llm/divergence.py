@@ -1,9 +1,11 @@
 """How much the sources of a language differ in their words: exact count vectors, group sums, and sparse pair evaluation.
 
-Each language gets a CountVectorizer of its own, with ``minDF`` documents and the largest ``vocabSize``, so nothing is cut;
-its model turns every document into an exact sparse vector. The vectors are added up by source as a Summarizer does it,
-but sparsely and in whole numbers: (source, index, count) triples, combined before the shuffle, so a source that holds most documents is
-no hot key. Documents are read and split once; their words are stored by language.
+Each language gets a CountVectorizer of its own, with ``minDF`` documents and the largest ``vocabSize``, so nothing is cut. It is
+fitted to the different words of each document, which is all that ``minDF`` asks for, and its model turns every document into an exact
+sparse vector: 1 for each different word, and the rest of each word's count in binary digits, a row of words for each digit,
+so that a frequent word is handed over a few times and not as often as it occurs. The vectors are added up by source as
+a Summarizer does it, but sparsely and in whole numbers: (source, index, count) triples, combined before the shuffle, so a
+source that holds most documents is no hot key. Documents are read and split once; their words are stored by language.
 
 A group gives every kept term t the share p = 1 + floor(10^9 (count + 2) / (N + 2 V)). Two groups differ by the sum over all V terms
 of floor((p - q)^2 / (p + q)). Terms of one language are dealt into blocks, and a block's counts meet the shares that each source
@@ -11,9 +13,10 @@ gives to absent terms in one task: per source one sweep over the block's counts,
 not zero, and terms that both lack are counted, not visited. A block holds at most ``TERMS`` terms of two sets of ``SOURCES``
 sources. No list of pairs by term is made; what leaves a block is one sum for each pair of sources.
 
-The vocabulary of one language at a time is on the driver and goes to the executors, as CountVectorizer does it: the terms in at
-least ``min_docs`` of its documents. It is the only thing here that grows with the corpus and isn't spread. The driver goes over the languages that have
-``min_docs`` documents; all others, however many, keep no term and are settled together.
+A CountVectorizer keeps its vocabulary on the driver and sends it to the executors. So that it is bounded, words are dealt by their hash
+into parts of about ``WORDS`` different words (estimated by a sketch), each part gets a CountVectorizer of its own, one after the
+other, and the vectors of the parts stand side by side. The driver goes over the languages that have ``min_docs``
+documents; all others, however many, keep no term and are settled together.
 
 Defined results: null text, lang and source are the empty string, which are values like others; a group without terms has all
 its shares at the default; a language without kept terms has values of 0; repeated rows count each; an empty table gives
@@ -22,6 +25,7 @@ no rows; a language with one source has no pairs.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewatch.llm.common import plain, stored
+from tidewatch.llm.common import map_batches, plain, stored
 
 MIN_DOCS, TOP = 10, 10
 SCALE = 1_000_000_000
@@ -41,13 +45,15 @@ TERMS, SOURCES = 4096, 1000
 #: Folders that languages are dealt into.
 FOLDERS = 64
 LARGEST = 2**31 - 1
-LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Different words of a part of the vocabulary.
+WORDS = 2_000_000
+#: What each byte of a text becomes: A-Z lower case, other letters and bytes of non-ASCII characters themselves, all else a blank.
+LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def terms(text: Column) -> Column:
+def terms(text: str) -> list[bytes]:
     """Runs of ASCII letters and non-ASCII characters; only A-Z are lower-cased."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(LETTERS), F.lit(0))
+    return text.encode().translate(LETTERS).split(b" ")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -61,28 +67,55 @@ def difference(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def words_by_language(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms, folder), stored in a folder for each hash of the language."""
-    rows = docs.select(plain("lang").alias("lang"), plain("source").alias("source"), terms(plain("text")).alias("terms"))
-    return stored(rows.withColumn("folder", F.pmod(F.xxhash64("lang"), F.lit(FOLDERS)).cast("int")), "words", by=["folder"])
+def word_rows(counts: Counter) -> Iterator[tuple[int, list[bytes]]]:
+    """(times, words) that add up to the counts: all words once, then what is left of them by binary digits."""
+    yield 1, list(counts)
+    left, times = [(w, n - 1) for w, n in counts.items() if n > 1], 1
+    while left:
+        yield times, [w for w, n in left if n & 1]
+        left, times = [(w, n >> 1) for w, n in left if n > 1], 2 * times
 
 
-def count_sums(words: DataFrame, lang: str, min_docs: int) -> tuple[DataFrame, DataFrame]:
-    """Of one language: (lang, source, idx, count) of the kept terms that a source has, and its vocabulary (lang, idx, term)."""
-    spark = words.sparkSession
+def words_by_language(docs: DataFrame) -> DataFrame:
+    """(lang, source, whole, times, terms, folder), stored in a folder for each hash of the language. Rows with ``whole`` hold the different
+    words of a document, the others say how often more some of them occur."""
+
+    def work(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("lang", "source", "whole", "times", "terms")}
+            held = 0
+            for lang, source, text in zip(b["lang"].to_pylist(), b["source"].to_pylist(), b["text"].to_pylist(), strict=True):
+                counts = Counter(terms(text))
+                counts.pop(b"", None)
+                for k, (times, words) in enumerate(word_rows(counts)):
+                    for name, value in zip(out, (lang, source, k == 0, times, words), strict=True):
+                        out[name].append(value)
+                    held += len(words)
+                if held > 200_000:
+                    yield out | {"terms": pa.array(out["terms"], pa.list_(pa.binary())).cast(pa.list_(pa.string()))}
+                    out, held = {k: [] for k in out}, 0
+            yield out | {"terms": pa.array(out["terms"], pa.list_(pa.binary())).cast(pa.list_(pa.string()))}
+
+    rows = docs.select(plain("lang").alias("lang"), plain("source").alias("source"), plain("text").alias("text"))
+    split = map_batches(rows, "lang string, source string, whole boolean, times long, terms array<string>", work)
+    return stored(split.withColumn("folder", F.pmod(F.xxhash64("lang"), F.lit(FOLDERS)).cast("int")), "words", by=["folder"])
+
+
+def count_sums(words: DataFrame, lang: str, min_docs: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """Of one part of a language's words: (lang, source, idx, term, count) of the kept terms that a source has."""
     own = words.filter((F.col("folder") == F.pmod(F.xxhash64(F.lit(lang)), F.lit(FOLDERS)).cast("int")) & (F.col("lang") == lang))
+    if parts > 1:
+        own = own.withColumn("terms", F.filter("terms", lambda w: F.pmod(F.xxhash64(w), F.lit(parts)) == part))
     # no term is the empty string: every document gets one, so that a vocabulary is never empty, which CountVectorizer refuses
-    own = own.select("source", F.concat("terms", F.array(F.lit(""))).alias("terms"))
-    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=LARGEST).fit(own)
+    own = own.select("source", "whole", "times", F.concat("terms", F.array(F.lit(""))).alias("terms"))
+    model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=LARGEST).fit(own.filter("whole"))
     vector = F.unwrap_udt("vector")
-    pairs = model.transform(own).select("source", F.explode(F.arrays_zip(vector["indices"].alias("idx"), vector["values"].alias("n"))).alias("e"))
-    sums = pairs.groupBy("source", F.col("e.idx").alias("idx")).agg(F.sum(F.col("e.n").cast("long")).alias("count"))
+    pairs = model.transform(own).select("source", "times", F.explode(F.arrays_zip(vector["indices"].alias("idx"), vector["values"].alias("n"))).alias("e"))
+    sums = pairs.groupBy("source", F.col("e.idx").alias("idx")).agg(F.sum(F.col("e.n").cast("long") * F.col("times")).alias("count"))
     names = model.vocabulary
-    mark = names.index("")
-    kept = pa.table({"idx": pa.array(range(len(names)), pa.int32()), "term": pa.array(names, pa.string())})
-    vocabulary = spark.createDataFrame(kept).filter(F.col("idx") != mark)
-    tag = F.lit(lang).alias("lang")
-    return sums.filter(F.col("idx") != mark).select(tag, "source", "idx", "count"), vocabulary.select(tag, "idx", "term")
+    kept = words.sparkSession.createDataFrame(pa.table({"idx": pa.array(range(len(names)), pa.int32()), "term": pa.array(names, pa.string())}))
+    named = sums.join(kept.filter("term <> ''"), "idx")
+    return named.select(F.lit(lang).alias("lang"), "source", (F.col("idx").cast("long") * parts + part).alias("idx"), "term", "count")
 
 
 def _block_sums(block: pa.Table, in_set: int) -> pa.Table:
@@ -142,19 +175,18 @@ def pair_sums(sums: DataFrame, groups: DataFrame, kept: DataFrame, terms_in_bloc
     return found.groupBy("lang", "one", "two").agg(F.sum("sum").alias("sum"))
 
 
-def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, terms_in_block: int = TERMS, in_set: int = SOURCES) -> DataFrame:
+def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, terms_in_block: int = TERMS, in_set: int = SOURCES, words_in_part: int = WORDS) -> DataFrame:
     """(lang, source, part, item, value, rank), as the contract of the query says."""
-    spark = docs.sparkSession
     words = words_by_language(docs)
-    sizes = words.groupBy("lang", "source").agg(F.count("*").alias("docs"))
+    first = words.filter("whole")
+    sizes = first.groupBy("lang", "source").agg(F.count("*").alias("docs"))
     numbered = stored(sizes.withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1), "groups")
-    langs = [r["lang"] for r in numbered.groupBy("lang").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang").collect()]
-    parts = [count_sums(words, lang, min_docs) for lang in sorted(langs)]
-    counts = [stored(c, "counts") for c, _ in parts]
-    no_counts, no_terms = spark.createDataFrame([], "lang string, source string, idx int, count long"), spark.createDataFrame([], "lang string, idx int, term string")
-    counts, names = reduce(DataFrame.unionByName, counts, no_counts), reduce(DataFrame.unionByName, [v for _, v in parts], no_terms)
-    # the indices of a language have one gap where the empty string was; numbers that only deal terms into blocks may have it
-    kept = names.groupBy("lang").agg(F.count("*").alias("kept"))
+    large = numbered.groupBy("lang").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang")
+    different = first.join(F.broadcast(large), "lang", "left_semi").select("lang", F.explode("terms").alias("term")).groupBy("lang").agg(F.approx_count_distinct("term").alias("n"))
+    plan = {r["lang"]: max(1, -(-(r["n"] or 0) // words_in_part)) for r in large.join(different, "lang", "left").collect()}
+    kept_counts = [stored(count_sums(words, lang, min_docs, k, parts), "counts") for lang, parts in sorted(plan.items()) for k in range(parts)]
+    counts = reduce(DataFrame.unionByName, kept_counts, docs.sparkSession.createDataFrame([], "lang string, source string, idx long, term string, count long"))
+    kept = counts.groupBy("lang").agg(F.count_distinct("idx").alias("kept"))
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
     groups = numbered.join(totals, ["lang", "source"], "left").join(kept, "lang", "left").na.fill(0, ["total", "kept"])
     groups = stored(groups.withColumn("zero", F.when(F.col("kept") > 0, share(F.lit(0), F.col("total"), F.col("kept")))), "shares")
@@ -163,7 +195,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, terms_
     per_lang = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"))
     whole = shared.groupBy("lang", "idx").agg(F.sum("count").alias("lang_count"), F.first("kept").alias("kept")).join(per_lang, "lang")
     whole = whole.select("lang", "idx", share(F.col("lang_count"), F.col("lang_total"), F.col("kept")).alias("q"))
-    over = shared.join(whole, ["lang", "idx"]).filter(F.col("p") > F.col("q")).join(names, ["lang", "idx"])
+    over = shared.join(whole, ["lang", "idx"]).filter(F.col("p") > F.col("q"))
     over = over.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), difference(F.col("p"), F.col("q")).alias("value"))
 
     sums = pair_sums(shared.select("lang", "number", "idx", "p"), groups.select("lang", "number", "zero"), groups.groupBy("lang").agg(F.max("kept").alias("terms")), terms_in_block, in_set)
