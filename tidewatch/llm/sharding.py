@@ -8,7 +8,7 @@ A binary search finds the smallest capacity with which a greedy pass fills ``sha
 *units*, ranges of hashes with their bytes: 16,384 at first. Units as indivisible pieces give a capacity that suffices, units
 of several groups as divisible ones a capacity that is needed; units that a cut may fall into are parted on the cluster, and
 the search is repeated until both agree. So the driver sees some ten thousand sums, whatever the corpus, and the capacity
-is the exact one for single groups. Within it the cuts are placed so that the shards are near equal.
+is the exact one for single groups. A second binary search within it finds the greatest least load, so no shard takes all the slack.
 
 Slots are ranks within parts of a shard, whose number grows with the table.
 
@@ -80,24 +80,45 @@ def units_to_part(units: list[Unit], shards: int) -> tuple[int, list[Unit]]:
     return enough, [units[k] for k in sorted(inside) if not units[k][3]]
 
 
+def cuts_between(sums: list[int], low: int, high: int, shards: int) -> list[int] | None:
+    """Indices into ``sums`` where shards 1, 2, .. begin so that all loads are from ``low`` to ``high``; None where there are none.
+
+    Goes from shard to shard over all places where its end may be; of several, those nearest to equal shares are taken,
+    and where shards stay empty the last ones do.
+    """
+    total, ends = sums[-1], [[0]]
+    for k in range(1, shards):
+        before, found, a = ends[-1], [], 0
+        first = bisect_left(sums, max(sums[before[0]] + low, total - (shards - k) * high))
+        last = bisect_right(sums, min(sums[before[-1]] + high, total - (shards - k) * low))
+        for j in range(first, last):
+            while a < len(before) and sums[before[a]] < sums[j] - high:
+                a += 1
+            if a == len(before):
+                break
+            if sums[before[a]] <= sums[j] - low:
+                found.append(j)
+        if not found:
+            return None
+        ends.append(found)
+    cuts, to = [], total
+    for k in range(shards - 1, 0, -1):
+        a, b = bisect_left(ends[k], to - high, key=sums.__getitem__), bisect_right(ends[k], to - low, key=sums.__getitem__)
+        if a == b:
+            return None
+        cuts.append(min(ends[k][a:b], key=lambda j: abs(sums[j] * shards - total * k) if low else -j))
+        to = sums[cuts[-1]]
+    return cuts[::-1] if low <= to <= high else None
+
+
 def even_cuts(units: list[Unit], capacity: int, shards: int) -> list[int]:
-    """Hashes where shards 1, 2, .. begin, within the capacity, each as near to an equal share of the rest as it can be."""
+    """Hashes where shards 1, 2, .. begin: within the capacity, the least load is the greatest that the units allow."""
     sums = [0, *accumulate(u[2] for u in units)]
-    at, cuts = 0, []
-    for left in range(shards, 1, -1):
-        goal = at + (sums[-1] - at) / left
-        k = bisect_left(sums, goal)
-        for to in sorted({min(max(j, 0), len(units)) for j in (k - 1, k)}, key=lambda j: abs(sums[j] - goal)):
-            rest = [0, *(s - sums[to] for s in sums[to + 1 :])]
-            if at < sums[to] <= at + capacity and greedy(units[to:], rest, capacity, left - 1, False)[0]:
-                break
-        else:
-            to = bisect_right(sums, at + capacity) - 1
-        if to == len(units):
-            break
-        at = sums[to]
-        cuts.append(units[to][0])
-    return cuts
+    low, high = 0, sums[-1] // shards
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if cuts_between(sums, middle, capacity, shards) else (low, middle - 1)
+    return [units[k][0] for k in cuts_between(sums, low, capacity, shards) or [] if k < len(units)]
 
 
 def group_hash(text: Column) -> Column:
