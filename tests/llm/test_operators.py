@@ -326,7 +326,7 @@ def test_merkle_edits(spark, odd, empty):
         assert abs(got[i]["near_edited"] - brute_likeness(t, edited)) < 1e-12 and abs(got[i]["near_next"] - brute_likeness(t, nxt)) < 1e-12
         tree = brute_tree(t)
         parts = got[i]["fingerprint"].split(":")
-        assert [len(p) for p in parts] == [16, 16 * len(tree), 8 * sum(map(len, tree)), 6 * sum(len(p) for s in tree for p in s)]
+        assert [len(p) for p in parts] == [16, 16 * len(tree), 8 * sum(map(len, tree)), 16]
         leaves, other = ([leaf for s in brute_tree(x) for p in s for leaf in p] for x in (t, edited))
         if t != edited:
             same = next((j for j, (x, y) in enumerate(zip(leaves, other)) if x != y), min(len(leaves), len(other)))
@@ -358,6 +358,19 @@ def test_merkle_short_texts_have_fingerprints_of_their_own(spark):
     assert merkle.with_tree(df, "text", "t").select(merkle.printed("t").alias("f")).distinct().count() == 30_000
 
 
+def test_merkle_order_has_no_single_task_and_parts_null_ids(spark):
+    rows = [(i if i % 3 else None, f"text {i % 150}") for i in range(300)] + [(500, "one"), (500, "two"), (500, "one")]
+    docs = table(spark, rows)
+    with_next, order = merkle.with_next(docs, rows=9, width=4)
+    lead = with_next.withColumn("next", merkle.F.lead("text").over(order)).filter("last = 0")
+    got = lead.select("doc_id", "text", "digest", "next", "range").collect()
+    down = sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["digest"]), reverse=True)
+    assert [r["next"] for r in down] == [r["text"] for r in down[1:] + down[:1]]
+    assert len({r["range"] for r in got if r["doc_id"] is None}) > 5
+    merkle.edited_fingerprints(docs).count()
+    assert "SinglePartition" not in lead._jdf.queryExecution().executedPlan().toString()
+
+
 def test_merkle_range_of_ids(spark):
     df = table(spark, [(i, str(i)) for i in range(200)]).select("doc_id")
     bounds = merkle.with_range(df, rows=5, width=4).collect()
@@ -500,6 +513,33 @@ def test_shards_are_near_equal_and_within_the_least_capacity(spark):
     assert max(loads) < 1.02 * loads.mean() and min(loads) > 0.98 * loads.mean()
 
 
+def brute_least_load(sizes, shards, capacity):
+    """The greatest least load of contiguous shards within the capacity, over all ways to cut."""
+    sums = np.concatenate([[0], np.cumsum(sizes)])
+    best = np.where(sums <= capacity, sums, -1)  # by the end of the first shard
+    for _ in range(shards - 1):
+        loads = sums[None, :] - sums[:, None]
+        loads = np.where((loads >= 0) & (loads <= capacity), loads, -1)
+        best = np.minimum(best[:, None], loads).max(axis=0)
+    return best[-1]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_forty_shards_of_a_thousand_uneven_texts(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, "w" * int(rng.lognormvariate(6, 1.1))) if i % 9 else (i, "copy") for i in range(1000)]
+    docs = table(spark, rows)
+    got = sharding.shard_documents(docs, shards=40)
+    loads = got.groupBy("shard").agg(sharding.F.sum("size").alias("bytes")).toPandas()["bytes"]
+    hashes = docs.select("doc_id", sharding.group_hash(sharding.F.col("text")).alias("g")).toPandas().set_index("doc_id")["g"]
+    sizes = Counter()
+    for i, t in rows:
+        sizes[hashes[i]] += len(t) + 16
+    sizes = [sizes[g] for g in sorted(sizes)]
+    capacity = brute_capacity(sizes, 40)
+    assert len(loads) == 40 and max(loads) <= capacity and min(loads) >= 0.9 * brute_least_load(sizes, 40, capacity)
+
+
 # --- op8
 
 

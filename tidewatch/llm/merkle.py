@@ -3,7 +3,7 @@
 Sections are parted by blank lines, paragraphs by line breaks; a paragraph's leaves are runs of ``RUN`` words. A node is
 the 64-bit xxhash64 of its children in order; nothing below the root is shortened. Equal texts have equal roots, and texts
 with equal roots are the same but for a collision of 64 bits. The printed fingerprint writes the tree level by level: root,
-sections, paragraphs, leaves; paragraphs and leaves with fewer digits.
+sections, paragraphs with half their digits, and one digest of all leaves.
 
 Two trees are compared from the root down. Equal roots end the comparison. Else the sections that agree from the start and
 from the end are left out, then the paragraphs of the rest that do, then the leaves: what remains is where the edit is, and
@@ -11,10 +11,11 @@ only there are leaves compared as multisets. The likeness is the Dice share of c
 leaves with their repeats: 1 for equal roots, and below 1 for any other pair.
 
 "The next document" needs an order over the whole table without a single task: ids are cut into ranges at approximate
-quantiles, each range is one window partition, and the first document of each range is handed to the range before it.
+quantiles, null ids into ranges of the text's digest; each range is one window partition, and the first document of each range is
+handed to the range before it.
 
-Defined results: a null text is the empty text; equal texts have equal fingerprints; of equal ids the greater text comes
-first; null ids come last; a single document is its own next one; an empty table gives no rows.
+Defined results: a null text is the empty text; equal texts have equal fingerprints; of equal ids the text with the greater
+digest (xxhash64) comes first; null ids come last; a single document is its own next one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,13 +53,12 @@ def with_tree(df: DataFrame, text: str, to: str) -> DataFrame:
 
 
 def printed(tree: str) -> Column:
-    """Root and sections with 16 hexadecimal digits, paragraphs with 8, leaves with 6."""
-
-    def digits(values: Column, n: int) -> Column:
-        return F.array_join(F.transform(values, lambda x: F.right(F.lpad(F.lower(F.hex(x)), 16, "0"), F.lit(n))), "")
-
+    """Root and sections with 16 hexadecimal digits, paragraphs with 8, and 16 for the leaves."""
+    digits = lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")
     t = F.col(tree)
-    return F.concat_ws(":", F.lpad(F.lower(F.hex(t["root"])), 16, "0"), digits(t["sections"], 16), digits(t["paragraphs"], 8), digits(t["leaves"], 6))
+    return F.concat_ws(
+        ":", digits(t["root"]), F.array_join(F.transform(t["sections"], digits), ""), F.array_join(F.transform(t["paragraphs"], lambda x: F.right(digits(x), F.lit(8))), ""), digits(F.xxhash64(t["leaves"])),
+    )
 
 
 def _common_start(x: Column, y: Column) -> Column:
@@ -132,41 +132,48 @@ def _quantiles(df: DataFrame, key: str, parts: int) -> Column:
 
 
 def with_range(docs: DataFrame, rows: int = ROWS_A_RANGE, width: int = 256) -> DataFrame:
-    """Add ``range``, the number of the id's range in descending order of ids; null ids have the last.
+    """Add ``range``, the number of the row's range in descending order of ids, and ``coarse``, that of some ranges that follow each other.
 
     Ids are cut into ``width`` parts at most by literals, and those, where they hold more than ``rows`` documents, further by
-    a broadcast table of ``width`` rows with one bound (8 bytes) for each ``rows`` documents.
+    a table of ``width`` rows with one bound (8 bytes) for each ``rows`` documents. Null ids come last, parted by ``digest`` where there is one.
     """
-    n = docs.count()
-    coarse = max(1, min(width, -(-n // rows)))
-    fine = max(1, -(-n // (rows * coarse)))
+    n, named = docs.agg(F.count("*"), F.count("doc_id")).first()
+    coarse = max(1, min(width, -(-named // rows)))
+    fine = max(1, -(-named // (rows * coarse)))
     ids, kind = docs.select("doc_id").dropna(), dict(docs.dtypes)["doc_id"]
     first = sorted(set(ids.agg(_quantiles(ids, "doc_id", coarse).alias("q")).first()["q"] or []), reverse=True) if coarse > 1 else []
     above = lambda bounds: F.size(F.filter(bounds, lambda b: b >= F.col("doc_id")))
-    out = docs.withColumn("range", above(F.array(*[F.lit(b).cast(kind) for b in first])) if first else F.lit(0))
+    out = docs.withColumn("coarse", above(F.array(*[F.lit(b).cast(kind) for b in first])) if first else F.lit(0)).withColumn("range", F.col("coarse"))
     if fine > 1:
-        bounds = out.dropna(subset=["doc_id"]).groupBy("range").agg(F.sort_array(F.array_distinct(_quantiles(ids, "doc_id", fine)), False).alias("inner"))
-        out = out.join(F.broadcast(bounds), "range", "left").withColumn("range", F.col("range") * (fine + 1) + F.coalesce(above(F.col("inner")), F.lit(0))).drop("inner")
-    return out.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit((len(first) + 1) * (fine + 1))).otherwise(F.col("range")).cast("long"))
+        bounds = out.dropna(subset=["doc_id"]).groupBy("coarse").agg(F.sort_array(F.array_distinct(_quantiles(ids, "doc_id", fine)), False).alias("inner"))
+        out = out.join(F.broadcast(bounds), "coarse", "left").withColumn("range", F.col("coarse") * (fine + 1) + F.coalesce(above(F.col("inner")), F.lit(0))).drop("inner")
+    parts = -(-(n - named) // rows) or 1
+    place = F.least(F.lit(parts - 1), F.floor((0.5 - F.col("digest") / 2.0**64) * parts)) if "digest" in docs.columns else F.lit(0)
+    none, last, blocks = F.col("doc_id").isNull(), len(first) + 1, -(-parts // width)
+    out = out.withColumn("range", F.when(none, last * (fine + 1) + place).otherwise(F.col("range")).cast("long"))
+    return out.withColumn("coarse", F.when(none, last + F.floor(place / blocks)).otherwise(F.col("coarse")).cast("long"))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS_A_RANGE, width: int = 256) -> tuple[DataFrame, Window]:
-    """(doc_id, text, range, last) with one extra row (last = 1) at each range's end: the next range's first document."""
-    base = docs.select(F.col(id_col).alias("doc_id"), plain(text_col).alias("text"))
+    """(doc_id, text, range, last) with one extra row (last = 1) at each range's end: the next range's first document.
+
+    Ranges are put in order within their ``coarse`` ones, of which there are ``2 width + 1`` at most; these the driver puts in order.
+    """
+    base = docs.select(F.col(id_col).alias("doc_id"), plain(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
     ranged = with_range(base, rows, width)
-    order = Window.partitionBy("range").orderBy("last", F.desc_nulls_last("doc_id"), F.desc("text"))
-    tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top"))  # a row for each range
-    line = Window.orderBy("range")
-    givers = tops.select(
-        F.col("range").alias("giver"), "top",
-        F.coalesce(F.lag("range").over(line), F.max("range").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("receiver"),
-    )
+    order = Window.partitionBy("range").orderBy("last", F.desc_nulls_last("doc_id"), F.desc("digest"), F.desc("text"))
+    tops = ranged.groupBy("coarse", "range").agg(F.max(F.struct("doc_id", "digest")).alias("top"))  # a row for each range
+    ends = sorted(map(tuple, tops.groupBy("coarse").agg(F.max("range")).collect()))
+    above = {c: ends[k - 1][1] for k, (c, _) in enumerate(ends)}  # the first one's is the last range of all
+    before = F.create_map(*[F.lit(x).cast("long") for pair in above.items() for x in pair]) if above else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    receiver = F.coalesce(F.lag("range").over(Window.partitionBy("coarse").orderBy("range")), before[F.col("coarse")])
+    givers = tops.select(F.col("range").alias("giver"), F.col("top.doc_id").alias("top"), F.col("top.digest").alias("top_digest"), receiver.alias("receiver"))
     heads = (
-        ranged.join(F.broadcast(givers), (ranged["range"] == givers["giver"]) & ranged["doc_id"].eqNullSafe(givers["top"]))
-        .groupBy("doc_id", "receiver").agg(F.max("text").alias("text"))
-        .select("doc_id", "text", F.col("receiver").alias("range"), F.lit(1).alias("last"))
+        ranged.join(givers, (ranged["range"] == givers["giver"]) & ranged["doc_id"].eqNullSafe(givers["top"]) & (ranged["digest"] == givers["top_digest"]))
+        .groupBy("doc_id", "digest", "receiver").agg(F.max("text").alias("text"))
+        .select("doc_id", "text", "digest", F.col("receiver").alias("range"), F.lit(1).alias("last"))
     )
-    return ranged.withColumn("last", F.lit(0)).unionByName(heads), order
+    return ranged.drop("coarse").withColumn("last", F.lit(0)).unionByName(heads), order
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
