@@ -14,7 +14,7 @@ not zero, and terms that both lack are counted, not visited. A block holds at mo
 sources. No list of pairs by term is made; what leaves a block is one sum for each pair of sources.
 
 A CountVectorizer keeps its vocabulary on the driver and sends it to the executors. So that it is bounded, words are dealt by their hash
-into parts of about ``WORDS`` different words (estimated by a sketch), each part gets a CountVectorizer of its own, one after the
+into parts of about ``WORDS`` different words (estimated from a sample), each part gets a CountVectorizer of its own, one after the
 other, and the vectors of the parts stand side by side. The driver goes over the languages that have ``min_docs``
 documents; all others, however many, keep no term and are settled together.
 
@@ -25,6 +25,7 @@ no rows; a language with one source has no pairs.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -101,6 +102,15 @@ def words_by_language(docs: DataFrame) -> DataFrame:
     return stored(split.withColumn("folder", F.pmod(F.xxhash64("lang"), F.lit(FOLDERS)).cast("int")), "words", by=["folder"])
 
 
+def vocabulary_parts(whole: DataFrame, langs: list[str], words_in_part: int) -> dict[str, int]:
+    """How many parts each language's words are dealt into. The number of different words is carried on from a 64th and a 16th of the
+    documents by the power at which it grows between them; it sizes the parts and changes no result."""
+    sample = whole.sample(1 / 16, seed=1).select("lang", (F.rand(2) < 0.25).alias("few"), F.explode("terms").alias("term"))
+    found = sample.groupBy("lang").agg(F.approx_count_distinct(F.when(F.col("few"), F.col("term"))).alias("few"), F.approx_count_distinct("term").alias("more"))
+    sizes = {r["lang"]: r["more"] * 16 ** min(1.0, max(0.0, math.log(r["more"] / r["few"], 4))) for r in found.collect() if r["few"]}
+    return {lang: max(1, math.ceil(sizes.get(lang, 0) / words_in_part)) for lang in langs}
+
+
 def count_sums(words: DataFrame, lang: str, min_docs: int, part: int = 0, parts: int = 1) -> DataFrame:
     """Of one part of a language's words: (lang, source, idx, term, count) of the kept terms that a source has."""
     own = words.filter((F.col("folder") == F.pmod(F.xxhash64(F.lit(lang)), F.lit(FOLDERS)).cast("int")) & (F.col("lang") == lang))
@@ -109,9 +119,9 @@ def count_sums(words: DataFrame, lang: str, min_docs: int, part: int = 0, parts:
     # no term is the empty string: every document gets one, so that a vocabulary is never empty, which CountVectorizer refuses
     own = own.select("source", "whole", "times", F.concat("terms", F.array(F.lit(""))).alias("terms"))
     model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=LARGEST).fit(own.filter("whole"))
-    vector = F.unwrap_udt("vector")
-    pairs = model.transform(own).select("source", "times", F.explode(F.arrays_zip(vector["indices"].alias("idx"), vector["values"].alias("n"))).alias("e"))
-    sums = pairs.groupBy("source", F.col("e.idx").alias("idx")).agg(F.sum(F.col("e.n").cast("long") * F.col("times")).alias("count"))
+    # the words of a row differ, so the values of its vector are all 1, and its indices say the whole
+    pairs = model.transform(own).select("source", "times", F.explode(F.unwrap_udt("vector")["indices"]).alias("idx"))
+    sums = pairs.groupBy("source", "idx").agg(F.sum("times").alias("count"))
     names = model.vocabulary
     kept = words.sparkSession.createDataFrame(pa.table({"idx": pa.array(range(len(names)), pa.int32()), "term": pa.array(names, pa.string())}))
     named = sums.join(kept.filter("term <> ''"), "idx")
@@ -181,9 +191,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, terms_
     first = words.filter("whole")
     sizes = first.groupBy("lang", "source").agg(F.count("*").alias("docs"))
     numbered = stored(sizes.withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("source")).cast("long") - 1), "groups")
-    large = numbered.groupBy("lang").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang")
-    different = first.join(F.broadcast(large), "lang", "left_semi").select("lang", F.explode("terms").alias("term")).groupBy("lang").agg(F.approx_count_distinct("term").alias("n"))
-    plan = {r["lang"]: max(1, -(-(r["n"] or 0) // words_in_part)) for r in large.join(different, "lang", "left").collect()}
+    large = [r["lang"] for r in numbered.groupBy("lang").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang").collect()]
+    plan = vocabulary_parts(first, large, words_in_part)
     kept_counts = [stored(count_sums(words, lang, min_docs, k, parts), "counts") for lang, parts in sorted(plan.items()) for k in range(parts)]
     counts = reduce(DataFrame.unionByName, kept_counts, docs.sparkSession.createDataFrame([], "lang string, source string, idx long, term string, count long"))
     kept = counts.groupBy("lang").agg(F.count_distinct("idx").alias("kept"))

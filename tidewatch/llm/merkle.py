@@ -29,6 +29,8 @@ from tidewatch.llm.common import plain
 #: Words of a leaf.
 RUN = 4
 ROWS_A_RANGE = 10_000
+#: Ranges of which a table (40 bytes each) is broadcast.
+FEW = 100_000
 
 
 def with_tree(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -163,11 +165,13 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     ranged = with_range(base, rows, width)
     order = Window.partitionBy("range").orderBy("last", F.desc_nulls_last("doc_id"), F.desc("digest"), F.desc("text"))
     tops = ranged.groupBy("coarse", "range").agg(F.max(F.struct("doc_id", "digest")).alias("top"))  # a row for each range
-    ends = sorted(map(tuple, tops.groupBy("coarse").agg(F.max("range")).collect()))
-    above = {c: ends[k - 1][1] for k, (c, _) in enumerate(ends)}  # the first one's is the last range of all
+    ends = sorted(map(tuple, tops.groupBy("coarse").agg(F.max("range"), F.count("*")).collect()))
+    above = {c: ends[k - 1][1] for k, (c, _, _) in enumerate(ends)}  # the first one's is the last range of all
     before = F.create_map(*[F.lit(x).cast("long") for pair in above.items() for x in pair]) if above else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
     receiver = F.coalesce(F.lag("range").over(Window.partitionBy("coarse").orderBy("range")), before[F.col("coarse")])
     givers = tops.select(F.col("range").alias("giver"), F.col("top.doc_id").alias("top"), F.col("top.digest").alias("top_digest"), receiver.alias("receiver"))
+    if sum(e[2] for e in ends) <= FEW:  # else a join that shuffles the documents once more
+        givers = F.broadcast(givers)
     heads = (
         ranged.join(givers, (ranged["range"] == givers["giver"]) & ranged["doc_id"].eqNullSafe(givers["top"]) & (ranged["digest"] == givers["top_digest"]))
         .groupBy("doc_id", "digest", "receiver").agg(F.max("text").alias("text"))
