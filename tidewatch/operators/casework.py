@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewatch.functions import constants as K
 from tidewatch.functions import signals as S
+from tidewatch.operators.graph import stored
 
 
 def suppressed(b: DataFrame) -> DataFrame:
@@ -55,10 +56,15 @@ def ledger(b: DataFrame) -> DataFrame:
 
 
 def chain_dedup(found: DataFrame) -> DataFrame:
-    """The first of each (pattern, host, stage, confidence in steps of five); rows without confidence go."""
-    order = Window.partitionBy("pattern_id", "computer", "stage", "step").orderBy("first_t", "last_t", "first_uid", "matched")
-    x = found.filter("confidence > 0").withColumn("step", (F.floor(F.col("confidence") / 5) * 5).cast("int"))
-    return x.withColumn("o", F.row_number().over(order)).withColumn("merged", F.count("*").over(Window.partitionBy("pattern_id", "computer", "stage", "step"))).filter("o = 1").drop("o")
+    """The first of each (pattern, host, stage, confidence in steps of five, whether it connects, whether it persists); rows with neither
+    confidence nor a signal (``has_signal``) go. Columns that ``found`` lacks count as no."""
+    flags = ["has_net", "has_persistence", "has_signal"]
+    x = found.withColumns({c: F.coalesce(F.col(c), F.lit(False)) if c in found.columns else F.lit(False) for c in flags})
+    x = x.withColumn("confidence", F.when(F.isnan(F.col("confidence").cast("double")), 0).otherwise(F.coalesce("confidence", F.lit(0)))).filter("confidence <> 0 or has_signal")
+    x = x.withColumn("step", (F.floor(F.col("confidence") / 5) * 5).cast("int"))
+    keys = ["pattern_id", "computer", "stage", "step", "has_net", "has_persistence"]
+    first = F.min_by(F.struct(*[c for c in x.columns if c not in keys]), F.struct("first_t", "last_t", "first_uid", "matched"))
+    return x.groupBy(*keys).agg(first.alias("x"), F.count("*").alias("merged")).select(*keys, "x.*", "merged")
 
 
 def verdict_checks(verdicts: DataFrame, least_reason: int = 10) -> DataFrame:
@@ -125,18 +131,29 @@ def schema_problems(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
 def pre_order(tree: DataFrame, links: DataFrame) -> DataFrame:
     """Number the nodes of each process tree in pre-order, children by (time, id). ``tree``: (event_id, root_id, depth).
 
-    A node's path is its parent's and its own (time, id); paths are extended one level at a time, and sorted within a tree.
+    The successor of a node is its first child, else the next sibling of the nearest node at or above it that has one; such nodes, and then the
+    distance to the last node, are found by pointer doubling, in rounds that grow with the logarithm of the longest path. Each
+    round is a stored table.
     """
-    key = F.concat(F.lpad(F.hex("t"), 16, "0"), F.lpad(F.hex("event_id"), 16, "0"))
-    nodes = tree.join(links.select("event_id", "parent_id", "t"), "event_id").withColumn("key", key)
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    level = nodes.filter("depth = 0").select("event_id", "root_id", "depth", F.col("key").alias("path"))
-    out = level
-    for depth in range(1, deepest + 1):
-        above = level.select(F.col("event_id").alias("parent_id"), F.col("path").alias("above"))
-        level = nodes.filter(F.col("depth") == depth).join(above, "parent_id").select("event_id", "root_id", "depth", F.concat("above", "key").alias("path"))
-        out = out.unionByName(level)
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("root_id").orderBy("path"))).drop("path")
+    nodes = stored(tree.join(links.select("event_id", "parent_id", "t"), "event_id"))
+    sibling = F.lead("event_id").over(Window.partitionBy("parent_id").orderBy("t", "event_id"))
+    inner = nodes.filter("parent_id is not null").select("event_id", "parent_id", sibling.alias("sibling"))
+    rooted = nodes.filter("parent_id is null").select("event_id", "parent_id", F.lit(None).cast(dict(nodes.dtypes)["event_id"]).alias("sibling"))
+    up = inner.unionByName(rooted).select("event_id", F.coalesce("sibling", "parent_id").alias("to"), (F.col("sibling").isNotNull() | F.col("parent_id").isNull()).alias("done"))
+    up = stored(up)
+    while up.filter("not done").take(1):
+        at = up.select(F.col("event_id").alias("to"), F.col("to").alias("further"), F.col("done").alias("there"))
+        going = up.filter("not done").join(at, "to").select("event_id", F.col("further").alias("to"), F.col("there").alias("done"))
+        up = stored(up.filter("done").unionByName(going))
+    child = nodes.filter("parent_id is not null").groupBy(F.col("parent_id").alias("event_id")).agg(F.min_by("event_id", F.struct("t", "event_id")).alias("child"))
+    line = stored(up.join(child, "event_id", "left").select("event_id", F.coalesce("child", "to").alias("to")).withColumn("left", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long")))
+    while line.filter("to is not null").take(1):
+        at = line.select(F.col("event_id").alias("to"), F.col("to").alias("further"), F.col("left").alias("more"))
+        going = line.filter("to is not null").join(at, "to").select("event_id", F.col("further").alias("to"), (F.col("left") + F.col("more")).alias("left"))
+        line = stored(line.filter("to is null").unionByName(going))
+    all_left = line.select(F.col("event_id").alias("root_id"), F.col("left").alias("whole"))
+    placed = nodes.select("event_id", "root_id", "depth").join(line.select("event_id", "left"), "event_id").join(all_left, "root_id")
+    return placed.select("event_id", "root_id", "depth", (F.col("whole") - F.col("left") + 1).cast("int").alias("place"))
 
 
 def expected_transitions(decided: DataFrame) -> DataFrame:

@@ -41,16 +41,22 @@ def drop_stored() -> None:
             _made.popitem()[1]()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A table in the shared folder, of a round or of what is read often: lineage stays short, and a lost executor re-reads it. It is
-    dropped at the end of the program."""
-    spark = df.sparkSession
+def shared_folder(spark, name: str) -> str:
+    """A new folder of this name where all executors reach it, dropped at the end of the program."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{shared or _own_folder()}/round-{uuid.uuid4().hex}"
+    path = f"{shared or _own_folder()}/{name}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     _made[path] = lambda: place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, of a round or of what is read often: lineage stays short, and a lost executor re-reads it. It is
+    dropped at the end of the program."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "round")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -255,6 +261,35 @@ def story(events: DataFrame) -> DataFrame:
     return g.withColumn("link", link).drop("parent_image", "b_computer", "b_step", "b_image", "b_end_t")
 
 
+def ranked_story(events: DataFrame) -> DataFrame:
+    """Steps of each computer in order of the kill chain, then of time: what was done (``text``), how often in a row, and how a step follows the
+    one before. Events without a text are no steps. Runs are counted within (computer, stage) by slabs; steps are numbered from
+    the few totals by stage."""
+    x = events.filter("text is not null and computer is not null").withColumn("rank", S.stage_rank(F.col("kill_chain_stage")))
+    runs = numbered_runs(x, ["computer", "rank"], ["t", "event_id"], ["text"], lambda before, here: here("text") != before("text"), "run")
+    first = F.min_by("parent_image", F.struct("t", "event_id"))
+    steps = runs.groupBy("computer", "rank", "run").agg(F.first("kill_chain_stage").alias("stage"), F.first("text").alias("text"), F.count("*").alias("n"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), first.alias("parent"), F.first("image").alias("image"))
+    totals = steps.groupBy("computer", "rank").agg(F.count("*").alias("runs"))
+    lower = totals.select("computer", "rank", (F.sum("runs").over(Window.partitionBy("computer").orderBy("rank")) - F.col("runs")).alias("lower"))
+    steps = steps.join(lower, ["computer", "rank"]).withColumn("step", F.col("lower") + F.col("run"))
+    before = steps.select("computer", (F.col("step") + 1).alias("step"), F.col("image").alias("b_image"), F.col("end_t").alias("b_end_t"))
+    steps = steps.join(before, ["computer", "step"], "left")
+    link = F.when(F.col("step") == 1, "start").when(F.col("parent") == F.col("b_image"), "spawned").when(F.abs(F.col("start_t") - F.col("b_end_t")) <= 5 * SECOND, "likely related").otherwise("related")
+    text = F.concat("text", F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(" times, burst activity)"))).otherwise(""))
+    return steps.select("computer", "step", "stage", text.alias("text"), "n", "start_t", link.alias("link"))
+
+
+def story_reports(events: DataFrame, found: DataFrame) -> DataFrame:
+    """What the story of each computer comes to: kind of attack by the stages seen, the last stage, what to do, and how sure that is by the number
+    of events. ``found``: (computer, severe), whether a detection is severe."""
+    rank = S.stage_rank(F.col("kill_chain_stage"))
+    g = events.groupBy("computer").agg(F.count("*").alias("events"), F.collect_set("kill_chain_stage").alias("stages"), F.max_by("kill_chain_stage", F.when(rank > 0, rank)).alias("final_stage"))
+    g = g.join(found, "computer", "left").withColumn("final_stage", F.coalesce("final_stage", F.lit("Execution")))
+    kind = F.coalesce(*[F.when(F.size(F.array_intersect("stages", F.array(*map(F.lit, stages)))) == len(stages), name) if stages else F.lit(name) for stages, name in K.ATTACK_TYPES])
+    action = F.coalesce(S.lookup(F.col("final_stage"), K.STAGE_ACTIONS), F.when(F.col("severe"), K.SEVERE_ACTION).otherwise(K.OTHER_ACTION))
+    return g.select("computer", "events", kind.alias("attack_type"), "final_stage", action.alias("action"), F.round(F.least(F.col("events") / 10, F.lit(1.0)), 2).alias("confidence"))
+
+
 def campaign_facts(events: DataFrame, comp: DataFrame, most: int = 10) -> DataFrame:
     """What a campaign is made of: its id (image and host of its first event, day of the data), numbers of users and images, the
     first ``most`` of both by name (a display list, cut before it is gathered), stages in order, and a sentence."""

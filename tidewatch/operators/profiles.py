@@ -158,12 +158,3 @@ def forced_samples(verdicts: DataFrame, times: int = 5) -> DataFrame:
     """Clean samples that a verdict of False Positive or Benign adds to the learning input: ``times`` of each."""
     calm = verdicts.filter(F.col("verdict").isin("False Positive", "Benign"))
     return calm.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(times))))
-
-
-def store_profiles(new: DataFrame, path: str, old: DataFrame | None = None, by: list[str] = ENTITY) -> DataFrame:
-    """Merge statistics with an earlier snapshot and write them as a snapshot of its own; returns what was written."""
-    from tidewatch.operators.baseline import merge_statistics
-
-    merged = merge_statistics(old, new, by) if old is not None else new.select(*by, "n", "mean", "m2")
-    merged.write.parquet(path)
-    return new.sparkSession.read.parquet(path)

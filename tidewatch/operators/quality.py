@@ -41,9 +41,11 @@ def invariants(bursts: DataFrame, edge_sums: DataFrame, members: DataFrame, link
 
 
 def table_fingerprint(rows: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
-    """A digest that any order of rows and partitions gives alike: sums of row hashes by bucket, then one digest."""
-    h = F.xxhash64(*columns)
-    by = rows.select(h.alias("h")).groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n"))
-    lines = F.array_sort(F.collect_list(F.struct("b", "s", "n")))
-    digest = F.sha2(F.array_join(F.transform(lines, lambda x: F.concat_ws(":", x["b"].cast("string"), x["s"].cast("string"), x["n"].cast("string"))), "|"), 256)
-    return by.agg(digest.alias("digest"), F.sum("n").alias("rows"))
+    """A digest that any order of rows and partitions gives alike and any engine with SHA-256 can check: each row's values as text are
+    joined by tabs (a null is an empty field) and hashed; the first 120 bits are summed as two numbers in ``buckets`` buckets, and one digest is made of the sums."""
+    h = F.sha2(F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), "\t"), 256)
+    word = lambda at: F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)")
+    by = rows.select((F.conv(F.substring(h, 31, 8), 16, 10).cast("long") % buckets).alias("b"), word(1).alias("x"), word(16).alias("y")).groupBy("b").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count("*").alias("n"))
+    lines = F.array_sort(F.collect_list(F.struct("b", "x", "y", "n")))  # a row a bucket
+    digest = F.sha2(F.array_join(F.transform(lines, lambda x: F.concat_ws(":", *[x[c].cast("string") for c in ("b", "x", "y", "n")])), "|"), 256)
+    return by.agg(digest.alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))

@@ -204,12 +204,13 @@ def detections_for_bursts(bursts: DataFrame, hits: DataFrame, seconds: int = 5)
     both = both if "command_line" in both.columns else both.withColumn("command_line", F.lit(None).cast("string"))
     slack, width = seconds * 1_000_000, 900_000_000
     slots = F.explode(F.sequence(F.floor((F.col("start_t") - slack) / width), F.floor((F.col("end_t") + slack) / width)))
-    by_pid = both.withColumn("slot", slots).join(h.withColumn("slot", F.floor(F.col("d_t") / width)), ["computer", "slot"]).filter((F.col("pid") == F.col("d_pid")) & F.col("d_t").between(F.col("start_t") - slack, F.col("end_t") + slack)).drop("slot")
+    by_pid = both.withColumn("slot", slots).join(h.withColumns({"slot": F.floor(F.col("d_t") / width), "pid": F.col("d_pid")}), ["computer", "pid", "slot"]).filter(F.col("d_t").between(F.col("start_t") - slack, F.col("end_t") + slack)).drop("slot")
     same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
     points = F.when(same("rule_id", "d_rule"), 3).otherwise(0) + F.when(same("parent_image", "d_parent"), 2).otherwise(0) + F.when(same("image", "d_image"), 2).otherwise(0) + F.when(F.substring("command_line", 1, 50) == F.col("d_cmd"), 1).otherwise(0)
     keyed = both.withColumn("cmd", F.substring("command_line", 1, 50))
     copy = lambda **names: h.withColumns({k: F.col(v) for k, v in names.items()})
-    by_rule = both.join(copy(rule_id="d_rule"), ["computer", "rule_id"]).filter(points >= 5)
+    by_rule = both.join(copy(rule_id="d_rule", image="d_image"), ["computer", "rule_id", "image"]).filter(points >= 5)
+    by_rule = by_rule.unionByName(both.join(copy(rule_id="d_rule", parent_image="d_parent"), ["computer", "rule_id", "parent_image"]).filter(points >= 5))
     by_all = keyed.join(copy(image="d_image", parent_image="d_parent", cmd="d_cmd"), ["computer", "image", "parent_image", "cmd"]).drop("cmd")
     return by_pid.unionByName(by_rule).unionByName(by_all).dropDuplicates(["burst_id", "d_uid", "d_rule"])
 

@@ -155,23 +155,43 @@ def full_run_score(scores: DataFrame, by: str, failed: tuple[str, ...] = ()) ->
     return g.select(by, "strong", "best", "dominant", consistent.alias("consistent"), F.round(modifier, 6).alias("modifier"), capped.cast("int").alias("run_score"))
 
 
+def substring_matches(patterns: DataFrame, names: DataFrame, q: int = 3) -> DataFrame:
+    """(pattern, name): every pattern with the names that contain it, both lower-cased, by an inverted index of q-grams.
+
+    A pattern meets only the names that have its rarest gram (of ``q`` characters, or all of a shorter pattern); of those it is looked for.
+    ``patterns`` and ``names`` are tables of one column; null and empty patterns match nothing.
+    """
+    asked, given = (t.select(F.lower(F.col(t.columns[0])).alias(n)).filter(f"{n} <> ''").distinct() for t, n in ((patterns, "pattern"), (names, "name")))
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))
+    each = F.array_distinct(F.flatten(F.array(*[F.when(F.length("name") >= n, grams(F.col("name"), n)).otherwise(F.array().cast("array<string>")) for n in range(1, q + 1)])))
+    index = given.select("name", F.explode(each).alias("gram"))
+    often = index.groupBy("gram").agg(F.count("*").alias("n"))
+    own = asked.select("pattern", F.explode(F.array_distinct(F.when(F.length("pattern") < q, F.array("pattern")).otherwise(grams(F.col("pattern"), q)))).alias("gram"))
+    rarest = own.join(often, "gram").groupBy("pattern").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return rarest.join(index, "gram").filter(F.contains("name", "pattern")).select("pattern", "name")
+
+
 def pattern_feedback(b: DataFrame, memory: DataFrame) -> DataFrame:
     """Each burst's adjustment by remembered patterns of (image, parent_image, stage, rule_id, adjustment), any of which may be null.
 
-    A match counts image 3, parent 2, stage 2, rule 3, host 1. Two points suffice, so any one of the first four does; stages of high risk need
-    five, with the rule or with image and stage, and the strict ones among them are lowered only by their rule. So what decides are
-    the memories of one or two keys, each brought down to its adjustment of largest size (of equal ones the higher): plain joins
-    with one row a key, whatever the number of patterns. Names are compared whole, without case.
+    A match counts image 3, parent 2, stage 2, rule 3, host 1; the names of a memory are looked for as parts of the burst's names, without case.
+    Two points suffice, so any one of the first four does; stages of high risk need five, with the rule or with image and stage, and the strict
+    ones among them are lowered only by their rule. A host's point never decides: no set of keys lacks just one. So what decides
+    are the memories of one or two keys, each brought down to its adjustment of largest size (of equal ones the higher): plain joins
+    with one row a key. Names are matched once each (``substring_matches``), so nothing grows with bursts times memories.
     """
     names, m = {"i": "image", "p": "parent_image", "s": "stage", "r": "rule_id"}, memory.withColumn("adjustment", F.greatest(F.lit(-20), F.least(F.lit(15), F.col("adjustment"))))
-    low = lambda c: F.lower(c) if c in ("image", "parent_image") else F.col(c)
+    part = {c: substring_matches(m.select(c), b.select(c)) for c in ("image", "parent_image")}
+    low = lambda c: F.lower(c) if c in part else F.col(c)
     out = b
     for keys in ("i", "p", "s", "r", "ri", "rp", "rs", "is", "is+"):
         columns = [names[k] for k in keys.rstrip("+")]
         kept = m.dropna(subset=columns).filter("adjustment >= 0") if keys.endswith("+") else m.dropna(subset=columns)
-        one = kept.groupBy(*[low(c).alias(f"__{c}") for c in columns]).agg(F.max(F.struct(F.abs("adjustment").alias("size"), "adjustment")).alias(f"__by_{keys}"))
-        on = [low(c) == F.col(f"__{c}") for c in columns]
-        out = out.join(one, on, "left").drop(*[f"__{c}" for c in columns])
+        for c in columns:
+            if c in part:
+                kept = kept.withColumn("pattern", F.lower(c)).drop(c).join(part[c].withColumnRenamed("name", c), "pattern")
+        one = kept.groupBy(*[F.col(c).alias(f"__{c}") for c in columns]).agg(F.max(F.struct(F.abs("adjustment").alias("size"), "adjustment")).alias(f"__by_{keys}"))
+        out = out.join(one, [low(c) == F.col(f"__{c}") for c in columns], "left").drop(*[f"__{c}" for c in columns])
     strict, risky = F.coalesce(F.col("stage").isin(K.STRICT_STAGES), F.lit(False)), F.coalesce(F.col("stage").isin(K.RISKY_STAGES), F.lit(False))
     by = lambda *keys: F.greatest(*[F.col(f"`__by_{k}`") for k in keys])
     best = F.when(strict, by("ri", "rp", "rs", "is+")).when(risky, by("ri", "rp", "rs", "is")).otherwise(by("i", "p", "s", "r"))

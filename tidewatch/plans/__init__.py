@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.plans import behaviour, casework, context, detection, evidence, response
+from tidewatch.plans import behaviour, casework, context, detection, evidence, response, risk
 
-MODULES = [detection, behaviour, response, context, casework, evidence]
+MODULES = [detection, behaviour, response, context, casework, evidence, risk]
 
 
 def queries() -> dict:

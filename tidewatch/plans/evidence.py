@@ -207,11 +207,12 @@ def trimmed_far(spark, d):
 
 
 def pattern_feedback(spark, d):
-    """Feedback remembered by image, parent, stage and rule; every third memory has no image, every fifth no stage."""
+    """Feedback remembered by image, parent, stage and rule; every third memory has no image, every third but one the start of its name, every
+    fifth no stage."""
     found = hits(spark, d)
     size = F.col("k") % 7 * 7 - 25
     g = found.groupBy("image", "parent_image", F.col("kill_chain_stage").alias("stage"), "rule_id").agg(F.max_by(F.struct("k", size.alias("adjustment")), F.struct("t", "event_id")).alias("x")).select("*", "x.*").filter("adjustment % 2 = 0")
-    memory = g.withColumn("image", F.when(F.col("k") % 3 > 0, F.col("image"))).withColumn("stage", F.when(F.col("k") % 5 > 0, F.col("stage"))).drop("x")
+    memory = g.withColumn("image", F.when(F.col("k") % 3 == 1, F.upper(F.substring("image", 1, 4))).when(F.col("k") % 3 == 2, F.col("image"))).withColumn("stage", F.when(F.col("k") % 5 > 0, F.col("stage"))).drop("x")
     first = found.groupBy("computer", "image").agg(F.min_by("rule_id", F.struct("t", "event_id", "rule_id")).alias("rule_id"))
     return C.pattern_feedback(_bursts(spark, d).join(first, ["computer", "image"], "left"), memory).select("burst_id", "feedback")
 
@@ -292,9 +293,9 @@ def _sets_case() -> list[str]:
 _RISKY, _STRICT = (", ".join(map(_quote, x)) for x in (K.RISKY_STAGES, K.STRICT_STAGES))
 SQL = {
     "pattern_feedback": BURSTS + f""", fm AS (SELECT image, parent_image, kill_chain_stage AS stage, rule_id, k, k % 7 * 7 - 25 AS a FROM hits QUALIFY row_number() OVER (PARTITION BY image, parent_image, kill_chain_stage, rule_id ORDER BY t DESC, event_id DESC) = 1),
-      fn AS (SELECT CASE WHEN k % 3 > 0 THEN image END AS i, parent_image AS p, CASE WHEN k % 5 > 0 THEN stage END AS s, rule_id AS r, greatest(-20, least(15, a)) AS adj FROM fm WHERE a % 2 = 0),
+      fn AS (SELECT CASE k % 3 WHEN 1 THEN upper(substr(image, 1, 4)) WHEN 2 THEN image END AS i, parent_image AS p, CASE WHEN k % 5 > 0 THEN stage END AS s, rule_id AS r, greatest(-20, least(15, a)) AS adj FROM fm WHERE a % 2 = 0),
       fr AS (SELECT computer, image, rule_id FROM hits QUALIFY row_number() OVER (PARTITION BY computer, image ORDER BY t, event_id, rule_id) = 1),
-      fb AS (SELECT burst_id, stage, coalesce(i = image, false) AS mi, coalesce(p = parent_image, false) AS mp, coalesce(s = stage, false) AS ms, coalesce(r = rule_id, false) AS mr, adj FROM (SELECT eb.*, rule_id FROM eb LEFT JOIN fr USING (computer, image)) CROSS JOIN fn),
+      fb AS (SELECT burst_id, stage, coalesce(i <> '' AND contains(lower(image), lower(i)), false) AS mi, coalesce(p <> '' AND contains(lower(parent_image), lower(p)), false) AS mp, coalesce(s = stage, false) AS ms, coalesce(r = rule_id, false) AS mr, adj FROM (SELECT eb.*, rule_id FROM eb LEFT JOIN fr USING (computer, image)) CROSS JOIN fn),
       fc AS (SELECT * FROM fb WHERE CASE WHEN stage IN ({_STRICT}) AND adj < 0 AND NOT mr THEN false WHEN stage IN ({_RISKY}) AND NOT (mr OR (mi AND ms)) THEN false
         ELSE 3 * mi::INT + 2 * mp::INT + 2 * ms::INT + 3 * mr::INT >= CASE WHEN stage IN ({_RISKY}) THEN 5 ELSE 2 END END),
       fd AS (SELECT burst_id, adj FROM fc QUALIFY row_number() OVER (PARTITION BY burst_id ORDER BY abs(adj) DESC, adj DESC) = 1) SELECT burst_id, coalesce(adj, 0)::INT AS feedback FROM eb LEFT JOIN fd USING (burst_id)""",

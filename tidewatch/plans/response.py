@@ -150,5 +150,8 @@ SQL = {
       SELECT 'score without evidence' AS invariant, count(*) AS violations FROM st WHERE risk > 0 AND n = 0 UNION ALL SELECT 'burst runs backwards', count(*) FROM st WHERE end_t < start_t
       UNION ALL SELECT 'edge without ends', count(*) FROM (SELECT a_event_id AS node FROM ed UNION SELECT b_event_id FROM ed) e WHERE node NOT IN (SELECT node FROM cp)
       UNION ALL SELECT 'node in two campaigns', count(*) FROM (SELECT node FROM cp GROUP BY 1 HAVING count(DISTINCT component) > 1) UNION ALL SELECT 'child before parent', count(*) FROM pc c JOIN pc p ON c.parent_id = p.event_id WHERE c.t < p.t""",
+    "table_fingerprint": """WITH h AS (SELECT sha256(concat_ws(chr(9), coalesce(event_id::VARCHAR, ''), coalesce(user_id::VARCHAR, ''), coalesce(event_type, ''), coalesce(props, ''))) AS h FROM events),
+      b AS (SELECT ('0x' || substr(h, 31, 8))::BIGINT % 256 AS b, sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT) AS x, sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT) AS y, count(*) AS n FROM h GROUP BY 1)
+      SELECT sha256(string_agg(b || ':' || x || ':' || y || ':' || n, '|' ORDER BY b)) AS digest, sum(n)::BIGINT AS rows FROM b""",
     "slow_entities": TELE + ", g AS (SELECT computer, image, count(*) AS n FROM tele GROUP BY 1, 2), p AS (SELECT image, avg(n) AS m, stddev_samp(n) AS s FROM g GROUP BY 1) SELECT computer, image, n, round((n - m) / greatest(0.1::DOUBLE, s), 6) AS z FROM g JOIN p USING (image)",
 }

@@ -10,6 +10,12 @@ from tidewatch.operators import rules as R
 from tidewatch.operators import sequences as Q
 
 
+ALERT = ["event_uid", "t", "rule_id", "rule_severity", "image", "computer", "mitre_id"]
+DETECTION = ["event_uid", "t", "rule_id", "mitre_id", "mitre_tactic", "kill_chain_stage", "rule_severity", "image", "parent_image", "computer", "pid", "ppid", "confidence_score"]
+#: Fixed value: the confidence of live hits.
+LIVE_CONFIDENCE = 85
+
+
 def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each event once, however often it is delivered within the lateness allowed."""
     return events.withWatermark("event_time", late).dropDuplicatesWithinWatermark(["event_uid"])
@@ -20,6 +26,27 @@ def alerts(events: DataFrame, rules: list[R.Rule] | None = None) -> DataFrame:
     return R.match_rules(R.with_signals(events), rules or R.RULES)
 
 
+def write_twice(alerts: DataFrame, folder: str, checkpoint: str):
+    """A writer of rule hits to two tables that agree: ``alerts`` and ``detections``, the latter with the fixed confidence of live hits.
+
+    Each batch goes to a folder with its number, which a repeated batch overwrites in both tables; so after a failure between the two, the
+    batch is written again whole, and every row is there once. Read them back with ``read_sink``.
+    """
+    def both(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            for name, rows in (("alerts", batch.select(*ALERT)), ("detections", batch.select(*DETECTION))):
+                rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return alerts.withColumn("confidence_score", F.lit(LIVE_CONFIDENCE)).writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
+
+
+def read_sink(spark, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}")
+
+
 def live_bursts(events: DataFrame, gap: str = "15 minutes", late: str = "1 hour") -> DataFrame:
     """Closed bursts of each computer and image; an event just at the gap still belongs."""
     w = F.session_window("event_time", gap)
@@ -72,10 +99,12 @@ def pair_sequences(events: DataFrame, first: str, second: str, gap_ms: int = 900
     return rows.groupBy("computer").transformWithStateInPandas(Pairs(), "computer string, event_uid string, gap_ms bigint", "Append", "None")
 
 
-def chains(events: DataFrame, patterns: list[Q.Pattern] = Q.PATTERNS) -> DataFrame:
+def chains(events: DataFrame, patterns: list[Q.Pattern] = Q.PATTERNS, late: str | None = None) -> DataFrame:
     """Sequences of any number of steps over a stream, by the rules of ``sequences.detect``, one row for each prefix of two steps or more.
 
-    Step tests are Columns. A computer's state is its open chains; each lives for the few rows that its next step may skip.
+    Step tests are Columns. A computer's state is its open chains; each lives for the few rows that its next step may skip. With ``late``
+    (events have an ``event_time``) rows that come later than that are left out, and a timer in event time ends the state of a computer that is silent
+    for longer than any step may wait.
     """
     from collections.abc import Iterator
 
@@ -88,6 +117,7 @@ def chains(events: DataFrame, patterns: list[Q.Pattern] = Q.PATTERNS) -> DataFra
     class Chains(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.open = handle.getListState("open", "pattern int, matched int, uid string, first bigint, last bigint, left int")
+            self.timer = _Timer(handle) if late else None
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             table = pd.concat(rows).sort_values(["t", "event_id"])
@@ -105,19 +135,47 @@ def chains(events: DataFrame, patterns: list[Q.Pattern] = Q.PATTERNS) -> DataFra
                 going += [(i, 1, uid, t, t, steps[1][0] + 1) for i, (_, _, steps) in enumerate(shape) if fits[i][0]]
                 held = going
             self.open.put(held) if held else self.open.clear()
+            if late:
+                self.timer.restart(held and max(x[4] for x in held) // 1000 + longest)
             yield pd.DataFrame(out, columns=names)
 
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            self.open.clear()
+            self.timer.forget()
+            yield pd.DataFrame([], columns=names)
+
         def close(self) -> None:
             pass
 
+    longest = max(s.max_gap_seconds + Q.TOLERANCE for p in patterns for s in p.steps[1:]) * 1000
     fits = F.array(*[F.array(*[Q.matches(s) for s in p.steps]) for p in patterns])
-    rows = events.select("computer", "event_id", "event_uid", "t", fits.alias("fits"))
-    return rows.groupBy("computer").transformWithStateInPandas(Chains(), "pattern_id string, computer string, first_uid string, last_uid string, first_t bigint, last_t bigint, matched int, confidence int", "Append", "None")
+    columns = ["computer", "event_id", "event_uid", "t", fits.alias("fits")]
+    rows = events.withWatermark("event_time", late).select(*columns, "event_time") if late else events.select(*columns)
+    return rows.groupBy("computer").transformWithStateInPandas(Chains(), "pattern_id string, computer string, first_uid string, last_uid string, first_t bigint, last_t bigint, matched int, confidence int", "Append", "EventTime" if late else "None")
+
+
+class _Timer:
+    """One timer in event time for each key, which the key's newest state moves on."""
+
+    def __init__(self, handle) -> None:
+        self.handle, self.at = handle, handle.getValueState("timer", "ms bigint")
 
+    def restart(self, ms: int | None) -> None:
+        if self.at.exists():
+            self.handle.deleteTimer(self.at.get()[0])
+            self.at.clear()
+        if ms:
+            self.handle.registerTimer(ms)
+            self.at.update((ms,))
 
-def learning_baseline(events: DataFrame, most_deviation: float = 0.4, young: int = 15) -> DataFrame:
+    def forget(self) -> None:
+        self.at.clear()
+
+
+def learning_baseline(events: DataFrame, most_deviation: float = 0.4, young: int = 15, late: str | None = None, silent_days: int = 30) -> DataFrame:
     """Each event's deviation from the profile of its computer and image so far; events that deviate little, and all of a young
-    profile, are then learned. The state of an entity is three numbers: count, mean and sum of squared differences."""
+    profile, are then learned. The state of an entity is three numbers: count, mean and sum of squared differences. With ``late`` (events have
+    an ``event_time``) rows that come later are left out, and the profile of an entity that is silent for ``silent_days`` ends."""
     from collections.abc import Iterator
 
     import pandas as pd
@@ -126,6 +184,7 @@ def learning_baseline(events: DataFrame, most_deviation: float = 0.4, young: int
     class Learns(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.profile = handle.getValueState("profile", "n bigint, mean double, m2 double")
+            self.timer = _Timer(handle) if late else None
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             table = pd.concat(rows).sort_values(["t", "event_id"])
@@ -141,10 +200,20 @@ def learning_baseline(events: DataFrame, most_deviation: float = 0.4, young: int
                     mean += step / n
                     m2 += step * (value - mean)
             self.profile.update((n, mean, m2))
-            yield pd.DataFrame(out, columns=["computer", "image", "event_uid", "known", "deviation", "learned"])
+            if late:
+                self.timer.restart(int(table["t"].max()) // 1000 + silent_days * 86_400_000)
+            yield pd.DataFrame(out, columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+            self.profile.clear()
+            self.timer.forget()
+            yield pd.DataFrame([], columns=names)
 
         def close(self) -> None:
             pass
 
-    rows = events.filter("value is not null and not isnan(value)").select("computer", "image", "event_id", "event_uid", "t", "value")
-    return rows.groupBy("computer", "image").transformWithStateInPandas(Learns(), "computer string, image string, event_uid string, known bigint, deviation double, learned boolean", "Append", "None")
+    names = ["computer", "image", "event_uid", "known", "deviation", "learned"]
+    columns = ["computer", "image", "event_id", "event_uid", "t", "value"]
+    rows = events.filter("value is not null and not isnan(value)")
+    rows = rows.withWatermark("event_time", late).select(*columns, "event_time") if late else rows.select(*columns)
+    return rows.groupBy("computer", "image").transformWithStateInPandas(Learns(), "computer string, image string, event_uid string, known bigint, deviation double, learned boolean", "Append", "EventTime" if late else "None")
