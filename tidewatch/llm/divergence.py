@@ -79,7 +79,8 @@ def word_rows(counts: Counter) -> Iterator[tuple[int, list[bytes]]]:
 
 def words_by_language(docs: DataFrame) -> DataFrame:
     """(lang, source, whole, times, terms, folder), stored in a folder for each hash of the language. Rows with ``whole`` hold the different
-    words of a document, the others say how often more some of them occur."""
+    words of a document, the others say how often more some of them occur. No term is the empty string: each document gets one, so that
+    a vocabulary is never empty, which CountVectorizer refuses."""
 
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
@@ -87,7 +88,7 @@ def words_by_language(docs: DataFrame) -> DataFrame:
             held = 0
             for lang, source, text in zip(b["lang"].to_pylist(), b["source"].to_pylist(), b["text"].to_pylist(), strict=True):
                 counts = Counter(terms(text))
-                counts.pop(b"", None)
+                counts[b""] = 1
                 for k, (times, words) in enumerate(word_rows(counts)):
                     for name, value in zip(out, (lang, source, k == 0, times, words), strict=True):
                         out[name].append(value)
@@ -115,9 +116,7 @@ def count_sums(words: DataFrame, lang: str, min_docs: int, part: int = 0, parts:
     """Of one part of a language's words: (lang, source, idx, term, count) of the kept terms that a source has."""
     own = words.filter((F.col("folder") == F.pmod(F.xxhash64(F.lit(lang)), F.lit(FOLDERS)).cast("int")) & (F.col("lang") == lang))
     if parts > 1:
-        own = own.withColumn("terms", F.filter("terms", lambda w: F.pmod(F.xxhash64(w), F.lit(parts)) == part))
-    # no term is the empty string: every document gets one, so that a vocabulary is never empty, which CountVectorizer refuses
-    own = own.select("source", "whole", "times", F.concat("terms", F.array(F.lit(""))).alias("terms"))
+        own = own.withColumn("terms", F.filter("terms", lambda w: (w == "") | (F.pmod(F.xxhash64(w), F.lit(parts)) == part)))
     model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=LARGEST).fit(own.filter("whole"))
     # the words of a row differ, so the values of its vector are all 1, and its indices say the whole
     pairs = model.transform(own).select("source", "times", F.explode(F.unwrap_udt("vector")["indices"]).alias("idx"))
