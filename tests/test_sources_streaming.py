@@ -150,3 +150,37 @@ def test_ingest_run_and_its_tables(spark, tmp_path):
     assert rows == {"events": 2, "behaviors": 2, "detections": 2}
     assert {r["rule_id"] for r in sysmon.load_run(spark, str(tmp_path / "runs" / "detections"), "r1").collect()} == {"console"}
     assert run(sysmon.stream_xml(spark, str(tmp_path / "xml")), tmp_path, "live_xml").filter("event_code = 1").count() == 3
+
+
+def test_correlations_and_campaigns_of_a_run(spark, tmp_path):
+    events = telemetry(spark, DATA)
+    made = sysmon.correlate_run(events)
+    for _ in range(2):
+        sysmon.persist_run(made, str(tmp_path / "runs"), "r1")
+    found = {name: sysmon.load_run(spark, str(tmp_path / "runs" / name), "r1") for name in made}
+    assert found["campaigns"].count() == made["campaigns"].count() > 0
+    assert found["correlations"].count() == made["correlations"].count() > 10
+    assert {r["campaign"] for r in found["correlations"].collect()} <= {r["component"] for r in found["campaigns"].collect()}
+    first = sysmon.earliest(found["correlations"], "t").collect()
+    assert len(first) == 10 and [r["t"] for r in first] == sorted(r["t"] for r in found["correlations"].collect())[:10]
+
+
+def test_spool_as_table_and_stream(spark, tmp_path):
+    import json
+
+    (tmp_path / "spool").mkdir()
+    lines = [json.dumps({"event_id": 1, "event_time": "2024-01-02T03:04:05Z", "computer": "pc", "image": "C:/x/Cmd.exe", "pid": 7}), "{broken", json.dumps({"event_id": "none", "user": "nan"})]
+    (tmp_path / "spool" / "a.jsonl").write_text("\n".join(lines))
+    rows = sysmon.read_spool(spark, str(tmp_path / "spool")).collect()
+    assert [(r["event_code"], r["image"], r["corrupt"]) for r in sorted(rows, key=lambda r: (r["event_code"] is None, r["corrupt"]))] == [(1, "cmd.exe", False), (None, None, False), (None, None, True)]
+    assert run(sysmon.stream_spool(spark, str(tmp_path / "spool")), tmp_path, "live_spool").filter("event_code = 1").count() == 1
+
+
+def test_exact_and_partial_images(spark):
+    from tidewatch.operators import rules as R
+
+    e = R.with_signals(telemetry(spark, DATA))
+    part, exact, none = (R.Rule("X", "x", "low", 10, "T", "Execution", "Execution", (1,), image_any=(w,), exact_image=x) for w, x in (("power", False), ("powershell.exe", True), ("power", True)))
+    counts = [R.match_rules(e, [r]).count() for r in (part, exact, none)]
+    assert counts[0] == counts[1] > 0 and counts[2] == 0
+    assert R.match_rules(e, [part]).first()["matched_fields"] == {"image_any": ["power"]}

@@ -158,3 +158,22 @@ def test_state_ends_after_silence(spark, tmp_path):
         spark.conf.set(key, before) if before else spark.conf.unset(key)
     got = {r["event_uid"]: r["known"] for r in spark.table("ends_learned").collect()}
     assert got["12"] == 0 and "13" not in got and got["11"] == 1  # h0 was forgotten; what came too late is left out
+
+
+def test_writes_are_accounted_in_one_pass(spark, tmp_path):
+    from tidewatch.operators import quality as V
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (None, "c"), (4, "d")], "k int, v string")
+    assert V.accounted_write(df, ["k", "v"], str(tmp_path / "a")) == {"raw": 4, "complete": 2, "dropped": 2} and spark.read.parquet(str(tmp_path / "a")).count() == 2
+    assert V.accounted_write(df.filter("false"), ["k"], str(tmp_path / "b")) == {"raw": 0, "complete": 0, "dropped": 0}
+    with pytest.raises(V.LostRows):
+        V.accounted_write(df.withColumn("w", F.lit(None).cast("string")), ["w"], str(tmp_path / "c"))
+
+
+def test_verdicts_of_two_runs(spark):
+    from tidewatch.operators import scoring as C
+
+    rows = [("a.exe", "p.exe", "Benign", 1), ("a.exe", "p.exe", "False Positive", 2), (None, "q.exe", "Benign", 3), ("a.exe", "p.exe", "True Positive", 4), ("n.exe", None, "Undecided", 5)]
+    v = spark.createDataFrame([(*r, r[3]) for r in rows], "image string, parent_image string, verdict string, t int, event_id int")
+    got = {r["image"]: (r["hit_count"], r["verdict"], r["adjustment"]) for r in C.merged_verdicts(C.record_verdicts(v.filter("t < 4")), C.record_verdicts(v.filter("t >= 4"))).collect()}
+    assert got == {"a.exe": (3, "True Positive", 15), None: (1, "Benign", -15), "n.exe": (1, "Undecided", 0)}

@@ -63,6 +63,22 @@ def bursts(events: DataFrame, keys: list[str] | None = None, gap_seconds: int =
     return out.withColumn("burst_id", _burst_id(keys))
 
 
+def behavior_features(b: DataFrame) -> DataFrame:
+    """What a burst is compared by with its hour's baseline. ``b``: bursts with ``command_line``; shells count with part of their
+    command's length, follow-ups are the kinds of traces it left, commands are read to 2,000 characters (a fixed value)."""
+    command = F.substring(F.coalesce("command_line", F.lit("")), 1, 2000)
+    low, image = F.lower(command), F.lower("image")
+    length = F.length(command) / F.when(F.endswith(image, F.lit("powershell.exe")) | F.endswith(image, F.lit("pwsh.exe")), 2.0).when(F.endswith(image, F.lit("cmd.exe")), 1.5).otherwise(1.0)
+    kinds = (F.col("net_count") > 0).cast("int") + F.col("has_file").cast("int") + F.col("has_reg").cast("int")
+    strength = F.when(F.coalesce(S.external_address(F.col("dst_ip")), F.lit(False)) & (F.col("net_count") >= 3), 2).when(F.col("net_count") > 0, 1).otherwise(0)
+    account = F.when(F.contains(F.upper(F.coalesce("user", F.lit(""))), F.lit("SYSTEM")), "system").otherwise("interactive") if "user" in b.columns else F.lit("interactive")
+    return b.select(
+        "burst_id", "image", F.coalesce("parent_image", F.lit("unknown_parent")).alias("parent"), account.alias("account"), F.pmod(F.floor(F.col("start_t") / 3_600_000_000), F.lit(24)).alias("hour"), "exec_count",
+        F.sha2(low, 256).alias("command_hash"), length.alias("command_length"), (F.contains(low, F.lit("-enc")) | F.contains(low, F.lit("/enc"))).alias("has_encoded_flag"), S.download_flag(low).alias("has_download_flag"),
+        kinds.alias("followups"), strength.alias("network_strength"),
+    )
+
+
 def kill_chain_stage(b: DataFrame) -> DataFrame:
     """Stage by flags, promoted by the codes seen; a later stage always wins."""
     flags = F.when(F.col("has_reg"), "Persistence").when(F.col("exec_count") > 0, "Execution").otherwise("Background")

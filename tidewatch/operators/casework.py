@@ -92,8 +92,9 @@ def audit_rows(decided: DataFrame, actor: Column) -> DataFrame:
     return decided.select("event_uid", actor.alias("actor"), F.when(F.col("accepted"), "status_change").otherwise("status_refused").alias("action"), text.alias("details"))
 
 
-def narrative(scores: DataFrame, chains: DataFrame, by: str = "computer", top: int = 3) -> DataFrame:
-    """Headline and strongest bursts and chains of each run: critical from a score of 75, suspicious from 45."""
+def narrative(scores: DataFrame, chains: DataFrame, by: str = "computer", top: int = 3, campaigns: DataFrame | None = None) -> DataFrame:
+    """Headline and strongest bursts and chains of each run: critical from a score of 75, suspicious from 45; with ``campaigns`` (run, id, hosts,
+    confidence) also a line on each of the two strongest."""
     def best(df: DataFrame, value: str, order: list, name: str) -> DataFrame:
         ranked = df.withColumn("o", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("o") <= top)
         return ranked.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", value))), lambda x: x[value]), ", ").alias(name))
@@ -103,7 +104,12 @@ def narrative(scores: DataFrame, chains: DataFrame, by: str = "computer", top: i
     g = scores.groupBy(by).agg(F.max("score").alias("best"), F.count("*").alias("bursts"))
     tier = F.when(F.col("best") >= 75, "Critical activity").when(F.col("best") >= 45, "Suspicious activity").otherwise("Routine activity")
     headline = F.concat(tier, F.lit(" on "), F.col(by), F.lit(": "), F.col("bursts").cast("string"), F.lit(" bursts"))
-    return g.join(bursts, by, "left").join(found, by, "left").select(by, headline.alias("headline"), "best", "top_bursts", "top_chains")
+    out = g.join(bursts, by, "left").join(found, by, "left").select(by, headline.alias("headline"), "best", "top_bursts", "top_chains")
+    if campaigns is None:
+        return out
+    told = F.concat(F.lit("Multi-stage campaign across "), F.col("hosts").cast("string"), F.lit(" host(s): confidence "), F.col("confidence").cast("long").cast("string"), F.lit("%"))
+    top = 2
+    return out.join(best(campaigns.withColumn("line", told), "line", [F.desc("confidence"), "id"], "top_campaigns"), by, "left")
 
 
 def cross_run(campaigns: DataFrame, by: str, run: str) -> DataFrame:
@@ -114,6 +120,12 @@ def cross_run(campaigns: DataFrame, by: str, run: str) -> DataFrame:
     )
 
 
+def cross_run_rows(campaigns: DataFrame, iocs: DataFrame, by: str, run: str) -> DataFrame:
+    """What the campaigns of several runs have in them, as child rows (key, kind, value): each run once, each indicator once. ``iocs``: (key, ioc)."""
+    runs = campaigns.select(by, F.lit("run").alias("kind"), F.col(run).cast("string").alias("value"))
+    return runs.unionByName(iocs.select(by, F.lit("ioc").alias("kind"), F.col("ioc").alias("value"))).dropna().distinct()
+
+
 def evidence(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Evidence tags of both, the newest tag of each (incident, event); ties go to the greater tag."""
     order = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("tag"))

@@ -63,21 +63,29 @@ def alternate_primary(hits: DataFrame, by: list[str]) -> DataFrame:
     return hits.groupBy(*by).agg(F.max_by(F.struct("rule_id", "event_uid", "confidence_score"), F.struct(rank, "confidence_score", "event_uid")).alias("p")).select(*by, "p.*")
 
 
-def burst_detail(bursts: DataFrame, events: DataFrame) -> DataFrame:
-    """Events inside each burst, its children, and an indicator risk (60 critical code, 20 medium, 15 or 5 by number, 10 external)."""
+def burst_detail(bursts: DataFrame, events: DataFrame, most: int = 50) -> DataFrame:
+    """Events inside each burst, the images its image started on its computer (the first ``most`` by name, a display list), and an indicator risk (60
+    critical code, 20 medium, 15 or 5 by number, 10 external)."""
     # bursts of an entity don't overlap, so an event can only be inside the last one that began before it
-    when = Window.partitionBy("computer", "image").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
     starts = bursts.select("computer", "image", F.col("start_t").alias("t"), F.lit(0).alias("kind"), F.struct("burst_id", "end_t").alias("b"))
     rows = events.select("computer", "image", "t", F.lit(1).alias("kind"), "event_code", "dst_ip")
-    inside = starts.unionByName(rows, allowMissingColumns=True).withColumn("b", F.last("b", ignorenulls=True).over(when)).filter("kind = 1 and t <= b.end_t").select("b.burst_id", "event_code", "dst_ip")
+    both = last_before(starts.unionByName(rows, allowMissingColumns=True), ["computer", "image"], ["t", "kind"], F.col("b"), "last")
+    inside = both.filter("kind = 1 and t <= last.end_t").select("last.burst_id", "event_code", "dst_ip")
     g = inside.groupBy("burst_id").agg(F.count("*").alias("events"), F.max(F.col("event_code").isin(8, 9, 25)).alias("critical"), F.max(F.col("event_code").isin(3, 7, 10, 11, 22, 23)).alias("medium"), F.max(S.external_address(F.col("dst_ip"))).alias("external"))
     points = F.when(F.col("critical"), 60).otherwise(0) + F.when(F.col("medium"), 20).otherwise(0) + F.when(F.col("events") > 50, 15).when(F.col("events") > 10, 5).otherwise(0) + F.when(F.col("external"), 10).otherwise(0)
-    return g.withColumn("indicator_risk", F.least(F.lit(100), points))
-
-
-def actions(incidents: DataFrame, asked: DataFrame) -> DataFrame:
-    """The last action on each incident: new status, analyst kept where none is given, notes in order of time."""
-    g = asked.groupBy("incident_id").agg(F.max_by("action", "t").alias("action"), F.max_by("analyst", F.when(F.col("analyst").isNotNull(), F.col("t"))).alias("new_analyst"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "note"))), lambda x: x["note"]), "\n").alias("notes"))
+    started = events.select("computer", F.col("parent_image").alias("image"), F.col("image").alias("child")).dropna().distinct()
+    started = started.withColumn("k", F.row_number().over(Window.partitionBy("computer", "image").orderBy("child"))).filter(F.col("k") <= most)
+    names = started.groupBy("computer", "image").agg(F.array_join(F.array_sort(F.collect_list("child")), ",").alias("children"))
+    owned = bursts.select("burst_id", "computer", "image").join(names, ["computer", "image"], "left").select("burst_id", F.coalesce("children", F.lit("")).alias("children"))
+    return g.withColumn("indicator_risk", F.least(F.lit(100), points)).join(owned, "burst_id")
+
+
+def actions(incidents: DataFrame, asked: DataFrame, most: int = 20) -> DataFrame:
+    """The last action on each incident: new status, analyst kept where none is given, and the newest ``most`` notes in order of time (a display
+    list; all of them are the rows of ``asked``)."""
+    newest = F.row_number().over(Window.partitionBy("incident_id").orderBy(F.desc("t"), F.desc("note")))
+    asked = asked.withColumn("note", F.when(newest <= most, F.col("note")))
+    g = asked.groupBy("incident_id").agg(F.max_by("action", "t").alias("action"), F.max_by("analyst", F.when(F.col("analyst").isNotNull(), F.col("t"))).alias("new_analyst"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("note").isNotNull(), F.struct("t", "note")))), lambda x: x["note"]), "\n").alias("notes"))
     status = S.lookup(F.col("action"), {"false_positive": "Closed - False Positive", "escalate": "Escalated", "close_benign": "Closed - Benign"})
     return incidents.join(g, "incident_id", "left").withColumn("status", F.coalesce(status, F.col("status"))).withColumn("analyst", F.coalesce("new_analyst", "analyst")).drop("new_analyst")
 

@@ -127,23 +127,39 @@ def hourly_profile(features: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("days"), F.avg("exec_count").alias("mean"), (F.var_pop("exec_count") * F.count("*")).alias("m2"), F.avg("command_length").alias("length"), F.avg("followups").alias("follow"))
 
 
-def hourly_deviation(features: DataFrame, history: DataFrame, mature: int = 20, noise_factor: float = 1.0) -> DataFrame:
-    """Deviation of each feature row from its hour's profile: that of its parent, else that of any parent.
-
-    Unknown 0.40, under five days 0.25, below the usual number 0.1 (times ``noise_factor``); else 0.30 frequency, 0.25 command
-    length, 0.20 follow-ups and 0.15 network, divided by three; at most 0.4 before ``mature`` days.
-    """
+def _measured(features: DataFrame, history: DataFrame) -> tuple[DataFrame, Column]:
+    """Feature rows with ``b``, the profile of their hour (that of the parent, else of any), and how far they are from it: 0.30 frequency, 0.25
+    command length, 0.20 follow-ups and 0.15 network."""
     exact, wide = ["computer", "image", "parent", "hour"], ["computer", "image", "hour"]
     profile = lambda keys, name: hourly_profile(history, keys).select(*keys, F.struct("days", "mean", "m2", "length", "follow").alias(name))
     x = features.join(profile(exact, "own"), exact, "left").join(profile(wide, "any"), wide, "left").withColumn("b", F.coalesce("own", "any"))
-    days, mean, length = F.col("b.days"), F.col("b.mean"), F.greatest(F.col("b.length"), F.lit(1.0))
+    x = x.withColumn("basis", F.when(F.col("own").isNotNull(), "parent").when(F.col("any").isNotNull(), "any parent").otherwise("none")).drop("own", "any")
+    days, length = F.col("b.days"), F.greatest(F.col("b.length"), F.lit(1.0))
     std = F.greatest(F.lit(1.0), F.sqrt(F.when(days > 1, F.col("b.m2") / (days - 1)).otherwise(0.0)))
     capped = lambda c: F.least(F.lit(3.0), F.abs(c))
-    raw = 0.30 * capped((F.col("exec_count") - mean) / std) + 0.25 * capped((F.col("command_length") - length) / length)
-    raw = raw + 0.20 * F.when(F.col("followups") >= F.col("b.follow") + 2, 1.0).otherwise(0.0) + 0.15 * F.when(F.col("network_strength") == 2, 1.0).when(F.col("network_strength") == 1, 0.5).otherwise(0.0)
-    known = F.least(F.lit(1.0), raw / 3)
-    score = F.when(F.col("b").isNull(), 0.40).when(days < 5, 0.25).when(F.col("exec_count") < F.greatest(F.lit(5.0), mean), 0.1 * noise_factor).when(days < mature, F.least(F.lit(0.4), known)).otherwise(known)
-    return x.withColumn("deviation", F.round(score, 6)).withColumn("basis", F.when(F.col("own").isNotNull(), "parent").when(F.col("any").isNotNull(), "any parent").otherwise("none")).drop("own", "any", "b")
+    raw = 0.30 * capped((F.col("exec_count") - F.col("b.mean")) / std) + 0.25 * capped((F.col("command_length") - length) / length)
+    return x, raw + 0.20 * F.when(F.col("followups") >= F.col("b.follow") + 2, 1.0).otherwise(0.0) + 0.15 * F.when(F.col("network_strength") == 2, 1.0).when(F.col("network_strength") == 1, 0.5).otherwise(0.0)
+
+
+def hourly_deviation(features: DataFrame, history: DataFrame, mature: int = 20, noise_factor: float = 1.0) -> DataFrame:
+    """Deviation of each feature row from its hour's profile: that of its parent, else that of any parent.
+
+    Unknown 0.40, under five days 0.25, below the usual number 0.1 (times ``noise_factor``); else the measured distance divided by three; at most 0.4
+    before ``mature`` days.
+    """
+    x, raw = _measured(features, history)
+    days, known = F.col("b.days"), F.least(F.lit(1.0), raw / 3)
+    score = F.when(F.col("b").isNull(), 0.40).when(days < 5, 0.25).when(F.col("exec_count") < F.greatest(F.lit(5.0), F.col("b.mean")), 0.1 * noise_factor).when(days < mature, F.least(F.lit(0.4), known)).otherwise(known)
+    return x.withColumn("deviation", F.round(score, 6)).drop("b")
+
+
+def hunted_deviation(features: DataFrame, history: DataFrame, mature: int = 30, noise: float = 0.5) -> DataFrame:
+    """The hunter's form: below the usual number the distance is raised by ``noise`` (at most half) in place of a fixed value."""
+    x, raw = _measured(features, history)
+    days, below = F.col("b.days"), F.col("exec_count") < F.greatest(F.lit(5.0), F.col("b.mean"))
+    known = raw * F.when(below, 1 + min(noise, 0.5)).otherwise(1.0) / 3
+    score = F.when(F.col("b").isNull(), 0.40).when(days < 5, 0.25).when(days < mature, F.least(F.lit(0.4), known)).otherwise(F.least(F.lit(1.0), known))
+    return x.withColumn("deviation", S.rounded(score)).drop("b")
 
 
 def pruned(profiles: DataFrame, most: int = 5000, least: int = 3, at_once: int = 2000) -> DataFrame:

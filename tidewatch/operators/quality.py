@@ -16,6 +16,28 @@ def accounting(raw: DataFrame, key: str, needed: list[str]) -> DataFrame:
     return raw.agg(F.count("*").alias("raw"), F.count_if(complete).alias("complete"), F.count_distinct(F.when(complete, F.col(key))).alias("final")).withColumn("dropped", F.col("raw") - F.col("final"))
 
 
+class LostRows(RuntimeError):
+    """A write that left nothing of what it read."""
+
+
+def accounted_write(raw: DataFrame, needed: list[str], path: str) -> dict[str, int]:
+    """Write the complete rows of ``raw`` and count both in the same pass, by observations on the write itself: one scan.
+
+    Raises ``LostRows`` if there were rows and none was complete; what was written then is an empty table.
+    """
+    from functools import reduce
+
+    from pyspark.sql import Observation
+
+    read, kept = Observation("read"), Observation("kept")
+    complete = reduce(lambda a, c: a & F.col(c).isNotNull(), needed, F.lit(True))
+    raw.observe(read, F.count(F.lit(1)).alias("n")).filter(complete).observe(kept, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    counts = {"raw": read.get["n"], "complete": kept.get["n"]}
+    if counts["raw"] and not counts["complete"]:
+        raise LostRows(f"none of {counts['raw']} rows has all of {', '.join(needed)}")
+    return counts | {"dropped": counts["raw"] - counts["complete"]}
+
+
 def context_problems(events: DataFrame) -> DataFrame:
     """Events that lack what a burst needs, with what is missing."""
     missing = F.array_compact(F.array(*[F.when(S.clean(F.col(c)).isNull(), F.lit(c)) for c in ("image", "computer", "user", "parent_image")]))

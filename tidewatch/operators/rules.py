@@ -114,12 +114,33 @@ def _reasons(rule: Rule) -> Column:
     return F.array(*parts) if parts else F.array(F.lit("event code"))
 
 
+#: Lists of a rule and the columns in which their words are looked for.
+LISTS = {"image_contains": "image", "image_any": "image", "parent_any": "parent_image", "cmd_any": "command_line", "path_prefix_any": "__path"}
+
+
+def _matched(rule: Rule) -> Column:
+    """A map from field to the words of the rule that were found there, with the compared values of its conditions."""
+    def found(name: str, column: str, words: tuple[str, ...]) -> Column:
+        test = (lambda w: F.startswith(F.col(column), w)) if name == "path_prefix_any" else (lambda w: F.contains(_low(column), w))
+        return F.struct(F.lit(name).alias("key"), F.filter(F.array(*map(F.lit, words)), test).alias("value"))
+
+    entries = []
+    for name, column in LISTS.items():
+        words = getattr(rule, name) or ()
+        if words:
+            entries.append(found(name, column, (words,) if isinstance(words, str) else words))
+    for column, op, _ in rule.conditions:
+        entries.append(F.struct(F.lit(f"{column} {op}").alias("key"), F.array(F.col(column).cast("string")).alias("value")))
+    entries = F.array(*entries) if entries else F.array().cast("array<struct<key:string,value:array<string>>>")
+    return F.map_from_entries(F.filter(entries, lambda e: F.size(e["value"]) > 0))
+
+
 def match_rules(events: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """One row for each (event, rule) that matches. ``events`` needs the columns of ``with_signals``."""
     hits = [
         F.when(condition(r), F.struct(
             F.lit(r.rule_id).alias("rule_id"), F.lit(r.name).alias("rule_name"), F.lit(r.severity).alias("rule_severity"), F.lit(r.confidence).alias("base_confidence"),
-            F.lit(r.mitre_id).alias("mitre_id"), F.lit(r.mitre_tactic).alias("mitre_tactic"), F.lit(r.kill_chain_stage).alias("kill_chain_stage"), _reasons(r).alias("match_reason"),
+            F.lit(r.mitre_id).alias("mitre_id"), F.lit(r.mitre_tactic).alias("mitre_tactic"), F.lit(r.kill_chain_stage).alias("kill_chain_stage"), _reasons(r).alias("match_reason"), _matched(r).alias("matched_fields"),
         )) for r in rules
     ]
     found = events.withColumn("__path", target_path()).withColumn("__hit", F.explode(F.array_compact(F.array(*hits))))

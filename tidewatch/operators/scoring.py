@@ -65,6 +65,15 @@ def record_verdicts(verdicts: DataFrame) -> DataFrame:
     return g.withColumn("adjustment", adjustment).withColumn("fingerprint", F.substring(F.sha2(F.concat_ws("|", F.coalesce("image", F.lit("")), F.coalesce("parent_image", F.lit(""))), 256), 1, 16))
 
 
+def merged_verdicts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two memories of verdicts as one (``record_verdicts``): hits add up, the later memory's verdict and adjustment stand. A full outer join by
+    the pattern's fingerprint."""
+    o, n = (f.select("fingerprint", F.struct("image", "parent_image", "hit_count", "verdict", "adjustment").alias(c)) for f, c in ((old, "o"), (new, "n")))
+    last = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}"))
+    hits = F.coalesce("o.hit_count", F.lit(0)) + F.coalesce("n.hit_count", F.lit(0))
+    return o.join(n, "fingerprint", "full").select(last("image").alias("image"), last("parent_image").alias("parent_image"), hits.alias("hit_count"), last("verdict").alias("verdict"), last("adjustment").alias("adjustment"), "fingerprint")
+
+
 def feedback_adjustment(b: DataFrame, memory: DataFrame, least: int = 3) -> DataFrame:
     """Each burst's adjustment of largest size among patterns with its image (3 points) and parent (2), kept in -20..15."""
     m = memory.select(F.col("image").alias("m_image"), F.col("parent_image").alias("m_parent"), "adjustment", "fingerprint")

@@ -106,8 +106,8 @@ SQL = {
     "prior_correlation": P.EDGES + ", " + P.HOST[P.HOST.index("hb_c AS") :] + ", lk AS (SELECT ed.computer, weight, t FROM ed JOIN tele ON a_event_id = event_id) SELECT burst_id, max(weight) AS link_weight, count(lk.t) AS links FROM st LEFT JOIN lk ON st.computer = lk.computer AND abs(lk.t - start_t) <= 900000000 GROUP BY 1",
     "detected_stage": P.HOST + HITS[HITS.index(", sig AS") :] + f", dt AS (SELECT image, arg_max(kill_chain_stage, {RANKS.format('kill_chain_stage')}) AS ds, max({RANKS.format('kill_chain_stage')}) AS dr FROM hits GROUP BY 1) SELECT burst_id, CASE WHEN dr > rank THEN ds ELSE stage END AS final_stage FROM st LEFT JOIN dt USING (image)",
     "alternate_primary": HITS + ", o AS (SELECT *, row_number() OVER (PARTITION BY computer ORDER BY confidence_score DESC, event_uid DESC) AS o FROM hits) SELECT computer, rule_id, event_uid, confidence_score FROM o WHERE o = 1",
-    "burst_detail": P.HOST + f""", g AS (SELECT burst_id, count(*) AS events, bool_or(event_code IN (8, 9, 25)) AS critical, bool_or(event_code IN (3, 7, 10, 11, 22, 23)) AS medium, bool_or({EXTERNAL.format('e.dst_ip')}) AS external FROM st JOIN tele e ON st.computer = e.computer AND st.image = e.image AND e.t BETWEEN start_t AND end_t GROUP BY 1)
-      SELECT *, least(100, CASE WHEN critical THEN 60 ELSE 0 END + CASE WHEN medium THEN 20 ELSE 0 END + CASE WHEN events > 50 THEN 15 WHEN events > 10 THEN 5 ELSE 0 END + CASE WHEN external THEN 10 ELSE 0 END) AS indicator_risk FROM g""",
+    "burst_detail": P.HOST + f""", sc AS (SELECT computer, parent_image AS image, string_agg(DISTINCT image, ',' ORDER BY image) AS children FROM tele WHERE parent_image IS NOT NULL GROUP BY 1, 2), g AS (SELECT burst_id, count(*) AS events, bool_or(event_code IN (8, 9, 25)) AS critical, bool_or(event_code IN (3, 7, 10, 11, 22, 23)) AS medium, bool_or({EXTERNAL.format('e.dst_ip')}) AS external FROM st JOIN tele e ON st.computer = e.computer AND st.image = e.image AND e.t BETWEEN start_t AND end_t GROUP BY 1)
+      SELECT *, least(100, CASE WHEN critical THEN 60 ELSE 0 END + CASE WHEN medium THEN 20 ELSE 0 END + CASE WHEN events > 50 THEN 15 WHEN events > 10 THEN 5 ELSE 0 END + CASE WHEN external THEN 10 ELSE 0 END) AS indicator_risk, coalesce((SELECT children FROM st JOIN sc USING (computer, image) WHERE st.burst_id = g.burst_id), '') AS children FROM g""",
     "kill_chain_summary": P.HOST + "SELECT stage, count(*) AS n, round(avg(risk), 6) AS mean_risk FROM st GROUP BY 1",
     "latest_alerts": HITS + "SELECT event_uid, rule_id, t FROM hits ORDER BY t DESC, event_uid, rule_id LIMIT 20",
     "next_versions": TELE + "SELECT computer, max(k) + 1 AS next_version FROM tele GROUP BY 1",
@@ -117,7 +117,7 @@ SQL = {
     "trimmed_edges": P.EDGES.replace("WITH ev", "WITH RECURSIVE ev", 1) + """, rr AS (SELECT computer, min(a_event_id) AS node, 0 AS depth FROM ed GROUP BY 1 UNION SELECT rr.computer, b_event_id, depth + 1 FROM rr JOIN ed ON ed.a_event_id = node AND ed.computer = rr.computer WHERE depth < 3),
       rm AS (SELECT computer, node, min(depth) AS depth FROM rr GROUP BY 1, 2), rk2 AS (SELECT *, row_number() OVER (PARTITION BY computer ORDER BY depth, node) AS o FROM rm) SELECT computer, node, depth FROM rk2 WHERE o <= 20""",
     "incident_actions": TELE + """, q AS (SELECT computer, t, ['false_positive', 'escalate', 'close_benign', 'comment'][k % 4 + 1] AS action, CASE WHEN k % 2 = 0 THEN "user" END AS analyst, 'note ' || event_uid AS note FROM tele WHERE event_code = 22 AND value > 120),
-      g AS (SELECT computer, arg_max(action, t) AS action, arg_max(analyst, t) FILTER (analyst IS NOT NULL) AS a, string_agg(note, chr(10) ORDER BY t, note) AS notes FROM q GROUP BY 1)
+      g AS (SELECT computer, arg_max(action, t) AS action, arg_max(analyst, t) FILTER (analyst IS NOT NULL) AS a, string_agg(note, chr(10) ORDER BY t, note) FILTER (k <= 20) AS notes FROM (SELECT *, row_number() OVER (PARTITION BY computer ORDER BY t DESC, note DESC) AS k FROM q) GROUP BY 1)
       SELECT i.computer AS incident_id, CASE action WHEN 'false_positive' THEN 'Closed - False Positive' WHEN 'escalate' THEN 'Escalated' WHEN 'close_benign' THEN 'Closed - Benign' ELSE 'Triage' END AS status, coalesce(a, 'nobody') AS analyst, action, notes FROM (SELECT DISTINCT computer FROM tele) i LEFT JOIN g USING (computer)""",
     "decayed_profile": TELE + "SELECT computer, image, greatest(1, floor(count(value) * exp(-3.0::DOUBLE / 7)))::BIGINT AS n, round(var_pop(value) * count(value) * exp(-3.0::DOUBLE / 7), 1) AS m2 FROM tele GROUP BY 1, 2",
     "quality_by_source": "SELECT source, count(*) AS n, round(avg(quality), 6) AS good, round(avg(toxic), 6) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1",

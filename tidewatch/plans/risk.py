@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 from tidewatch.functions import constants as K
 from tidewatch.functions import signals as S
 from tidewatch.operators import bursts as B
+from tidewatch.operators import casework as W
 from tidewatch.operators import graph as G
 from tidewatch.operators import profiles as N
 from tidewatch.operators import report as A
 from tidewatch.operators import risk as R
+from tidewatch.operators import rules as U
 from tidewatch.operators import scoring as C
 from tidewatch.operators import sequences as Q
 from tidewatch.operators import sketches as H
 from tidewatch.plans import behaviour as P
 from tidewatch.plans import evidence as E
 from tidewatch.plans import response as X
-from tidewatch.plans.detection import SPLIT_T, hits
+from tidewatch.plans import casework as L
+from tidewatch.plans.detection import EXTERNAL, HITS, SPLIT_T, hits
 from tidewatch.sources import profile_store as T
 from tidewatch.sources.telemetry import SQL as TELE
 from tidewatch.sources.telemetry import telemetry
@@ -92,7 +95,54 @@ def stored_profiles(spark, d):
     return out.select(*by, "n", S.rounded(F.col("mean")).alias("mean"), F.round("m2", 1).alias("m2"), "parents", "hours", "addresses", "triples", "days")
 
 
-QUERIES = {f.__name__: f for f in (image_frequencies, united_counts, whole_scores, whole_ledger, ranked_story, story_reports, stored_profiles)}
+def full_narrative(spark, d):
+    found = P.campaigns(spark, d).select("computer", F.col("component").alias("id"), F.lit(1).alias("hosts"), "confidence")
+    return W.narrative(X._scores(spark, d), Q.detect(telemetry(spark, d)), campaigns=found)
+
+
+def merged_verdicts(spark, d):
+    """Verdicts remembered of two runs, merged."""
+    v = X._verdicts(spark, d)
+    return C.merged_verdicts(C.record_verdicts(v.filter(F.col("t") < SPLIT_T)), C.record_verdicts(v.filter(F.col("t") >= SPLIT_T)))
+
+
+def hunted_deviation(spark, d):
+    f, day = N.daily_features(telemetry(spark, d)), SPLIT_T // DAY
+    return N.hunted_deviation(f.filter(F.col("day") >= day), f.filter(F.col("day") < day)).select("computer", "image", "parent", "hour", "day", "deviation", "basis")
+
+
+def cross_run_rows(spark, d):
+    e = telemetry(spark, d)
+    runs = P.host_bursts(spark, d).select("computer", F.floor(F.col("start_t") / WEEK).alias("run"))
+    return W.cross_run_rows(runs, e.filter(S.external_address(F.col("dst_ip"))).select("computer", F.col("dst_ip").alias("ioc")), "computer", "run")
+
+
+def matched_fields(spark, d):
+    """The words that each rule found, as rows."""
+    return hits(spark, d).select("event_uid", "rule_id", F.explode("matched_fields").alias("field", "words")).select("event_uid", "rule_id", "field", F.array_join("words", "|").alias("words"))
+
+
+def behavior_features(spark, d):
+    b = B.bursts(telemetry(spark, d), ["computer", "image"], 900, [F.min_by("command_line", F.struct("t", "event_id")).alias("command_line"), F.min_by("user", F.struct("t", "event_id")).alias("user")])
+    return B.behavior_features(b)
+
+
+QUERIES = {f.__name__: f for f in (image_frequencies, united_counts, whole_scores, whole_ledger, ranked_story, story_reports, stored_profiles, full_narrative, merged_verdicts, hunted_deviation, cross_run_rows, matched_fields, behavior_features)}
+
+
+def _field_rows() -> list[str]:
+    """A SELECT for each list of each rule: the words found in its column."""
+    out = []
+    for r in U.RULES:
+        for name, column in U.LISTS.items():
+            words = getattr(r, name) or ()
+            words = (words,) if isinstance(words, str) else words
+            if words:
+                test = "starts_with(path, w)" if name == "path_prefix_any" else f"contains(lower(coalesce({column}, '')), w)"
+                listed = ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+                out.append(f"SELECT event_uid, rule_id, '{name}' AS field, array_to_string(list_filter([{listed}], lambda w: {test}), '|') AS words FROM hits WHERE rule_id = '{r.rule_id}'")
+        out += [f"SELECT event_uid, rule_id, '{c} {op}', {c}::VARCHAR FROM hits WHERE rule_id = '{r.rule_id}'" for c, op, _ in r.conditions]
+    return out
 
 
 def _in(values) -> str:
@@ -136,6 +186,22 @@ SQL = {
     "story_reports": P.STAGED + ", hh AS (" + X.HITS + f"""SELECT DISTINCT computer FROM hits WHERE rule_severity IN ('critical', 'high')), g AS (SELECT computer, count(*) AS n, list(DISTINCT kill_chain_stage) AS st, coalesce(arg_max(kill_chain_stage, rk) FILTER (rk > 0), 'Execution') AS last FROM sx GROUP BY 1)
       SELECT computer, n AS events, CASE {_TYPES} END AS attack_type, last AS final_stage, CASE last {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.STAGE_ACTIONS.items())} ELSE CASE WHEN computer IN (SELECT computer FROM hh) THEN '{K.SEVERE_ACTION}' ELSE '{K.OTHER_ACTION}' END END AS action,
         round(least(n / 10.0{_D}, 1.0{_D}), 2) AS confidence FROM g""",
+    "full_narrative": "WITH na AS (" + L.SQL["narrative"] + "), cc AS (" + P.SQL["campaigns"] + """), cl AS (SELECT computer, string_agg('Multi-stage campaign across 1 host(s): confidence ' || confidence::BIGINT || '%', ', ' ORDER BY o) AS top_campaigns
+        FROM (SELECT *, row_number() OVER (PARTITION BY computer ORDER BY confidence DESC, component) AS o FROM cc) WHERE o <= 2 GROUP BY 1) SELECT na.*, top_campaigns FROM na LEFT JOIN cl USING (computer)""",
+    "merged_verdicts": X.SQL["verdict_memory"],
+    "hunted_deviation": L._FEATURES + f""", own AS ({L._PROFILE.format('computer, image, parent, hour', L._DAY)}), wide AS ({L._PROFILE.format('computer, image, hour', L._DAY)}),
+      fj AS (SELECT f.*, own.days IS NOT NULL AS has_own, coalesce(own.days, wide.days) AS days, coalesce(own.mean, wide.mean) AS mean, coalesce(own.m2, wide.m2) AS m2, greatest(coalesce(own.length, wide.length), 1.0) AS len, coalesce(own.follow, wide.follow) AS follow
+        FROM ft f LEFT JOIN own USING (computer, image, parent, hour) LEFT JOIN wide USING (computer, image, hour) WHERE f.day >= {L._DAY}),
+      fk AS (SELECT *, (0.30{_D} * least(3.0{_D}, abs((exec_count - mean) / greatest(1.0{_D}, sqrt(CASE WHEN days > 1 THEN m2 / (days - 1) ELSE 0.0 END)))) + 0.25{_D} * least(3.0{_D}, abs((command_length - len) / len)) + 0.20{_D} * CASE WHEN followups >= follow + 2 THEN 1 ELSE 0 END
+        + 0.15{_D} * CASE ns WHEN 2 THEN 1.0{_D} WHEN 1 THEN 0.5 ELSE 0.0 END) * CASE WHEN exec_count < greatest(5.0, mean) THEN 1.5{_D} ELSE 1.0 END / 3 AS known FROM fj)
+      SELECT computer, image, parent, hour, day, floor((CASE WHEN days IS NULL THEN 0.40{_D} WHEN days < 5 THEN 0.25 WHEN days < 30 THEN least(0.4{_D}, known) ELSE least(1.0{_D}, known) END) * 1e6 + 0.500001) / 1e6 AS deviation, CASE WHEN has_own THEN 'parent' WHEN days IS NOT NULL THEN 'any parent' ELSE 'none' END AS basis FROM fk""",
+    "cross_run_rows": P.HOST + f" SELECT DISTINCT computer, 'run' AS kind, (start_t // {WEEK})::VARCHAR AS value FROM st UNION SELECT DISTINCT computer, 'ioc', dst_ip FROM tele WHERE {EXTERNAL.format('dst_ip')}",
+    "matched_fields": HITS + ", " + "mf AS (" + " UNION ALL ".join(_field_rows()) + ") SELECT event_uid, rule_id, field, words FROM mf WHERE words <> ''",
+    "behavior_features": P.HOST + f""", fc AS (SELECT b.burst_id, substr(arg_min(command_line, (e.t, event_id)), 1, 2000) AS cmd, arg_min("user", (e.t, event_id)) AS usr FROM hb_n e JOIN hb b ON e.computer = b.computer AND e.image = b.image AND e.t BETWEEN b.start_t AND b.end_t GROUP BY 1)
+      SELECT burst_id, image, coalesce(parent_image, 'unknown_parent') AS parent, CASE WHEN contains(upper(usr), 'SYSTEM') THEN 'system' ELSE 'interactive' END AS account, (start_t // {HOUR}) % 24 AS hour, exec_count, sha256(lower(cmd)) AS command_hash,
+        length(cmd) / CASE WHEN ends_with(image, 'powershell.exe') THEN 2.0{_D} WHEN ends_with(image, 'cmd.exe') THEN 1.5 ELSE 1.0 END AS command_length, contains(lower(cmd), '-enc') OR contains(lower(cmd), '/enc') AS has_encoded_flag,
+        contains(lower(cmd), 'http://') OR contains(lower(cmd), 'https://') AS has_download_flag, (net_count > 0)::INT + has_file::INT + has_reg::INT AS followups, CASE WHEN {EXTERNAL.format('dst_ip')} AND net_count >= 3 THEN 2 WHEN net_count > 0 THEN 1 ELSE 0 END AS network_strength
+      FROM st JOIN fc USING (burst_id)""",
     "stored_profiles": TELE + P.GRAND + f""", ky AS (SELECT *, CASE WHEN user[2:]::INT % 7 = 0 THEN 'system' ELSE 'interactive' END AS account, (t // {HOUR}) % 24 AS hour, t // {DAY} AS day, CASE WHEN gp IS NOT NULL THEN gp || '>' || coalesce(parent_image, 'unknown') || '>' || image END AS three FROM kx),
       dy AS (SELECT computer, account, image, count(*) AS days FROM (SELECT DISTINCT computer, account, image, coalesce(parent_image, '') AS parent, hour, day FROM ky) GROUP BY ALL)
       SELECT computer, account, image, count(value) AS n, floor(avg(value) * 1e6 + 0.500001) / 1e6 AS mean, round(var_pop(value) * count(value), 1) AS m2, count(DISTINCT parent_image) AS parents, count(DISTINCT hour) AS hours, count(DISTINCT dst_ip) AS addresses, count(DISTINCT three) AS triples, any_value(days) AS days

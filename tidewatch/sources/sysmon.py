@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import signals as S
 from tidewatch.operators import bursts as B
 from tidewatch.operators import graph as G
+from tidewatch.operators import report as A
 from tidewatch.operators import rules as R
 
 XML_SCHEMA = "System struct<EventID: string, TimeCreated: struct<_SystemTime: string>, Computer: string>, EventData struct<Data: array<struct<_Name: string, _VALUE: string>>>, _corrupt_record string"
@@ -67,10 +68,50 @@ def ingest_run(raw: DataFrame, rules: list[R.Rule] = R.RULES, sets: dict[str, li
     return {"events": e, "behaviors": B.behaviors(e), "detections": found}
 
 
+def correlate_run(events: DataFrame) -> dict[str, DataFrame]:
+    """Of a run's events: ``correlations``, a row for each event that near ones lead to, with what they come to and its campaign, and ``campaigns``."""
+    e = A.with_mitre(events)
+    members, sums = G.members(e), G.edge_sums(e)
+    found = G.campaigns(e, sums, members)
+    told = sums.join(members, "node").join(events.select(F.col("event_id").alias("node"), "event_uid", "t", "computer", "image"), "node")
+    return {"correlations": told.select("event_uid", "t", "computer", "image", F.col("component").alias("campaign"), "edges", "weight", "forward", "backward"), "campaigns": found}
+
+
+def earliest(rows: DataFrame, time: str, most: int = 10) -> DataFrame:
+    """The first ``most`` rows by time: what a run's page shows of its correlations."""
+    return rows.orderBy(time, *[c for c in ("event_uid", "component") if c in rows.columns]).limit(most)
+
+
+SPOOL = "event_id string, event_time string, computer string, image string, parent_image string, command_line string, user string, pid string, ppid string, src_ip string, dst_ip string, dst_port string, file_path string, reg_key string, dns_query string, hashes string, _corrupt_record string"
+
+
+def parse_spool(raw: DataFrame) -> DataFrame:
+    """Canonical events of a collector's spool, one JSON object a line; broken lines have ``corrupt`` set and no code."""
+    out = raw.select(
+        F.expr("try_cast(event_id as int)").alias("event_code"), S.parse_time(F.col("event_time")).alias("event_time"), S.clean(F.col("computer")).alias("computer"),
+        *[S.clean(F.col(c)).alias(c) for c in ALIASES], F.col("_corrupt_record").isNotNull().alias("corrupt"),
+    )
+    out = out.withColumn("image", S.basename(F.col("image"))).withColumn("parent_image", S.basename(F.col("parent_image")))
+    return out.withColumn("event_uid", S.event_uid("computer", "event_time", "event_code", "image", "pid", "ppid", "command_line"))
+
+
+def read_spool(spark: SparkSession, path: str) -> DataFrame:
+    return parse_spool(spark.read.schema(SPOOL).option("mode", "PERMISSIVE").json(path))
+
+
+def stream_spool(spark: SparkSession, path: str) -> DataFrame:
+    """The spool as a stream; what was read is kept by the query's checkpoint, so a restart goes on where it stopped."""
+    return parse_spool(spark.readStream.schema(SPOOL).option("mode", "PERMISSIVE").json(path))
+
+
+#: Keys of the tables of a run, where it isn't the event's uid.
+KEYS = {"detections": ("event_uid", "rule_id"), "campaigns": ("component",)}
+
+
 def persist_run(parts: dict[str, DataFrame], path: str, run_id: str) -> None:
     """Append what ``ingest_run`` gives, each part to its own table; a second call adds nothing."""
     for name, rows in parts.items():
-        append_run(rows, f"{path}/{name}", run_id, ("event_uid", "rule_id") if name == "detections" else ("event_uid",))
+        append_run(rows, f"{path}/{name}", run_id, KEYS.get(name, ("event_uid",)))
 
 
 def append_run(events: DataFrame, path: str, run_id: str, keys: tuple[str, ...] = ("event_uid",)) -> None:
