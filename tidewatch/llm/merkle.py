@@ -28,7 +28,8 @@ from tidewatch.llm.common import plain
 
 #: Words of a leaf.
 RUN = 4
-ROWS_A_RANGE = 10_000
+#: Documents of a range, and parts of each coarse range at most: with more documents than both allow, ranges are larger.
+ROWS_A_RANGE, FINE = 2_000, 256
 #: Ranges of which a table (40 bytes each) is broadcast.
 FEW = 100_000
 
@@ -137,9 +138,10 @@ def with_range(docs: DataFrame, rows: int = ROWS_A_RANGE, width: int = 256) -> D
     """Add ``range``, the number of the row's range in descending order of ids, and ``coarse``, that of some ranges that follow each other.
 
     Ids are cut into ``width`` parts at most by literals, and those, where they hold more than ``rows`` documents, further by
-    a table of ``width`` rows with one bound (8 bytes) for each ``rows`` documents. Null ids come last, parted by ``digest`` where there is one.
+    a broadcast table of ``width`` rows with ``FINE`` bounds (8 bytes) at most. Null ids come last, parted by ``digest`` where there is one.
     """
     n, named = docs.agg(F.count("*"), F.count("doc_id")).first()
+    rows = max(rows, -(-n // (width * FINE)))
     coarse = max(1, min(width, -(-named // rows)))
     fine = max(1, -(-named // (rows * coarse)))
     ids, kind = docs.select("doc_id").dropna(), dict(docs.dtypes)["doc_id"]
