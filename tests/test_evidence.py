@@ -52,7 +52,7 @@ def test_event_texts(spark):
         {"event_code": 13, "reg_key": "HKCU\\Software\\Winlogon"}, {"event_code": 1, "parent_image": "p.exe"}, {"event_code": 3, "dst_ip": "1.2.3.4"},
     )
     assert [r["text"] for r in S.event_text(rows).orderBy("event_id").collect()] == [
-        "IFEO hijack: a.exe modified Image File Execution Options: hklm\\x\\image file execution options\\y", "Unknown process set registry value: ?", "a.exe tampered with a process image", None,
+        "IFEO hijack — a.exe modified Image File Execution Options: hklm\\x\\image file execution options\\y", "Unknown process set registry value: ?", "a.exe tampered with a process image", None,
         "Winlogon hijack by a.exe: hkcu\\software\\winlogon", "a.exe executed (parent: p.exe)", "a.exe made outbound connection to 1.2.3.4:?",
     ]
 
