@@ -1,9 +1,9 @@
 """How much the sources of a language differ in their words: exact count vectors, group sums, and sparse pair evaluation.
 
 Each language gets a CountVectorizer of its own, with ``minDF`` documents and the largest ``vocabSize``, so nothing is cut. It is
-fitted to the different words of each document, which is all that ``minDF`` asks for, and its model turns every document into an exact
+fitted to the different words of each document, which is all that ``minDF`` asks for, and its vocabulary turns every document into an exact
 sparse vector: 1 for each different word, and the rest of each word's count in binary digits, a row of words for each digit,
-so that a frequent word is handed over a few times and not as often as it occurs. The vectors are added up by source as
+so that a frequent word is handed over a few times and not as often as it occurs. The vectors are made in Arrow batches, and added up by source as
 a Summarizer does it, but sparsely and in whole numbers: (source, index, count) triples, combined before the shuffle, so a
 source that holds most documents is no hot key. Documents are read and split once; their words are stored by language.
 
@@ -32,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,13 +119,28 @@ def count_sums(words: DataFrame, lang: str, min_docs: int, part: int = 0, parts:
     if parts > 1:
         own = own.withColumn("terms", F.filter("terms", lambda w: (w == "") | (F.pmod(F.xxhash64(w), F.lit(parts)) == part)))
     model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_docs), vocabSize=LARGEST).fit(own.filter("whole"))
-    # the words of a row differ, so the values of its vector are all 1, and its indices say the whole
-    pairs = model.transform(own).select("source", "times", F.explode(F.unwrap_udt("vector")["indices"]).alias("idx"))
-    sums = pairs.groupBy("source", "idx").agg(F.sum("times").alias("count"))
-    names = model.vocabulary
-    kept = words.sparkSession.createDataFrame(pa.table({"idx": pa.array(range(len(names)), pa.int32()), "term": pa.array(names, pa.string())}))
-    named = sums.join(kept.filter("term <> ''"), "idx")
-    return named.select(F.lit(lang).alias("lang"), "source", (F.col("idx").cast("long") * parts + part).alias("idx"), "term", "count")
+    names = words.sparkSession.sparkContext.broadcast(model.vocabulary)  # bounded by the size of a part
+
+    def vectors(batches: Iterator[dict]) -> Iterator[dict]:
+        """Each row's words as indices of the vocabulary (unknown ones none); a batch's vectors are added up by source."""
+        vocabulary = pa.array(names.value, pa.string())
+        for b in batches:
+            lists = b["terms"]
+            row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+            idx = pc.index_in(lists.flatten(), value_set=vocabulary)
+            known = np.asarray(idx.is_valid())
+            idx, row = np.asarray(idx.fill_null(0))[known].astype(np.int64), row[known]
+            source = b["source"].dictionary_encode()
+            code, times = np.asarray(source.indices).astype(np.int64), np.asarray(b["times"])
+            cells, at = np.unique(code[row] * len(vocabulary) + idx, return_inverse=True)
+            counts = np.zeros(len(cells), np.int64)
+            np.add.at(counts, at, times[row])
+            idx = cells % len(vocabulary)
+            yield {"source": source.dictionary.take(pa.array(cells // len(vocabulary))), "idx": idx, "term": vocabulary.take(pa.array(idx)), "count": counts}
+
+    sums = map_batches(own.select("source", "times", "terms"), "source string, idx long, term string, count long", vectors)
+    sums = sums.filter("term <> ''").groupBy("source", "idx", "term").agg(F.sum("count").alias("count"))
+    return sums.select(F.lit(lang).alias("lang"), "source", (F.col("idx") * parts + part).alias("idx"), "term", "count")
 
 
 def _block_sums(block: pa.Table, in_set: int) -> pa.Table:
