@@ -106,7 +106,8 @@ def words_by_language(docs: DataFrame) -> DataFrame:
 
 def vocabulary_parts(whole: DataFrame, langs: list[str], words_in_part: int) -> dict[str, int]:
     """How many parts each language's words are dealt into. The number of different words is carried on from a 64th and a 16th of the
-    documents by the power at which it grows between them; it sizes the parts and changes no result."""
+    documents by the power at which it grows between them; growth slows down, so that is too many rather than too few. It
+    sizes the parts and changes no result."""
     sample = whole.sample(1 / 16, seed=1).select("lang", (F.rand(2) < 0.25).alias("few"), F.explode("terms").alias("term"))
     found = sample.groupBy("lang").agg(F.approx_count_distinct(F.when(F.col("few"), F.col("term"))).alias("few"), F.approx_count_distinct("term").alias("more"))
     sizes = {r["lang"]: r["more"] * 16 ** min(1.0, max(0.0, math.log(r["more"] / r["few"], 4))) for r in found.collect() if r["few"]}
