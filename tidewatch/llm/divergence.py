@@ -136,11 +136,11 @@ def count_sums(words: DataFrame, lang: str, min_docs: int, part: int = 0, parts:
             cells, at = np.unique(code[row] * len(vocabulary) + idx, return_inverse=True)
             counts = np.zeros(len(cells), np.int64)
             np.add.at(counts, at, times[row])
-            idx = cells % len(vocabulary)
-            yield {"source": source.dictionary.take(pa.array(cells // len(vocabulary))), "idx": idx, "term": vocabulary.take(pa.array(idx)), "count": counts}
+            yield {"source": source.dictionary.take(pa.array(cells // len(vocabulary))), "idx": cells % len(vocabulary), "count": counts}
 
-    sums = map_batches(own.select("source", "times", "terms"), "source string, idx long, term string, count long", vectors)
-    sums = sums.filter("term <> ''").groupBy("source", "idx", "term").agg(F.sum("count").alias("count"))
+    sums = map_batches(own.select("source", "times", "terms"), "source string, idx long, count long", vectors).groupBy("source", "idx").agg(F.sum("count").alias("count"))
+    kept = words.sparkSession.createDataFrame(pa.table({"idx": pa.array(range(len(names.value)), pa.int64()), "term": pa.array(names.value, pa.string())}))
+    sums = sums.join(kept.filter("term <> ''"), "idx")
     return sums.select(F.lit(lang).alias("lang"), "source", (F.col("idx") * parts + part).alias("idx"), "term", "count")
 
 
