@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewatch import plans
 from tidewatch.functions import signals as S
 from tidewatch.operators import bursts as B
 from tidewatch.operators import context as Y
@@ -96,6 +97,22 @@ def test_bursts_hold_sets_and_their_events_are_rows(spark):
     assert {r["burst_id"]: (r["n"], r["codes"]) for r in b.collect()} == {k: (len(v), ",".join(map(str, sorted(set(v))))) for k, v in listed.items()}
 
 
+@pytest.mark.parametrize("seconds", [5, 700, 86_400])
+def test_code_lists_hold_every_event_in_order(spark, seconds):
+    e = telemetry(spark, 6).withColumns({"dst_ip": F.lit(None).cast("string"), "value": F.lit(1.0), "event_code": F.when(F.col("event_id") % 7 > 0, F.col("event_code"))})
+    keys, listed = ["computer", "image"], defaultdict(list)
+    for r in B.burst_events(e, keys, 900).orderBy("t", "event_id").collect():
+        listed[r["burst_id"]] += [str(r["event_code"])] if r["event_code"] else []
+    got = {r["burst_id"]: r["code_list"] for r in B.with_code_list(B.bursts(e, keys, 900), e, keys, 900, seconds).collect()}
+    assert got == {k: ",".join(listed[k]) or None for k in got} and max(map(len, listed.values())) > 2
+    assert B.with_code_list(B.bursts(e.filter("false"), keys), e.filter("false"), keys).count() == 0
+
+
+def test_bursts_query_lists_repeated_codes(spark):
+    rows = plans.queries()["bursts"](spark, "/root/testdata/sf0.01").filter("n > 1").select("n", "codes").collect()
+    assert rows and all(r["codes"].count(",") == r["n"] - 1 for r in rows)
+
+
 def test_entropy_of_any_text(spark):
     draw = random.Random(2)
     texts = ["".join(draw.choice("aab€𝒳 %'\\.$é") for _ in range(n)) for n in (1, 2, 3, 17, 300)] + ["\0\0a", "aaaa", "x" * 5000 + "y"]
