@@ -128,6 +128,27 @@ def test_lm_is_a_distribution_and_carries_state():
     assert abs(m.score([doc[:3], doc])[1] - want / np.log(10)) < 1e-3
 
 
+def test_lm_lays_tokens_side_by_side():
+    """Scores are (outputs, tokens), so that sums over the outputs run along rows; the numbers are the plain softmax's."""
+    x, y = np.random.default_rng(2).normal(size=(5, 40)), np.arange(40) % 5
+    plain = np.exp(x) / np.exp(x).sum(0)
+    assert np.allclose(lm._log_shares(x.copy(), y), np.log(plain[y, np.arange(40)]))
+    loss, slope = lm._softmax_loss(x.copy(), y)
+    assert np.isclose(loss, -np.log(plain[y, np.arange(40)]).sum()) and np.allclose(slope, plain - np.eye(5)[y].T)
+
+
+def test_lm_scores_and_copies_stand_alone(spark):
+    """How many tokens a task scores at once changes no score; training a copy leaves its original as it was."""
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(i % 40))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    one, all_ = ({r["doc_id"]: r["score"] for r in lm.score_documents(docs, 20, together=n).collect()} for n in (1, 10**9))
+    assert one.keys() == all_.keys() == set(range(90)) and all(abs(one[i] - all_[i]) < 1e-3 for i in one)
+    m = lm.Model(lm.Vocabulary([(b"", 10), (b"a", 9)], {}), hidden=3)
+    before, other = m.weights(), m.apart()
+    other.read([np.array([1, 1, 0] * 40)])
+    assert (m.weights() == before).all() and (other.weights() != before).any() and other.v is m.v and not hasattr(m, "moments")
+
+
 def test_lm_gradients():
     v = lm.Vocabulary([(b"", 10), (b"a", 9), (b"b", 5), (b"c", 4), (b"d", 3)], {}, shortlist=5, classes=2)
     m = lm.Model(v, hidden=3)

@@ -35,6 +35,8 @@ from tidewatch.llm.common import map_batches, plain, stored
 SHORTLIST, CLASSES, TAILS, HIDDEN, KNOWN, WINDOW = 1024, 32, 16, 16, 200_000, 32
 #: The pass over all training texts: texts side by side, step size, tokens laid out at once, vectors averaged by one task.
 STREAMS, RATE, LAID, FAN = 512, 0.004, 400_000, 32
+#: Tokens that a task scores at once, and a batch more.
+SCORED = 3_000_000
 END = b""  # no word is empty
 FLUSH = 300_000
 
@@ -123,22 +125,30 @@ class Vocabulary:
         self.weight = np.concatenate([n[: self.size] + 1, self.tail_weight])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+def _log_shares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logarithms of the softmax of each column of scores x at its target y. x (outputs, N) is overwritten: with the tokens side by side,
+    sums and maxima over the outputs run along whole rows."""
+    x -= x.max(0)
+    target = x[y, np.arange(len(y))]
+    np.exp(x, out=x)
+    return target - np.log(x.sum(0))
+
+
+def _picked(a: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Columns of a matrix; ``mode`` spares numpy a pass over them."""
+    return np.take(a, columns, axis=1, mode="clip")
 
 
 def _softmax_loss(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """Summed loss of the targets, and the gradient at the scores x, which are overwritten."""
-    rows = np.arange(len(y))
-    x -= x.max(1, keepdims=True)
-    target = x[rows, y]
+    """Summed loss of the targets, and the gradient at the scores x (outputs, N), which are overwritten."""
+    columns = np.arange(len(y))
+    x -= x.max(0)
+    target = x[y, columns]
     np.exp(x, out=x)
-    total = x.sum(1, keepdims=True)
-    loss = float((np.log(total[:, 0]) - target).sum())
-    x /= total
-    x[rows, y] -= 1
+    total = x.sum(0)
+    loss = float((np.log(total) - target).sum())
+    x *= 1 / total
+    x[y, columns] -= 1
     return loss, x
 
 
@@ -181,19 +191,22 @@ class Model:
 
     def log_probabilities(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithms for targets y (N) at states (N, H): class, and word within a shortlist class."""
-        v = self.v
+        v, side = self.v, states.T
         kind = v.unit_class[y]
-        out = _log_softmax(states @ self.p["C"].T + self.p["c"])[np.arange(len(y)), kind]
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(v.classes + 1))
+        out = _log_shares(self.p["C"] @ side + self.p["c"][:, None], kind)
+        order, edge = self._by_class(kind)
+        side, y = _picked(side, order[: edge[-1]]), y[order]
         for k in range(v.classes):
-            rows = order[edge[k] : edge[k + 1]]
-            a, b = v.first[k], v.first[k + 1]
-            if len(rows) and b - a > 1:
-                inner = _log_softmax(states[rows] @ self.p["W"][a:b].T + self.p["w"][a:b])
-                out[rows] += inner[np.arange(len(rows)), y[rows] - a]
+            part, a, b = slice(edge[k], edge[k + 1]), v.first[k], v.first[k + 1]
+            if edge[k + 1] > edge[k] and b - a > 1:
+                out[order[part]] += _log_shares(self.p["W"][a:b] @ side[:, part] + self.p["w"][a:b, None], y[part] - a)
         return out
 
+    def _by_class(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens in order of their classes, and where each class of the shortlist begins; tails come last."""
+        order = np.argsort(kind.astype(np.uint16), kind="stable")
+        return order, np.searchsorted(kind[order], np.arange(self.v.classes + 1))
+
     def score(self, documents: list[np.ndarray], side: int = 1024) -> np.ndarray:
         """log10 of the network's probability of each document (arrays of units, end token last)."""
         out = np.zeros(len(documents))
@@ -212,58 +225,69 @@ class Model:
                 for j in range(n):
                     part = documents[mine[j]][t0 : t0 + span]
                     y[: len(part), j] = part
-                states = np.empty((span, n, self.hidden), "f4")
+                states = np.empty((self.hidden, span, n), "f4")
                 for t in range(span):
                     h = self.step(h, before)
-                    states[t] = h.T
+                    states[:, t] = h
                     before = y[t]
                 real = np.arange(t0, t0 + span)[:, None] < live[:n]
                 logs = np.zeros((span, n))
-                logs[real] = self.log_probabilities(states[real], y[real])
+                logs[real] = self.log_probabilities(_picked(states.reshape(self.hidden, -1), np.flatnonzero(real)).T, y[real])
                 out[mine[:n]] += logs.sum(0)
         return out / np.log(10)
 
     def gradients(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, dict[str, np.ndarray]]:
         """State after the window, loss a token, gradients cut off at the window's start. x, y: (T, B)."""
-        H, v = self.hidden, self.v
+        H, v, kind_of = self.hidden, self.v, self.p["U"].dtype
         T, B = x.shape
         kept: list = []
-        states = np.empty((T, B, H), "f4")
+        live = (x != 0).astype(kind_of)  # an end token closes a document
+        states, befores = np.empty((H, T, B), kind_of), np.empty((H, T, B), kind_of)
         for t in range(T):
-            h = self.step(h * (x[t] != 0), x[t], kept)  # an end token closes a document
-            states[t] = h.T
-        s, target = states.reshape(-1, H), y.reshape(-1)
+            befores[:, t] = h * live[t]
+            h = self.step(befores[:, t], x[t], kept)
+            states[:, t] = h
+        s, target = states.reshape(H, -1), y.reshape(-1)
         n = len(target)
         kind = v.unit_class[target]
-        loss, d = _softmax_loss(s @ self.p["C"].T + self.p["c"], kind)
-        grads = {"C": d.T @ s, "c": d.sum(0), "W": np.zeros_like(self.p["W"]), "w": np.zeros_like(self.p["w"])}
-        down = d @ self.p["C"]
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(v.classes + 1))
+        loss, d = _softmax_loss(self.p["C"] @ s + self.p["c"][:, None], kind)
+        grads = {"C": d @ s.T, "c": d.sum(1), "W": np.zeros_like(self.p["W"]), "w": np.zeros_like(self.p["w"])}
+        down = self.p["C"].T @ d
+        order, edge = self._by_class(kind)
+        s, target = _picked(s, order), target[order]
+        inner = np.zeros_like(s)
         for k in range(v.classes):
-            rows, a, b = order[edge[k] : edge[k + 1]], v.first[k], v.first[k + 1]
-            if len(rows) and b - a > 1:
-                mine = s[rows]
-                more, e = _softmax_loss(mine @ self.p["W"][a:b].T + self.p["w"][a:b], target[rows] - a)
+            part, a, b = slice(edge[k], edge[k + 1]), v.first[k], v.first[k + 1]
+            if edge[k + 1] > edge[k] and b - a > 1:
+                more, e = _softmax_loss(self.p["W"][a:b] @ s[:, part] + self.p["w"][a:b, None], target[part] - a)
                 loss += more
-                grads["W"][a:b], grads["w"][a:b] = e.T @ mine, e.sum(0)
-                down[rows] += e @ self.p["W"][a:b]
-        down = down.reshape(T, B, H)
-        gI, gU, carry = np.zeros_like(self.p["I"]), np.zeros_like(self.p["U"]), np.zeros((H, B), "f4")
+                grads["W"][a:b], grads["w"][a:b] = e @ s[:, part].T, e.sum(1)
+                inner[:, part] = self.p["W"][a:b].T @ e
+        back_again = np.empty_like(order)
+        back_again[order] = np.arange(n)
+        down = (down + _picked(inner, back_again)).reshape(H, T, B)
+        into, back, carry = np.empty((3 * H, T, B), kind_of), np.empty((3 * H, T, B), kind_of), np.zeros((H, B), kind_of)
         for t in range(T - 1, -1, -1):
-            xt, before, uc, gates, c = kept[t]
-            dh = down[t].T + carry
+            _, before, uc, gates, c = kept[t]
+            dh = down[:, t] + carry
             z, r = gates[:H], gates[H:]
-            dz = dh * (before - c) * ((z > 0) & (z < 1)) * 0.25
-            dc = dh * (1 - z) * (np.abs(c) < 1)
-            dr = dc * uc * ((r > 0) & (r < 1)) * 0.25
-            by = np.argsort(xt, kind="stable")
-            found, first = np.unique(xt[by], return_index=True)
-            gI[:, found] += np.add.reduceat(np.concatenate([dz, dr, dc])[:, by], first, axis=1)
-            rec = np.concatenate([dz, dr, dc * r])
-            gU += rec @ before.T
-            carry = (dh * z + self.p["U"].T @ rec) * (xt != 0)
-        grads["I"], grads["U"] = gI, gU
+            open_gates = ((gates > 0) & (gates < 1)) * kind_of.type(0.25)
+            dc = dh * (1 - z)
+            dc *= np.abs(c) < 1
+            rec = np.concatenate([dh * (before - c), dc * uc, dc * r])
+            rec[: 2 * H] *= open_gates
+            back[:, t] = rec
+            into[2 * H :, t] = dc
+            carry = self.p["U"].T @ rec
+            carry += dh * z
+            carry *= live[t]
+        into[: 2 * H] = back[: 2 * H]
+        token = x.reshape(-1)
+        by = np.argsort(token.astype(np.uint16), kind="stable")
+        found, first = np.unique(token[by], return_index=True)
+        gI = np.zeros_like(self.p["I"])
+        gI[:, found] = np.add.reduceat(_picked(into.reshape(3 * H, -1), by), first, axis=1)
+        grads["I"], grads["U"] = gI, back.reshape(3 * H, -1) @ befores.reshape(H, -1).T
         return h, float(loss / n), {k: g / n for k, g in grads.items()}
 
     def update(self, grads: dict[str, np.ndarray], pace: float) -> None:
@@ -310,6 +334,12 @@ class Model:
             h, _, grads = self.gradients(h, x[at : at + WINDOW], y[at : at + WINDOW])
             self.update(grads, rate)
 
+    def apart(self) -> Model:
+        """A model with weights of its own and the same vocabulary."""
+        out = copy.copy(self)
+        out.p = {k: a.copy() for k, a in self.p.items()}
+        return out
+
     def weights(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.p.values()])
 
@@ -361,7 +391,7 @@ def read_all(train: DataFrame, model: Model) -> Model:
     shared = train.sparkSession.sparkContext.broadcast(model)
 
     def read(batches: Iterator[dict]) -> Iterator[dict]:
-        mine, held, tokens, laid = copy.deepcopy(shared.value), [], 0, 0
+        mine, held, tokens, laid = shared.value.apart(), [], 0, 0
         for b in batches:
             for text in b["text"].to_pylist():
                 held.append(units_of(words_of(text), mine.v)[1])
@@ -393,34 +423,43 @@ def read_all(train: DataFrame, model: Model) -> Model:
     return model
 
 
-def score_documents(docs: DataFrame, sample: int = 1500, known: int = KNOWN, keep: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Whole-document log10 likelihoods under the model and under smoothed unigram counts, for every row."""
+def score_documents(docs: DataFrame, sample: int = 1500, known: int = KNOWN, keep: str = "doc_id", text_col: str = "text", together: int = SCORED) -> DataFrame:
+    """Whole-document log10 likelihoods under the model and under smoothed unigram counts, for every row. Batches of ``together`` tokens are scored
+    at once: the longest document of a batch takes a step for each token, however few go with it."""
     rows = docs.select(F.col(keep).alias("doc_id"), plain(text_col).alias("text"), held_out(keep).alias("held_out"))
     train = rows.filter(~F.col("held_out")).select("text")
     counts = stored(word_counts(train), "word-counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shared = docs.sparkSession.sparkContext.broadcast(read_all(train, learn(train, counts, sample, known)))
 
+    def scored(model: Model, batches: list[dict], units: list[np.ndarray], found: dict[str, list]) -> dict:
+        ids = {k: pa.concat_arrays([b[k] for b in batches]) for k in ("row", "doc_id", "held_out")}
+        return ids | {"n_tokens": found["n"], "seen": found["seen"], "logs": found["logs"], "net": model.score(units) + np.array(found["inside"]), "rare": pa.array(found["rare"], pa.list_(pa.binary()))}
+
     def work(batches: Iterator[dict]) -> Iterator[dict]:
         model = shared.value
         v = model.v
+        mine, units, tokens, out = [], [], 0, {k: [] for k in ("n", "seen", "logs", "inside", "rare")}
         for b in batches:
-            units, rares, n, seen, logs, inside = [], [], [], [], [], []
             for text in b["text"].to_pylist():
                 at, unit, rare = units_of(words_of(text), v)
                 held = at >= 0
-                units.append(unit)
-                rares.append(rare)
-                n.append(len(at))
                 log_n = v.log_n[at[held]]
-                seen.append(int((log_n > 0).sum()))
-                logs.append(float(log_n.sum()))
                 tail = unit >= v.size
-                inside.append(float(v.log_n[at[tail & held]].sum() - v.log_tail[unit[tail] - v.size].sum()))
-            yield {"row": b["row"], "doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": n, "seen": seen, "logs": logs, "net": model.score(units) + np.array(inside), "rare": pa.array(rares, pa.list_(pa.binary()))}
+                inside = float(v.log_n[at[tail & held]].sum() - v.log_tail[unit[tail] - v.size].sum())
+                for name, value in zip(out, (len(at), int((log_n > 0).sum()), float(log_n.sum()), inside, rare), strict=True):
+                    out[name].append(value)
+                units.append(unit)
+                tokens += len(at)
+            mine.append(b)
+            if tokens >= together:
+                yield scored(model, mine, units, out)
+                mine, units, tokens, out = [], [], 0, {k: [] for k in out}
+        if mine:
+            yield scored(model, mine, units, out)
 
     kind = dict(rows.dtypes)["doc_id"]
-    parts = stored(map_batches(rows.withColumn("row", F.monotonically_increasing_id()), f"row long, doc_id {kind}, held_out boolean, n_tokens long, seen long, logs double, net double, rare array<binary>", work, rows=8000), "lm-parts")
+    parts = stored(map_batches(rows.withColumn("row", F.monotonically_increasing_id()), f"row long, doc_id {kind}, held_out boolean, n_tokens long, seen long, logs double, net double, rare array<binary>", work), "lm-parts")
     rare = parts.select("row", F.explode("rare").alias("word")).join(counts.select("word", "n"), "word")
     sums = rare.groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("rare_logs"), F.count("*").alias("rare_seen"))
     out = parts.drop("rare").join(sums, "row", "left")
