@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.llm import divergence, token_files, whitening
 from tidewatch.llm.token_files import EliasFano, TokenFile
@@ -147,6 +148,19 @@ def test_rows_of_words_add_up():
     assert total == counts and divergence.terms("Zoë-X1y \x7fÀ\n") == [b"zo\xc3\xab", b"x", b"y", b"", "À".encode(), b""]
 
 
+def test_vectors_are_added_up_over_batches(spark):
+    """A task hands over a source's count of a word once and not once a batch, and the sums don't depend on how much it holds."""
+    rows = [("en", "ab"[i % 2], True, 1, [f"w{i % 3}", "all"], 0) for i in range(5000)]
+    words = spark.createDataFrame(rows, "lang string, source string, whole boolean, times long, terms array<string>, folder int").coalesce(1)
+    words = words.withColumn("folder", F.pmod(F.xxhash64("lang"), F.lit(divergence.FOLDERS)).cast("int"))
+    want = Counter((s, t) for _, s, _, _, ts, _ in rows for t in ts)
+    for together in (1, 3000, 10**9):
+        got = divergence.count_sums(words, "en", 1, together=together).collect()
+        assert len(got) == len(want) and {(r["source"], r["term"]): r["count"] for r in got} == want
+    one = divergence.cell_sums([np.array([5, 1]), np.array([5, 0])], [np.array([1, 2]), np.array([3, 4])], {"x": 0, "y": 1}, 4)
+    assert (one["source"].to_pylist(), list(one["idx"]), list(one["count"])) == (["x", "x", "y"], [0, 1, 1], [4, 2, 4])
+
+
 def test_divergence_of_odd_tables(spark):
     assert divergence.divergence(documents(spark, [("x", "en", "s")]).filter("doc_id < 0")).count() == 0
     assert divergence.divergence(documents(spark, [(None, None, None)] * 12)).count() == 0  # one source, no term

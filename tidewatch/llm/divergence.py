@@ -49,6 +49,8 @@ FOLDERS = 64
 LARGEST = 2**31 - 1
 #: Different words of a part of the vocabulary.
 WORDS = 2_000_000
+#: Words of vectors that a task adds up at once: some 100 MB while they are sorted.
+TOGETHER = 2_000_000
 #: What each byte of a text becomes: A-Z lower case, other letters and bytes of non-ASCII characters themselves, all else a blank.
 LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -114,7 +116,17 @@ def vocabulary_parts(whole: DataFrame, langs: list[str], words_in_part: int) ->
     return {lang: max(1, math.ceil(sizes.get(lang, 0) / words_in_part)) for lang in langs}
 
 
-def count_sums(words: DataFrame, lang: str, min_docs: int, part: int = 0, parts: int = 1) -> DataFrame:
+def cell_sums(cells: list[np.ndarray], counts: list[np.ndarray], codes: dict[str, int], width: int) -> dict:
+    """(source, idx, count) of cells, numbered code * width + idx, with their counts added up."""
+    cell, count = np.concatenate(cells), np.concatenate(counts)
+    order = np.argsort(cell)
+    cell = cell[order]
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    found = cell[first]
+    return {"source": pa.array(list(codes), pa.string()).take(pa.array(found // width)), "idx": found % width, "count": np.add.reduceat(count[order], first)}
+
+
+def count_sums(words: DataFrame, lang: str, min_docs: int, part: int = 0, parts: int = 1, together: int = TOGETHER) -> DataFrame:
     """Of one part of a language's words: (lang, source, idx, term, count) of the kept terms that a source has."""
     own = words.filter((F.col("folder") == F.pmod(F.xxhash64(F.lit(lang)), F.lit(FOLDERS)).cast("int")) & (F.col("lang") == lang))
     if parts > 1:
@@ -123,8 +135,8 @@ def count_sums(words: DataFrame, lang: str, min_docs: int, part: int = 0, parts:
     names = words.sparkSession.sparkContext.broadcast(model.vocabulary)  # bounded by the size of a part
 
     def vectors(batches: Iterator[dict]) -> Iterator[dict]:
-        """Each row's words as indices of the vocabulary (unknown ones none); a batch's vectors are added up by source."""
-        vocabulary = pa.array(names.value, pa.string())
+        """Each row's words as indices of the vocabulary (unknown ones none), added up by source over ``together`` words at a time."""
+        vocabulary, codes, cells, counts, held = pa.array(names.value, pa.string()), {}, [], [], 0
         for b in batches:
             lists = b["terms"]
             row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
@@ -132,11 +144,15 @@ def count_sums(words: DataFrame, lang: str, min_docs: int, part: int = 0, parts:
             known = np.asarray(idx.is_valid())
             idx, row = np.asarray(idx.fill_null(0))[known].astype(np.int64), row[known]
             source = b["source"].dictionary_encode()
-            code, times = np.asarray(source.indices).astype(np.int64), np.asarray(b["times"])
-            cells, at = np.unique(code[row] * len(vocabulary) + idx, return_inverse=True)
-            counts = np.zeros(len(cells), np.int64)
-            np.add.at(counts, at, times[row])
-            yield {"source": source.dictionary.take(pa.array(cells // len(vocabulary))), "idx": cells % len(vocabulary), "count": counts}
+            number = np.array([codes.setdefault(x, len(codes)) for x in source.dictionary.to_pylist()], np.int64)
+            cells.append(number[np.asarray(source.indices)][row] * len(vocabulary) + idx)
+            counts.append(np.asarray(b["times"])[row])
+            held += len(idx)
+            if held >= together:
+                yield cell_sums(cells, counts, codes, len(vocabulary))
+                codes, cells, counts, held = {}, [], [], 0
+        if held:
+            yield cell_sums(cells, counts, codes, len(vocabulary))
 
     sums = map_batches(own.select("source", "times", "terms"), "source string, idx long, count long", vectors).groupBy("source", "idx").agg(F.sum("count").alias("count"))
     kept = words.sparkSession.createDataFrame(pa.table({"idx": pa.array(range(len(names.value)), pa.int64()), "term": pa.array(names.value, pa.string())}))
