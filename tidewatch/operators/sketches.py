@@ -1,4 +1,4 @@
-"""Counts that merge: frequency sketches with exact heavy hitters, and distinct counts, stored by run and united later.
+"""Counts that merge: frequency sketches with exact heavy hitters, and distinct counts (exact or as sketches), stored by run and united later.
 
 A frequency sketch is a table (depth, bucket, count) of at most ``depth`` x ``width`` rows, whatever the number of keys; beside it stand the keys
 that are frequent enough, with their exact counts. Sketches of several runs merge by adding rows. An estimate is never below the true
@@ -57,3 +57,14 @@ def distinct_sketches(rows: DataFrame, by: list[str], columns: list[str]) -> Dat
 def united(sketches: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """Distinct counts over the union of sketches: values that several runs share count once."""
     return sketches.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])
+
+
+def distinct_values(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(group, name, value): the different values of text columns as rows, null too, where the counts must be exact."""
+    return rows.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns]))).distinct()
+
+
+def united_values(values: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Exact distinct counts over the union of ``distinct_values``: values that several runs share count once, null doesn't count."""
+    each = values.select(*by, "name", "value").distinct()
+    return each.groupBy(*by).agg(*[F.count(F.when(F.col("name") == c, F.col("value"))).alias(c) for c in columns])
