@@ -35,3 +35,15 @@ def test_united_counts_are_exact(spark, tmp_path):
     rows = [(i, SPLIT_T + i % 3 * 604_800_000_000 + i, 20 * (i % 4000), KINDS[i % 2], 1.0, i % 90) for i in range(6000)] + [(6000, SPLIT_T, 1, "view", 1.0, 1)]
     got, want = both(spark, "united_counts", planted(tmp_path / "d", rows))
     assert got == want and [r[1:] for r in got] == [(4000, 45), (1, 0)]
+
+
+def test_upserts_of_campaigns_on_one_side(spark, tmp_path):
+    """A host before the split only, one after it only, one in a single burst over it, one on both sides."""
+    hour = 3_600_000_000
+    times = {0: [-9 * hour], 1: [9 * hour], 2: [-300_000_000, 300_000_000], 3: [-2 * hour, 2 * hour]}
+    rows = [(20 * host + i, SPLIT_T + t, host, KINDS[host == 3 and t > 0], 1.0, 3) for host, ts in times.items() for i, t in enumerate(ts)]
+    data = planted(tmp_path / "d", rows)
+    got, want = both(spark, "campaign_upsert", data)
+    assert got == want and [r[0] for r in got] == ["host-3"]
+    whole, stated = both(spark, "whole_upsert", data)
+    assert whole == stated and [r[0] for r in whole] == ["host-0", "host-1", "host-2", "host-3"] and set(got) < set(whole)
