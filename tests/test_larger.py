@@ -1,10 +1,13 @@
 """What shows on larger or denser tables than the driver's small ones."""
 
 import os
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch import plans
+from tidewatch.operators import rules as U
 from tidewatch.plans.detection import SPLIT_T
 
 duckdb = pytest.importorskip("duckdb")
@@ -47,3 +50,47 @@ def test_upserts_of_campaigns_on_one_side(spark, tmp_path):
     assert got == want and [r[0] for r in got] == ["host-3"]
     whole, stated = both(spark, "whole_upsert", data)
     assert whole == stated and [r[0] for r in whole] == ["host-0", "host-1", "host-2", "host-3"] and set(got) < set(whole)
+
+
+def most_rows(spark, run):
+    """The greatest number of rows that a node of a plan gave while ``run`` ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    most, found = 0, store.executionsList()
+    for i in range(before, found.size()):
+        number = found.apply(i).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for metric in (m for j in range(nodes.size()) for m in _metrics(nodes.apply(j))):
+            if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most
+
+
+def _metrics(node):
+    metrics = node.metrics()
+    return [metrics.apply(i) for i in range(metrics.size())]
+
+
+@pytest.mark.parametrize("commands", [True, False])
+def test_hits_of_bursts_are_counted_as_listed(spark, commands):
+    """Null keys, hits in several different rows, exact copies, bursts without rule or command."""
+    draw = random.Random(8)
+    some = lambda *xs: draw.choice([*xs, None])
+    bursts = [(str(i), some("h", "g"), some("1", "2"), some("a", "b"), some("p", "q"), (t := draw.randrange(4000)) * 1_000_000, (t + draw.randrange(900)) * 1_000_000, some("R", "S"), some("cmd x", "cmd y")) for i in range(60)]
+    hits = [(some("h", "g"), some("1", "2"), some("a", "b"), some("p", "q"), some("cmd x", "cmd y"), draw.randrange(5000) * 1_000_000, str(draw.randrange(200)), draw.choice("RST")) for i in range(250)]
+    b = spark.createDataFrame(bursts, "burst_id string, computer string, pid string, image string, parent_image string, start_t long, end_t long, rule_id string, command_line string")
+    h = spark.createDataFrame(hits + hits[:40], "computer string, pid string, image string, parent_image string, command_line string, t long, event_uid string, rule_id string")
+    b = b if commands else b.drop("command_line")
+    listed = U.detections_for_bursts(b, h).groupBy("burst_id").agg(F.count("*").alias("detections"), F.count_distinct("d_rule").alias("rules"))
+    want = sorted(map(tuple, listed.collect()))
+    assert sorted(map(tuple, U.detection_counts(b, h).collect())) == want and len(want) > 30
+
+
+def test_like_hits_are_not_listed(spark, tmp_path):
+    """2,000 users of a host with one hit each, all of one rule and image: four million pairs."""
+    data = planted(tmp_path / "d", [(i, SPLIT_T + i * 1_000_000, 20 * i, "view", 1.0, 5) for i in range(2000)])
+    rows = []
+    assert most_rows(spark, lambda: rows.extend(both(spark, "detections_for_bursts", data))) < 100_000
+    assert rows[0] == rows[1] and {r[1:] for r in rows[0]} == {(2000, 1)}
