@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import plans
+from tidewatch.operators import context as X
+from tidewatch.operators import graph as G
 from tidewatch.operators import rules as U
 from tidewatch.plans.detection import SPLIT_T
 
@@ -94,3 +96,40 @@ def test_like_hits_are_not_listed(spark, tmp_path):
     rows = []
     assert most_rows(spark, lambda: rows.extend(both(spark, "detections_for_bursts", data))) < 100_000
     assert rows[0] == rows[1] and {r[1:] for r in rows[0]} == {(2000, 1)}
+
+
+def test_steps_along_edges_as_listed(spark):
+    """Equal to steps along the list of all edges: dense hosts and sparse ones, equal times, null columns, repeated ids, first edges late."""
+    draw = random.Random(3)
+    some = lambda *xs: draw.choice([*xs, None])
+    stages = ["Background", "Execution", "Defense Evasion", "Persistence", None, "odd"]
+    rows = [(draw.randrange(400), draw.randrange(span) * 300_000_000, some("e", *hosts), some("u", "v", "w"), some("a", "b"), some("a", "b"), draw.choice(stages)) for hosts, span, n in (("ab", 20, 120), ("cd", 400, 120), ("f", 9, 60)) for _ in range(n)]
+    rows += [(i, i * 2_000_000_000, "late", "u", "a", None, "Execution") for i in range(1000, 1300)] + [(1300, 1299 * 2_000_000_000 + 5, "late", "u", "a", None, "Execution")]
+    e = spark.createDataFrame([(i, str(i), *r) for i, *r in rows], "event_id long, event_uid string, t long, computer string, user string, image string, parent_image string, kill_chain_stage string")
+    steps, first = {}, {}
+    for r in G.edges(e).select("computer", "a_event_id", "b_event_id").distinct().collect():
+        steps.setdefault((r[0], r[1]), set()).add(r[2])
+        first[r[0]] = min(r[1], first.get(r[0], r[1]))
+
+    def near(most, far):
+        out = set()
+        for host, node in first.items():
+            depth, front = {node: 0}, {node}
+            for d in range(1, (far if host in "ad" else 3) + 1):
+                front = {b for a in front for b in steps.get((host, a), ())} - set(depth)
+                depth |= dict.fromkeys(front, d)
+            out |= {(host, n, d) for d, n in sorted((d, n) for n, d in depth.items())[:most]}
+        return out
+
+    sure = spark.createDataFrame([("a",), ("d",)], "computer string")
+    for most, far, who in ((20, 3, None), (4, 5, sure), (500, 5, sure)):
+        assert set(map(tuple, X.reachable(e, 3, most, who).select("computer", "node", "depth").collect())) == near(most, far)
+    assert first["late"] == 1299
+
+
+def test_edges_of_a_busy_host_are_not_listed(spark, tmp_path):
+    """2,000 events of one user within minutes: two million pairs."""
+    data = planted(tmp_path / "d", [(i, SPLIT_T + i * 200_000, 0, "view", 1.0, 3) for i in range(2000)])
+    rows = []
+    assert most_rows(spark, lambda: rows.extend(both(spark, "trimmed_edges", data))) < 100_000
+    assert rows[0] == rows[1] and len(rows[0]) == 20

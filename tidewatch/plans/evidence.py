@@ -203,7 +203,7 @@ def first_correlation(spark, d):
 def trimmed_far(spark, d):
     """Nodes near each computer's first edge: three steps, five where the best hit is surer than 80."""
     sure = hits(spark, d).filter("confidence_score > 80").select("computer").distinct()
-    return Y.reachable(G.edges(A.with_mitre(telemetry(spark, d))), 3, 20, sure)
+    return Y.reachable(A.with_mitre(telemetry(spark, d)), 3, 20, sure)
 
 
 def pattern_feedback(spark, d):
